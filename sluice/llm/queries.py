@@ -129,10 +129,10 @@ ORACLE: dict[str, str] = {
         g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM p),
         f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
         gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM g JOIN f USING (g) WHERE doc_id > first),
-        cut AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id)
-        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
-               sha256(coalesce(array_to_string(CASE WHEN ks IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(ks, k)) END, ' '), '')) AS kept_sha256
-        FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id""",
+        word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
     "op7_quality": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         a AS (SELECT doc_id, text, {_WORDS} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
