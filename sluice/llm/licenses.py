@@ -79,7 +79,7 @@ NAME_FORMS = (
     ("{} (?:version|v) ?[0-9]+(?: [0-9]+)?(?: or (?:any )?later(?: version)?)?", "{} [0-9](?: [0-9])?", "the {} as published by"),
     ("{}",),
 )
-ID_FORMS = ("spdx license identifier {}", "license {}", "licensed under {}")
+ID_FORMS = ("spdx license identifier {}", "license identifier {}", "spdx {}", "licensed under {}")
 # A text without any of these is not looked at further.
 KEYWORDS = (" license ", " licence ", " licensed ", " licenses ", " public  domain ", " spdx ", " gpl ", " lgpl ", " unlicense ")
 
