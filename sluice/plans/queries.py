@@ -392,3 +392,41 @@ def pair_json_lines(spark, sf_dir):
     j = feeds.pair_json(_event_pairs(spark, sf_dir).select("*", end.alias("client"), end.alias("server")), "HTTP")
     back = j.select((F.substring_index(F.get_json_object("value", "$.txId"), ":", -1).cast("long") % 4).alias("k"))
     return back.groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT CAST(conv_id AS VARCHAR) AS f, turn, strlen(text) AS size, least(strlen(text), 10) AS head FROM conversations WHERE role IN ('user', 'assistant'))
+    SELECT f AS session, turn AS ord, CAST(coalesce(sum(size) OVER (PARTITION BY f ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS headers_off, CAST(head AS BIGINT) AS headers_len,
+    CAST(coalesce(sum(size) OVER (PARTITION BY f ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + head AS BIGINT) AS body_off, CAST(size - head AS BIGINT) AS body_len FROM m""")
+def index_offsets(spark, sf_dir):
+    m = tables.messages(spark, sf_dir).select("flow_id", "ord", "type", "data", F.col("ord").alias("ts_us"), F.lit("x").alias("tx_id"))
+    return feeds.index_lines(m, "blob", F.least(F.octet_length("data"), F.lit(10))).select("session", F.col("ts_first").alias("ord"), "headers_off", "headers_len", "body_off", "body_len")
+
+
+@query("SELECT event_id, '00000000  ' || rpad(array_to_string(list_transform(range(1, 1 + least(8, length(props))), lambda i: lower(hex(encode(substr(props, i, 1))))), ' '), 23, ' ') || '  ' || substr(props, 1, 8) AS first_line FROM events")
+def hex_dump_lines(spark, sf_dir):
+    dump = binary.hex_dump(F.col("props").cast("binary"), 8)
+    return tables.read(spark, sf_dir, "events").select("event_id", F.substring_index(dump, "\n", 1).alias("first_line"))
+
+
+@query("SELECT event_id, props AS body FROM events")
+def chunked_decode(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    coded = F.concat(F.lower(F.hex(F.length("props"))), F.lit(";x=1\r\n"), F.col("props"), F.lit("\r\n0\r\nT: 1\r\n\r\n"))
+    return e.select("event_id", binary.dechunked(coded.cast("binary")).cast("string").alias("body"))
+
+
+@query("SELECT event_id, event_id % 2 = 0 AS valid FROM events")
+def json_strictness(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat("props", F.lit(" junk")))
+    return e.select("event_id", binary.json_or_null(text).isNotNull().alias("valid"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages")
+def safe_file_names(spark, sf_dir):
+    return tables.read(spark, sf_dir, "pages").select("page_id", binary.safe_name(F.col("url")).alias("name"))
+
+
+@query(f"WITH {ORIENTED}, d AS (SELECT DISTINCT flow_id, conv, client, flow_seq FROM flow) SELECT client, count(*) AS flows FROM d GROUP BY client")
+def flows_by_client(spark, sf_dir):
+    return _oriented(spark, sf_dir).select("flow_id", "client").distinct().groupBy("client").agg(F.count("*").alias("flows"))

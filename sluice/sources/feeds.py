@@ -92,3 +92,19 @@ def index_lines(messages: DataFrame, blob: str, fields_end: Column) -> DataFrame
     off = F.coalesce(F.sum(size).over(W.partitionBy("flow_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
     name = F.concat(F.lit(blob + "-"), F.substring(F.sha2("flow_id", 256), 1, 16), F.lit(".seg"))
     return messages.select(F.col("tx_id").alias("id"), F.col("type").alias("kind"), F.col("ts_us").alias("ts_first"), F.col("ts_us").alias("ts_last"), F.col("flow_id").alias("session"), name.alias("headers_blob"), off.alias("headers_off"), head.alias("headers_len"), name.alias("body_blob"), (off + head).alias("body_off"), (size - head).alias("body_len"))
+
+
+def protocol_lines(pairs: DataFrame) -> DataFrame:
+    """``value``: each pair's protocol alone as JSON, as the oldest store kept it."""
+    return pairs.select(F.to_json(F.struct("protocol")).alias("value"))
+
+
+def route(pairs: DataFrame, writers: dict) -> None:
+    """Rows to the writer of their protocol; those of no writer go nowhere."""
+    for protocol, write in writers.items():
+        write(pairs.where(F.col("protocol") == protocol))
+
+
+def disabled(spark: SparkSession, schema: str) -> DataFrame:
+    """A source that is switched off: no rows."""
+    return spark.createDataFrame([], schema)

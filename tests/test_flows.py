@@ -209,3 +209,37 @@ def test_stream_equals_batch(spark, tmp_path):
     for f, _, side, seq, _, payload, ts in sorted(rows, key=lambda r: r[1]):
         want += [(f, p[0]) for p in machines.setdefault(f, FlowMachine()).feed(side, seq, payload, ts)]
     assert got == sorted(want) and got
+
+
+def test_index_and_blobs(spark, tmp_path):
+    import json
+
+    (tmp_path / "blob-1.seg").write_bytes(b"HEADbody!")
+    entry = {"id": "a", "kind": "REQUEST", "headers_blob": "blob-1.seg", "headers_off": 0, "headers_len": 4, "body_blob": "none.seg", "body_off": 4, "body_len": 5}
+    (tmp_path / "index-1.ndjson").write_text(json.dumps(entry) + "\nnot json\n" + json.dumps(entry | {"id": "b", "body_blob": "blob-1.seg"}) + "\n")
+    got = {r["id"]: (bytes(r["headers"]), bytes(r["body"])) for r in feeds.with_blobs(feeds.read_index(spark, str(tmp_path)), spark, str(tmp_path)).collect()}
+    assert got == {"a": (b"HEAD", b""), "b": (b"HEAD", b"body!")}
+
+
+def test_samples(spark, tmp_path):
+    (tmp_path / "x-request.txt").write_text("GET /r/a1 HTTP/1.1\nReferer: z\n\n")
+    (tmp_path / "x-response.txt").write_text("HTTP/1.1 200 OK\n\n")
+    (tmp_path / "y-request.txt").write_text("GET /q HTTP/1.1\n\n")
+    got = {r["flow_id"]: r["latency_us"] for r in http.exchanges(feeds.samples(spark, str(tmp_path))).collect()}
+    assert got == {"x": 1000, "y": -1}
+
+
+def test_settings(tmp_path):
+    from sluice.sources.config import Watched, merge, parse_arguments
+
+    with pytest.warns(UserWarning):
+        assert merge("live", {"a": "1", "b": "2"}, "common: {b: 3, c: {d: 4}}\nlive: {a: 5}", {"a": "6"}) == {"a": "6", "b": "3", "c.d": "4"}
+    assert parse_arguments(["x=1=2"]) == {"x": "1=2"}
+    with pytest.raises(ValueError):
+        parse_arguments(["x"])
+    p = tmp_path / "r.yaml"
+    p.write_text(RULES)
+    w = Watched([str(p)], rules.load_rule_files)
+    w.looked -= 10
+    p.write_text("version: 1")
+    assert len(w.value["rules"]) == 2 and w()["rules"] == []
