@@ -240,10 +240,10 @@ def session(x: Exchange = Exchange(), client_ip: Column | None = None, user_id:
 
     names = ("jsessionid", "smsessionid")
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    trusted = F.coalesce(*(blank(F.try_element_at(req["cookies"], F.lit(n))) for n in names), *(blank(set_by_response(n)) for n in names), blank(first_value(req["headers"], "x-session-id")))
+    trusted = F.coalesce(*(blank(F.try_element_at(req["cookies"], F.lit(n))) for n in names), *(blank(set_by_response(n)) for n in names), *(blank(first_value(req["headers"], n)) for n in names))
     derived = derived_session(client_ip if client_ip is not None else F.lit(""), F.coalesce(first_value(req["headers"], "user-agent"), F.lit("")), F.col("ts_us"))
     known = trusted.isNotNull() | (user_id.isNotNull() if user_id is not None else F.lit(False))
-    return F.coalesce(trusted, derived), F.when(known, "AUTHENTICATED").otherwise("ANONYMOUS")
+    return F.coalesce(trusted, derived), F.when(known, "AUTHENTICATED").otherwise("UNAUTHENTICATED")
 
 
 def derived_session(ip: Column, agent: Column, ts_us: Column) -> Column:
@@ -274,6 +274,43 @@ def user_events(matches: DataFrame, x: Exchange = Exchange()) -> DataFrame:
     )
 
 
+def attributes_text(attributes: Column) -> Column:
+    """``[k=v;...]`` by key; null without attributes."""
+    entries = F.transform(F.array_sort(F.map_entries(attributes)), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return F.when(F.size(entries) > 0, F.concat(F.lit("["), F.array_join(entries, ";"), F.lit("]")))
+
+
+def joined_line(title: str, parts: dict[str, Column]) -> Column:
+    """``title k=v, ...``; parts without a value are left out."""
+    return F.concat(F.lit(f"{title} "), F.concat_ws(", ", *(F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in parts.items())))
+
+
 def log_line(events: DataFrame) -> DataFrame:
-    """``line``: an event as text."""
-    return events.select(F.concat(F.lit("user.event "), F.concat_ws(", ", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in ("event_type", "rule_id", "session_id", "auth_state", "user_id")))).alias("line"))
+    """``line``: a user event as text."""
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    parts = {"type": F.col("event_type"), "rule": F.col("rule_id"), "ruleDesc": blank("rule_description"), "session": F.col("session_id"), "auth": F.col("auth_state"), "user": F.col("user_id"), "source": F.col("source"), "app": F.col("app")}
+    parts |= {"method": F.col("http.method"), "path": F.col("http.path"), "status": F.col("http.status"), "latencyMs": F.col("http.latency_ms"), "traceId": F.col("trace_id"), "requestId": F.col("request_id"), "attributes": attributes_text(F.col("attributes"))}
+    return events.select(joined_line("user.event", parts).alias("line"))
+
+
+def extract_session(headers: Column, patterns: list[str], cookie_names: list[str]) -> Column:
+    """``HDR:`` and the last group of the first pattern that finds itself in a header line, else ``SID:`` and a session cookie's value."""
+    lines = F.flatten(F.transform(F.map_entries(headers), lambda e: F.transform(e["value"], lambda v: F.concat_ws(": ", e["key"], v))))
+    found = [F.get(F.filter(F.transform(lines, _last_group(p)), lambda v: v.isNotNull()), 0) for p in patterns]
+    cookies = F.split(F.coalesce(first_value(headers, "cookie"), F.lit("")), ";")
+    return F.coalesce(*(F.concat(F.lit("HDR:"), f) for f in found), F.concat(F.lit("SID:"), F.get(_named_values(cookies, cookie_names), 0)))
+
+
+def extract_set_session(set_cookies: Column, cookie_names: list[str]) -> Column:
+    """``SID:`` and the value of the first session cookie that a response sets."""
+    return F.concat(F.lit("SID:"), F.get(_named_values(F.transform(set_cookies, lambda c: F.substring_index(c, ";", 1)), cookie_names), 0))
+
+
+def _last_group(pattern: str):
+    groups = re.compile(re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", pattern)).groups
+    return lambda line: F.when(F.rlike(line, F.lit(f"(?i){pattern}")), F.regexp_extract(line, f"(?i){pattern}", groups))
+
+
+def _named_values(parts: Column, names: list[str]) -> Column:
+    own = F.filter(parts, lambda p: (F.locate("=", p) > 1) & F.lower(F.trim(F.substring_index(p, "=", 1))).isin(*names))
+    return F.transform(own, lambda p: F.trim(F.substring(p, F.locate("=", p) + 1, F.length(p))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rules import attributes_text, joined_line
+
 
 def load_screens(*texts: str) -> list[dict]:
     try:
@@ -68,8 +70,35 @@ def operator_id(rule_user: Column, inputs: Column, label: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(rule_user), F.lit("")), F.nullif(F.trim(F.try_element_at(inputs, label)), F.lit("")), pick(same), pick(some))
 
 
-def terminal_attributes(screen: Column, aid: Column, inputs: Column, name: Column, digest: Column) -> Column:
+def terminal_attributes(screen: Column, aid: Column, inputs: Column, name: Column, digest: Column, rows: Column, cols: Column) -> Column:
     """Attributes of a terminal event: the screen's, the key's and each input's; nulls are left out."""
-    fixed = F.create_map(F.lit("screen.id"), screen["id"], F.lit("screen.description"), screen["description"], F.lit("screen.label"), screen["label"], F.lit("screen.name"), name, F.lit("screen.hash"), digest, F.lit("tn3270.aid"), aid)
+    fixed = F.create_map(F.lit("screen.id"), screen["id"], F.lit("screen.description"), screen["description"], F.lit("screen.label"), screen["label"], F.lit("screen.name"), name, F.lit("screen.hash"), digest, F.lit("screen.rows"), rows.cast("string"), F.lit("screen.cols"), cols.cast("string"), F.lit("tn3270.aid"), aid)
     typed = F.map_from_entries(F.transform(F.map_entries(inputs), lambda e: F.struct(F.concat(F.lit("input."), safe_key(e["key"])), safe_value(e["value"]))))
     return F.map_filter(F.map_concat(fixed, typed), lambda _, v: v.isNotNull())
+
+
+def log_line(events: DataFrame) -> DataFrame:
+    """``line``: a terminal event as text."""
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    parts = {"timestamp": F.col("ts"), "type": F.col("event_type"), "terminal": F.col("terminal_id"), "session": F.col("session_id"), "source": F.col("source"), "app": F.col("app"), "operator": blank("operator_id"), "traceId": blank("trace_id"), "attributes": attributes_text(F.col("attributes"))}
+    return events.select(joined_line("terminal.event", parts).alias("line"))
+
+
+def terminal_user_events(events: DataFrame, rules: list[dict], app: str = "tn3270", source: str = "tn3270") -> DataFrame:
+    """Submits, joined to their session's latest screen, as terminal events: screen rule, operator and attributes."""
+    from .terminal import last_screen
+
+    seen = last_screen(events, cols=("rows", "cols", "plain_text", "screen_hash", "screen_name")).withColumn("_shown", F.col("screen")).drop("screen")
+    m = first_match(seen.withColumn("_text", F.col("_shown.plain_text")), rules, "_text")
+    inputs = F.coalesce("inputs", F.create_map().cast("map<string,string>"))
+    return m.select(
+        F.timestamp_micros("ts_us").alias("ts"),
+        F.col("session_id").alias("terminal_id"),
+        "session_id",
+        F.lit("terminal.submit").alias("event_type"),
+        operator_id(F.col("screen.user_id"), inputs, F.col("screen.label")).alias("operator_id"),
+        F.lit(source).alias("source"),
+        F.lit(app).alias("app"),
+        terminal_attributes(F.col("screen"), F.col("aid"), inputs, F.col("_shown.screen_name"), F.col("_shown.screen_hash"), F.col("_shown.rows"), F.col("_shown.cols")).alias("attributes"),
+        F.lit(None).cast("string").alias("trace_id"),
+    )

@@ -5,6 +5,7 @@ The bus itself is Spark's ``kafka`` source and sink where its jar is installed;
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,3 +109,42 @@ def route(pairs: DataFrame, writers: dict) -> None:
 def disabled(spark: SparkSession, schema: str) -> DataFrame:
     """A source that is switched off: no rows."""
     return spark.createDataFrame([], schema)
+
+
+PAIR_SIDE = "struct<timestamp: bigint, firstLine: string, headers: string, bodyB64: string, payloadB64: string, status: int, attributes: map<string,string>>"
+
+
+def parse_pairs(lines: DataFrame, value: str = "value") -> DataFrame:
+    """``tx_id, request, response`` of pairs as JSON, with missing parts at their defaults; lines that don't parse are dropped."""
+    j = F.from_json(F.col(value).cast("string"), f"struct<txId: string, startTs: bigint, endTs: bigint, request: {PAIR_SIDE}, response: {PAIR_SIDE}, _corrupt: string>", {"columnNameOfCorruptRecord": "_corrupt"})
+
+    def side(name: str, status: int) -> Column:
+        s = F.col(f"j.{name}")
+        body = F.coalesce(F.expr(f"try_to_binary(coalesce(j.{name}.bodyB64, j.{name}.payloadB64), 'base64')"), F.lit(b""))
+        return F.struct(F.coalesce(s["timestamp"], F.lit(0).cast("bigint")).alias("ts_us"), F.coalesce(s["firstLine"], F.lit("")).alias("first_line"), F.coalesce(s["headers"], F.lit("")).alias("headers"), body.alias("data"), F.coalesce(s["status"], F.lit(status)).alias("status"), s["attributes"].alias("attributes"))
+
+    good = lines.select(j.alias("j")).where("j IS NOT NULL AND j._corrupt IS NULL")
+    return good.select(F.coalesce("j.txId", F.lit("tx-unknown")).alias("tx_id"), F.coalesce("j.startTs", F.lit(0).cast("bigint")).alias("start_ts"), side("request", 0).alias("request"), side("response", 200).alias("response"))
+
+
+def pair_reports(pairs: DataFrame, decode: bool = False) -> DataFrame:
+    """``tx_id, content``: parsed pairs as short reports; ``decode`` undoes chunks and gzip that the headers name."""
+    from ..operators.reports import decode_message
+
+    @F.pandas_udf("binary")
+    def plain(headers, data):
+        out = []
+        for h, d in zip(headers, data, strict=True):
+            whole = "\r\n".join(["x", *(h or "").splitlines()]).encode("latin-1", "replace") + b"\r\n\r\n" + bytes(d or b"")
+            out.append(decode_message(whole).partition(b"\r\n\r\n")[2])
+        return pd.Series(out)
+
+    def side(title: str, name: str) -> Column:
+        s = F.col(name)
+        body = F.decode(plain(s["headers"], s["data"]) if decode else s["data"], "ISO-8859-1")
+        line = lambda c: F.when(F.trim(c) != "", F.concat(c, F.lit("\n"))).otherwise("")
+        return F.concat(F.lit(f"HTTP {title}\n"), line(s["first_line"]), F.when(F.length(body) > 0, F.concat(body, F.lit("\n"))).otherwise(""))
+
+    pairs_of = F.transform(F.array_sort(F.map_entries(F.col("request.attributes"))), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    attrs = F.when(F.size(pairs_of) > 0, F.concat(F.lit("# attrs: "), F.array_join(pairs_of, " "), F.lit("\n"))).otherwise("")
+    return pairs.select("tx_id", F.concat(side("REQUEST", "request"), side("RESPONSE", "response"), F.coalesce(attrs, F.lit(""))).alias("content"))

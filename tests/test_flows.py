@@ -243,3 +243,30 @@ def test_settings(tmp_path):
     w.looked -= 10
     p.write_text("version: 1")
     assert len(w.value["rules"]) == 2 and w()["rules"] == []
+
+
+def test_bus_pairs(spark):
+    import base64
+    import json
+
+    body = base64.b64encode(b"3\r\nabc\r\n0\r\n\r\n").decode()
+    line = json.dumps({"txId": "t", "request": {"firstLine": "GET /", "attributes": {"a": "1"}}, "response": {"firstLine": "HTTP/1.1 200 OK", "headers": "Transfer-Encoding: chunked", "bodyB64": body}})
+    p = feeds.parse_pairs(spark.createDataFrame([(line,), ("broken",)], "value string"))
+    assert [r["content"] for r in feeds.pair_reports(p, True).collect()] == ["HTTP REQUEST\nGET /\nHTTP RESPONSE\nHTTP/1.1 200 OK\nabc\n# attrs: a=1\n"]
+
+
+def test_session_extractor_and_terminal_events(spark):
+    from sluice.functions import ebcdic
+
+    df = spark.createDataFrame([({"x-tok": ["v=77"], "cookie": ["a=1; SID = s9"]}, ["Sid=zz; Path=/"])], "h map<string,array<string>>, s array<string>")
+    r = df.select(rules.extract_session(F.col("h"), ["x-tok: v=(\\d+)"], ["sid"]).alias("a"), rules.extract_session(F.col("h"), ["nope(.)"], ["sid"]).alias("b"), rules.extract_set_session(F.col("s"), ["sid"]).alias("c")).first()
+    assert tuple(r) == ("HDR:77", "SID:s9", "SID:zz")
+    write = bytes([0xF5, 0x40]) + ebcdic.encode("Welcome") + bytes([0x11, 0x40, 0x4A, 0x1D, 0x20]) + ebcdic.encode("ID:") + bytes([0x1D, 0x40]) + ebcdic.encode("    ")
+    submit = bytes([0x7D, 0x40, 0x40, 0x11, 0x40, 0x4F]) + ebcdic.encode("BOB")
+    side = "struct<data: binary, ts_us: bigint>"
+    pairs = spark.createDataFrame([("f", 1, (submit, 2000), (write, 1000))], f"flow_id string, n long, request {side}, response {side}")
+    loaded = screens.load_screens("version: 1\nscreens: [{id: A, match: [{position: {row: 1, column: 1, length: 7}, equals: Welcome}]}]")
+    events = screens.terminal_user_events(terminal.terminal_events(pairs), loaded)
+    (e,) = events.collect()
+    assert e["operator_id"] == "BOB" and e["attributes"]["screen.id"] == "A" and e["attributes"]["input.id"] == "BOB" and e["attributes"]["tn3270.aid"] == "ENTER"
+    assert "operator=BOB" in screens.log_line(events).first()["line"]
