@@ -78,8 +78,12 @@ def _sides(rows: pd.DataFrame, state: dict[bool, Reassembler]) -> Iterator[tuple
 SLICE = "flow_id string, arrival long, from_client boolean, data binary, ts_us long"
 
 
-def slices(oriented: DataFrame) -> DataFrame:
-    """What each arriving segment releases of its flow, both directions."""
+def slices(oriented: DataFrame, mode: str = "sequence") -> DataFrame:
+    """What each arriving segment releases of its flow, both directions; ``mode="arrival"`` takes payloads as they come, repeats too."""
+    if mode == "arrival":
+        return oriented.where(F.octet_length("payload") > 0).select("flow_id", "arrival", "from_client", F.col("payload").alias("data"), "ts_us")
+    if mode != "sequence":
+        raise ValueError(f"unknown mode: {mode}")
 
     def flow(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_sides(rows.sort_values("arrival"), {})), columns=["flow_id", "arrival", "from_client", "data", "ts_us"])
