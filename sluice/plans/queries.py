@@ -13,6 +13,8 @@ from ..sources import capture, feeds, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Flows lie within conversations, by which their segments are partitioned already.
+BY_CONVERSATION = ("conv", "flow_id")
 
 SEGMENTS = """
 seg0 AS (SELECT *, event_id % 2 = 0 AS up, event_type = 'click' AND event_id % 7 = 0 AS bare,
@@ -66,7 +68,7 @@ def _oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flow_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("from_client"), "REQUEST").otherwise("RESPONSE")
-    return flows.with_payload(_oriented(spark, sf_dir)).select("flow_id", F.col("arrival").alias("ord"), kind.alias("type"), F.col("payload").alias("data"), "ts_us")
+    return flows.with_payload(_oriented(spark, sf_dir)).select("conv", "flow_id", F.col("arrival").alias("ord"), kind.alias("type"), F.col("payload").alias("data"), "ts_us")
 
 
 @query(f"WITH {ORIENTED} SELECT arrival, conv, client, from_client, flow_seq FROM oriented")
@@ -119,17 +121,17 @@ def flow_preface(spark, sf_dir):
 
 @query(f"WITH {FLOW_MESSAGES}{LINDLEY} SELECT q.flow_id, q.n, q.ord AS request_ord, p.ord AS response_ord FROM numbered q JOIN numbered p ON q.flow_id = p.flow_id AND q.n = p.n AND q.type = 'REQUEST' AND p.type = 'RESPONSE'")
 def http_fifo_pairs(spark, sf_dir):
-    return pairing.http_pairs(_flow_messages(spark, sf_dir)).select("flow_id", "n", F.col("request.ord").alias("request_ord"), F.col("response.ord").alias("response_ord"))
+    return pairing.http_pairs(_flow_messages(spark, sf_dir), keys=BY_CONVERSATION).select("flow_id", "n", F.col("request.ord").alias("request_ord"), F.col("response.ord").alias("response_ord"))
 
 
-@query(f"WITH {FLOW_MESSAGES}{LINDLEY} SELECT q.flow_id, q.n, q.ord AS request_ord, p.ord AS response_ord FROM numbered q LEFT JOIN numbered p ON q.flow_id = p.flow_id AND q.n = p.n AND p.type = 'RESPONSE' WHERE q.type = 'REQUEST'")
+@query(f"WITH {FLOW_MESSAGES}{LINDLEY} SELECT q.flow_id, q.n, q.ord AS request_ord, coalesce(p.ord, -1) AS response_ord FROM numbered q LEFT JOIN numbered p ON q.flow_id = p.flow_id AND q.n = p.n AND p.type = 'RESPONSE' WHERE q.type = 'REQUEST'")
 def http_flush_pairs(spark, sf_dir):
-    return pairing.http_pairs(_flow_messages(spark, sf_dir), keep_unanswered=True).select("flow_id", "n", F.col("request.ord").alias("request_ord"), F.col("response.ord").alias("response_ord"))
+    return pairing.http_pairs(_flow_messages(spark, sf_dir), True, BY_CONVERSATION).select("flow_id", "n", F.col("request.ord").alias("request_ord"), F.coalesce("response.ord", F.lit(-1).cast("long")).alias("response_ord"))
 
 
 @query(f"WITH {FLOW_MESSAGES}, k AS (SELECT *, row_number() OVER (PARTITION BY flow_id, type ORDER BY ord) AS n FROM messages) SELECT q.flow_id, q.n, q.ord AS request_ord, p.ord AS response_ord FROM k q JOIN k p ON q.flow_id = p.flow_id AND q.n = p.n AND q.type = 'REQUEST' AND p.type = 'RESPONSE'")
 def tn_fifo_pairs(spark, sf_dir):
-    return pairing.two_way_pairs(_flow_messages(spark, sf_dir)).select("flow_id", F.col("n").cast("long").alias("n"), F.col("request.ord").alias("request_ord"), F.col("response.ord").alias("response_ord"))
+    return pairing.two_way_pairs(_flow_messages(spark, sf_dir), BY_CONVERSATION).select("flow_id", F.col("n").cast("long").alias("n"), F.col("request.ord").alias("request_ord"), F.col("response.ord").alias("response_ord"))
 
 
 @query(f"WITH {MESSAGES}{LINDLEY} SELECT q.flow_id, q.n, greatest(0, p.ts_us - q.ts_us) AS latency_us FROM numbered q JOIN numbered p ON q.flow_id = p.flow_id AND q.n = p.n AND q.type = 'REQUEST' AND p.type = 'RESPONSE'")
@@ -139,7 +141,7 @@ def pair_latency(spark, sf_dir):
 
 @query(f"WITH {FLOW_MESSAGES}{LINDLEY} SELECT flow_id, ord, substr(sha256(flow_id || '|' || coalesce('t' || n, 'o' || ord)), 1, 26) AS tx_id FROM numbered")
 def tx_id_propagation(spark, sf_dir):
-    return pairing.with_tx_id(_flow_messages(spark, sf_dir)).select("flow_id", "ord", "tx_id")
+    return pairing.with_tx_id(_flow_messages(spark, sf_dir), keys=BY_CONVERSATION).select("flow_id", "ord", "tx_id")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS flow_id, sha256(text) AS digest, strlen(text) AS n_bytes FROM documents")
@@ -302,11 +304,11 @@ def redact_inputs(spark, sf_dir):
     return tables.read(spark, sf_dir, "events").select("event_id", m["password"].alias("password"), m["other"].alias("other"))
 
 
-@query(f"WITH {MESSAGES}{LINDLEY}, t AS (SELECT *, coalesce('t' || n, 'o' || ord) AS k FROM numbered) SELECT flow_id || '/' || k AS tx_id, max(ord) FILTER (type = 'REQUEST') AS request_ord, max(ord) FILTER (type = 'RESPONSE') AS response_ord FROM t GROUP BY ALL")
+@query(f"WITH {MESSAGES}{LINDLEY}, t AS (SELECT *, coalesce('t' || n, 'o' || ord) AS k FROM numbered) SELECT flow_id || '/' || k AS tx_id, coalesce(max(ord) FILTER (type = 'REQUEST'), -1) AS request_ord, coalesce(max(ord) FILTER (type = 'RESPONSE'), -1) AS response_ord FROM t GROUP BY flow_id, k")
 def full_outer_regroup(spark, sf_dir):
     n = pairing.http_ordinals(tables.messages(spark, sf_dir))
     key = F.concat_ws("/", "flow_id", F.coalesce(F.concat(F.lit("t"), F.col("n").cast("string")), F.concat(F.lit("o"), F.col("ord").cast("string"))))
-    return reports.regroup(n.select(key.alias("tx_id"), "ord", "type", "ts_us")).select("tx_id", F.col("request.ord").alias("request_ord"), F.col("response.ord").alias("response_ord"))
+    return reports.regroup(n.select(key.alias("tx_id"), "ord", "type", "ts_us")).select("tx_id", *(F.coalesce(f"{s}.ord", F.lit(-1).cast("long")).alias(f"{s}_ord") for s in ("request", "response")))
 
 
 @query()
