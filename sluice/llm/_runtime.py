@@ -7,7 +7,9 @@ when the session names none, as in tests on one machine.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -39,18 +41,26 @@ def scratch_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
+        own = tempfile.mkdtemp(prefix="scratch-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, keep: bool = False) -> str:
+    """A place for a new scratch table; ``release`` deletes it unless ``keep``."""
+    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    if not keep:
+        _TABLES.append(path)
+    return path
+
+
 def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as a scratch table and read it back, which cuts its lineage; ``release`` leaves it if ``keep``."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch_path(spark, keep)
     df.write.parquet(path)
-    if not keep:
-        _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

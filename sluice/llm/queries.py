@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_format, embedding_dedup, licenses, near_dedup, packing, pii, quality, substring_dedup, token_files
-from ._runtime import scratch_dir, table
+from ._runtime import scratch_path, table
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -78,8 +78,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = f"{scratch_dir(spark)}/tokens-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}-{spark.sparkContext._jvm.System.nanoTime()}"
-    files = token_files.write_token_files(docs, path, tokenizer_path())
+    files = token_files.write_token_files(docs, scratch_path(spark), tokenizer_path())
     return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -116,10 +115,11 @@ def _fails(line: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     count = lambda pattern: f"len(regexp_extract_all({line}, {q(pattern)}))"
     menu = r"^\W*(?:" + "|".join(quality.MENU) + r")\W*$"
-    end = r"""[.!?…:;,"'”’»)\]。！？][\x20\t-\r]*$"""
-    return f"""(regexp_matches(lower({line}), {q('|'.join(quality.BOILERPLATE))}) OR {count('[|»›•·→]')} >= 2 OR regexp_matches(lower({line}), {q(menu)})
+    anyof = lambda s: "[" + "".join("\\" + c if c in "\\]^" else c for c in s) + "]"
+    end = anyof(quality.CLOSING) + r"[\x20\t-\r]*$"
+    return f"""(regexp_matches(lower({line}), {q('|'.join(quality.BOILERPLATE))}) OR {count(anyof(quality.SEPARATORS))} >= 2 OR (strlen({line}) < {quality.MENU_BYTES} AND regexp_matches(lower({line}), {q(menu)}))
       OR (NOT regexp_matches({line}, {q(end)}) AND {count(r'[^\x20\x09-\x0D]+')} < {quality.SHORT_LINE_WORDS})
-      OR {count(r'[#*$%&|<>{}=_~^@\\]')} > {quality.MAX_LINE_SYMBOLS} * length({line}))"""
+      OR {count(anyof(quality.LINE_SYMBOLS))} > {quality.MAX_LINE_SYMBOLS} * length({line}))"""
 
 
 ORACLE: dict[str, str] = {
