@@ -8,15 +8,14 @@ when the session names none, as in tests on one machine.
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..session import ship
+
 #: Rows and bytes that one Arrow batch may carry to a Python worker, so that very long texts don't pile up.
 BATCH_ROWS = 512
 BATCH_BYTES = "8m"
@@ -27,10 +26,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and let Python workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    path = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if ROOT not in path.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
-    return spark
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
