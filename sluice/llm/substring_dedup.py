@@ -4,7 +4,7 @@ A window is ``size`` consecutive words of one document.  The first pass counts w
 sketch of two rows: each partition sends its cells, deltas of sorted places, and the merged sketch
 keeps one bit a cell, set where the count is two or more.  It overestimates, so a window whose two
 cells aren't both set occurs once and is done with.  The second pass groups only the others, exactly,
-by 128-bit hashes: each partition keeps a window's smallest document and settles the rest of its
+by 96-bit hashes: each partition keeps a window's smallest document and settles the rest of its
 documents itself, so that a passage in a third of all documents sends a row a partition.  The words
 of a document's windows that start in a smaller document go.
 
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import materialize, partitions, prepare
+from ._runtime import partitions, prepare
 from ._words import Words, binary
 
 ROWS = 2
@@ -124,33 +124,43 @@ def _first_documents(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> tuple[np.
     return order, new, doc > first
 
 
-def repeated_windows(docs: DataFrame, size: int, bits: list[np.ndarray], cells: int) -> DataFrame:
-    """``doc_id, windows``: hashes of windows that a smaller document also has, as little-endian 64-bit integers, in several rows a document."""
+def _id_buckets(ids: np.ndarray, n: int) -> np.ndarray:
+    """``pmod(xxhash64(id), n)`` as Spark computes it."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    rotate = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    x = np.full(len(ids), 42 + 8, dtype=np.uint64) + p5
+    x ^= rotate(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1
+    x = rotate(x, 27) * p1 + p4
+    x = (x ^ (x >> np.uint64(33))) * p2
+    x = (x ^ (x >> np.uint64(29))) * p3
+    return (x ^ (x >> np.uint64(32))).view(np.int64) % n
+
+
+def repeated_windows(docs: DataFrame, size: int, bits: list[np.ndarray], cells: int, id_buckets: int) -> DataFrame:
+    """``bucket, h, d``: windows that a smaller document also has, packed many to a row: their hashes and documents as
+    little-endian 64-bit integers, the documents those of one bucket of ids."""
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(bits)
     buckets = max(64, 4 * partitions(spark))
 
-    def by_document(doc: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows with bucket -1 tell that these windows of a document are to go."""
-        order = np.argsort(doc, kind="stable")
-        doc, h = doc[order], h[order]
-        at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, dtype=np.int64)
-        blobs = [x.astype("<u8").tobytes() for x in np.split(h, at[1:])] if len(at) else []
-        for i in range(0, len(at), 1024):
-            n = len(at[i : i + 1024])
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), pa.array(doc[at[i : i + 1024]]), pa.array(blobs[i : i + 1024], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["bucket", "doc_id", "h", "g", "d"])
+    def by_id(doc: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = _id_buckets(doc, id_buckets)
+        order = np.argsort(bucket, kind="stable")
+        doc, h, cut = doc[order], h[order], np.searchsorted(bucket[order], np.arange(id_buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)):
+            x = slice(cut[b], cut[b + 1])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([h[x].astype("<u8").tobytes()]), pa.nulls(1, pa.binary()), pa.array([doc[x].astype("<i8").tobytes()])], names=["bucket", "h", "g", "d"])
 
     def send(gathered: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         h, g, doc = (np.concatenate(x) for x in zip(*gathered, strict=True))
         order, new, later = _first_documents(h, g, doc)
         h, g, doc = h[order], g[order], doc[order]
-        yield from by_document(doc[later], h[later])
+        yield from by_id(doc[later], h[later])  # settled here, told by the lack of g
         h, g, doc = h[new], g[new], doc[new]  # sorted by h, so a bucket of leading bits is a slice
         cut = np.searchsorted((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(cut)):
             x = slice(cut[b], cut[b + 1])
-            if cut[b] < cut[b + 1]:
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.nulls(1, pa.int64()), *(pa.array([v[x].astype(t).tobytes()]) for v, t in ((h, "<u8"), (g, "<u8"), (doc, "<i8")))], names=["bucket", "doc_id", "h", "g", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([v[x].astype(t).tobytes()]) for v, t in ((h, "<u8"), (g, "<u4"), (doc, "<i8")))], names=["bucket", "h", "g", "d"])
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sketch.value
@@ -163,7 +173,7 @@ def repeated_windows(docs: DataFrame, size: int, bits: list[np.ndarray], cells:
                 at = np.flatnonzero(whole)
                 whole[at] = _bit(rows[row], _cells(h[at], row, cells)) == 1
             g, _ = words.windows(size, words.hashes(1), 1)
-            gathered.append((h[whole], g[whole], batch.column(0).to_numpy(zero_copy_only=False)[words.document()[whole]]))
+            gathered.append((h[whole], g[whole].astype(np.uint32), batch.column(0).to_numpy(zero_copy_only=False)[words.document()[whole]]))
             held += len(gathered[-1][0])
             if held >= FLUSH:
                 yield from send(gathered)
@@ -173,59 +183,103 @@ def repeated_windows(docs: DataFrame, size: int, bits: list[np.ndarray], cells:
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple]] = {}
+        gone: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for out in by_id(*(np.concatenate(x) for x in zip(*gone, strict=True))):
+                yield out.select(["bucket", "h", "d"])
+
+        def settle(doc: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal gone, held
+            gone.append((doc, h))
+            held += len(doc)
+            if held >= FLUSH:
+                yield from flush()
+                gone, held = [], 0
+
         for batch in batches:
-            for b, _, h, g, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault(b, []).append((h, g, d))
+            for b, h, g, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g is None:
+                    yield from settle(np.frombuffer(d, dtype="<i8"), np.frombuffer(h, dtype="<u8"))
+                else:
+                    parts.setdefault(b, []).append((h, g, d))
         for b in list(parts):
-            h, g, doc = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*parts.pop(b), strict=True), ("<u8", "<u8", "<i8"), strict=True))
+            h, g, doc = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*parts.pop(b), strict=True), ("<u8", "<u4", "<i8"), strict=True))
             order, _, later = _first_documents(h, g, doc)
-            for out in by_document(doc[order][later], h[order][later]):
-                yield out.select(["doc_id", "h"])
+            yield from settle(doc[order][later], h[order][later])
+        if held:
+            yield from flush()
 
-    sent = materialize(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(estimate, "bucket int, doc_id long, h binary, g binary, d binary"))
-    grouped = sent.where("bucket >= 0").repartition(partitions(spark), "bucket").mapInArrow(group, "doc_id long, h binary")
-    return sent.where("bucket < 0").select("doc_id", "h").union(grouped)
+    sent = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(estimate, "bucket int, h binary, g binary, d binary")
+    return sent.repartition(partitions(spark), "bucket").mapInArrow(group, "bucket int, h binary, d binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
     """The columns of ``docs``, the text without its repeats, and ``n_words``, ``n_removed``.
 
-    A text that loses words has the others joined by single spaces; a text that loses none stays as it is.
+    Columns of ``docs`` that are named like the two are replaced.  A text that loses words has the others joined by single spaces; a text that loses none stays as it is.
     """
     spark = prepare(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cells = cells_for(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    windows = repeated_windows(plain, size, repeated_cells(plain, size, cells), cells)
-    gone = windows.groupBy("doc_id").agg(F.collect_list("h").alias("windows")).select(F.col("doc_id").alias("gone_id"), "windows")
+    n = partitions(spark)
+    id_buckets = 8 * n
+    windows = repeated_windows(plain, size, repeated_cells(plain, size, cells), cells, id_buckets)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In each bucket of ids the windows come first, then the documents that they cover."""
+        bucket, gone = None, {}
         for batch in batches:
-            column = binary(batch.column(0))
-            texts = column.to_pylist()
-            words = Words(texts)
-            h, whole = words.windows(size, words.hashes())
-            removed, kept = [], []
-            for i, blobs in enumerate(batch.column(1).to_pylist()):
-                a, b = words.first[i], words.first[i + 1]
-                if blobs:
-                    hit = np.isin(h[a:b], np.frombuffer(b"".join(blobs), dtype="<u8")) & whole[a:b]
-                    edge = np.zeros(b - a + 1, dtype=np.int64)
-                    at = np.flatnonzero(hit)
-                    edge[at] += 1
-                    edge[at + size] -= 1
-                    stay = np.cumsum(edge)[:-1] == 0
-                    removed.append(int(b - a - stay.sum()))
-                    kept.append(b" ".join(w for w, k in zip(texts[i].split(), stay, strict=True) if k) if removed[-1] else texts[i])
-                else:
-                    removed.append(0)
-                    kept.append(texts[i])
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary(), mask=batch.column(0).is_null().to_numpy(zero_copy_only=False)).cast(pa.string())], names=[*batch.schema.names[2:], "n_words", "n_removed", "kept_text"])
-
+            keys, order, h, d = (batch.column(c) for c in range(4))
+            is_doc = order.to_numpy() == 1
+            keys = keys.to_numpy()
+            begins = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+            for a, b in zip(begins, [*begins[1:], len(keys)], strict=True):
+                if keys[a] != bucket:
+                    bucket, gone = keys[a], {}
+                rows = slice(a, b)
+                for k in np.flatnonzero(~is_doc[rows]) + a:
+                    doc, hashes = np.frombuffer(d[int(k)].as_py(), dtype="<i8"), np.frombuffer(h[int(k)].as_py(), dtype="<u8")
+                    at = np.argsort(doc, kind="stable")
+                    doc, hashes = doc[at], hashes[at]
+                    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+                    for i, own in zip(doc[cut].tolist(), np.split(hashes, cut[1:]), strict=True):
+                        gone.setdefault(i, []).append(own)
+                first = a + int((~is_doc[rows]).sum())
+                if first < b:
+                    yield _covered(batch.slice(first, b - first), gone)
+
+    def _covered(batch: pa.RecordBatch, gone: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+        texts = binary(batch.column(5)).to_pylist()
+        words = Words(texts)
+        h, whole = words.windows(size, words.hashes())
+        removed, kept = [], []
+        for i, doc in enumerate(batch.column(4).to_pylist()):
+            a, b = words.first[i], words.first[i + 1]
+            removed.append(0)
+            kept.append(texts[i])
+            if doc in gone:
+                edge = np.zeros(b - a + 1, dtype=np.int64)
+                at = np.flatnonzero(np.isin(h[a:b], np.concatenate(gone[doc])) & whole[a:b])
+                edge[at] += 1
+                edge[at + size] -= 1
+                stay = np.cumsum(edge)[:-1] == 0
+                removed[-1] = int(b - a - stay.sum())
+                if removed[-1]:
+                    kept[-1] = b" ".join(w for w, k in zip(texts[i].split(), stay, strict=True) if k)
+        return pa.RecordBatch.from_arrays([*batch.columns[6:], pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary(), mask=batch.column(5).is_null().to_numpy(zero_copy_only=False)).cast(pa.string())], names=[*batch.schema.names[6:], "n_words", "n_removed", "kept_text"])
+
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_words", "n_removed")))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True) if c != text_col))
     rest = [n for c, n in zip(docs.columns, names, strict=True) if c != text_col]
-    joined = held.join(gone.hint("shuffle_hash"), held.doc_id == gone.gone_id, "left").select("text", "windows", *rest)
-    schema = ", ".join([*(f"{n} {joined.schema[n].dataType.simpleString()}" for n in rest), "n_words long, n_removed long, kept_text string"])
-    out = joined.mapInArrow(cover, schema)
+    own = F.col(id_col).cast("long")
+    bucket = F.pmod(F.xxhash64(F.coalesce(own, F.xxhash64(text_col))), F.lit(id_buckets)).cast("int")
+    nothing = F.lit(None).cast("binary")
+    held = docs.select(bucket.alias("bucket"), F.lit(1).alias("order"), nothing.alias("h"), nothing.alias("d"), own.alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True) if c != text_col))
+    kinds = {f.name: f.dataType for f in held.schema}
+    packed = windows.select("bucket", F.lit(0).alias("order"), "h", "d", F.lit(None).cast("long"), F.lit(None).cast("string"), *(F.lit(None).cast(kinds[n]) for n in rest))
+    both = held.union(packed).repartition(n, "bucket").sortWithinPartitions("bucket", "order")
+    out = both.mapInArrow(cover, ", ".join([*(f"{n} {kinds[n].simpleString()}" for n in rest), "n_words long, n_removed long, kept_text string"]))
     cols = [F.col("kept_text" if c == text_col else n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
     return out.select(*cols, "n_words", "n_removed")
