@@ -84,6 +84,11 @@ def frame(slices: DataFrame, strict: bool = False) -> DataFrame:
     return slices.select("flow_id", "arrival", "from_client", "data", "ts_us").groupBy("flow_id").applyInPandas(flow, MESSAGE)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often and deep inside lambdas the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def head_and_body(data: Column) -> tuple[Column, Column]:
     """Head as ISO-8859-1 text without its blank line, and body bytes; all head and no body without one."""
     text = F.decode(data, "ISO-8859-1")
@@ -95,8 +100,8 @@ def _fields(lines: Column) -> Column:
     """Lower-cased names with all their values in order; a line that begins with white space goes on the one before."""
     unfolded = F.filter(F.split(F.regexp_replace(F.array_join(lines, "\r\n"), r"\r\n[ \t]+", ""), "\r\n"), lambda x: F.locate(":", x) > 1)
     pairs = F.transform(unfolded, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.locate(":", x) + 1, F.length(x))).alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"])))
+    values = lambda ps, n: F.transform(F.filter(ps, lambda p: p["k"] == n), lambda p: p["v"])
+    return let(pairs, lambda ps: let(F.array_distinct(F.transform(ps, lambda p: p["k"])), lambda names: F.map_from_arrays(names, F.transform(names, lambda n: values(ps, n)))))
 
 
 def query_map(query: Column) -> Column:
@@ -114,8 +119,8 @@ def cookie_map(header: Column) -> Column:
 
 
 def _last_wins(pairs: Column) -> Column:
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"]))
+    last = lambda ps, n: F.element_at(F.filter(ps, lambda p: p["k"] == n), -1)["v"]
+    return let(pairs, lambda ps: let(F.array_distinct(F.transform(ps, lambda p: p["k"])), lambda names: F.map_from_arrays(names, F.transform(names, lambda n: last(ps, n)))))
 
 
 def first_value(fields: Column, name: str) -> Column:
@@ -134,38 +139,53 @@ def body_text(body: Column, content_type: Column) -> Column:
     return F.coalesce(*(F.when(kind == c, F.decode(body, c)) for c in ("ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE")), F.decode(body, "UTF-8"))
 
 
+def _first_words(data: Column) -> Column:
+    return F.split(F.trim(F.substring_index(F.decode(data, "ISO-8859-1"), "\r\n", 1)), r"\s+", 3)
+
+
+def is_request(data: Column) -> Column:
+    """Whether the first line has two words at least."""
+    return F.size(_first_words(data)) >= 2
+
+
 def parse_request(data: Column) -> Column:
     """A struct of a request's parts; null if its first line has fewer than two words."""
     head, body = head_and_body(data)
-    lines = F.split(head, "\r\n")
-    words = F.split(F.trim(lines[0]), r"\s+", 3)
-    target = F.get(words, 1)
-    fields = _fields(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))))
-    parsed = F.struct(
-        words[0].alias("method"),
-        F.substring_index(target, "?", 1).alias("path"),
-        target.alias("raw_target"),
-        F.coalesce(F.get(words, 2), F.lit("HTTP/1.1")).alias("http_version"),
-        fields.alias("headers"),
-        cookie_map(first_value(fields, "cookie")).alias("cookies"),
-        query_map(F.when(F.locate("?", target) > 0, F.substring(target, F.locate("?", target) + 1, F.length(target)))).alias("query"),
-        body.alias("body"),
-    )
-    return F.when(F.size(words) >= 2, parsed)
+
+    def parts(lines: Column, words: Column, fields: Column) -> Column:
+        target = F.get(words, 1)
+        return F.struct(
+            words[0].alias("method"),
+            F.substring_index(target, "?", 1).alias("path"),
+            target.alias("raw_target"),
+            F.coalesce(F.get(words, 2), F.lit("HTTP/1.1")).alias("http_version"),
+            fields.alias("headers"),
+            cookie_map(first_value(fields, "cookie")).alias("cookies"),
+            query_map(F.when(F.locate("?", target) > 0, F.substring(target, F.locate("?", target) + 1, F.length(target)))).alias("query"),
+            body.alias("body"),
+        )
+
+    parsed = let(F.split(head, "\r\n"), lambda lines: let(F.split(F.trim(lines[0]), r"\s+", 3), lambda words: let(_fields(_rest(lines)), lambda fields: parts(lines, words, fields))))
+    return F.when(is_request(data), parsed)
+
+
+def _rest(lines: Column) -> Column:
+    return F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
 
 
 def parse_response(data: Column) -> Column:
     """A struct of a response's parts; null unless it begins with HTTP/; status -1 if it is no number."""
     head, body = head_and_body(data)
-    lines = F.split(head, "\r\n")
-    words = F.split(F.trim(lines[0]), r"\s+", 3)
-    fields = _fields(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))))
-    parsed = F.struct(F.coalesce(F.get(words, 1).try_cast("int"), F.lit(-1)).alias("status"), F.coalesce(F.get(words, 2), F.lit("")).alias("reason"), words[0].alias("http_version"), fields.alias("headers"), body.alias("body"))
-    return F.when(F.startswith(lines[0], F.lit("HTTP/")), parsed)
+
+    def parts(lines: Column, words: Column) -> Column:
+        return F.struct(F.coalesce(F.get(words, 1).try_cast("int"), F.lit(-1)).alias("status"), F.coalesce(F.get(words, 2), F.lit("")).alias("reason"), words[0].alias("http_version"), _fields(_rest(lines)).alias("headers"), body.alias("body"))
+
+    parsed = let(F.split(head, "\r\n"), lambda lines: let(F.split(F.trim(lines[0]), r"\s+", 3), lambda words: parts(lines, words)))
+    return F.when(F.startswith(F.decode(F.substring(data, 1, 5), "ISO-8859-1"), F.lit("HTTP/")), parsed)
 
 
 def exchanges(pairs: DataFrame) -> DataFrame:
     """Pairs of messages as parsed ``request`` and ``response``, with times and latency; unparsable requests go."""
     r, p = parse_request(F.col("request.data")), parse_response(F.col("response.data"))
-    out = pairs.select("flow_id", "n", r.alias("http_request"), p.alias("http_response"), F.col("request.ts_us").alias("ts_us"), F.col("response.ts_us").alias("rsp_ts_us")).where("http_request IS NOT NULL")
+    out = pairs.where(is_request(F.col("request.data"))).select("flow_id", "n", r.alias("http_request"), p.alias("http_response"), F.col("request.ts_us").alias("ts_us"), F.col("response.ts_us").alias("rsp_ts_us"))
     return out.select("*", F.when(F.col("rsp_ts_us").isNull(), -1).otherwise(F.greatest(F.lit(0).cast("long"), F.col("rsp_ts_us") - F.col("ts_us"))).cast("long").alias("latency_us"))
