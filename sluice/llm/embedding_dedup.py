@@ -56,6 +56,22 @@ def _usable(vector) -> np.ndarray | None:
     return v if len(v) and np.isfinite(v).all() and v.any() else None
 
 
+def _pack(v: np.ndarray) -> bytes:
+    """Components as 4-byte floats where that loses nothing, else as 8-byte ones, after a byte that tells which."""
+    with np.errstate(over="ignore"):
+        small = v.astype("<f4")
+    return b"4" + small.tobytes() if np.array_equal(small.astype(np.float64), v) else b"8" + v.astype("<f8").tobytes()
+
+
+def _unpack(raw: list[bytes]) -> np.ndarray:
+    """Packed vectors of one length as rows in double precision."""
+    return np.stack([np.frombuffer(r, dtype="<f4" if r[:1] == b"4" else "<f8", offset=1).astype(np.float64) for r in raw])
+
+
+def _length(raw: bytes) -> int:
+    return (len(raw) - 1) // int(raw[:1])
+
+
 def near_embeddings(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row."""
     spark = prepare(vectors.sparkSession)
@@ -66,24 +82,26 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             out = [_usable(v) for v in batch.column(1).to_pylist()]
             labels = batch.column(2).to_pylist()
             ids = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if v is None or label is None or i is None else v.astype("<f8").tobytes() for v, label, i in zip(out, labels, ids, strict=True)], pa.binary()), batch.column(2)], names=["vec_id", "vector", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if v is None or label is None or i is None else _pack(v) for v, label, i in zip(out, labels, ids, strict=True)], pa.binary()), batch.column(2)], names=["vec_id", "vector", "label"])
 
     known = materialize(rows.mapInArrow(nodes, "vec_id long, vector binary, label string").select("vec_id", "label", "vector", F.xxhash64("vector", "label").alias("h1"), F.md5("vector").alias("h2")))
     usable = known.where("vector IS NOT NULL")
     node = materialize(usable.groupBy("h1", "h2", "label").agg(F.min("vec_id").alias("id"), F.count("*").alias("size"), F.first("vector").alias("vector")))
     bits, tables = plan(node.count(), threshold)
+    code_type = "<i4" if bits < 32 else "<i8"
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(1).to_pylist()
             keys = np.zeros((len(raw), tables), dtype=np.int64)
-            for length in {len(v) for v in raw}:
-                at = [i for i, v in enumerate(raw) if len(v) == length]
-                keys[at] = _codes(np.stack([np.frombuffer(raw[i], dtype="<f8") for i in at]), bits, tables) * 1_000_003 + length
+            lengths = [_length(v) for v in raw]
+            for length in set(lengths):
+                at = [i for i, n in enumerate(lengths) if n == length]
+                keys[at] = _codes(_unpack([raw[i] for i in at]), bits, tables)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))], names=["id", "codes"])
 
     coded = materialize(node.select("id", "vector").mapInArrow(keyed, "id long, codes array<long>").join(node, "id"))
-    member = coded.select("id", F.posexplode("codes").alias("t", "code"), "label").select("id", "t", F.xxhash64("t", "code", "label").alias("key"))
+    member = coded.select("id", F.posexplode("codes").alias("t", "code"), "label", F.octet_length("vector").alias("length"), F.substring("vector", 1, 1).alias("width")).select("id", "t", F.xxhash64("t", "code", "label", F.floor((F.col("length") - 1) / F.col("width").cast("string").cast("int"))).alias("key"))
     buckets = materialize(member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts")))
     met = member.join(buckets, "key").select("id", F.struct("key", "t", "parts").alias("b")).groupBy("id").agg(F.collect_list("b").alias("buckets"))
     full = coded.join(met, "id").select("id", "vector", "codes", "size", "buckets")
@@ -93,7 +111,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             table = [c.to_pylist() for c in batch.columns]
             out = []
             for i, v, codes, size, places in zip(*table, strict=True):
-                packed = np.asarray(codes, dtype="<i8").tobytes()
+                packed = np.asarray(codes, dtype=code_type).tobytes()
                 for b in places:
                     c = int(mix(np.asarray([i % 2**64], dtype=np.uint64))[0]) % b["parts"]
                     out.extend((b["key"], min(c, o), max(c, o), c, b["t"], i, size, v, packed) for o in range(b["parts"]))
@@ -112,13 +130,13 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             part, ids, size = (g.column(c).to_numpy() for c in ("part", "id", "size"))
             t, same = g.column("t")[0].as_py(), g.column("x")[0].as_py() == g.column("y")[0].as_py()
             raw = g.column("vector").to_pylist()
-            if len(ids) < 2 or len({len(r) for r in raw}) > 1:
+            if len(ids) < 2:
                 continue
-            v = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(ids), -1)
+            v = _unpack(raw)
             scale = np.abs(v).max(axis=1, keepdims=True)
             v = v / scale
             v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-            codes = np.frombuffer(b"".join(g.column("codes").to_pylist()), dtype="<i8").reshape(len(ids), -1)
+            codes = np.frombuffer(b"".join(g.column("codes").to_pylist()), dtype=code_type).reshape(len(ids), -1)
             a = np.arange(len(ids)) if same else np.flatnonzero(part == part.min())
             b = a if same else np.flatnonzero(part != part.min())
             i, j = np.nonzero(v[a] @ v[b].T >= threshold)
