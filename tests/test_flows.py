@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,12 +203,15 @@ def test_stream_equals_batch(spark, tmp_path):
     ddl = "flow_id string, arrival long, from_client boolean, seq long, flags int, payload binary, ts_us long"
     spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "in"))
     stream = pair_stream(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("pairs_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted((r["flow_id"], r["n"]) for r in spark.table("pairs_out").collect() if r["n"] is not None)
     machines, want = {}, []
     for f, _, side, seq, _, payload, ts in sorted(rows, key=lambda r: r[1]):
         want += [(f, p[0]) for p in machines.setdefault(f, FlowMachine()).feed(side, seq, payload, ts)]
+    q = stream.writeStream.format("memory").queryName("pairs_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    got, end = [], time.monotonic() + 90
+    while len(got) < len(want) and time.monotonic() < end:  # timers keep the query going
+        time.sleep(1)
+        got = sorted((r["flow_id"], r["n"]) for r in spark.table("pairs_out").collect() if r["n"] is not None)
+    q.stop()
     assert got == sorted(want) and got
 
 
