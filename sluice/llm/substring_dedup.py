@@ -19,6 +19,7 @@ a row with a null id stays as it is and removes nothing.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,15 +45,17 @@ def cells_for(n_bytes: int) -> int:
 
 
 def _pack_places(places: np.ndarray) -> bytes:
-    """Sorted places as zstandard-compressed deltas."""
+    """Sorted places as the byte planes of their deltas, compressed."""
     delta = np.diff(places, prepend=0)
-    wide = bool(delta.max(initial=0) > 65535)
-    return zstandard.ZstdCompressor(level=1).compress(bytes([wide]) + delta.astype("<u4" if wide else "<u2").tobytes())
+    width = 4 if delta.max(initial=0) > 65535 else 2
+    planes = np.ascontiguousarray(delta.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return zstandard.ZstdCompressor(level=1).compress(bytes([width]) + planes.tobytes())
 
 
 def _unpack_places(packed: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(packed)
-    return np.cumsum(np.frombuffer(raw, dtype="<u4" if raw[0] else "<u2", offset=1).astype(np.int64))
+    planes = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(raw[0], -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel().astype(np.int64))
 
 
 def _cells(h: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -223,9 +226,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = prepare(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cells = cells_for(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    bits = repeated_cells(plain, size, cells)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # so that Spark deletes the shuffle files of the partitions' sketches
     n = partitions(spark)
-    id_buckets = 8 * n
-    windows = repeated_windows(plain, size, repeated_cells(plain, size, cells), cells, id_buckets)
+    id_buckets = 3 * n
+    windows = repeated_windows(plain, size, bits, cells, id_buckets)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In each bucket of ids the windows come first, then the documents that they cover."""
