@@ -18,7 +18,7 @@ from ..session import ship
 
 #: Rows and bytes that one Arrow batch may carry to a Python worker, so that very long texts don't pile up.
 BATCH_ROWS = 512
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 _TABLES: list[str] = []
 
 

@@ -36,8 +36,9 @@ MAX_CELLS = 2**28
 SLICES = 64
 #: Bytes of text to a cell; a window has about 6.5.
 BYTES_PER_CELL = 2.5
-#: Windows that a task gathers before it sends them.
+#: Windows that a task gathers before it sends them: of all for the sketch, of those estimated repeated.
 FLUSH = 2_000_000
+FLUSH_REPEATED = 1_000_000
 
 
 def cells_for(n_bytes: int) -> int:
@@ -178,7 +179,7 @@ def repeated_windows(docs: DataFrame, size: int, bits: list[np.ndarray], cells:
             g, _ = words.windows(size, words.hashes(1), 1)
             gathered.append((h[whole], g[whole].astype(np.uint32), batch.column(0).to_numpy(zero_copy_only=False)[words.document()[whole]]))
             held += len(gathered[-1][0])
-            if held >= FLUSH:
+            if held >= FLUSH_REPEATED:
                 yield from send(gathered)
                 gathered, held = [], 0
         if held:
@@ -197,7 +198,7 @@ def repeated_windows(docs: DataFrame, size: int, bits: list[np.ndarray], cells:
             nonlocal gone, held
             gone.append((doc, h))
             held += len(doc)
-            if held >= FLUSH:
+            if held >= FLUSH_REPEATED:
                 yield from flush()
                 gone, held = [], 0
 

@@ -126,6 +126,7 @@ def test_substring_dedup(docs, empty, texts, monkeypatch):
         if cells:
             monkeypatch.setattr(substring_dedup, "cells_for", lambda n: 512)
             monkeypatch.setattr(substring_dedup, "FLUSH", flush)
+            monkeypatch.setattr(substring_dedup, "FLUSH_REPEATED", flush)
         rows = substring_dedup.remove_repeats(docs).collect()
         assert len(rows) == docs.count()
         for r in rows:
