@@ -1,9 +1,9 @@
 """Quality rules in SQL functions only: base counts, then line-first cleaning.
 
-Every line is judged alone: boilerplate phrases, navigation (separators or menu words), lack of closing
-punctuation in a short line, and a large share of symbols make it fail.  Failing lines are removed; a
-document that loses more than ``MAX_LOST`` of its word characters, or fails a base rule, is rejected.
-Lines without a word neither fail nor count.
+Every line is judged alone: boilerplate phrases and separators that are many for its words, menu words, lack
+of closing punctuation in a short line, and a large share of symbols make it fail.  A long line is not failed by
+a phrase or a few separators in it.  Failing lines are removed; a document that loses more than ``MAX_LOST``
+of its word characters, or fails a base rule, is rejected.  Lines without a word neither fail nor count.
 
 Defined cases: null text has no words and is rejected; ids may be null or repeat, each row is judged
 alone; other columns pass through.
@@ -21,6 +21,8 @@ MAX_REPEATED = 0.5
 MAX_LOST = 0.5
 SHORT_LINE_WORDS = 4
 MAX_LINE_SYMBOLS = 0.3
+#: Lines with as many words for each boilerplate phrase, or each separator, are prose.
+PHRASE_WORDS, SEPARATOR_WORDS = 20, 10
 WHITE = r"[\\x20\\x09-\\x0D]"
 # Characters that base counts take as symbols, and white space that separates words.
 SYMBOLS = "#*$%&|<>"
@@ -65,12 +67,18 @@ def _count(text: str, characters: str) -> str:
 
 def line_fails(line: str = "l") -> str:
     """SQL for whether the line ``line`` fails."""
-    boiler = " OR ".join(f"contains(lower({line}), {_quoted(p)})" for p in BOILERPLATE)
+    lower = f"lower({line})"
+    words = f"regexp_count({line}, '{WHITE.replace('[', '[^', 1)}+')"
+    # The words are counted only where a phrase or two separators are there.
+    phrases = " + ".join(f"(octet_length({lower}) - octet_length(replace({lower}, {_quoted(p)}, ''))) / {len(p)}" for p in BOILERPLATE)
+    boiler = f"(({' OR '.join(f'contains({lower}, {_quoted(p)})' for p in BOILERPLATE)}) AND {words} < {PHRASE_WORDS} * ({phrases}))"
+    separators = _count(line, SEPARATORS)
+    navigation = f"({separators} >= 2 AND {words} < {SEPARATOR_WORDS} * {separators})"
     menu = f"octet_length({line}) < {MENU_BYTES} AND lower({line}) rlike {_quoted(r'^\W*(?:' + '|'.join(MENU) + r')\W*$')}"
     white = "".join(f"\\u{ord(c):04x}" for c in SPACES)
-    short = f"(NOT contains({_quoted(CLOSING)}, right(trim(TRAILING '{white}' FROM {line}), 1)) AND regexp_count({line}, '{WHITE.replace('[', '[^', 1)}+') < {SHORT_LINE_WORDS})"
+    short = f"(NOT contains({_quoted(CLOSING)}, right(trim(TRAILING '{white}' FROM {line}), 1)) AND {words} < {SHORT_LINE_WORDS})"
     signs = f"{_count(line, LINE_SYMBOLS)} > {MAX_LINE_SYMBOLS} * length({line})"
-    return f"({boiler} OR {_count(line, SEPARATORS)} >= 2 OR ({menu}) OR {short} OR {signs})"
+    return f"({boiler} OR {navigation} OR ({menu}) OR {short} OR {signs})"
 
 
 def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -328,6 +328,19 @@ def test_quality_lines(spark):
     assert not got[3]["quality"]["kept"] and got[3]["quality"]["cleaned"] == ""
 
 
+def test_quality_long_lines(spark):
+    rng = random.Random(6)
+    start, end = prose(rng, 700), prose(rng, 700) + "."
+    whole = [f"{start} {mark} {end}" for mark in ("was powered by steam", "a • b • c", "a → b → c", "lorem ipsum | privacy policy | x")]
+    dense = [" ".join(f"{w} |" for w in start.split()), "Lorem ipsum " * 300 + ".", prose(rng, 8) + " powered by steam.", f"{prose(rng, 5)} • {prose(rng, 5)} • {prose(rng, 5)}."]
+    rows = [(k, t) for k, t in enumerate(whole)] + [(10 + k, f"{end}\n{t}\n{start}.") for k, t in enumerate(dense)]
+    got = {r["doc_id"]: r["quality"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in enumerate(whole):
+        assert got[k]["kept"] and got[k]["cleaned"] == t, t[:50]
+    for k, t in enumerate(dense):
+        assert got[10 + k]["cleaned"] == f"{end}\n{start}.", t[:50]
+
+
 def test_licenses(spark, docs, empty):
     texts = [
         None, "", "MIT License", "the mit license, MIT license; mit  licenses apache license", "GNU Lesser General Public License", "Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: BSD-3-Clause",
