@@ -4,7 +4,8 @@ Texts become words of a-z, 0-9 and characters beyond ASCII.  A keyword prefilter
 a license word on.  The rules, some hundreds made from a table of licenses and a few forms of notice,
 stand in tiers by priority.  Each tier is one ordered alternation, longer signatures first, matched
 leftmost; what a tier matches is masked before the next, so a detection inside a stronger or longer
-one (the general public license inside the lesser one) is suppressed.  Base phrases count always.
+one (the general public license inside the lesser one) is suppressed.  Base phrases count always.  An
+expression of identifiers joined by "or", "and" or "with" has the labels of all of them.
 
 Defined cases: null text is empty; a text without words has null places, empty labels and score 0;
 ids may be null or repeat, each row is scanned alone.
@@ -80,8 +81,10 @@ NAME_FORMS = (
     ("{}",),
 )
 ID_FORMS = ("spdx license identifier {}", "license identifier {}", "spdx {}", "licensed under {}")
-# A text without any of these is not looked at further.
-KEYWORDS = (" license ", " licence ", " licensed ", " licenses ", " public  domain ", " spdx ", " gpl ", " lgpl ", " unlicense ")
+# Exceptions as they stand after "with" in an expression of identifiers.
+EXCEPTION = "(?:(?!or |and |with )[a-z0-9]+ ){1,3}exception(?: [0-9] [0-9])?|linux syscall note"
+# A text without any of these is not looked at further; every rule needs one of them.
+KEYWORDS = (" license ", " licence ", " licensed ", " licenses ", " public  domain ", " spdx ", " gpl ", " lgpl ", " unlicense ", " cc0 ", " creative  commons  zero ", " w3c  software ")
 
 
 def rules() -> list[list[tuple[str, str]]]:
@@ -94,6 +97,22 @@ def rules() -> list[list[tuple[str, str]]]:
     return [sorted(t, key=lambda r: (-len(r[1]), r)) for t in tiers]
 
 
+def _any(patterns) -> str:
+    """One pattern for any of the patterns, longer ones first."""
+    return "(?:" + "|".join(sorted(patterns, key=lambda p: (-len(p), p))) + ")"
+
+
+#: What may follow an identifier: further ones and exceptions of the same expression.
+JOINED = f"(?: with (?:{EXCEPTION})| (?:or|and|with) {_any(i for _, ids in LICENSES.values() for i in ids)})*"
+
+
+def _labelled(tier: int, label: str, patterns: list[str]) -> str:
+    """A pattern of the tier's whole matches that have the label: for an expression of identifiers, anywhere in it."""
+    if tier:
+        return "^(?:" + "|".join(map(_spaced, patterns)) + ")$"
+    return _spaced(f"^(?:{'|'.join(patterns)}|.* (?:or|and|with) {_any(LICENSES[label][1])})(?: (?:or|and|with) .*)?$")
+
+
 def _spaced(words: str) -> str:
     """A word pattern over words that each have a space of their own on either side, so the one between two is doubled."""
     return words.replace(" ?", "\x00").replace(" ", "  ").replace("\x00", "(?:  )?")
@@ -129,15 +148,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     a = a.select("*", sum(counts[1:], counts[0]).cast("long").alias("n_base"), F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"), F.array_compact(F.array(*base)).alias("base"), F.col("g").alias("m0"))
     tiers = rules()
     for k, tier in enumerate(tiers):
-        pattern = "(?<= )(?:" + "|".join(_spaced(r) for _, r in tier) + ")(?= )"
+        pattern = "(?<= )(?:" + "|".join(_spaced(r) for _, r in tier) + ")" + ("" if k else _spaced(JOINED)) + "(?= )"
         a = a.select("*", F.array_distinct(F.regexp_extract_all(f"m{k}", F.lit(pattern), F.lit(0))).alias(f"d{k}"))
         a = a.select("*", F.when(F.size(f"d{k}") > 0, F.regexp_replace(f"m{k}", pattern, "|")).otherwise(F.col(f"m{k}")).alias(f"m{k + 1}"))
     found = []
     for k, tier in enumerate(tiers):
         by_label: dict[str, list[str]] = {}
         for label, r in tier:
-            by_label.setdefault(label, []).append(_spaced(r))
-        table = F.array(*(F.struct(F.lit(label).alias("label"), F.lit("^(?:" + "|".join(p) + ")$").alias("p")) for label, p in by_label.items()))
+            by_label.setdefault(label, []).append(r)
+        table = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(_labelled(k, label, p)).alias("p")) for label, p in by_label.items()))
         found.append(F.when(F.size(f"d{k}") > 0, F.transform(F.filter(table, _matching(f"d{k}")), lambda r: r["label"])).otherwise(F.array().cast("array<string>")))
     a = a.select("*", *(f.alias(f"l{k}") for k, f in enumerate(found)))
     score = F.coalesce(*(F.when(F.size(f"l{k}") > 0, 1 - k / len(tiers)) for k in range(len(tiers))), F.when(F.size("base") > 0, 1 / len(tiers)), F.lit(0.0))

@@ -359,6 +359,51 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+def spellings(node):
+    """All texts of a parsed pattern, with one digit for digits and one to two repetitions."""
+    texts = [""]
+    for op, arg in node:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [chr(x if str(kind) == "LITERAL" else x[0]) for kind, x in arg]
+        elif op == "BRANCH":
+            more = [t for branch in arg[1] for t in spellings(branch)]
+        elif op == "SUBPATTERN":
+            more = spellings(arg[3])
+        else:
+            assert op == "MAX_REPEAT", op
+            more = [t * n for n in range(arg[0], min(arg[1], max(arg[0], 1)) + 1) for t in spellings(arg[2])]
+        texts = list(dict.fromkeys(a + b for a in texts for b in more))
+    return texts
+
+
+def test_license_keywords_lose_no_rule():
+    keywords = [k.replace("  ", " ") for k in licenses.KEYWORDS]
+    names = [t for own, _ in licenses.LICENSES.values() for n in own for t in spellings(re._parser.parse(n))]
+    forms = [f.format(i) for f in licenses.ID_FORMS for _, ids in licenses.LICENSES.values() for n in ids for i in spellings(re._parser.parse(n))]
+    assert len(names) > 100 and [t for t in names + forms if not any(k in f" {t} " for k in keywords)] == []
+
+
+def test_license_expressions(spark):
+    cases = {
+        "Released under CC0 1.0 Universal": "cc0",
+        "released under Creative Commons Zero": "cc0",
+        "this is a W3C Software Notice": "w3c",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "apache,mit",
+        "licensed under MIT or Apache-2.0.": "apache,mit",
+        "// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND (BSD-3-Clause OR MIT)": "bsd,gpl,mit",
+        "SPDX-License-Identifier: GPL-2.0-only WITH OpenSSL-exception": "gpl",
+        "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note OR ISC": "gpl,isc",
+        "SPDX-License-Identifier: LGPL-2.1-or-later\nor later json": "lgpl",
+        "licensed under MIT and orange trees or mitigation": "mit",
+        "SPDX-License-Identifier: CC-BY-SA-4.0 AND CC-BY-4.0": "cc-by,cc-by-sa",
+    }
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    assert {list(cases)[r["doc_id"]]: r["labels"] for r in rows} == cases and all(r["score"] > 0 for r in rows)
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = []
