@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,13 +35,14 @@ _DIGIT = re.compile("[0-9]")
 _DIGITS = re.compile("[^0-9]")
 _CANDIDATE = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
 _TRIM = "\"'()[]{}<>.,;:!?"
-#: Characters looked at for the words before an entity.
+_WORD = re.compile(r"[^\W\d_]+")
+#: Characters looked at first for the words before an entity.
 CONTEXT = 64
 ROUNDS = 3
 MIN_CONFIDENCE = 0.5
 MIN_SEEDS = 3
-#: Shape of an identifier: this many characters, digits among them.
-MIN_ID, MAX_ID = 5, 64
+#: Shape of an identifier: at least this many characters, digits among them.
+MIN_ID = 5
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -74,10 +75,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _pattern(text: str, start: int) -> str | None:
-    """The two words before a place, lower-cased; none if there is no word."""
-    words = re.findall(r"[^\W\d_]+", text[max(0, start - CONTEXT) : start].lower())
-    return " ".join(words[-2:]) if words else None
+def _patterns(text: str, places: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """The hash of the two words before each of the ascending places, lower-cased, and the place; places without a word before them are left out."""
+    words, last, known = _WORD.finditer(text), [], None
+    ahead = next(words, None)
+    for a, b in places:
+        low = max(0, a - CONTEXT)
+        near = _WORD.findall(text[low:a].lower())
+        if low and len(near) < 3:  # the words may begin before; the walk over the text goes on from the place before
+            while ahead and ahead.start() < a:
+                last, known = [*last[-1:], ahead], None
+                ahead = next(words, None)
+            if known is None and last:
+                known = _hash(" ".join(_WORD.findall(" ".join(text[m.start() : min(m.end(), a)] for m in last).lower())[-2:]))
+            if last:
+                yield known, a, b
+            if last and last[-1].end() > a:
+                known = None  # a word that goes on after the place
+        elif near:
+            yield _hash(" ".join(near[-2:])), a, b
 
 
 def _candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
@@ -90,7 +106,7 @@ def _candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[
         b = a + len(token.rstrip(_TRIM))
         while k < len(ends) and ends[k][1] <= a:
             k += 1
-        if MIN_ID <= b - a <= MAX_ID and not (k < len(ends) and ends[k][0] < b):
+        if b - a >= MIN_ID and not (k < len(ends) and ends[k][0] < b):
             yield a, b
 
 
@@ -111,9 +127,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             found = []
             for seed, places in ((True, ((a, b) for a, _, b in spans)), (False, _candidates(text, spans) if _DIGIT.search(text) else ())):
-                for a, b in places:
-                    if pattern := _pattern(text, a):
-                        found.append({"pattern": _hash(pattern), "instance": _hash(text[a:b]), "seed": seed, "start": a, "end": b})
+                for pattern, a, b in _patterns(text, places):
+                    found.append({"pattern": pattern, "instance": _hash(text[a:b]), "seed": seed, "start": a, "end": b})
             bases.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
             founds.append(found)
             hashes.append(_hash(text) if spans or found else 0)

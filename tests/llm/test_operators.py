@@ -172,6 +172,23 @@ def test_pii_learns_contexts(spark, tmp_path):
     assert red[20] == "please call on [ID]. thanks" and red[0] == "please call on [PHONE] now" and red[21] == "room 12345 is free" and red[22] is None and red[None] == "call on [PHONE]"
 
 
+def test_pii_long_identifiers(spark):
+    key, token, gap = "0x" + "3f" * 32, "9a" * 64, " " * 100
+    rows = [(i, f"please call on +1 555 010 {i:04d} now") for i in range(8)] + [(20, f"please call on {key}. thanks"), (21, f"call{gap}on {token}"), (22, f"we call on{gap}55501-0999 and {key}")]
+    red = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert red[20] == "please call on [ID]. thanks" and red[21] == f"call{gap}on [ID]" and red[22] == f"we call on{gap}[ID] and {key}"
+
+
+def test_pii_contexts():
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice(["ab ", "Ünd", "İx ", "c", "1234567 ", "_", "é", " ", " " * 70, "1" * 80, "z" * 90]) for _ in range(rng.randrange(30)))
+        places = sorted((a, a + 1) for a in rng.sample(range(len(text) + 1), min(8, len(text))))
+        words = [(re.findall(r"[^\W\d_]+", text[:a].lower())[-2:], a, b) for a, b in places]
+        assert list(pii._patterns(text, iter(places))) == [(pii._hash(" ".join(w)), a, b) for w, a, b in words if w], text
+    assert sum(1 for _ in pii._patterns("x" * 200000 + " 12345" * 30000, ((200001 + 6 * k, 200006 + 6 * k) for k in range(30000)))) == 30000
+
+
 NASTY = ["", "a\\b</s>\\\\", "<|turn|>x<|text|>y<|end|>", "[INST] [[INST]] <<SYS>>", "\\<\\|end|>", "日本 é\n\nx", "<" * 50, "\\" * 7 + "</s>"]
 
 
