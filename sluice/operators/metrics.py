@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def counters(rows: DataFrame, key: str) -> DataFrame:
@@ -24,10 +28,31 @@ def nearest_rank(rows: DataFrame, key: str, value: str, shares: tuple[float, ...
 def ema(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.85) -> DataFrame:
     """Exponential moving average of each key's values in order: the first seeds it, and a mean of exactly 0 is seeded anew.
 
-    A key's values are folded in one array; for keys of unbounded length use the streaming operators.
+    A key's values are sorted and folded in one task, batch by batch, so that a key of any length needs no array of its values.
     """
-    fold = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda x: x["v"]), F.lit(0.0), lambda s, x: F.when(s == 0, x).otherwise(alpha * s + (1 - alpha) * x))
-    return rows.groupBy(F.col(key).alias("metric")).agg(fold.alias("ema"))
+    values = rows.select(F.col(key).alias("metric"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
+    ordered = values.repartition("metric").sortWithinPartitions("metric", "o", "v").select("metric", "v")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, now, mean, some = None, None, 0.0, False
+        for batch in batches:
+            kind, done = batch.schema.field(0).type, []
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not (some and (k == now or (k != k and now != now))):
+                    if some:
+                        done.append((now, mean))
+                    now, mean, some = k, 0.0, True
+                if mean is not None:  # null stays null
+                    mean = x if mean == 0 else None if x is None else alpha * mean + (1 - alpha) * x
+            yield _means(done, kind)
+        if some:
+            yield _means([(now, mean)], kind)
+
+    return ordered.mapInArrow(fold, StructType([StructField("metric", ordered.schema["metric"].dataType), StructField("ema", DoubleType())]))
+
+
+def _means(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], kind), pa.array([m for _, m in done], pa.float64())], names=["metric", "ema"])
 
 
 def high_water(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -274,3 +274,16 @@ def test_session_extractor_and_terminal_events(spark):
     (e,) = events.collect()
     assert e["operator_id"] == "BOB" and e["attributes"]["screen.id"] == "A" and e["attributes"]["input.id"] == "BOB" and e["attributes"]["tn3270.aid"] == "ENTER"
     assert "operator=BOB" in screens.log_line(events).first()["line"]
+
+
+def test_ema_folds_without_an_array(spark):
+    from sluice.operators import metrics
+
+    rows = [("hot", k, float(k * 7919 % 101)) for k in range(25000)] + [("zero", 1, 0.0), ("zero", 2, 4.0), ("zero", 3, 8.0), ("null", 1, 1.0), ("null", 2, None), ("null", 3, 2.0), (None, 1, 5.0)]
+    got = metrics.ema(spark.createDataFrame(rows, "k string, o long, v double"), "k", "o", "v")
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    hot = 0.0
+    for _, _, v in rows[:25000]:
+        hot = v if hot == 0 else 0.85 * hot + (1 - 0.85) * v
+    assert {r["metric"]: r["ema"] for r in got.collect()} == {"hot": hot, "zero": 0.85 * 4.0 + (1 - 0.85) * 8.0, "null": None, None: 5.0}
+    assert metrics.ema(spark.createDataFrame([], "k string, o long, v double"), "k", "o", "v").count() == 0
