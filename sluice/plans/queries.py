@@ -390,10 +390,18 @@ def kafka_json_roundtrip(spark, sf_dir):
 
 @query("SELECT event_id % 4 AS k, count(*) AS n FROM events GROUP BY 1")
 def pair_json_lines(spark, sf_dir):
+    """Events whose pair JSON, parsed again, has every field of the pair."""
     end = F.struct(F.lit("10.0.0.1").alias("ip"), F.lit(80).alias("port"))
-    j = feeds.pair_json(_event_pairs(spark, sf_dir).select("*", end.alias("client"), end.alias("server")), "HTTP")
-    back = j.select((F.substring_index(F.get_json_object("value", "$.txId"), ":", -1).cast("long") % 4).alias("k"))
-    return back.groupBy("k").agg(F.count("*").alias("n"))
+    pairs = _event_pairs(spark, sf_dir).select("*", end.alias("client"), end.alias("server"))
+    side = "struct<timestamp: long, direction: string, length: int, bodyB64: string>"
+    form = f"protocol string, txId string, startTs long, endTs long, client struct<ip: string, port: int>, server struct<ip: string, port: int>, request {side}, response {side}"
+    back = feeds.pair_json(pairs, "HTTP").select("key", F.from_json("value", form).alias("p")).join(pairs, F.col("key") == F.col("tx_id"))
+    whole = (F.col("p.protocol") == "HTTP") & (F.col("p.txId") == F.col("tx_id")) & (F.col("p.client") == F.col("client")) & (F.col("p.server") == F.col("server"))
+    whole &= (F.col("p.startTs") == F.least("request.ts_us", "response.ts_us")) & (F.col("p.endTs") == F.greatest("request.ts_us", "response.ts_us"))
+    for name, direction in (("request", "CLIENT"), ("response", "SERVER")):
+        got, own = F.col(f"p.{name}"), F.col(name)
+        whole &= (got["timestamp"] == own["ts_us"]) & (got["direction"] == direction) & (got["length"] == F.octet_length(own["data"])) & (F.unbase64(got["bodyB64"]) == own["data"])
+    return back.where(whole).groupBy((F.substring_index("tx_id", ":", -1).cast("long") % 4).alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH m AS (SELECT CAST(conv_id AS VARCHAR) AS f, turn, strlen(text) AS size, least(strlen(text), 10) AS head FROM conversations WHERE role IN ('user', 'assistant'))

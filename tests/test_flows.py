@@ -287,3 +287,47 @@ def test_ema_folds_without_an_array(spark):
         hot = v if hot == 0 else 0.85 * hot + (1 - 0.85) * v
     assert {r["metric"]: r["ema"] for r in got.collect()} == {"hot": hot, "zero": 0.85 * 4.0 + (1 - 0.85) * 8.0, "null": None, None: 5.0}
     assert metrics.ema(spark.createDataFrame([], "k string, o long, v double"), "k", "o", "v").count() == 0
+
+
+def test_pair_json_query_sees_wrong_fields(spark, tiny, monkeypatch):
+    from sluice.plans import queries
+    from sluice.sources import feeds
+
+    whole, n = feeds.pair_json, spark.read.parquet(f"{tiny}/events.parquet").count()
+
+    def counted():
+        return sum(r["n"] for r in queries.pair_json_lines(spark, tiny).collect())
+
+    assert counted() == n
+    for old, new in (('"ip":"10', '"ip":"11'), ('"direction":"SERVER"', '"direction":"CLIENT"'), ('"bodyB64":"S', '"bodyB64":"T'), ('"startTs":', '"startTs":1')):
+        monkeypatch.setattr(feeds, "pair_json", lambda *a, old=old, new=new: whole(*a).withColumn("value", F.replace("value", F.lit(old), F.lit(new))))
+        assert counted() == 0, old
+
+
+def plain_murmur(data):
+    rot = lambda x, r: ((x << r) | (x >> (64 - r))) % 2**64
+    first = lambda k: rot(k * 0x87C37B91114253D5 % 2**64, 31) * 0x4CF5AD432745937F % 2**64
+    second = lambda k: rot(k * 0x4CF5AD432745937F % 2**64, 33) * 0x87C37B91114253D5 % 2**64
+    a = b = 0
+    for at in range(0, len(data) // 16 * 16, 16):
+        j, k = struct.unpack_from("<QQ", data, at)
+        a = ((rot(a ^ first(j), 27) + b) * 5 + 0x52DCE729) % 2**64
+        b = ((rot(b ^ second(k), 31) + a) * 5 + 0x38495AB5) % 2**64
+    j, k = struct.unpack("<QQ", data[len(data) // 16 * 16 :].ljust(16, b"\0"))
+    a, b = a ^ first(j) ^ len(data), b ^ second(k) ^ len(data)
+    a = (a + b) % 2**64
+    both = [a, (a + b) % 2**64]
+    for i, h in enumerate(both):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * factor % 2**64
+        both[i] = h ^ h >> 33
+    a = sum(both) % 2**64
+    return struct.pack("<QQ", a, (a + both[1]) % 2**64).hex()
+
+
+def test_murmur_of_each_event(spark, tiny):
+    from sluice.functions import binary
+
+    events = spark.read.parquet(f"{tiny}/events.parquet").select("props", binary.murmur128(F.col("props").cast("binary")).alias("h")).collect()
+    assert events and all(r["h"] == plain_murmur(r["props"].encode()) for r in events)
+    assert all(binary.murmur128_hex(bytes(range(n))) == plain_murmur(bytes(range(n))) for n in range(70))
