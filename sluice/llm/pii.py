@@ -1,21 +1,25 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapping their contexts.
 
-Base kinds are found by fixed patterns in linear time.  Bootstrapping: base entities are seeds; the two
-words before a seed are a lexical pattern.  Tokens that hold a digit and are no base entity are candidate
-identifiers.  Spark scores the graph of patterns and instances in rounds: a pattern's confidence is the mean
-confidence of its instances (seeds 1), smoothed towards 0; an instance's is the largest of its patterns.
-Patterns of high confidence that several different seeds support discover the identifiers that follow
-them, which become spans of kind ``id``.
-
-Defined cases: null text is empty; a row's result depends on its id and text only, so repeated rows repeat
-it; null ids are kept; no documents give no rows.
+Base kinds are found by fixed patterns in linear time.  Bootstrapping: seeds are the base entities and tokens of
+a well-known shape of secret.  The places of seeds induce lexical patterns of five forms (``contexts``): what
+stands before and after, one or two words, with the punctuation between, and the shape of the token.  Every
+other token with a digit is a candidate; one that is too short for an identifier is evidence against a pattern.
+
+Spark scores the graph of patterns and instances in rounds.  A pattern's confidence is the mean score of its
+distinct instances, smoothed towards 0; it is accepted with ``MIN_CONFIDENCE`` and ``MIN_SUPPORT`` different
+instances that score.  A seed scores 1, a candidate the confidence of its best accepted pattern, so what one
+round discovers supports the patterns of the next.  Candidates in accepted patterns become spans of kind ``id``.
+
+Defined cases: null text is empty; a row's result depends on its text and the corpus, so repeated rows repeat
+it; null ids are kept; no documents give no rows; ``redact`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,15 +37,23 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _DIGITS = re.compile("[^0-9]")
-_CANDIDATE = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
-_TRIM = "\"'()[]{}<>.,;:!?"
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_./+~%-])[A-Za-z_./+~%-]*+[0-9][A-Za-z0-9_./+~%-]*+")
+_TRIM = "._/+~%-"
 _WORD = re.compile(r"[^\W\d_]+")
-#: Characters looked at first for the words before an entity.
-CONTEXT = 64
-ROUNDS = 3
+_AFTER = re.compile(r"([^\w\s]*+)\s*+([^\W\d_]*+)")
+# Shapes of secrets that are seeds: digests and keys in hexadecimal, UUIDs, cloud and service keys, signed web tokens.
+_SECRET = re.compile(
+    r"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*[0-9])(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})"
+    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*"
+)
+# Words before hexadecimal digests that are no secrets; a seed's shape counts for nothing after them.
+_HARMLESS = frozenset("commit commits checksum digest etag hash md rev revision sha".split())
+#: Characters looked at first for the words before a place; the whole text is where they don't suffice.
+NEAR = 64
+ROUNDS = 5
 MIN_CONFIDENCE = 0.5
-MIN_SEEDS = 3
-#: Shape of an identifier: at least this many characters, digits among them.
+MIN_SUPPORT = 3
+#: Shorter tokens are no identifiers.
 MIN_ID = 5
 
 
@@ -75,38 +87,70 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _patterns(text: str, places: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
-    """The hash of the two words before each of the ascending places, lower-cased, and the place; places without a word before them are left out."""
-    words, last, known = _WORD.finditer(text), [], None
-    ahead = next(words, None)
+def _shape(token: str) -> str:
+    """The token's character classes: digits and hexadecimal digits by their number, else runs of digits, upper and lower case."""
+    if token.isdigit():
+        return f"d{len(token)}"
+    if len(token) > 7 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", token):
+        return f"x{len(token)}"
+    return re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]+", "9", token)))
+
+
+def contexts(text: str, places: list[tuple[int, int]]) -> Iterator[tuple[str, list[str]]]:
+    """The nearest word before each of the places (ascending by start) and the patterns of the place.
+
+    Words are lower-cased runs of letters, a gap is what lies between the nearest word and the place without white
+    space, places in it as ``0``.  Patterns: the word and a gap; two words and the gap; gap and shape of the token;
+    gap and what follows; the word, the gap and what follows.  Those that need a gap, a word or a follower and have none are left out.
+    """
+    starts = None
+    ends, last, earlier = [], 0, 0  # ends of places that are still open; the largest closed ones
     for a, b in places:
-        low = max(0, a - CONTEXT)
-        near = _WORD.findall(text[low:a].lower())
-        if low and len(near) < 3:  # the words may begin before; the walk over the text goes on from the place before
-            while ahead and ahead.start() < a:
-                last, known = [*last[-1:], ahead], None
-                ahead = next(words, None)
-            if known is None and last:
-                known = _hash(" ".join(_WORD.findall(" ".join(text[m.start() : min(m.end(), a)] for m in last).lower())[-2:]))
-            if last:
-                yield known, a, b
-            if last and last[-1].end() > a:
-                known = None  # a word that goes on after the place
-        elif near:
-            yield _hash(" ".join(near[-2:])), a, b
-
-
-def _candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+        while ends and ends[0] <= a:
+            last = max(last, ends.pop(0))
+        low = max(0, a - NEAR)
+        near = list(_WORD.finditer(text, low, a))
+        if len(near) < 3 and low:
+            if starts is None:
+                whole = [m.span() for m in _WORD.finditer(text)]
+                starts = [x for x, _ in whole]
+            k = bisect_left(starts, a)
+            spans = [(x, min(y, a)) for x, y in whole[max(0, k - 2) : k]]
+        else:
+            spans = [m.span() for m in near[-2:]]
+        words = [text[x:y].lower() for x, y in spans]
+        word = words[-1] if words else ""
+        end = spans[-1][1] if spans else 0
+        gap = "".join(("0" if last > end else "", *text[max(last, end) : a].split()))
+        m = _AFTER.match(text, b)
+        mark, follower = m[1], m[2].lower()
+        out = []
+        if gap and word:
+            out.append(f"1 {word} {gap}")
+        if len(words) > 1:
+            out.append(f"2 {words[0]} {word} {gap}")
+        if gap:
+            out.append(f"3 {gap} {_shape(text[a:b])} {mark}")
+            if follower:
+                out.append(f"4 {gap} {mark} {follower}")
+        if word and follower:
+            out.append(f"5 {word} {gap} {mark} {follower}")
+        yield word, out
+        ends.append(b)
+        ends.sort()
+
+
+def tokens(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """Tokens with a digit that touch no base entity."""
     k = 0
-    ends = sorted((a, b) for a, _, b in spans)
-    for m in _CANDIDATE.finditer(text):
+    taken = sorted((a, b) for a, _, b in spans)
+    for m in _TOKEN.finditer(text):
         token = m[0].lstrip(_TRIM)
         a = m.end() - len(token)
         b = a + len(token.rstrip(_TRIM))
-        while k < len(ends) and ends[k][1] <= a:
+        while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if b - a >= MIN_ID and not (k < len(ends) and ends[k][0] < b):
+        if not (k < len(taken) and taken[k][0] < b):
             yield a, b
 
 
@@ -114,76 +158,93 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-SCAN = "doc_id long, text_hash long, base array<struct<start: int, kind: int, end: int>>, found array<struct<pattern: long, instance: long, seed: boolean, start: int, end: int>>"
+SCAN = "doc_id long, text_hash long, base array<struct<start: int, kind: int, end: int>>, found array<struct<start: int, end: int, instance: long, seed: boolean, able: boolean, patterns: array<long>>>"
 _BASE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_FOUND_TYPE = pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]))
+_FOUND_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("able", pa.bool_()), ("patterns", pa.list_(pa.int64()))]))
+
+
+def evidence(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bool, bool, list[str]]]:
+    """``start, end, seed, able, patterns`` of the base entities (never able) and the other tokens with a digit (able to be identifiers)."""
+    if not _DIGIT.search(text):
+        places = [(a, b, True) for a, _, b in spans]
+    else:
+        places = sorted([(a, b, True) for a, _, b in spans] + [(a, b, False) for a, b in tokens(text, spans)])
+    for (a, b, base), (word, patterns) in zip(places, contexts(text, [p[:2] for p in places]), strict=True):
+        token = text[a:b]
+        seed = base or (word not in _HARMLESS and _SECRET.fullmatch(token) is not None)
+        yield a, b, seed, not base and len(token) >= MIN_ID, patterns
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bases, founds, hashes = [], [], []
-        for text in batch.column(1).to_pylist():
+        bases, founds = [], []
+        for text in batch.column(2).to_pylist():
             text = text or ""
             spans = base_spans(text)
-            found = []
-            for seed, places in ((True, ((a, b) for a, _, b in spans)), (False, _candidates(text, spans) if _DIGIT.search(text) else ())):
-                for pattern, a, b in _patterns(text, places):
-                    found.append({"pattern": pattern, "instance": _hash(text[a:b]), "seed": seed, "start": a, "end": b})
             bases.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-            founds.append(found)
-            hashes.append(_hash(text) if spans or found else 0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(bases, _BASE_TYPE), pa.array(founds, _FOUND_TYPE)], names=["doc_id", "text_hash", "base", "found"])
+            founds.append([{"start": a, "end": b, "instance": _hash(text[a:b]), "seed": seed, "able": able, "patterns": list(map(_hash, patterns))} for a, b, seed, able, patterns in evidence(text, spans)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, _BASE_TYPE), pa.array(founds, _FOUND_TYPE)], names=["doc_id", "text_hash", "base", "found"])
 
 
 def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern, confidence`` of the patterns that pass, from ``pattern, instance, seed``."""
-    graph = materialize(found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    patterns = None
+    """``pattern, confidence`` of the accepted patterns, from ``pattern, instance, seed, able``.
+
+    Ends before ``rounds`` once a round accepts what the one before has accepted.  Patterns with too few instances
+    that could ever score are left out of the graph at once; they can't be accepted.
+    """
+    pairs = found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("able").alias("able"))
+    pairs = materialize(pairs)
+    enough = pairs.groupBy("pattern").agg(F.count_if(F.col("seed") | F.col("able")).alias("n")).where(F.col("n") >= MIN_SUPPORT).select("pattern")
+    graph = materialize(pairs.join(enough, "pattern"))
+    scored = graph.select("pattern", F.col("seed").cast("double").alias("score"))
+    before = accepted = None
     for turn in range(rounds):
         if turn:
-            reached = materialize(graph.join(patterns, "pattern").groupBy("instance").agg(F.max("confidence").alias("known")))
-            scored = graph.join(reached, "instance", "left").select("pattern", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("known", F.lit(0.0))).alias("score"))
-        else:
-            scored = graph.select("pattern", "seed", F.col("seed").cast("double").alias("score"))
-        patterns = materialize(scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.count_if("seed").alias("seeds")))
-    return patterns.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)).select("pattern", "confidence")
+            reached = materialize(graph.where("able AND NOT seed").join(accepted, "pattern").groupBy("instance").agg(F.max("confidence").alias("known")))
+            scored = graph.join(reached, "instance", "left").select("pattern", F.when(F.col("seed"), 1.0).when(F.col("able"), F.coalesce("known", F.lit(0.0))).otherwise(0.0).alias("score"))
+        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("score") > 0).alias("support"))
+        accepted = materialize(patterns.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT)).select("pattern", "confidence"))
+        mark = accepted.agg(F.count("*"), F.bit_xor("pattern")).first()
+        if mark == before or not mark[0]:
+            break
+        before = mark
+    return accepted
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, base, learned``: a row for each row; spans in code points, end exclusive."""
     prepare(docs.sparkSession)
-    scanned = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(_scan, SCAN))
-    found = scanned.select("doc_id", "text_hash", F.explode("found").alias("f")).select("doc_id", "text_hash", "f.*")
-    good = confident_patterns(found.select("pattern", "instance", "seed"))
-    learned = found.where("NOT seed").join(good, "pattern").groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("learned"))
-    some = scanned.where("size(found) > 0").select("doc_id", "text_hash", "base").join(learned, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash")), "left").drop("l_id", "l_hash")
-    return some.union(scanned.where("size(found) = 0").select("doc_id", "text_hash", "base", F.lit(None).cast("array<struct<start: int, end: int>>")))
+    text = F.col(text_col).cast("string")
+    scanned = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text).mapInArrow(_scan, SCAN))
+    found = scanned.select("doc_id", "text_hash", F.explode("found").alias("f")).select("doc_id", "text_hash", "f.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
+    good = confident_patterns(found.select("pattern", "instance", "seed", "able"))
+    learned = found.where("able").join(good, "pattern").groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("learned"))
+    hopeful = F.exists("found", lambda f: f["able"])
+    some = scanned.where(hopeful).select("doc_id", "text_hash", "base").join(learned, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash")), "left").drop("l_id", "l_hash")
+    return some.union(scanned.where(~hopeful).select("doc_id", "text_hash", "base", F.lit(None).cast("array<struct<start: int, end: int>>")))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` with each span of the text replaced by its kind in brackets, overlapping spans by the first's."""
     prepare(docs.sparkSession)
-    spans = find_pii(docs, id_col, text_col).where("size(base) > 0 OR size(learned) > 0").dropDuplicates(["doc_id", "text_hash"]).groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list(F.struct("text_hash", "base", "learned")).alias("spans"))
+    spans = find_pii(docs, id_col, text_col).where("size(base) > 0 OR size(learned) > 0").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash"), F.struct("base", "learned").alias("spans"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     rest = [n for c, n in zip(docs.columns, names, strict=True) if c != text_col]
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True) if c != text_col))
-    joined = held.join(spans.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("span_id")), "left").select("text", "spans", *rest)
+    joined = held.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.xxhash64("text") == F.col("span_hash")), "left").select("text", "spans", *rest)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text and found:
-                    own = _hash(text)
-                    for f in (f for f in found if f["text_hash"] == own):
-                        places = sorted([(s["start"], s["kind"], s["end"]) for s in f["base"]] + [(s["start"], len(KINDS), s["end"]) for s in f["learned"] or ()])
-                        parts, last = [], 0
-                        for a, k, b in places:
-                            if a >= last:
-                                parts += [text[last:a], f"[{(*KINDS, LEARNED)[k].upper()}]"]
-                            last = max(last, b)
-                        text = "".join(parts) + text[last:]
-                        break
+                    places = sorted([(s["start"], s["kind"], s["end"]) for s in found["base"]] + [(s["start"], len(KINDS), s["end"]) for s in found["learned"] or ()])
+                    parts, last = [], 0
+                    for a, k, b in places:
+                        if a >= last:
+                            parts += [text[last:a], f"[{(*KINDS, LEARNED)[k].upper()}]"]
+                        last = max(last, b)
+                    text = "".join(parts) + text[last:]
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
 

@@ -38,7 +38,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     spans = F.array_join(F.transform(F.sort_array(every), lambda b: spelled(F.element_at(F.array(*map(F.lit, (*pii.KINDS, pii.LEARNED))), b["kind"] + 1), b)), ",")
     counts = [F.expr(f"size(filter(base, b -> b.kind = {k}))").cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("learned"), F.lit(0)).cast("long").alias("n_id"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("learned"), F.lit(0)).cast("long").alias("n_id"), F.size(every).cast("long").alias("n_spans"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
