@@ -21,15 +21,16 @@ def hex_preview(data: Column, limit: int = 16) -> Column:
 
 
 def hex_dump(data: Column, width: int = 16) -> Column:
-    """Lines of ``width`` bytes: offset, hex, printable characters."""
+    """A line for each ``width`` bytes, each ended by a line feed: offset, bytes in hex, printable characters between bars."""
     count = F.greatest(F.lit(0), ((F.octet_length(data) - 1) / width).cast("int"))
 
     def line(k: Column) -> Column:
         part = F.substring(data, k * width + 1, F.lit(width))
-        spaced = F.rpad(F.trim(F.regexp_replace(F.lower(F.hex(part)), "(..)", "$1 ")), 3 * width - 1, " ")
-        return F.concat_ws("  ", F.lower(F.lpad(F.hex(k * width), 8, "0")), spaced, F.regexp_replace(F.decode(part, "ISO-8859-1"), r"[^\x20-\x7e]", "."))
+        offset = F.lower(F.hex(k * width))
+        spaced = F.rpad(F.regexp_replace(F.lower(F.hex(part)), "(..)", "$1 "), 3 * width, " ")
+        return F.concat(F.lpad(offset, F.greatest(F.length(offset), F.lit(4)), F.lit("0")), F.lit(": "), spaced, F.lit(" |"), F.regexp_replace(F.decode(part, "ISO-8859-1"), r"[^\x20-\x7e]", "."), F.lit("|\n"))
 
-    return F.when(F.octet_length(data) > 0, F.array_join(F.transform(F.sequence(F.lit(0), count), line), "\n")).otherwise("")
+    return F.when(F.octet_length(data) > 0, F.array_join(F.transform(F.sequence(F.lit(0), count), line), "")).otherwise("")
 
 
 def printable_ratio(data: Column) -> Column:
@@ -43,7 +44,8 @@ def likely_text(data: Column) -> Column:
 
 
 def safe_name(name: Column) -> Column:
-    return F.regexp_replace(name, "[^A-Za-z0-9._-]", "_")
+    """The name with every other character as an underscore; ``unknown`` for none or a blank one."""
+    return F.when(F.coalesce(F.trim(F.regexp_replace(name, r"\s", " ")), F.lit("")) == "", "unknown").otherwise(F.regexp_replace(name, "[^A-Za-z0-9._-]", "_"))
 
 
 def plain_base64(data: Column) -> Column:
@@ -51,16 +53,11 @@ def plain_base64(data: Column) -> Column:
     return F.regexp_replace(F.base64(data), r"[\r\n]", "")
 
 
-def u16(data: Column, at: int) -> Column:
-    return F.conv(F.hex(F.substring(data, at + 1, 2)), 16, 10).cast("int")
-
-
-def u32(data: Column, at: int) -> Column:
-    return F.conv(F.hex(F.substring(data, at + 1, 4)), 16, 10).cast("long")
-
-
-def rtrim_white(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+\z", "")
+def clamp_utf8(text: Column, most: int) -> Column:
+    """The text cut to ``most`` bytes of UTF-8 at the end of a whole character."""
+    raw = F.substring(F.encode(text, "UTF-8"), 1, most)
+    cut = F.regexp_replace(F.decode(raw, "ISO-8859-1"), r"(?:[\xC2-\xDF]|[\xE0-\xEF][\x80-\xBF]?|[\xF0-\xF4][\x80-\xBF]{0,2})\z", "")
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.encode(cut, "ISO-8859-1"), "UTF-8"))
 
 
 def decode_chunked(data: bytes) -> bytes:

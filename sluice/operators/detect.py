@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +34,18 @@ def classify(port: Column, preface: Column, ports: dict[str, tuple[int, ...]] |
     return F.when(claims == 1, by_port).otherwise(by_bytes)
 
 
+_HTTP = re.compile(f"(?:(?:{'|'.join(METHODS)}) |HTTP/)".encode())
+
+
+def protocol_of(port: int, preface: bytes, ports: dict[str, tuple[int, ...]] | None = None) -> str:
+    """``classify`` for a machine."""
+    claims = [name for name, own in (PORTS if ports is None else ports).items() if port in own]
+    if len(claims) == 1:
+        return claims[0]
+    http, telnet = _HTTP.match(preface) is not None, b"\xff" in preface
+    return "UNKNOWN" if http == telnet else "HTTP" if http else "TN3270"
+
+
 def preface(oriented: DataFrame, limit: int = PREFACE_BYTES) -> DataFrame:
     """``flow_id, preface``: the first bytes of a flow, both directions in arrival order."""
     w = W.partitionBy("flow_id").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)
@@ -41,5 +55,16 @@ def preface(oriented: DataFrame, limit: int = PREFACE_BYTES) -> DataFrame:
     return cut.groupBy("flow_id").agg(F.unhex(joined).alias("preface"))
 
 
+def of_protocol(pairs: DataFrame, protocol: str, protocol_col: str = "protocol") -> DataFrame:
+    """Pairs of one protocol, as rules (HTTP) and the terminal assembler (TN3270) take them."""
+    return pairs.where(F.col(protocol_col) == protocol)
+
+
+def index_entries_of(index: DataFrame, protocol: str) -> DataFrame:
+    """Index entries of one protocol: HTTP entries have a head, others none."""
+    head = F.coalesce("headers_len", F.lit(0)) > 0
+    return index.where(head if protocol == "HTTP" else ~head)
+
+
 def only_enabled(flows: DataFrame, enabled: list[str], protocol_col: str = "protocol") -> DataFrame:
     return flows.where(F.col(protocol_col).isin(*enabled))

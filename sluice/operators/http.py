@@ -2,52 +2,84 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._stream import by_flow
+
 END_OF_HEAD = b"\r\n\r\n"
 MESSAGE = "flow_id string, ord long, protocol string, type string, data binary, ts_us long"
 
 
+_CHUNKED = re.compile(rb"(?:^|[, \t])chunked(?:$|[, \t])", re.IGNORECASE)
+_STATUS = re.compile(rb"[^ ]* *([0-9]{3})")
+_MOST = 2**31 - 1
+
+
 class HttpFramer:
     """One direction of a flow: whole messages out of a stream of slices.
 
-    A body follows Content-Length; without one a request has no body.  A chunked body, or a response that names no
-    length, takes whatever is buffered when its head is complete; ``strict`` waits for the last chunk instead.
+    A chunked body takes whatever is buffered when its head is complete; ``strict`` waits for the last chunk instead.
+    Else the last Content-Length decides, 0 if it is no number.  Without one a request has no body, nor has a response of
+    status 1xx, 204 or 304; another response takes what is buffered.  Bytes are looked at once: where the head's
+    end was searched and how long a message must get are remembered, and slices that only fill a body are kept apart.
     """
 
     def __init__(self, from_client: bool, strict: bool = False, buffered: bytes = b""):
-        self.from_client, self.strict, self.buffered = from_client, strict, buffered
+        self.from_client, self.strict = from_client, strict
+        self.pieces, self.size = [buffered] if buffered else [], len(buffered)
+        self.searched = self.needed = 0
+
+    def held(self) -> int:
+        return self.size
 
     def feed(self, data: bytes) -> list[bytes]:
-        self.buffered += data
+        self.pieces.append(data)
+        self.size += len(data)
         out = []
-        while (head := self.buffered.find(END_OF_HEAD)) >= 0:
-            head += len(END_OF_HEAD)
-            body = self._body(self.buffered[:head], self.buffered[head:])
-            if body is None or head + body > len(self.buffered):
+        while self.size and self.size >= self.needed:
+            whole = b"".join(self.pieces)
+            self.pieces = [whole]
+            at = whole.find(END_OF_HEAD, max(0, self.searched - 3))
+            if at < 0:
+                self.searched = len(whole)
+                break
+            head = at + len(END_OF_HEAD)
+            self.searched = at
+            body = self._body(whole[:head], whole, head)
+            if body is None:
+                break
+            if head + body > len(whole):
+                self.needed = head + body
                 break
-            out.append(self.buffered[: head + body])
-            self.buffered = self.buffered[head + body :]
+            out.append(whole[: head + body])
+            rest = whole[head + body :]
+            self.pieces, self.size, self.searched, self.needed = [rest] if rest else [], len(rest), 0, 0
         return out
 
-    def _body(self, head: bytes, rest: bytes) -> int | None:
-        lines = head.decode("latin-1").split("\r\n")
-        fields = {}
-        for line in lines[1:]:
-            name, colon, value = line.partition(":")
-            if colon:
-                fields.setdefault(name.strip().lower(), value.strip())
-        status = lines[0].split(" ")[1:2] if not self.from_client else []
-        if status and status[0].isdigit() and (status[0].startswith("1") or status[0] in ("204", "304")):
+    def _body(self, head: bytes, whole: bytes, at: int) -> int | None:
+        length, chunked, lines = None, False, head.split(b"\n")
+        for line in lines:
+            name, colon, value = line.removesuffix(b"\r").partition(b":")
+            if colon and name:
+                name, value = name.strip(b" \t").lower(), value.strip(b" \t")
+                if name == b"content-length":
+                    digits = value.replace(b" ", b"").replace(b"\t", b"")
+                    length = min(_MOST, int(digits)) if digits and not digits.strip(b"0123456789") else 0
+                elif name == b"transfer-encoding":
+                    chunked = chunked or _CHUNKED.search(value) is not None
+        if chunked:
+            return self._chunks(whole[at:]) if self.strict else len(whole) - at
+        if length is not None:
+            return length
+        status = None if self.from_client else _STATUS.match(lines[0].removesuffix(b"\r"))
+        if status and (status[1].startswith(b"1") or status[1] in (b"204", b"304")):
             return 0
-        if "chunked" in fields.get("transfer-encoding", "").lower():
-            return self._chunks(rest) if self.strict else len(rest)
-        if "content-length" in fields:
-            value = fields["content-length"]
-            return int(value) if value.isdigit() else 0
-        return 0 if self.from_client else len(rest)
+        return 0 if self.from_client else len(whole) - at
 
     @staticmethod
     def _chunks(rest: bytes) -> int | None:
@@ -69,19 +101,33 @@ class HttpFramer:
         return None
 
 
-def frame(slices: DataFrame, strict: bool = False) -> DataFrame:
-    """``flow_id, ord, protocol, type, data, ts_us``: messages of each flow in the order they become whole; ts of the slice that ends them."""
+MESSAGE_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64()]
+
 
-    def flow(rows: pd.DataFrame) -> pd.DataFrame:
-        sides: dict[bool, HttpFramer] = {}
+class Framing:
+    """Both directions of a flow, each through a framer of its own; rows are ``flow_id, arrival, from_client, data, ts_us``."""
+
+    def __init__(self, protocol: str, framer):
+        self.protocol, self.framer, self.sides, self.n = protocol, framer, {}, 0
+
+    def feed(self, row: tuple) -> list[tuple]:
+        flow, _, from_client, data, ts_us = row
+        side = bool(from_client)
+        if side not in self.sides:
+            self.sides[side] = self.framer(side)
         out = []
-        for r in rows.sort_values("arrival").itertuples(index=False):
-            side = bool(r.from_client)
-            for message in sides.setdefault(side, HttpFramer(side, strict)).feed(bytes(r.data)):
-                out.append((r.flow_id, len(out), "HTTP", "REQUEST" if side else "RESPONSE", message, r.ts_us))
-        return pd.DataFrame(out, columns=["flow_id", "ord", "protocol", "type", "data", "ts_us"])
+        for message in self.sides[side].feed(data or b""):
+            out.append((flow, self.n, self.protocol, "REQUEST" if side else "RESPONSE", message, ts_us))
+            self.n += 1
+        return out
 
-    return slices.select("flow_id", "arrival", "from_client", "data", "ts_us").groupBy("flow_id").applyInPandas(flow, MESSAGE)
+    def finish(self) -> list[tuple]:
+        return []
+
+
+def frame(slices: DataFrame, strict: bool = False) -> DataFrame:
+    """``flow_id, ord, protocol, type, data, ts_us``: messages of each flow in the order they become whole; ts of the slice that ends them."""
+    return by_flow(slices.select("flow_id", "arrival", "from_client", "data", "ts_us"), "flow_id", ["arrival"], lambda: Framing("HTTP", lambda side: HttpFramer(side, strict)), MESSAGE, MESSAGE_KINDS)
 
 
 def let(value: Column, body) -> Column:
@@ -128,15 +174,34 @@ def first_value(fields: Column, name: str) -> Column:
     return F.try_element_at(F.try_element_at(fields, F.lit(name)), F.lit(1))
 
 
+# Charsets that the JVM decodes without Python.
+NATIVE = ("ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32")
+
+
 def charset(content_type: Column) -> Column:
-    """The declared charset where Spark can decode it, else UTF-8."""
-    named = F.upper(F.regexp_extract(F.coalesce(content_type, F.lit("")), r'(?i)charset="?([A-Za-z0-9_-]+)', 1))
-    return F.when(named.isin("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"), named).otherwise("UTF-8")
+    """The declared charset in upper case, UTF-8 where none is declared."""
+    named = F.upper(F.regexp_extract(F.coalesce(content_type, F.lit("")), r'(?i)charset="?([A-Za-z0-9_:.-]+)', 1))
+    return F.when(named == "", "UTF-8").otherwise(named)
 
 
 def body_text(body: Column, content_type: Column) -> Column:
+    """The body in its declared charset, in UTF-8 if that is unknown. Only rare charsets go through Python."""
     kind = charset(content_type)
-    return F.coalesce(*(F.when(kind == c, F.decode(body, c)) for c in ("ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE")), F.decode(body, "UTF-8"))
+
+    @F.pandas_udf("string")
+    def rare(values: pd.Series, names: pd.Series) -> pd.Series:
+        def one(v, name):
+            if v is None or name is None:
+                return None
+            try:
+                return bytes(v).decode(name, "replace")
+            except LookupError:
+                return bytes(v).decode("utf-8", "replace")
+
+        return pd.Series([one(v, n) for v, n in zip(values, names, strict=True)], dtype=object)
+
+    known = kind.isin("UTF-8", *NATIVE)
+    return F.coalesce(*(F.when(kind == c, F.decode(body, c)) for c in NATIVE), F.when(known, F.decode(body, "UTF-8")), rare(F.when(~known, body), F.when(~known, kind)))
 
 
 def _first_words(data: Column) -> Column:
@@ -185,7 +250,11 @@ def parse_response(data: Column) -> Column:
 
 
 def exchanges(pairs: DataFrame) -> DataFrame:
-    """Pairs of messages as parsed ``request`` and ``response``, with times and latency; unparsable requests go."""
+    """Pairs of messages as parsed ``request`` and ``response``, with times and latency; unparsable requests go.
+
+    ``client`` and ``server`` (``ip, port``) are null where the pairs don't carry them.
+    """
     r, p = parse_request(F.col("request.data")), parse_response(F.col("response.data"))
-    out = pairs.where(is_request(F.col("request.data"))).select("flow_id", "n", r.alias("http_request"), p.alias("http_response"), F.col("request.ts_us").alias("ts_us"), F.col("response.ts_us").alias("rsp_ts_us"))
+    ends = [(F.col(c) if c in pairs.columns else F.lit(None).cast("struct<ip: string, port: int>")).alias(c) for c in ("client", "server")]
+    out = pairs.where(is_request(F.col("request.data"))).select("flow_id", "n", r.alias("http_request"), p.alias("http_response"), F.col("request.ts_us").alias("ts_us"), F.col("response.ts_us").alias("rsp_ts_us"), *ends)
     return out.select("*", F.when(F.col("rsp_ts_us").isNull(), -1).otherwise(F.greatest(F.lit(0).cast("long"), F.col("rsp_ts_us") - F.col("ts_us"))).cast("long").alias("latency_us"))

@@ -76,3 +76,13 @@ def grep(rows: DataFrame, needle: bytes, data: str = "payload", context: int = 3
     first = F.greatest(F.lit(0), F.col("at") - context)
     around = F.substring(F.col("_t"), (first + 1).cast("int"), (F.col("at") + len(needle) + context - first).cast("int"))
     return hit.select("*", F.regexp_replace(around, r"[^\x20-\x7e]", ".").alias("around")).drop("_t")
+
+
+def waits(rows: DataFrame, name: str, wait: Column) -> DataFrame:
+    """``metric, waits, total``: how often and how long in all something waited."""
+    return rows.groupBy(F.col(name).alias("metric")).agg(F.count(wait).alias("waits"), F.coalesce(F.sum(wait), F.lit(0)).cast("long").alias("total"))
+
+
+def grep_totals(segments: DataFrame, needle: bytes) -> DataFrame:
+    """``scanned, matched``: the summary of a payload search."""
+    return segments.agg(F.count("*").alias("scanned"), F.count_if(F.contains("payload", F.lit(needle))).alias("matched"))

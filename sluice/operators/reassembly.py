@@ -6,13 +6,12 @@ arrival order, by the same per-flow machine that streaming uses.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._stream import by_flow
 
 def assembled(segments: DataFrame, keys: list[str], listed: str = "payload") -> DataFrame:
     """``keys, data``: the contiguous bytes from the first arriving payload on; earlier bytes win where segments overlap.
@@ -35,6 +34,9 @@ class Reassembler:
     def __init__(self, frontier: int | None = None, waiting: dict[int, bytes] | None = None):
         self.frontier, self.waiting = frontier, dict(waiting or {})
 
+    def held(self) -> int:
+        return sum(map(len, self.waiting.values()))
+
     def accept(self, seq: int, data: bytes) -> bytes:
         """Bytes that ``data`` at ``seq`` releases, empty if it is old or waits for a gap to close."""
         if not data:
@@ -67,12 +69,20 @@ class Reassembler:
         return out
 
 
-def _sides(rows: pd.DataFrame, state: dict[bool, Reassembler]) -> Iterator[tuple]:
-    for r in rows.itertuples(index=False):
-        side = bool(r.from_client)
-        got = state.setdefault(side, Reassembler()).accept(int(r.seq), bytes(r.payload or b""))
-        if got:
-            yield r.flow_id, r.arrival, side, got, r.ts_us
+class Sides:
+    """Both directions of a flow; rows are ``flow_id, arrival, from_client, seq, payload, ts_us``."""
+
+    def __init__(self):
+        self.streams: dict[bool, Reassembler] = {}
+
+    def feed(self, row: tuple) -> list[tuple]:
+        flow, arrival, from_client, seq, payload, ts_us = row
+        side = bool(from_client)
+        got = self.streams.setdefault(side, Reassembler()).accept(seq, payload or b"")
+        return [(flow, arrival, side, got, ts_us)] if got else []
+
+    def finish(self) -> list[tuple]:
+        return []
 
 
 SLICE = "flow_id string, arrival long, from_client boolean, data binary, ts_us long"
@@ -85,7 +95,5 @@ def slices(oriented: DataFrame, mode: str = "sequence") -> DataFrame:
     if mode != "sequence":
         raise ValueError(f"unknown mode: {mode}")
 
-    def flow(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_sides(rows.sort_values("arrival"), {})), columns=["flow_id", "arrival", "from_client", "data", "ts_us"])
-
-    return oriented.select("flow_id", "arrival", "from_client", "seq", "payload", "ts_us").groupBy("flow_id").applyInPandas(flow, SLICE)
+    rows = oriented.select("flow_id", "arrival", "from_client", "seq", "payload", "ts_us")
+    return by_flow(rows, "flow_id", ["arrival"], Sides, SLICE, [pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.int64()])

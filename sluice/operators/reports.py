@@ -50,41 +50,66 @@ def _decoded(data: Column, mode: str) -> Column:
     return run(data)
 
 
-def _http_side(title: str, side: Column, data: Column, tx: Column) -> Column:
+def _lines(*parts: Column) -> Column:
+    return F.concat(*(F.concat(p, F.lit("\n")) for p in parts))
+
+
+def _marks(side: Column, columns: list[str]) -> Column:
+    end = lambda c: F.coalesce(side[c], F.lit("")) if c in columns else F.lit("")
+    return _lines(F.concat(F.lit("# timestamp_us: "), side["ts_us"].cast("string")), F.concat(F.lit("# src: "), end("src")), F.concat(F.lit("# dst: "), end("dst")), F.lit(""))
+
+
+def _section(title: str, side: Column, text: Column) -> Column:
+    kind = title.rsplit(" ", 1)[1].lower()
+    return F.concat(F.lit(f"=== {title} ===\n"), F.when(side.isNotNull(), text).otherwise(f"(no {kind} captured)\n"))
+
+
+def _http_side(title: str, side: Column, data: Column, tx: Column, columns: list[str]) -> Column:
     text = F.decode(data, "ISO-8859-1")
     at = F.locate("\r\n\r\n", text)
-    head = F.regexp_replace(F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text), "\r\n", "\n")
+    field = lambda x: F.when(F.locate(":", x) > 1, F.concat(F.trim(F.substring_index(x, ":", 1)), F.lit(": "), F.trim(F.substring(x, F.locate(":", x) + 1, F.length(x))))).otherwise(F.concat(x, F.lit(": ")))
+    lines = F.split(F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text), "\r\n")
+    head = F.array_join(F.transform(lines, lambda x, k: F.when(k == 0, x).otherwise(field(x))), "\n")
     body = F.when(at > 0, F.substring(data, at + 4, F.octet_length(data))).otherwise(F.lit(b""))
-    shown = F.when(F.octet_length(body) == 0, "(empty body)").when(likely_text(body), F.decode(body, "ISO-8859-1")).otherwise(F.concat(F.lit("[binary payload "), F.octet_length(body).cast("string"), F.lit(" bytes]\n"), hex_dump(body)))
-    lines = F.concat_ws("\n", F.lit(f"=== HTTP {title} ==="), F.concat(F.lit("# id: "), tx), F.concat(F.lit("# timestamp_us: "), side["ts_us"].cast("string")), head, F.lit(""), shown)
-    return F.when(side.isNotNull(), lines).otherwise(f"=== HTTP {title} ===\n(no {title.lower()} captured)")
+    plain = F.decode(body, "ISO-8859-1")
+    shown = F.when(F.octet_length(body) == 0, "(empty body)\n").when(likely_text(body), F.concat(plain, F.when(F.rlike(plain, F.lit(r"[\r\n]\z")), "").otherwise("\n")))
+    shown = shown.otherwise(F.concat(F.lit("[binary payload "), F.octet_length(body).cast("string"), F.lit(" bytes]\n"), hex_dump(body)))
+    return _section(f"HTTP {title}", side, F.concat(_lines(F.concat(F.lit("# id: "), F.coalesce(tx, F.lit("")))), _marks(side, columns), _lines(head, F.lit("")), shown))
+
+
+def _side_columns(transactions: DataFrame, side: str) -> list[str]:
+    return transactions.schema[side].dataType.names
 
 
 def http_reports(transactions: DataFrame, mode: str = "all", key: str = "tx_id") -> DataFrame:
-    """``protocol, tx_id, ts_us, content, file_name`` of regrouped HTTP transactions."""
+    """``protocol, tx_id, ts_us, content, file_name`` of regrouped HTTP transactions; sides may carry ``src`` and ``dst``."""
     t = transactions.select(F.col(key).alias("tx_id"), "request", "response", _decoded(F.col("request.data"), mode).alias("_q"), _decoded(F.col("response.data"), mode).alias("_p"))
-    content = F.concat_ws("\n\n", _http_side("REQUEST", F.col("request"), F.col("_q"), F.col("tx_id")), _http_side("RESPONSE", F.col("response"), F.col("_p"), F.col("tx_id")))
-    return _report(t, "HTTP", content, ".http")
+    q = _http_side("REQUEST", F.col("request"), F.col("_q"), F.col("tx_id"), _side_columns(t, "request"))
+    p = _http_side("RESPONSE", F.col("response"), F.col("_p"), F.col("tx_id"), _side_columns(t, "response"))
+    return _report(t, "HTTP", F.concat_ws("\n", q, p), ".http")
 
 
 def terminal_reports(transactions: DataFrame, key: str = "tx_id") -> DataFrame:
     """The same of terminal transactions: each side as a hex dump."""
-    side = lambda title, s: F.when(s.isNotNull(), F.concat_ws("\n", F.lit(f"=== TN3270 {title} ==="), F.concat(F.lit("# timestamp_us: "), s["ts_us"].cast("string")), hex_dump(s["data"]))).otherwise(f"=== TN3270 {title} ===\n(no {title.lower()} captured)")
     t = transactions.select(F.col(key).alias("tx_id"), "request", "response")
-    return _report(t, "TN3270", F.concat_ws("\n\n", side("REQUEST", F.col("request")), side("RESPONSE", F.col("response"))), ".tn3270.txt")
+    side = lambda title, name: _section(f"TN3270 {title}", F.col(name), F.concat(_marks(F.col(name), _side_columns(t, name)), F.when(F.octet_length(F.col(name)["data"]) > 0, hex_dump(F.col(name)["data"])).otherwise("(empty payload)\n")))
+    return _report(t, "TN3270", F.concat_ws("\n", side("REQUEST", "request"), side("RESPONSE", "response")), ".tn3270.txt")
 
 
 def _report(t: DataFrame, protocol: str, content: Column, suffix: str) -> DataFrame:
-    ts = F.least("request.ts_us", "response.ts_us")
+    ts = F.coalesce(F.least("request.ts_us", "response.ts_us"), F.lit(0).cast("long"))
     return t.select(F.lit(protocol).alias("protocol"), "tx_id", ts.alias("ts_us"), content.alias("content"), F.concat(ts.cast("string"), F.lit("_"), safe_name(F.col("tx_id")), F.lit(suffix)).alias("file_name"))
 
 
 def write_reports(reports: DataFrame, folder: str) -> None:
-    """One text file a report, in a folder that all executors share."""
+    """One text file a report, in a shared folder; a file appears once it is whole."""
+
+    def write(rows) -> None:
+        from ..sources._files import locate, put
 
-    def put(rows) -> None:
+        store, base = locate(folder)
+        store.create_dir(base)
         for r in rows:
-            with open(f"{folder}/{r['file_name']}", "w", encoding="utf-8", newline="") as f:
-                f.write(r["content"])
+            put(store, f"{base}/{r['file_name']}", r["content"].encode())
 
-    reports.select("file_name", "content").foreachPartition(put)
+    reports.select("file_name", "content").foreachPartition(write)

@@ -229,7 +229,7 @@ def session(x: Exchange = Exchange(), client_ip: Column | None = None, user_id:
     """Session id and whether it is authenticated.
 
     A session cookie, one that the response sets, or a session header is trusted; else the id is derived
-    from address, user agent and the quarter of an hour.
+    from the client's address, user agent and the quarter of an hour.
     """
     req, rsp = F.col(x.request), F.col(x.response)
     set_cookies = F.coalesce(F.try_element_at(rsp["headers"], F.lit("set-cookie")), F.array().cast("array<string>"))
@@ -241,23 +241,24 @@ def session(x: Exchange = Exchange(), client_ip: Column | None = None, user_id:
     names = ("jsessionid", "smsessionid")
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     trusted = F.coalesce(*(blank(F.try_element_at(req["cookies"], F.lit(n))) for n in names), *(blank(set_by_response(n)) for n in names), *(blank(first_value(req["headers"], n)) for n in names))
-    derived = derived_session(client_ip if client_ip is not None else F.lit(""), F.coalesce(first_value(req["headers"], "user-agent"), F.lit("")), F.col("ts_us"))
+    derived = derived_session(F.coalesce(F.trim(client_ip if client_ip is not None else F.col("client.ip")), F.lit("")), F.coalesce(first_value(req["headers"], "user-agent"), F.lit("")), F.col("ts_us"))
     known = trusted.isNotNull() | (user_id.isNotNull() if user_id is not None else F.lit(False))
     return F.coalesce(trusted, derived), F.when(known, "AUTHENTICATED").otherwise("UNAUTHENTICATED")
 
 
 def derived_session(ip: Column, agent: Column, ts_us: Column) -> Column:
-    key = F.concat_ws("|", ip, agent, F.floor(ts_us / SESSION_BUCKET_US).cast("string"))
+    key = F.concat_ws("|", ip, agent, F.when(ts_us > 0, F.floor(ts_us / SESSION_BUCKET_US)).otherwise(0).cast("string"))
     return F.concat(F.lit("DERIVED-"), F.upper(F.substring(F.sha2(key, 256), 1, 24)))
 
 
-def user_events(matches: DataFrame, x: Exchange = Exchange()) -> DataFrame:
-    """Events of matches: time, session, app and source from the attributes, trace and request ids from headers."""
+def user_events(matches: DataFrame, x: Exchange = Exchange(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Events of matches, with the columns ``keep``: time, session, app and source from the attributes, trace and request ids from headers."""
     req = F.col(x.request)
     parts = F.split(first_value(req["headers"], "traceparent"), "-")
     trace = F.coalesce(F.when(F.length(F.get(parts, 1)) == 32, F.get(parts, 1)), first_value(req["headers"], "x-b3-traceid"), first_value(req["headers"], "x-trace-id"))
     sid, state = session(x, user_id=F.col("user_id"))
     return matches.select(
+        *keep,
         F.timestamp_micros(F.coalesce("rsp_ts_us", "ts_us")).alias("ts"),
         "event_type",
         "rule_id",

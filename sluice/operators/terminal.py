@@ -9,13 +9,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ebcdic
 from ..functions.binary import murmur128_hex
+from ._stream import by_flow
+from .http import MESSAGE, MESSAGE_KINDS, Framing
 
 # Telnet commands, 3270 commands, orders, structured fields and attribute bits.
 IAC, SB, SE, EOR = 0xFF, 0xFA, 0xF0, 0xEF
@@ -27,6 +29,8 @@ PROTECTED, NUMERIC, HIDDEN_MASK, HIDDEN = 0x20, 0x10, 0x0C, 0x0C
 CLEAR = 0x40
 # Attention identifiers.
 AID = {0x7D: "ENTER", 0x6D: "CLEAR", 0x6C: "PA1", 0x6B: "PA2", 0x6A: "PA3"}
+# White space that ends of lines, labels and values lose.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 AID |= {0xF0 + n: f"PF{n}" for n in range(1, 13)} | {0xC0 + n: f"PF{12 + n}" for n in range(1, 13)}
 
 
@@ -36,15 +40,25 @@ class RecordFramer:
     def __init__(self):
         self.record, self.mode = bytearray(), "data"
 
+    def held(self) -> int:
+        return len(self.record)
+
     def feed(self, data: bytes) -> list[bytes]:
-        out = []
-        for b in data:
-            if self.mode == "data":
-                if b == IAC:
-                    self.mode = "command"
-                else:
-                    self.record.append(b)
-            elif self.mode == "command":
+        """Runs without 0xFF are taken whole; only commands are looked at byte by byte."""
+        out, at, n = [], 0, len(data)
+        while at < n:
+            if self.mode in ("data", "sub"):
+                mark = data.find(IAC, at)
+                end = n if mark < 0 else mark
+                if self.mode == "data":
+                    self.record += data[at:end]
+                if mark >= 0:
+                    self.mode = "command" if self.mode == "data" else "sub command"
+                at = end + 1
+                continue
+            b = data[at]
+            at += 1
+            if self.mode == "command":
                 self.mode = "data"
                 if b == IAC:
                     self.record.append(IAC)
@@ -58,8 +72,6 @@ class RecordFramer:
                     self.record.clear()
             elif self.mode == "option":
                 self.mode = "data"
-            elif self.mode == "sub":
-                self.mode = "sub command" if b == IAC else "sub"
             else:
                 self.mode = "data" if b == SE else "sub"
         return out
@@ -74,17 +86,7 @@ def filter_telnet(record: bytes) -> bytes:
 
 def frame_records(slices: DataFrame) -> DataFrame:
     """``flow_id, ord, protocol, type, data, ts_us``: records of each flow; the host's are responses."""
-
-    def flow(rows: pd.DataFrame) -> pd.DataFrame:
-        sides: dict[bool, RecordFramer] = {}
-        out = []
-        for r in rows.sort_values("arrival").itertuples(index=False):
-            side = bool(r.from_client)
-            for record in sides.setdefault(side, RecordFramer()).feed(bytes(r.data)):
-                out.append((r.flow_id, len(out), "TN3270", "REQUEST" if side else "RESPONSE", record, r.ts_us))
-        return pd.DataFrame(out, columns=["flow_id", "ord", "protocol", "type", "data", "ts_us"])
-
-    return slices.select("flow_id", "arrival", "from_client", "data", "ts_us").groupBy("flow_id").applyInPandas(flow, "flow_id string, ord long, protocol string, type string, data binary, ts_us long")
+    return by_flow(slices.select("flow_id", "arrival", "from_client", "data", "ts_us"), "flow_id", ["arrival"], lambda: Framing("TN3270", lambda side: RecordFramer()), MESSAGE, MESSAGE_KINDS)
 
 
 def address(high: int, low: int) -> int:
@@ -203,15 +205,17 @@ class Screen:
             f.label = self._label(at)
 
     def _label(self, at: int) -> str | None:
-        first = at - at % self.cols
+        """What stands before the attribute in the row of the cell before it, up to a space or a control byte."""
         k = at - 1
+        if k < 0:
+            return None
+        first = k - k % self.cols
         while k >= first and self.buffer[k] == ebcdic.SPACE:
             k -= 1
         end = k + 1
         while k >= first and self.buffer[k] > ebcdic.SPACE:
             k -= 1
-        word = ebcdic.decode(self.buffer[k + 1 : end]).strip().rstrip(":").strip()
-        return word or None
+        return ebcdic.decode(self.buffer[k + 1 : end]).rstrip(WHITE) or None
 
     def _value(self, f: Field) -> str:
         return ebcdic.decode(self.buffer[f.start : f.end]).replace("\0", " ").rstrip()
@@ -237,7 +241,7 @@ class Screen:
         inputs: dict[str, str] = {}
         if len(data) >= 3:
             self.cursor = address(data[1], data[2])
-        at = 3
+        at = 3 if len(data) >= 3 else 1
         while at < len(data):
             b = data[at]
             at += 1
@@ -249,45 +253,60 @@ class Screen:
                     break
                 place = address(data[at], data[at + 1])
                 at += 2
-                end = at
-                while end < len(data) and data[end] not in (SBA, IC):
+                begin = end = at
+                while end < len(data) and data[end] not in (SBA, EUA, IC):
                     end += 1
-                typed, at = ebcdic.decode(data[at:end]).rstrip(), end
+                typed, at = ebcdic.decode(data[at:end]).replace("\0", " ").rstrip(WHITE), end
                 f = next((f for f in self.fields.values() if f.at <= place < f.end), None)
-                if typed and f and not f.protected and not f.hidden:
+                if end > begin and f and not f.protected and not f.hidden:
                     f.modified = True
-                    inputs[f.label or f"field_{place}"] = typed
+                    if typed:
+                        inputs[f.label if f.label and f.label.strip() else f"field_{place}"] = typed
         return AID.get(data[0], "UNKNOWN"), inputs
 
 
+FIELD = "start: int, length: int, protected: boolean, numeric: boolean, hidden: boolean, value: string"
 EVENT = (
     "session_id string, n long, type string, ts_us long, aid string, inputs map<string,string>, rows int, cols int, plain_text string, "
-    "fields array<struct<start: int, length: int, protected: boolean, numeric: boolean, hidden: boolean, value: string>>, screen_hash string, screen_name string"
+    f"fields array<struct<{FIELD}>>, screen_hash string, screen_name string, session_key string"
 )
+_FIELDS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("protected", pa.bool_()), ("numeric", pa.bool_()), ("hidden", pa.bool_()), ("value", pa.string())]))
+EVENT_KINDS = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32(), pa.string(), _FIELDS, pa.string(), pa.string(), pa.string()]
+
+
+class Session:
+    """One session's pairs (``flow_id, n, request, response``) to events; a submit carries the hash and name of the screen it answers."""
+
+    def __init__(self, close_ts: int | None):
+        self.screen, self.n, self.close_ts, self.key, self.hash = Screen(), 0, close_ts, None, None
+
+    def _event(self, kind: str, ts: int, aid: str | None = None, inputs: dict | None = None, shot: dict | None = None, named: bool = True) -> tuple:
+        shot = shot or {"screen_hash": self.hash if kind == "USER_SUBMIT" else None, "screen_name": self.screen.name if named else None}
+        self.n += 1
+        sid = murmur128_hex(self.key.encode())
+        return sid, self.n - 1, kind, ts, aid, None if inputs is None else list(inputs.items()), *(shot.get(k) for k in ("rows", "cols", "plain_text", "fields", "screen_hash", "screen_name")), self.key
+
+    def feed(self, row: tuple) -> list[tuple]:
+        flow, _, request, response = row
+        out = []
+        if self.key is None:
+            self.key = str(flow)
+            out.append(self._event("SESSION_START", response["ts_us"], named=False))
+        shot = self.screen.host_write(filter_telnet(response["data"] or b""))
+        self.hash = shot["screen_hash"]
+        out.append(self._event("SCREEN_RENDER", response["ts_us"], shot=shot))
+        aid, inputs = self.screen.submit(filter_telnet(request["data"] or b""))
+        out.append(self._event("USER_SUBMIT", request["ts_us"], aid, inputs))
+        return out
+
+    def finish(self) -> list[tuple]:
+        return [] if self.close_ts is None else [self._event("SESSION_END", self.close_ts)]
 
 
 def terminal_events(pairs: DataFrame, close_ts: int | None = None) -> DataFrame:
     """Events of each session (flow): start, then for each pair the screen that the host wrote and what the user sent; an end if ``close_ts`` is given."""
-
-    def session(rows: pd.DataFrame) -> pd.DataFrame:
-        screen, out = Screen(), []
-        sid = murmur128_hex(str(rows["flow_id"].iloc[0]).encode())
-
-        def put(kind, ts, aid=None, inputs=None, shot=None):
-            shot = shot or {}
-            out.append((sid, len(out), kind, ts, aid, inputs, *(shot.get(k) for k in ("rows", "cols", "plain_text", "fields", "screen_hash", "screen_name"))))
-
-        for r in rows.sort_values("n").itertuples(index=False):
-            if not out:
-                put("SESSION_START", r.response["ts_us"])
-            put("SCREEN_RENDER", r.response["ts_us"], shot=screen.host_write(filter_telnet(bytes(r.response["data"]))))
-            aid, inputs = screen.submit(filter_telnet(bytes(r.request["data"])))
-            put("USER_SUBMIT", r.request["ts_us"], aid, inputs)
-        if close_ts is not None:
-            put("SESSION_END", close_ts)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ("session_id", "n", "type", "ts_us", "aid", "inputs", "rows", "cols", "plain_text", "fields", "screen_hash", "screen_name")])
-
-    return pairs.select("flow_id", "n", F.struct("request.data", "request.ts_us").alias("request"), F.struct("response.data", "response.ts_us").alias("response")).groupBy("flow_id").applyInPandas(session, EVENT)
+    rows = pairs.select("flow_id", "n", F.struct("request.data", "request.ts_us").alias("request"), F.struct("response.data", "response.ts_us").alias("response"))
+    return by_flow(rows, "flow_id", ["n"], lambda: Session(close_ts), EVENT, EVENT_KINDS)
 
 
 def last_screen(events: DataFrame, key: str = "session_id", order: str = "n", kind: str = "type", cols: tuple[str, ...] = ("plain_text", "screen_hash", "screen_name")) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binary
-from ..operators import detect, flows, http, metrics, pairing, reassembly, reports, rules, screens, terminal
+from ..operators import detect, engine, flows, http, metrics, pairing, reassembly, reports, rules, screens, terminal
+from ..session import scratch_folder
 from ..sources import capture, feeds, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,8 +39,8 @@ oriented AS (SELECT *, src = client AS from_client, CAST(coalesce(sum(closes) OV
 flow AS (SELECT *, conv || '#' || client || '#' || flow_seq AS flow_id, CASE WHEN from_client THEN dst_port ELSE src_port END AS server_port FROM oriented)"""
 )
 
-MESSAGES = """messages AS (SELECT CAST(conv_id AS VARCHAR) AS flow_id, turn AS ord, CASE WHEN role = 'user' THEN 'REQUEST' ELSE 'RESPONSE' END AS type, text, turn * 1000 + length(text) AS ts_us
-         FROM conversations WHERE role IN ('user', 'assistant'))"""
+MESSAGES = """messages AS (SELECT CAST(conv_id AS VARCHAR) AS flow_id, turn AS ord, CASE WHEN role = 'user' THEN 'REQUEST' ELSE 'RESPONSE' END AS type, coalesce(text, '') AS text, turn * 1000 + length(coalesce(text, '')) AS ts_us
+         FROM conversations)"""
 
 FLOW_MESSAGES = ORIENTED + """,
 messages AS (SELECT flow_id, arrival AS ord, CASE WHEN from_client THEN 'REQUEST' ELSE 'RESPONSE' END AS type, ts_us FROM flow WHERE payload <> '')"""
@@ -109,14 +110,23 @@ def protocol_classify(spark, sf_dir):
     return s.select("arrival", detect.classify(flows.server_port(s), F.col("payload")).alias("protocol"))
 
 
-@query("SELECT page_id, regexp_matches(url, '^(GET|POST) |^HTTP/') AS by_url, url LIKE 'https://%' AS secure FROM pages")
+_BEGIN = ["GET ", "HTTP/1.1 ", "POST", "delete ", "PATCH ", "\\xff", "OPTIONS /"]
+
+
+@query(
+    "WITH p AS (SELECT page_id, CASE page_id % 7 "
+    + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_BEGIN))
+    + " END || url AS t FROM pages) SELECT page_id, regexp_matches(t, '^(?:(?:GET|POST|PUT|HEAD|DELETE|OPTIONS|TRACE|PATCH) |HTTP/)') AS by_head, page_id % 11 = 0 AS by_mark FROM p"
+)
 def http_signature(spark, sf_dir):
-    return tables.read(spark, sf_dir, "pages").select("page_id", detect.has_http_signature(F.col("url").cast("binary")).alias("by_url"), F.startswith("url", F.lit("https://")).alias("secure"))
+    begin = F.element_at(F.array(*map(F.lit, _BEGIN)), (F.col("page_id") % 7 + 1).cast("int"))
+    marked = F.concat(F.col("url").cast("binary"), F.when(F.col("page_id") % 11 == 0, F.lit(b"\xff")).otherwise(F.lit(b"")))
+    return tables.read(spark, sf_dir, "pages").select("page_id", detect.has_http_signature(F.concat(begin, "url").cast("binary")).alias("by_head"), detect.has_telnet_signature(marked).alias("by_mark"))
 
 
-@query(f"WITH {ORIENTED}, o AS (SELECT flow_id, arrival, payload, coalesce(sum(length(payload)) OVER (PARTITION BY flow_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM flow WHERE payload <> '') SELECT flow_id, string_agg(substr(payload, 1, CAST(64 - before AS INT)), '' ORDER BY arrival) AS preface FROM o WHERE before < 64 GROUP BY flow_id")
+@query(f"WITH {ORIENTED}, o AS (SELECT flow_id, arrival, payload, coalesce(sum(length(payload)) OVER (PARTITION BY flow_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM flow WHERE payload <> '') SELECT flow_id, string_agg(substr(payload, 1, CAST(512 - before AS INT)), '' ORDER BY arrival) AS preface FROM o WHERE before < 512 GROUP BY flow_id")
 def flow_preface(spark, sf_dir):
-    return detect.preface(_oriented(spark, sf_dir), 64).select("flow_id", F.col("preface").cast("string").alias("preface"))
+    return detect.preface(_oriented(spark, sf_dir)).select("flow_id", F.col("preface").cast("string").alias("preface"))
 
 
 @query(f"WITH {FLOW_MESSAGES}{LINDLEY} SELECT q.flow_id, q.n, q.ord AS request_ord, p.ord AS response_ord FROM numbered q JOIN numbered p ON q.flow_id = p.flow_id AND q.n = p.n AND q.type = 'REQUEST' AND p.type = 'RESPONSE'")
@@ -149,10 +159,17 @@ def reassemble_bytes(spark, sf_dir):
     return reassembly.assembled(tables.chunks(spark, sf_dir), ["flow_id"]).select("flow_id", F.sha2("data", 256).alias("digest"), F.octet_length("data").cast("long").alias("n_bytes"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS size, unnest(range(0, (strlen(text) - 1) // 400 + 1)) AS k FROM documents WHERE text IS NOT NULL),
+    a AS (SELECT *, max(CASE WHEN k = 0 THEN 0 ELSE 1 + k * 7919 % 1009 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS whole FROM c),
+    e AS (SELECT doc_id, whole AS arrival, any_value(h) AS h, least(any_value(size), 400 * max(k) + 425) AS stop FROM a GROUP BY doc_id, whole, size),
+    s AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY arrival), 0) AS start FROM e)
+    SELECT CAST(doc_id AS VARCHAR) AS flow_id, CAST(arrival AS BIGINT) AS arrival, CAST(stop - start AS BIGINT) AS n_bytes, sha256(substr(h, 2 * start + 1, 2 * (stop - start))) AS digest FROM s WHERE stop > start"""
+)
 def reassemble_slices(spark, sf_dir):
+    """What each piece releases as it arrives: the bytes that have become contiguous with it."""
     c = tables.chunks(spark, sf_dir).select("flow_id", "arrival", F.lit(True).alias("from_client"), "seq", "payload", F.col("arrival").alias("ts_us"))
-    return reassembly.slices(c)
+    return reassembly.slices(c).select("flow_id", "arrival", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2(F.hex("data").cast("binary"), 256).alias("digest"))
 
 
 @query(f"WITH {SEGMENTS} SELECT arrival, CAST(instr(payload, '\"k\": 7') - 1 AS BIGINT) AS at, substr(payload, greatest(1, instr(payload, '\"k\": 7') - 4), instr(payload, '\"k\": 7') - greatest(1, instr(payload, '\"k\": 7') - 4) + 10) AS around FROM segments WHERE contains(payload, '\"k\": 7')")
@@ -202,15 +219,38 @@ rules:
 
 
 def _event_exchanges(spark, sf_dir) -> DataFrame:
-    """Each event as an exchange: a request by its user for its type, answered with its properties."""
-    e = tables.read(spark, sf_dir, "events")
-    method = F.when(F.col("event_type") == "purchase", "POST").otherwise("GET")
-    status = F.when(F.col("event_type") == "error", "500").otherwise("200")
-    request = F.concat(method, F.lit(" /u/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"), F.lit("?K="), (F.col("event_id") % 9).cast("string"), F.lit(" HTTP/1.1\r\nHost: a\r\nUser-Agent: agent"), (F.col("event_id") % 3).cast("string"), F.lit("\r\nCookie: "), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("JSESSIONID=s"), F.col("user_id").cast("string"))).otherwise("x=1"), F.lit("\r\n\r\n"))
-    response = F.concat(F.lit("HTTP/1.1 "), status, F.lit(" X\r\nContent-Type: application/json\r\n\r\n"), F.col("props"))
+    """Each event as an exchange of its user's client."""
+    request, response = tables.event_messages()
     side = lambda text, ts: F.struct(text.cast("binary").alias("data"), ts.alias("ts_us"))
-    pairs = e.select(F.col("event_id").cast("string").alias("flow_id"), F.lit(1).cast("long").alias("n"), side(request, tables.micros()).alias("request"), side(response, tables.micros() + 1500).alias("response"))
-    return http.exchanges(pairs)
+    client = F.struct(F.concat(F.lit("10.0.0."), F.expr("CAST(user_id % 250 AS STRING)")).alias("ip"), F.expr("CAST(40000 + user_id AS INT)").alias("port"))
+    e = tables.read(spark, sf_dir, "events")
+    return http.exchanges(e.select(F.col("event_id").cast("string").alias("flow_id"), F.lit(1).cast("long").alias("n"), side(request, tables.micros()).alias("request"), side(response, tables.micros() + 1500).alias("response"), client.alias("client")))
+
+
+HTTP_EVENTS = """ev AS (SELECT *, '10.0.0.' || CAST(user_id % 250 AS VARCHAR) AS cip, CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 1 ELSE 0 END AS closes, epoch_us(ts) AS us,
+        CASE WHEN event_type = 'purchase' THEN 'POST' ELSE 'GET' END || ' /u/' || user_id || '/' || event_type || '?K=' || event_id % 9 || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: a' || chr(13) || chr(10) || 'User-Agent: agent' || event_id % 3
+          || chr(13) || chr(10) || 'Cookie: ' || CASE WHEN event_id % 4 = 0 THEN 'JSESSIONID=s' || user_id ELSE 'x=1' END || chr(13) || chr(10) || chr(13) || chr(10) AS q,
+        'HTTP/1.1 ' || CASE WHEN event_type = 'error' THEN '500' ELSE '200' END || ' X' || chr(13) || chr(10) || 'Content-Type: application/json' || chr(13) || chr(10) || chr(13) || chr(10) || props AS p FROM events),
+ev2 AS (SELECT *, CAST(coalesce(sum(closes) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS inc FROM ev),
+http_pairs AS (SELECT *, cip || ':' || (40000 + user_id) || '|10.1.0.1:80#' || cip || ':' || (40000 + user_id) || '#' || inc AS flow_id, row_number() OVER (PARTITION BY user_id, inc ORDER BY event_id) AS n FROM ev2)"""
+
+
+@query(f"WITH {HTTP_EVENTS} SELECT flow_id, n, 'HTTP' AS protocol, q AS request, us + 750 AS request_ts, p AS response, us + 1500 AS response_ts, cip AS client_ip, 80 AS server_port FROM http_pairs")
+def segments_to_pairs(spark, sf_dir):
+    """Raw segments, out of order and of many incarnations, to pairs in one pass."""
+    p = detect.of_protocol(engine.segments_to_pairs(tables.http_segments(spark, sf_dir)).where("n IS NOT NULL"), "HTTP")
+    return p.select("flow_id", "n", "protocol", F.col("request.data").cast("string").alias("request"), F.col("request.ts_us").alias("request_ts"), F.col("response.data").cast("string").alias("response"), F.col("response.ts_us").alias("response_ts"), F.col("client.ip").alias("client_ip"), F.col("server.port").alias("server_port"))
+
+
+@query(
+    f"""WITH {HTTP_EVENTS} SELECT flow_id, n, 'buy' AS rule_id, CAST(user_id AS VARCHAR) AS user_id, make_timestamp(us + 1500) AS ts,
+    CASE WHEN event_id % 4 = 0 THEN 's' || user_id ELSE 'DERIVED-' || upper(substr(sha256(cip || '|agent' || event_id % 3 || '|' || CAST(floor((us + 750) / 900000000) AS BIGINT)), 1, 24)) END AS session_id FROM http_pairs WHERE event_type = 'purchase'"""
+)
+def segments_to_events(spark, sf_dir):
+    """Raw segments to user events: pairs, exchanges, rules, sessions."""
+    p = detect.of_protocol(engine.segments_to_pairs(tables.http_segments(spark, sf_dir)).where("n IS NOT NULL"), "HTTP")
+    m = rules.evaluate(http.exchanges(p), rules.load_rules(RULES)).where("rule_id = 'buy'")
+    return rules.user_events(m, keep=("flow_id", "n")).select("flow_id", "n", "rule_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "session_id")
 
 
 @query("""SELECT CAST(event_id AS VARCHAR) AS flow_id, 'buy' AS rule_id, CAST(user_id AS VARCHAR) AS user_id, 'agent' || event_id % 3 AS agent, 'web' AS channel FROM events WHERE event_type = 'purchase'
@@ -220,11 +260,11 @@ def rule_all_match(spark, sf_dir):
     return m.select("flow_id", "rule_id", "user_id", F.try_element_at("attributes", F.lit("agent")).alias("agent"), F.try_element_at("attributes", F.lit("channel")).alias("channel"))
 
 
-@query("""SELECT CASE WHEN event_id % 4 = 0 THEN 's' || user_id ELSE 'DERIVED-' || upper(substr(sha256('|agent' || event_id % 3 || '|' || CAST(floor(epoch_us(ts) / 900000000) AS BIGINT)), 1, 24)) END AS session_id,
+@query("""SELECT CASE WHEN event_id % 4 = 0 THEN 's' || user_id ELSE 'DERIVED-' || upper(substr(sha256('10.0.0.' || user_id % 250 || '|agent' || event_id % 3 || '|' || CAST(floor(epoch_us(ts) / 900000000) AS BIGINT)), 1, 24)) END AS session_id,
     'AUTHENTICATED' AS auth_state, 'user.buy' AS event_type, CAST(1 AS BIGINT) AS latency_ms, 'demo' AS app, event_id AS id FROM events WHERE event_type = 'purchase'""")
 def session_resolve(spark, sf_dir):
     m = rules.evaluate(_event_exchanges(spark, sf_dir), rules.load_rules(RULES)).where("rule_id = 'buy'")
-    sid, state = rules.session(user_id=F.col("user_id"))
+    sid, state = rules.session(client_ip=F.col("client.ip"), user_id=F.col("user_id"))
     return m.select(sid.alias("session_id"), state.alias("auth_state"), "event_type", F.floor(F.col("latency_us") / 1000).alias("latency_ms"), F.try_element_at("attributes", F.lit("app")).alias("app"), F.col("flow_id").cast("long").alias("id"))
 
 
@@ -287,15 +327,24 @@ def last_screen_asof(spark, sf_dir):
     return terminal.last_screen(e, "user_id", "event_id", "type", ("props",)).select("event_id", F.col("screen.props").alias("screen"))
 
 
-@query()
+@query(
+    f"""WITH {MESSAGES}, k AS (SELECT *, row_number() OVER (PARTITION BY flow_id, type ORDER BY ord) AS n FROM messages),
+    p AS (SELECT q.flow_id, q.n, q.ts_us AS q_ts, r.ts_us AS r_ts FROM k q JOIN k r ON q.flow_id = r.flow_id AND q.n = r.n AND q.type = 'REQUEST' AND r.type = 'RESPONSE')
+    SELECT flow_id AS session_key, CAST(0 AS BIGINT) AS n, 'SESSION_START' AS type, r_ts AS ts_us, NULL AS aid, NULL AS inputs, NULL AS plain, NULL AS field_values, NULL AS screen_name FROM p WHERE n = 1
+    UNION ALL SELECT flow_id, 2 * n - 1, 'SCREEN_RENDER', r_ts, NULL, NULL, ' USER:', 'true USER:,false ', 'USER' FROM p
+    UNION ALL SELECT flow_id, 2 * n, 'USER_SUBMIT', q_ts, 'ENTER', '{{"USER:":"SMITH"}}', NULL, NULL, 'USER' FROM p
+    UNION ALL SELECT flow_id, 2 * max(n) + 1, 'SESSION_END', 99, NULL, NULL, NULL, NULL, 'USER' FROM p GROUP BY flow_id"""
+)
 def terminal_sessions(spark, sf_dir):
     """Screens that conversations' answers write and requests answer, as terminal events."""
     from ..functions import ebcdic
 
     write = F.concat(F.lit(bytes([terminal.ERASE_WRITE, 0x40, terminal.SBA, 0x40, 0x40, terminal.SF, 0x20]) + ebcdic.encode("USER:") + bytes([terminal.SF, 0x40])), F.lit(ebcdic.encode("          ")))
-    submit = F.concat(F.lit(bytes([0x7D, 0x40, 0x40, terminal.SBA, 0x40, 0x47])), F.lit(ebcdic.encode("SMITH")))
+    submit = F.concat(F.lit(bytes([0x7D, 0x40, 0x40, terminal.SBA, 0x40, 0x47])), F.lit(ebcdic.encode("SMITH") + b"\0\0" + bytes([terminal.EUA, 0x40, 0x50])))
     m = tables.messages(spark, sf_dir).select("flow_id", "ord", "type", F.when(F.col("type") == "REQUEST", submit).otherwise(write).alias("data"), "ts_us")
-    return terminal.terminal_events(pairing.two_way_pairs(m)).select("session_id", "n", "type", "ts_us", "aid", F.to_json("inputs").alias("inputs"), "screen_hash", "screen_name")
+    e = terminal.terminal_events(pairing.two_way_pairs(m), 99)
+    values = F.array_join(F.transform("fields", lambda f: F.concat_ws(" ", f["protected"].cast("string"), f["value"])), ",")
+    return e.select("session_key", "n", "type", "ts_us", "aid", F.to_json("inputs").alias("inputs"), F.rtrim(F.regexp_replace("plain_text", "\n+$", "")).alias("plain"), values.alias("field_values"), "screen_name")
 
 
 @query("SELECT event_id, regexp_replace(left(props, length(props) - 3), '\\S', '*', 'g') || right(props, 3) AS password, event_type AS other FROM events")
@@ -319,14 +368,35 @@ def http_report_text(spark, sf_dir):
 
 def _event_pairs(spark, sf_dir) -> DataFrame:
     e = tables.read(spark, sf_dir, "events")
-    side = lambda text: F.struct(text.cast("binary").alias("data"), tables.micros().alias("ts_us"))
-    chunked = F.concat(F.lit("HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"), F.lower(F.hex(F.length("props"))), F.lit("\r\n"), F.col("props"), F.lit("\r\n0\r\n\r\n"))
-    return e.select(F.concat(F.lit("txn:"), F.col("event_id").cast("string")).alias("tx_id"), side(F.lit("GET /a HTTP/1.1\r\nHost: h\r\n\r\n")).alias("request"), side(chunked).alias("response"))
+    side = lambda text, src, dst: F.struct(text.cast("binary").alias("data"), tables.micros().alias("ts_us"), F.lit(src).alias("src"), F.lit(dst).alias("dst"))
+    chunked = F.concat(F.lit("HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nX:  y \r\n\r\n"), F.lower(F.hex(F.length("props"))), F.lit("\r\n"), F.col("props"), F.lit("\r\n0\r\n\r\n"))
+    return e.select(F.concat(F.lit("txn:"), F.col("event_id").cast("string")).alias("tx_id"), side(F.lit("GET /a HTTP/1.1\r\nHost: h\r\n\r\n"), "10.0.0.1:9", "10.1.0.1:80").alias("request"), side(chunked, "10.1.0.1:80", "10.0.0.1:9").alias("response"))
+
+
+def _section_sql(title: str, src: str, dst: str, *lines: str) -> str:
+    head = [f"'=== {title} ==='", *(["'# id: ' || id"] if "HTTP" in title else []), "'# timestamp_us: ' || us", f"'# src: {src}'", f"'# dst: {dst}'", "''", *lines]
+    return " || ".join(f"{x} || chr(10)" for x in head)
 
 
-ORACLE["http_report_text"] = """WITH e AS (SELECT *, 'txn:' || event_id AS id, epoch_us(ts) AS us FROM events)
-    SELECT 'HTTP' AS protocol, id AS tx_id, us AS ts_us, '=== HTTP REQUEST ===' || chr(10) || '# id: ' || id || chr(10) || '# timestamp_us: ' || us || chr(10) || 'GET /a HTTP/1.1' || chr(10) || 'Host: h' || chr(10) || chr(10) || '(empty body)' || chr(10) || chr(10)
-    || '=== HTTP RESPONSE ===' || chr(10) || '# id: ' || id || chr(10) || '# timestamp_us: ' || us || chr(10) || 'HTTP/1.1 200 OK' || chr(10) || 'Content-Length: ' || length(props) || chr(10) || chr(10) || props AS content, us || '_txn_' || event_id || '.http' AS file_name FROM e"""
+_ENDS = ("10.0.0.1:9", "10.1.0.1:80")
+_DUMP = """CASE WHEN length({0}) = 0 THEN '' ELSE list_aggregate(list_transform(range(0, (length({0}) - 1) // {1} + 1), lambda k: printf('%04x', k * {1}) || ': ' || rpad(list_aggregate(list_transform(range(k * {1} + 1, least(length({0}), (k + 1) * {1}) + 1), lambda i: lower(hex(encode(substr({0}, i, 1)))) || ' '), 'string_agg', ''), 3 * {1}, ' ')
+    || ' |' || substr({0}, k * {1} + 1, {1}) || '|' || chr(10)), 'string_agg', '') END"""
+ORACLE["http_report_text"] = f"""WITH e AS (SELECT *, 'txn:' || event_id AS id, epoch_us(ts) AS us FROM events)
+    SELECT 'HTTP' AS protocol, id AS tx_id, us AS ts_us, {_section_sql("HTTP REQUEST", *_ENDS, "'GET /a HTTP/1.1'", "'Host: h'", "''", "'(empty body)'")} || chr(10)
+    || {_section_sql("HTTP RESPONSE", *_ENDS[::-1], "'HTTP/1.1 200 OK'", "'X: y'", "'Content-Length: ' || length(props)", "''", "props")} AS content, us || '_txn_' || event_id || '.http' AS file_name FROM e"""
+
+
+@query(
+    f"""WITH e AS (SELECT *, 'txn:' || event_id AS id, epoch_us(ts) AS us FROM events)
+    SELECT id AS tx_id, us || '_txn_' || event_id || '.tn3270.txt' AS file_name, {_section_sql("TN3270 REQUEST", *_ENDS).removesuffix(" || chr(10)")} || chr(10) || {_DUMP.format("props", 16)} || chr(10) || '=== TN3270 RESPONSE ===' || chr(10)
+    || CASE WHEN event_id % 2 = 0 THEN '(no response captured)' || chr(10) ELSE {_section_sql("TN3270 RESPONSE", *_ENDS[::-1], "'(empty payload)'").split(" || chr(10) || ", 1)[1]} END AS content FROM e"""
+)
+def terminal_report_text(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    side = lambda data, src, dst: F.struct(data.alias("data"), tables.micros().alias("ts_us"), F.lit(src).alias("src"), F.lit(dst).alias("dst"))
+    response = F.when(F.col("event_id") % 2 == 1, side(F.lit(b""), _ENDS[1], _ENDS[0]))
+    t = e.select(F.concat(F.lit("txn:"), F.col("event_id").cast("string")).alias("tx_id"), side(F.col("props").cast("binary"), *_ENDS).alias("request"), response.alias("response"))
+    return reports.terminal_reports(t).select("tx_id", "file_name", "content")
 
 
 @query("SELECT event_type AS metric, count(*) AS n FROM events GROUP BY event_type")
@@ -374,10 +444,10 @@ def printable_ratio(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", F.round(binary.printable_ratio(F.col("text").cast("binary")), 9).alias("ratio"))
 
 
-@query("SELECT 'murmur' AS name, count(*) AS n FROM events")
-def murmur_hash_count(spark, sf_dir):
-    e = tables.read(spark, sf_dir, "events").select(binary.murmur128(F.col("props").cast("binary")).alias("h"))
-    return e.agg(F.lit("murmur").alias("name"), F.count("h").alias("n"))
+@query()
+def murmur_hash(spark, sf_dir):
+    """128-bit hashes, which SQL doesn't have; a test compares each with a plain version."""
+    return tables.read(spark, sf_dir, "events").select("event_id", binary.murmur128(F.col("props").cast("binary")).alias("h"))
 
 
 @query(f"WITH {SEGMENTS} SELECT arrival, ts_us, src_ip, src_port, dst_ip, dst_port, seq, flags, payload FROM segments")
@@ -388,23 +458,95 @@ def kafka_json_roundtrip(spark, sf_dir):
     return back.withColumn("payload", F.col("payload").cast("string"))
 
 
-@query("SELECT event_id % 4 AS k, count(*) AS n FROM events GROUP BY 1")
+_SIDE_SQL = """'{direction}' AS {name}_direction, us AS {name}_ts, {length} AS {name}_length, {first} AS {name}_first, {head} AS {name}_headers, {body} AS {name}_body"""
+_CRLF = "chr(13) || chr(10)"
+_HEADS = ("'GET /a HTTP/1.1' || " + _CRLF + " || 'Host: h'", "'HTTP/1.1 200 OK' || " + _CRLF + " || 'Transfer-Encoding: chunked' || " + _CRLF + " || 'X:  y'")
+_CODED = f"lower(to_hex(length(props))) || {_CRLF} || props || {_CRLF} || '0' || {_CRLF} || {_CRLF}"
+
+
+@query(
+    f"""WITH e AS (SELECT *, 'txn:' || event_id AS id, epoch_us(ts) AS us FROM events)
+    SELECT id AS key, 'HTTP' AS protocol, id AS tx_id, us AS start_ts, us AS end_ts, '10.0.0.1' AS client_ip, 9 AS client_port, '10.1.0.1' AS server_ip, 80 AS server_port,
+    {_SIDE_SQL.format(name="request", direction="REQUEST", length=f"length({_HEADS[0]}) + 4", first="'GET /a HTTP/1.1'", head=_HEADS[0], body="''")},
+    {_SIDE_SQL.format(name="response", direction="RESPONSE", length=f"length({_HEADS[1]}) + 5 + length({_CODED})", first="'HTTP/1.1 200 OK'", head=_HEADS[1], body=_CODED)} FROM e"""
+)
 def pair_json_lines(spark, sf_dir):
-    """Events whose pair JSON, parsed again, has every field of the pair."""
-    end = F.struct(F.lit("10.0.0.1").alias("ip"), F.lit(80).alias("port"))
-    pairs = _event_pairs(spark, sf_dir).select("*", end.alias("client"), end.alias("server"))
-    side = "struct<timestamp: long, direction: string, length: int, bodyB64: string>"
+    """Every field of the pairs' JSON, read back."""
+    end = lambda ip, port: F.struct(F.lit(ip).alias("ip"), F.lit(port).alias("port"))
+    pairs = _event_pairs(spark, sf_dir).select("*", end("10.0.0.1", 9).alias("client"), end("10.1.0.1", 80).alias("server"))
+    side = "struct<timestamp: long, direction: string, length: int, firstLine: string, headers: string, bodyB64: string>"
     form = f"protocol string, txId string, startTs long, endTs long, client struct<ip: string, port: int>, server struct<ip: string, port: int>, request {side}, response {side}"
-    back = feeds.pair_json(pairs, "HTTP").select("key", F.from_json("value", form).alias("p")).join(pairs, F.col("key") == F.col("tx_id"))
-    whole = (F.col("p.protocol") == "HTTP") & (F.col("p.txId") == F.col("tx_id")) & (F.col("p.client") == F.col("client")) & (F.col("p.server") == F.col("server"))
-    whole &= (F.col("p.startTs") == F.least("request.ts_us", "response.ts_us")) & (F.col("p.endTs") == F.greatest("request.ts_us", "response.ts_us"))
-    for name, direction in (("request", "CLIENT"), ("response", "SERVER")):
-        got, own = F.col(f"p.{name}"), F.col(name)
-        whole &= (got["timestamp"] == own["ts_us"]) & (got["direction"] == direction) & (got["length"] == F.octet_length(own["data"])) & (F.unbase64(got["bodyB64"]) == own["data"])
-    return back.where(whole).groupBy((F.substring_index("tx_id", ":", -1).cast("long") % 4).alias("k")).agg(F.count("*").alias("n"))
+    p = feeds.pair_json(pairs, "HTTP").select("key", F.from_json("value", form).alias("p"))
+    of = lambda s: [F.col(f"p.{s}.{c}").alias(f"{s}_{a}") for c, a in (("direction", "direction"), ("timestamp", "ts"), ("length", "length"), ("firstLine", "first"), ("headers", "headers"))] + [F.unbase64(F.col(f"p.{s}.bodyB64")).cast("string").alias(f"{s}_body")]
+    return p.select("key", "p.protocol", F.col("p.txId").alias("tx_id"), F.col("p.startTs").alias("start_ts"), F.col("p.endTs").alias("end_ts"), F.col("p.client.ip").alias("client_ip"), F.col("p.client.port").alias("client_port"), F.col("p.server.ip").alias("server_ip"), F.col("p.server.port").alias("server_port"), *of("request"), *of("response"))
+
+
+@query(
+    f"""SELECT tx_id, 'HTTP REQUEST' || chr(10) || 'GET /a HTTP/1.1' || chr(10) || 'HTTP RESPONSE' || chr(10) || 'HTTP/1.1 200 OK' || chr(10) || props || chr(10) AS content FROM (SELECT 'txn:' || event_id AS tx_id, props FROM events)"""
+)
+def bus_pair_reports(spark, sf_dir):
+    """Pairs as the bus carries them, written, read and reported."""
+    end = F.struct(F.lit("10.0.0.1").alias("ip"), F.lit(80).alias("port"))
+    lines = feeds.pair_json(_event_pairs(spark, sf_dir).select("*", end.alias("client"), end.alias("server")), "HTTP")
+    return feeds.pair_reports(feeds.parse_pairs(lines), True)
+
+
+@query(f"WITH {MESSAGES} SELECT flow_id, ord, type, text AS body, '' AS headers, 'a:1' AS src, 'b:2' AS dst, ts_us FROM messages")
+def blob_store_roundtrip(spark, sf_dir):
+    """Messages to blobs and index lines in the shared folder, and back by ranges."""
+    m = tables.messages(spark, sf_dir).select("*", F.concat_ws("/", "flow_id", F.col("ord").cast("string")).alias("tx_id"), F.lit("a:1").alias("src"), F.lit("b:2").alias("dst"), F.lit("TN3270").alias("protocol"))
+    folder = scratch_folder(spark)
+    feeds.write_store(m, folder)
+    back = feeds.with_blobs(detect.index_entries_of(feeds.read_index(spark, folder), "TN3270"), folder)
+    return back.select(F.col("session").alias("flow_id"), F.substring_index("id", "/", -1).cast("long").alias("ord"), F.col("kind").alias("type"), F.col("body").cast("string").alias("body"), F.col("headers").cast("string").alias("headers"), "src", "dst", F.col("ts_first").alias("ts_us"))
 
 
-@query("""WITH m AS (SELECT CAST(conv_id AS VARCHAR) AS f, turn, strlen(text) AS size, least(strlen(text), 10) AS head FROM conversations WHERE role IN ('user', 'assistant'))
+@query(
+    f"WITH {HTTP_EVENTS} SELECT 'q' || event_id AS id, substr(q, 1, strpos(q, chr(13)) - 1) AS first_line, q AS headers, '' AS body FROM ev UNION ALL SELECT 'p' || event_id, substr(p, 1, strpos(p, chr(13)) - 1), substr(p, 1, length(p) - length(props)), props FROM ev"
+)
+def http_blob_store(spark, sf_dir):
+    """Heads and bodies of HTTP messages to the store and back."""
+    q, p = tables.event_messages()
+    side = lambda text, mark, kind, rank: F.struct(F.concat(F.lit(mark), F.col("event_id").cast("string")).alias("tx_id"), F.lit(kind).alias("type"), text.cast("binary").alias("data"), (F.col("event_id") * 2 + rank).alias("ord"))
+    e = tables.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("flow_id"), tables.micros().alias("ts_us"), F.explode(F.array(side(q, "q", "REQUEST", 0), side(p, "p", "RESPONSE", 1))).alias("m"))
+    m = e.select("flow_id", "ts_us", "m.*", F.lit("a:1").alias("src"), F.lit("b:2").alias("dst"), F.lit("HTTP").alias("protocol"))
+    folder = scratch_folder(spark)
+    feeds.write_store(m, folder, 1 << 20)
+    back = feeds.with_blobs(detect.index_entries_of(feeds.read_index(spark, folder), "HTTP"), folder)
+    return back.select("id", "first_line", F.col("headers").cast("string").alias("headers"), F.col("body").cast("string").alias("body"))
+
+
+@query(f"WITH {SEGMENTS} SELECT ts_us, src_ip, src_port, dst_ip, dst_port, seq, flags, payload FROM segments")
+def segbin_roundtrip(spark, sf_dir):
+    """Segments to files of segment records and back."""
+    capture.register(spark)
+    folder = scratch_folder(spark)
+    tables.segments(spark, sf_dir).write.format("segbin").mode("append").option("path", folder).option("rollMiB", 1).save()
+    return spark.read.format("segbin").load(folder).drop("arrival").withColumn("payload", F.col("payload").cast("string"))
+
+
+@query(
+    """SELECT event_id, 'T' || user_id AS key, 1 AS schema_version, CASE WHEN event_id % 2 = 0 THEN 'SCREEN_RENDER' ELSE 'USER_SUBMIT' END AS type, CASE WHEN event_id % 2 = 0 THEN 'screen-renders' ELSE 'user-actions' END AS topic,
+    CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'ENTER' END AS aid, CASE WHEN event_id % 2 = 0 THEN 24 END AS rows, CASE WHEN event_id % 2 = 1 THEN event_type END AS typed, CASE WHEN event_id % 2 = 0 THEN '[]' END AS fields, 'MAIN' AS screen_name, 's' AS session_id, 26 AS id_length, 'terminal-assembler' AS source FROM events"""
+)
+def terminal_event_json(spark, sf_dir):
+    """Terminal events' envelopes, read back."""
+    submit = F.col("event_id") % 2 == 1
+    e = tables.read(spark, sf_dir, "events").select(
+        F.lit("s").alias("session_id"), F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("session_key"), F.col("event_id").alias("n"), F.when(submit, "USER_SUBMIT").otherwise("SCREEN_RENDER").alias("type"), tables.micros().alias("ts_us"),
+        F.lit("ENTER").alias("aid"), F.create_map(F.lit("NAME:"), F.col("event_type")).alias("inputs"), F.lit(24).alias("rows"), F.lit(80).alias("cols"), F.lit(None).cast(f"array<struct<{terminal.FIELD}>>").alias("fields"), F.lit("h").alias("screen_hash"), F.lit("MAIN").alias("screen_name"),
+    )
+    lines = feeds.terminal_json(e.select("*", F.lit("").alias("plain_text")), emitted=F.timestamp_micros("ts_us"))
+    at = lambda path: F.get_json_object("value", path)
+    # The event's number is in no field of the envelope but its id's hash, so it is joined by the id.
+    ids = e.select(F.col("n").alias("event_id"), feeds.event_id(F.col("ts_us"), F.col("session_key"), F.col("n").cast("string")).alias("id"))
+    return lines.join(ids, at("$.eventId") == F.col("id")).select(
+        "event_id", "key", at("$.schemaVersion").cast("int").alias("schema_version"), at("$.type").alias("type"), "topic", at("$.tn3270.aid").alias("aid"), at("$.tn3270.rows").cast("int").alias("rows"), at("$.tn3270.inputs['NAME:']").alias("typed"),
+        at("$.tn3270.fields").alias("fields"), at("$.tn3270.screenName").alias("screen_name"), at("$.session.sessionId").alias("session_id"), F.length("id").alias("id_length"), at("$.pipeline.source").alias("source"),
+    )
+
+
+@query("""WITH m AS (SELECT CAST(conv_id AS VARCHAR) AS f, turn, strlen(coalesce(text, '')) AS size, least(strlen(coalesce(text, '')), 10) AS head FROM conversations)
     SELECT f AS session, turn AS ord, CAST(coalesce(sum(size) OVER (PARTITION BY f ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS headers_off, CAST(head AS BIGINT) AS headers_len,
     CAST(coalesce(sum(size) OVER (PARTITION BY f ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + head AS BIGINT) AS body_off, CAST(size - head AS BIGINT) AS body_len FROM m""")
 def index_offsets(spark, sf_dir):
@@ -412,10 +554,9 @@ def index_offsets(spark, sf_dir):
     return feeds.index_lines(m, "blob", F.least(F.octet_length("data"), F.lit(10))).select("session", F.col("ts_first").alias("ord"), "headers_off", "headers_len", "body_off", "body_len")
 
 
-@query("SELECT event_id, '00000000  ' || rpad(array_to_string(list_transform(range(1, 1 + least(8, length(props))), lambda i: lower(hex(encode(substr(props, i, 1))))), ' '), 23, ' ') || '  ' || substr(props, 1, 8) AS first_line FROM events")
+@query(f"SELECT event_id, {_DUMP.format('props', 8)} AS dump FROM events")
 def hex_dump_lines(spark, sf_dir):
-    dump = binary.hex_dump(F.col("props").cast("binary"), 8)
-    return tables.read(spark, sf_dir, "events").select("event_id", F.substring_index(dump, "\n", 1).alias("first_line"))
+    return tables.read(spark, sf_dir, "events").select("event_id", binary.hex_dump(F.col("props").cast("binary"), 8).alias("dump"))
 
 
 @query("SELECT event_id, props AS body FROM events")
@@ -432,11 +573,54 @@ def json_strictness(spark, sf_dir):
     return e.select("event_id", binary.json_or_null(text).isNotNull().alias("valid"))
 
 
-@query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'unknown' ELSE regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') END AS name FROM pages")
 def safe_file_names(spark, sf_dir):
-    return tables.read(spark, sf_dir, "pages").select("page_id", binary.safe_name(F.col("url")).alias("name"))
+    return tables.read(spark, sf_dir, "pages").select("page_id", binary.safe_name(F.when(F.col("page_id") % 10 != 0, F.col("url")).when(F.col("page_id") % 20 == 0, " \t")).alias("name"))
 
 
 @query(f"WITH {ORIENTED}, d AS (SELECT DISTINCT flow_id, conv, client, flow_seq FROM flow) SELECT client, count(*) AS flows FROM d GROUP BY client")
 def flows_by_client(spark, sf_dir):
     return _oriented(spark, sf_dir).select("flow_id", "client").distinct().groupBy("client").agg(F.count("*").alias("flows"))
+
+
+@query("SELECT event_type AS metric, count(*) AS waits, CAST(sum(event_id % 50) AS BIGINT) AS total FROM events GROUP BY event_type")
+def queue_waits(spark, sf_dir):
+    return metrics.waits(tables.read(spark, sf_dir, "events"), "event_type", F.col("event_id") % 50)
+
+
+@query(f"WITH {SEGMENTS} SELECT count(*) AS scanned, CAST(sum(CASE WHEN contains(payload, '\"k\": 7') THEN 1 ELSE 0 END) AS BIGINT) AS matched FROM segments")
+def grep_totals(spark, sf_dir):
+    return metrics.grep_totals(tables.segments(spark, sf_dir), b'"k": 7')
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 40 THEN text ELSE 'cut' END AS clamped, true AS fits FROM documents")
+def utf8_clamp(spark, sf_dir):
+    """Texts cut to 40 bytes at whole characters; what is cut is checked to be the longest such prefix."""
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", "text", binary.clamp_utf8(F.col("text"), 40).alias("c"))
+    whole = F.octet_length("text") <= 40
+    longer = F.expr("octet_length(substring(text, 1, length(c) + 1)) > 40")
+    fits = F.when(whole, F.col("c") == F.col("text")).otherwise(F.startswith("text", F.col("c")) & (F.octet_length("c") <= 40) & longer)
+    return d.select("doc_id", F.when(whole, F.col("c")).otherwise("cut").alias("clamped"), fits.alias("fits"))
+
+
+FIELD_RULES = """
+version: 1
+rules:
+  - {id: header, match: {header: {user-agent: {equals: agent1}}}}
+  - {id: cookie, match: {cookie: {jsessionid: {regex: '^s[0-9]*5$'}}}}
+  - {id: query, match: {query: {k: '3'}}}
+  - {id: answer, match: {responseHeader: {content-type: {contains: json}}, status: 500}}
+  - {id: prefix, match: {path: {prefix: /u/1}, method: [post]}}
+  - {id: part, match: {path: {contains: /click}}}
+  - {id: body, match: {responseBody: {contains: '7'}}}
+  - {id: shape, match: {responseBody: {regex: '"k": [0-9]}$'}}}
+  - {id: lack, match: {responseBody: {jsonpath: [{path: $.none, exists: false}]}, query: {k: '0'}}}
+"""
+
+
+@query(r"""SELECT CAST(event_id AS VARCHAR) AS flow_id, rule_id FROM (SELECT *, unnest([CASE WHEN event_id % 3 = 1 THEN 'header' END, CASE WHEN event_id % 4 = 0 AND user_id % 10 = 5 THEN 'cookie' END, CASE WHEN event_id % 9 = 3 THEN 'query' END,
+    CASE WHEN event_type = 'error' THEN 'answer' END, CASE WHEN event_type = 'purchase' AND starts_with(CAST(user_id AS VARCHAR), '1') THEN 'prefix' END, CASE WHEN event_type = 'click' THEN 'part' END, CASE WHEN contains(props, '7') THEN 'body' END,
+    CASE WHEN regexp_matches(props, '"k": [0-9]\}$') THEN 'shape' END, CASE WHEN event_id % 9 = 0 THEN 'lack' END]) AS rule_id FROM events) WHERE rule_id IS NOT NULL""")
+def rule_fields(spark, sf_dir):
+    """Predicates over headers, cookies, parameters, paths, response fields and bodies."""
+    return rules.evaluate(_event_exchanges(spark, sf_dir), rules.load_rules(FIELD_RULES)).select("flow_id", "rule_id")

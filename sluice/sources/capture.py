@@ -6,11 +6,10 @@ is the file's number in name order, shifted, plus the record's number.  Register
 
 from __future__ import annotations
 
-import glob
 import ipaddress
-import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ._files import listed, locate
 from ..schemas import ACK, FIN, FRAME, PSH, RST, SEGMENT, SYN
 
 FILE_SHIFT = 40
@@ -27,11 +27,6 @@ LINK_TYPES = (1, 113, 276)
 SEGBIN_MAGIC = b"SGB1"
 
 
-def _files(path: str, suffix: str) -> list[str]:
-    path = path.removeprefix("file://")
-    return sorted(glob.glob(os.path.join(path, f"*{suffix}"))) if os.path.isdir(path) else sorted(glob.glob(path))
-
-
 class _File(InputPartition):
     def __init__(self, number: int, path: str):
         super().__init__(number)
@@ -45,10 +40,11 @@ class _Reader(DataSourceReader):
         self.path, self.snaplen = options["path"], int(options.get("snaplen", 262144))
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(i, p) for i, p in enumerate(_files(self.path, self.suffix))]
+        return [_File(i, p) for i, p in enumerate(listed(self.path, self.suffix))]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        store, _ = locate(self.path)
+        with store.open_input_stream(partition.path) as f:
             for n, row in enumerate(self.rows(f)):
                 yield (partition.number << FILE_SHIFT | n, *row)
 
@@ -115,40 +111,51 @@ class _Done(WriterCommitMessage):
 
 
 class SegbinWriter(DataSourceWriter):
-    """Each task writes its own files, a new one before a record would exceed ``rollMiB`` (0: never), first under temporary names."""
+    """Each task writes its own files, a new one before a record would exceed ``rollMiB`` (0: never), first under temporary names.
+
+    The commit names the files of the tasks that count; the commit and the abort delete temporary files of all others.
+    """
 
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.roll = int(options.get("rollmib", options.get("rollMiB", 0))) << 20
+        self.job = uuid.uuid4().hex[:12]
 
     def write(self, rows) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        base = f"part-{context.partitionId():05d}-{context.taskAttemptId()}"
-        os.makedirs(self.path, exist_ok=True)
+        store, base = locate(self.path)
+        store.create_dir(base)
+        stem = f"{base}/part-{self.job}-{context.partitionId():05d}-{context.taskAttemptId()}"
         out, files = None, []
         for r in rows:
             data = segment_record(r["ts_us"], r["src_ip"], r["src_port"], r["dst_ip"], r["dst_port"], r["seq"], r["flags"], bytes(r["payload"] or b""))
             if out is None or (self.roll and out.tell() + len(data) > self.roll):
                 if out:
                     out.close()
-                files.append(f"{self.path}/{base}-{len(files):04d}.segbin")
-                out = open(files[-1] + ".tmp", "wb")
+                files.append(f"{stem}-{len(files):04d}.segbin")
+                out = store.open_output_stream(files[-1] + ".tmp")
                 out.write(SEGBIN_MAGIC)
             out.write(data)
         if out:
             out.close()
         return _Done(files)
 
+    def _clean(self) -> None:
+        store, _ = locate(self.path)
+        for f in listed(self.path, ".tmp"):
+            if f"part-{self.job}-" in f:
+                store.delete_file(f)
+
     def commit(self, messages) -> None:
+        store, _ = locate(self.path)
         for f in (f for m in messages if m for f in m.files):
-            os.replace(f + ".tmp", f)
+            store.move(f + ".tmp", f)
+        self._clean()
 
     def abort(self, messages) -> None:
-        for f in (f for m in messages if m for f in m.files):
-            if os.path.exists(f + ".tmp"):
-                os.remove(f + ".tmp")
+        self._clean()
 
 
 class PcapSource(DataSource):
@@ -238,6 +245,23 @@ def decode_frames(frames: DataFrame) -> DataFrame:
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.:]+)")
 
 
+# Filters that need no opt-in, and characters that no filter may hold.
+DEFAULT_FILTERS = ("tcp", "tcp and (port 23 or port 992)")
+FORBIDDEN = ";`"
+
+
+def allowed_filter(expression: str, custom: bool = False) -> str:
+    """The filter, if it is a default or ``custom`` filters are opted into and it holds nothing forbidden."""
+    text = expression.strip()
+    if text in DEFAULT_FILTERS:
+        return text
+    if not custom:
+        raise ValueError("a filter of one's own needs the opt-in")
+    if any(c in FORBIDDEN for c in text):
+        raise ValueError("a filter holds a forbidden character")
+    return text
+
+
 def bpf(expression: str) -> Column:
     """A capture filter over segments: tcp, [src|dst] port N, [src|dst] host A, and, or, not, parentheses."""
     if not expression.strip() or len(expression) > 1024 or not expression.isprintable() or not expression.isascii():

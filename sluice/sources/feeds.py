@@ -5,12 +5,17 @@ The bus itself is Spark's ``kafka`` source and sink where its jar is installed;
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binary import plain_base64
 from ..schemas import INDEX, SEGMENT_JSON
+from ._files import listed, locate, put
 
 
 def kafka(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
@@ -32,22 +37,79 @@ def segment_json(segments: DataFrame, *more: str) -> DataFrame:
     return segments.select(F.concat_ws(">", end("src"), end("dst")).alias("key"), F.to_json(body).alias("value"), *more)
 
 
-def pair_json(pairs: DataFrame, protocol: str, body: str = "bodyB64") -> DataFrame:
-    """``key, value`` of pairs with ``tx_id, client, server``: both sides with time, direction, length and bytes in base64."""
+def _json(parts: dict[str, Column]) -> Column:
+    """A JSON object of values that are JSON already."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items())), F.lit("}"))
+
+
+def _text(value: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(F.coalesce(value, F.lit("")).alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1)
 
-    def side(name: str, direction: str) -> Column:
-        s = F.col(name)
-        return F.when(s.isNotNull(), F.struct(s["ts_us"].alias("timestamp"), F.lit(direction).alias("direction"), F.octet_length(s["data"]).alias("length"), plain_base64(s["data"]).alias(body)))
 
-    value = F.struct(F.lit(protocol).alias("protocol"), F.col("tx_id").alias("txId"), F.least("request.ts_us", "response.ts_us").alias("startTs"), F.greatest("request.ts_us", "response.ts_us").alias("endTs"), "client", "server", side("request", "CLIENT").alias("request"), side("response", "SERVER").alias("response"))
-    return pairs.select(F.col("tx_id").alias("key"), F.to_json(value).alias("value"))
+def pair_json(pairs: DataFrame, protocol: str) -> DataFrame:
+    """``key, value`` of pairs with ``tx_id, client, server``: both sides with time, direction, length and content; a side that lacks is null.
 
+    HTTP sides have the first line, the head as text and the body in base64, others all bytes in base64.
+    """
 
-def terminal_json(events: DataFrame) -> DataFrame:
-    """``topic, key, value``: screens go to one topic, what users do to another."""
-    topic = F.when(F.col("type") == "SCREEN_RENDER", "screen-renders").otherwise("user-actions")
-    value = F.struct(F.lit(1).alias("schemaVersion"), F.col("type"), F.col("ts_us").alias("timestamp"), F.struct(F.col("session_id").alias("id")).alias("session"), F.struct("aid", "inputs", "rows", "cols", F.col("plain_text").alias("screen"), F.col("screen_hash").alias("screenHash"), F.col("screen_name").alias("screenName")).alias("tn3270"))
-    return events.select(topic.alias("topic"), F.col("session_id").alias("key"), F.to_json(value).alias("value"))
+    def side(name: str) -> Column:
+        s = F.col(name)
+        text = F.decode(s["data"], "ISO-8859-1")
+        at = F.locate("\r\n\r\n", text)
+        head = F.regexp_replace(F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text), r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+        parts = {"timestamp": s["ts_us"].cast("string"), "direction": _text(F.lit(name.upper())), "length": F.octet_length(s["data"]).cast("string")}
+        if protocol == "HTTP":
+            body = F.when(at > 0, F.substring(s["data"], at + 4, F.octet_length(s["data"]))).otherwise(F.lit(b""))
+            parts |= {"firstLine": _text(F.trim(F.regexp_replace(F.substring_index(head, "\n", 1), "\r", ""))), "headers": _text(head), "bodyB64": _text(plain_base64(body)), "metadataTxId": _text(F.col("tx_id"))}
+        else:
+            parts["payloadB64"] = _text(plain_base64(s["data"]))
+        if "attributes" in pairs.schema[name].dataType.names:
+            parts["attributes"] = F.when(F.size(s["attributes"]) > 0, F.to_json(s["attributes"]))
+        return F.when(s.isNotNull(), _json(parts)).otherwise("null")
+
+    end = lambda c: _json({"ip": _text(F.col(c)["ip"]), "port": F.coalesce(F.col(c)["port"], F.lit(0)).cast("string")})
+    times = [F.coalesce(f("request.ts_us", "response.ts_us"), F.lit(0).cast("long")).cast("string") for f in (F.least, F.greatest)]
+    value = {"protocol": _text(F.lit(protocol)), "txId": _text(F.col("tx_id")), "startTs": times[0], "endTs": times[1], "client": end("client"), "server": end("server"), "request": side("request"), "response": side("response")}
+    return pairs.select(F.col("tx_id").alias("key"), _json(value).alias("value"))
+
+
+def event_id(ts_us: Column, *unique: Column) -> Column:
+    """26 characters that sort by time: milliseconds, then 80 bits of a hash, in base 32 without I, L, O, U. Alike when a task runs again."""
+    base32 = lambda x, n: F.lpad(F.translate(x, "IJKLMNOPQRSTUV", "JKMNPQRSTVWXYZ"), n, "0")
+    digest = F.sha2(F.concat_ws("|", *unique), 256)
+    return F.concat(base32(F.conv(F.floor(ts_us / 1000).cast("string"), 10, 32), 10), *(base32(F.conv(F.substring(digest, 1 + 10 * k, 10), 16, 32), 8) for k in range(2)))
+
+
+def terminal_json(events: DataFrame, screens: str = "screen-renders", actions: str = "user-actions", source: str = "terminal-assembler", host: str | None = None, emitted: Column | None = None) -> DataFrame:
+    """``topic, key, value``: screens go to one topic, what users do to another. Parts that an event's type lacks are left out."""
+    kind = F.col("type")
+    submit, render = kind == "USER_SUBMIT", kind == "SCREEN_RENDER"
+    of = lambda when, value: F.when(when, value)
+    terminal = F.struct(
+        of(submit, F.coalesce("aid", F.lit("UNKNOWN"))).alias("aid"),
+        of(render, F.col("rows")).alias("rows"),
+        of(render, F.col("cols")).alias("cols"),
+        of(submit | render, F.col("screen_hash")).alias("screenHash"),
+        F.col("screen_name").alias("screenName"),
+        of(submit, F.coalesce("inputs", F.create_map().cast("map<string,string>"))).alias("inputs"),
+        of(render, F.coalesce("fields", F.array().cast(events.schema["fields"].dataType))).alias("fields"),
+    )
+    at = F.date_format(F.to_utc_timestamp(emitted if emitted is not None else F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    pipeline = F.struct(F.lit(source).alias("source"), *([F.lit(host).alias("host")] if host else []))
+    value = F.struct(F.lit(1).alias("schemaVersion"), event_id(F.col("ts_us"), F.col("session_key"), F.col("n").cast("string")).alias("eventId"), at.alias("emittedAt"), kind.alias("type"), F.struct(F.col("session_key").alias("sessionKey"), F.col("session_id").alias("sessionId")).alias("session"), terminal.alias("tn3270"), pipeline.alias("pipeline"))
+    return events.select(F.when(render, screens).otherwise(actions).alias("topic"), F.col("session_key").alias("key"), F.to_json(value).alias("value"))
+
+
+def to_kafka(lines: DataFrame, servers: str, topic: str | None = None, **options: str) -> None:
+    """Rows of ``key, value`` (and ``topic``, unless one is given) to the bus; every record is acknowledged by all replicas."""
+    rows = lines.select(*(c for c in ("topic", "key", "value") if c in lines.columns and not (c == "topic" and topic)))
+    rows.write.format("kafka").options(**{"kafka.bootstrap.servers": servers, "kafka.acks": "all", **({"topic": topic} if topic else {}), **options}).save()
+
+
+def report_lines(reports: DataFrame) -> DataFrame:
+    """``key, value``: reports as the bus carries them, by transaction."""
+    return reports.select(F.col("tx_id").alias("key"), F.col("content").alias("value"))
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,13 +118,89 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("*", F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("arrival"))
 
 
-def with_blobs(index: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """Adds ``headers`` and ``body``: the bytes that entries point to; empty where the blob is missing."""
-    blobs = spark.read.format("binaryFile").load(f"{folder}/*.seg").select(F.element_at(F.split("path", "/"), -1).alias("blob"), "content")
-    cut = lambda part: F.coalesce(F.expr(f"substring({part}_content, CAST({part}_off + 1 AS INT), CAST({part}_len AS INT))"), F.lit(b""))
-    h = blobs.select(F.col("blob").alias("headers_blob"), F.col("content").alias("headers_content"))
-    b = blobs.select(F.col("blob").alias("body_blob"), F.col("content").alias("body_content"))
-    return index.join(h, "headers_blob", "left").select("*", cut("headers").alias("headers")).drop("headers_content").join(b, "body_blob", "left").select("*", cut("body").alias("body")).drop("body_content")
+def with_blobs(index: DataFrame, folder: str) -> DataFrame:
+    """Adds ``headers`` and ``body``: the bytes that entries point to, empty where the blob is missing. Each task reads just its ranges; nothing is shuffled."""
+    own = index.select("*", F.struct(*(F.col(f"{p}_{c}") for p in ("headers", "body") for c in ("blob", "off", "len"))).alias("_at"))
+    names = index.columns
+    position = len(names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = locate(folder)
+        open_files: dict[str, object] = {}
+
+        def cut(blob: str | None, off: int | None, size: int | None) -> bytes:
+            if not blob or not size or size < 0 or off is None:
+                return b""
+            if blob not in open_files:
+                if len(open_files) > 16:
+                    for f in open_files.values():
+                        if f is not None:
+                            f.close()
+                    open_files.clear()
+                try:
+                    open_files[blob] = store.open_input_file(f"{base}/{blob}")
+                except FileNotFoundError:
+                    open_files[blob] = None
+            f = open_files[blob]
+            return b"" if f is None else f.read_at(size, off)
+
+        for batch in batches:
+            at = batch.column(position).to_pylist()
+            parts = [pa.array([cut(*(a[f"{p}_{c}"] for c in ("blob", "off", "len"))) for a in at], pa.binary()) for p in ("headers", "body")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:position], *parts], names=[*names, "headers", "body"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema), "headers binary", "body binary"])
+    return own.mapInArrow(work, schema)
+
+
+def write_store(messages: DataFrame, folder: str, roll_bytes: int = 128 << 20) -> DataFrame:
+    """Messages (``flow_id, ord, type, data, ts_us, tx_id, src, dst, protocol``) as blobs and index lines in a folder.
+
+    Each task fills blobs of its own, a new one before a message would exceed ``roll_bytes``; a blob appears once it is whole, and its
+    index after it, so readers never see an entry without its bytes.  A task that runs again writes files of other names, and only
+    the index files that the job names count: the table returned, ``index, blob``, has them, and the others are deleted.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, base = locate(folder)
+        store.create_dir(base)
+        context = TaskContext.get()
+        stem = f"{context.partitionId():05d}-{context.taskAttemptId()}"
+        number, data, lines = 0, bytearray(), []
+
+        def close() -> pa.RecordBatch:
+            put(store, f"{base}/blob-{stem}-{number:04d}.seg", bytes(data))
+            put(store, f"{base}/index-{stem}-{number:04d}.ndjson.part", "".join(f"{x}\n" for x in lines).encode())
+            return pa.RecordBatch.from_arrays([pa.array([f"index-{stem}-{number:04d}.ndjson"]), pa.array([f"blob-{stem}-{number:04d}.seg"])], names=["index", "blob"])
+
+        for batch in batches:
+            for flow, kind, payload, ts, tx, src, dst, protocol in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                payload = payload or b""
+                if data and len(data) + len(payload) > roll_bytes:
+                    yield close()
+                    number, data, lines = number + 1, bytearray(), []
+                end = payload.find(b"\r\n\r\n") + 4 if protocol == "HTTP" else 0
+                head = end if end >= 4 else len(payload) if protocol == "HTTP" else 0
+                first = payload[:head].split(b"\n")[0].decode("latin-1").strip() if protocol == "HTTP" else ""
+                blob, off = f"blob-{stem}-{number:04d}.seg", len(data)
+                entry = {"id": tx, "kind": kind, "ts_first": ts, "ts_last": ts, "session": flow, "src": src, "dst": dst, "first_line": first}
+                entry |= {"headers_blob": blob if head else None, "headers_off": off, "headers_len": head, "body_blob": blob, "body_off": off + head, "body_len": len(payload) - head}
+                lines.append(json.dumps({k: v for k, v in entry.items() if v is not None}, ensure_ascii=False))
+                data += payload
+        if lines:
+            yield close()
+
+    ordered = messages.repartition("flow_id").sortWithinPartitions("flow_id", "ord").select("flow_id", "type", "data", "ts_us", "tx_id", "src", "dst", "protocol")
+    rows = ordered.mapInArrow(work, "index string, blob string").collect()  # a row a file of up to roll_bytes
+    store, base = locate(folder)
+    for r in rows:
+        store.move(f"{base}/{r['index']}.part", f"{base}/{r['index']}")
+    kept = {r["blob"] for r in rows}
+    for path in listed(folder, ".part") + [p for p in listed(folder, ".seg") if p.rsplit("/", 1)[-1] not in kept and p.rsplit("/", 1)[-1].startswith("blob-")]:
+        store.delete_file(path)
+    return messages.sparkSession.createDataFrame([(r["index"], r["blob"]) for r in rows], "index string, blob string")
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:

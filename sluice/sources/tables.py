@@ -7,6 +7,7 @@ messages; ``documents`` become byte chunks that arrive out of order; ``pages`` b
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import ACK, FIN, PSH, SYN
@@ -46,11 +47,58 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def http_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One exchange an event, in its user's conversation with one server: the request in two segments, the response in one.
+
+    The second half of a request comes first, but for the first request of a flow; some errors' responses close the flow.
+    """
+    request, response = event_messages()
+    key = ("event_id", "user_id", "closes", "ts_us")
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", F.expr("CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 1 ELSE 0 END").alias("closes"), micros().alias("ts_us"), request.cast("binary").alias("q"), response.cast("binary").alias("p"))
+    before = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
+    e = e.select("*", F.coalesce(F.sum("closes").over(before), F.lit(0)).alias("inc"))
+    past = W.partitionBy("user_id", "inc").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(F.octet_length(c)).over(past), F.lit(0))
+    e = e.select(*key, "q", "p", total("q").alias("q_at"), total("p").alias("p_at"), (F.count("*").over(past) == 0).alias("first"))
+    piece = lambda side, rank, seq, payload, flags: F.struct(F.lit(side).alias("up"), rank.alias("rank"), seq.alias("seq"), payload.alias("payload"), flags.alias("flags"))
+    none = F.lit(PSH)
+    parts = F.array(
+        piece(True, F.when(F.col("first"), 0).otherwise(1), F.col("q_at"), F.expr("substring(q, 1, 30)"), none),
+        piece(True, F.when(F.col("first"), 1).otherwise(0), F.col("q_at") + 30, F.expr("substring(q, 31)"), none),
+        piece(False, F.lit(2), F.col("p_at"), F.col("p"), none + F.col("closes") * FIN),
+    )
+    s = e.select(*key, F.explode(parts).alias("s")).select(*key, "s.*")
+    client, server = F.concat(F.lit("10.0.0."), F.expr("CAST(user_id % 250 AS STRING)")), F.lit("10.1.0.1")
+    client_port, server_port = F.expr("CAST(40000 + user_id AS INT)"), F.lit(80)
+    return s.select(
+        (F.col("event_id") * 4 + F.col("rank")).cast("long").alias("arrival"),
+        (F.col("ts_us") + F.col("rank") * 750).alias("ts_us"),
+        F.when(F.col("up"), client).otherwise(server).alias("src_ip"),
+        F.when(F.col("up"), client_port).otherwise(server_port).alias("src_port"),
+        F.when(F.col("up"), server).otherwise(client).alias("dst_ip"),
+        F.when(F.col("up"), server_port).otherwise(client_port).alias("dst_port"),
+        F.col("seq").cast("long").alias("seq"),
+        F.col("flags").cast("int").alias("flags"),
+        "payload",
+    )
+
+
+def event_messages() -> tuple[Column, Column]:
+    """An event's request and response as text: a request by its user for its type, answered with its properties."""
+    text = lambda c: F.col(c).cast("string")
+    method = F.when(F.col("event_type") == "purchase", "POST").otherwise("GET")
+    status = F.when(F.col("event_type") == "error", "500").otherwise("200")
+    cookie = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("JSESSIONID=s"), text("user_id"))).otherwise("x=1")
+    request = F.concat(method, F.lit(" /u/"), text("user_id"), F.lit("/"), F.col("event_type"), F.lit("?K="), (F.col("event_id") % 9).cast("string"), F.lit(" HTTP/1.1\r\nHost: a\r\nUser-Agent: agent"), (F.col("event_id") % 3).cast("string"), F.lit("\r\nCookie: "), cookie, F.lit("\r\n\r\n"))
+    return request, F.concat(F.lit("HTTP/1.1 "), status, F.lit(" X\r\nContent-Type: application/json\r\n\r\n"), F.col("props"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as messages of a flow: users ask, assistants answer."""
-    c = read(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    """Conversations as messages of a flow: users ask, all others answer."""
+    c = read(spark, sf_dir, "conversations")
     kind = F.when(F.col("role") == "user", "REQUEST").otherwise("RESPONSE")
-    return c.select(F.col("conv_id").cast("string").alias("flow_id"), F.col("turn").alias("ord"), kind.alias("type"), F.col("text").cast("binary").alias("data"), (F.col("turn") * 1000 + F.length("text")).alias("ts_us"))
+    text = F.coalesce("text", F.lit(""))
+    return c.select(F.col("conv_id").cast("string").alias("flow_id"), F.col("turn").alias("ord"), kind.alias("type"), text.cast("binary").alias("data"), (F.col("turn") * 1000 + F.length(text)).alias("ts_us"))
 
 
 def chunks(spark: SparkSession, sf_dir: str, size: int = 400) -> DataFrame:

@@ -1,7 +1,8 @@
-"""The flow machines over a stream of segments, with the same per-flow code as in batch.
+"""Raw segments as a stream to pairs, by the same machine as in batch.
 
-State is a flow's frontiers and waiting bytes, framing buffers and open requests; a flow that stays silent for
-``ttl_ms`` is given up, and what it still held is counted out as dropped.
+State is a conversation's: who the client is, frontiers and waiting bytes, framing buffers, open requests.  A conversation
+that stays silent for ``ttl_ms`` is given up; what it still held is counted in a row of ``dropped_bytes``.  ``arrival``
+orders the segments of a batch; batches come in order of arrival, as from one partition of a bus by conversation.
 """
 
 from __future__ import annotations
@@ -11,80 +12,67 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.http import HttpFramer
-from ..operators.reassembly import Reassembler
-from ..operators.terminal import RecordFramer
-from ..schemas import FIN, RST
+from ..operators.engine import COLUMNS, Conversation
+from ..operators.flows import conversation
 
-OUTPUT = "flow_id string, n long, request binary, request_ts long, response binary, response_ts long, dropped_bytes long"
+OUTPUT = "conv string, flow_id string, protocol string, n long, request binary, request_ts long, response binary, response_ts long, client_ip string, client_port long, server_ip string, server_port long, dropped_bytes long"
 
 
-class FlowMachine:
-    """Oriented segments of one flow in arrival order to pairs."""
+def _flat(row: tuple) -> tuple:
+    conv, flow, protocol, n, request, response, client, server, dropped = row
+    q, p = request or {"data": None, "ts_us": None}, response or {"data": None, "ts_us": None}
+    return conv, flow, protocol, n, q["data"], q["ts_us"], p["data"], p["ts_us"], client["ip"], client["port"], server["ip"], server["port"], dropped
 
-    def __init__(self, protocol: str = "HTTP"):
-        self.protocol, self.n = protocol, 0
-        self.streams: dict[bool, Reassembler] = {}
-        self.framers: dict[bool, HttpFramer | RecordFramer] = {}
-        self.waiting: dict[bool, list[tuple[bytes, int]]] = {True: [], False: []}
 
-    def feed(self, from_client: bool, seq: int, payload: bytes, ts_us: int) -> Iterator[tuple]:
-        got = self.streams.setdefault(from_client, Reassembler()).accept(seq, payload)
-        if not got:
-            return
-        framer = self.framers.setdefault(from_client, HttpFramer(from_client) if self.protocol == "HTTP" else RecordFramer())
-        for message in framer.feed(got):
-            if self.protocol == "HTTP" and not from_client and not self.waiting[True]:
-                continue  # an orphan response
-            self.waiting[from_client].append((message, ts_us))
-            if self.waiting[True] and self.waiting[False]:
-                self.n += 1
-                yield self.n, *self.waiting[True].pop(0), *self.waiting[False].pop(0)
-
-    def held(self) -> int:
-        return sum(len(b) for s in self.streams.values() for b in s.waiting.values())
-
-
-class _Flows(StatefulProcessor):
-    def __init__(self, protocol: str, ttl_ms: int):
-        self.protocol, self.ttl_ms = protocol, ttl_ms
+class _Conversations(StatefulProcessor):
+    def __init__(self, enabled: tuple[str, ...], ttl_ms: int):
+        self.enabled, self.ttl_ms = enabled, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("machine", "data binary")
+        self.state = handle.getValueState("conversation", "data binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         stored = self.state.get()
-        machine = pickle.loads(bytes(stored[0])) if stored else FlowMachine(self.protocol)
-        out, closed = [], False
-        for r in pd.concat(list(rows)).sort_values("arrival").itertuples(index=False):
-            out += [(key[0], *p, 0) for p in machine.feed(bool(r.from_client), int(r.seq), bytes(r.payload or b""), int(r.ts_us))]
-            closed = closed or bool(r.flags & (FIN | RST))
+        machine = pickle.loads(bytes(stored[0])) if stored else Conversation(self.enabled)
+        out = []
+        for r in pd.concat(list(rows)).sort_values("arrival")[list(COLUMNS)].itertuples(index=False):
+            out += map(_flat, machine.feed((r.conv, int(r.arrival), r.src_ip, int(r.src_port), r.dst_ip, int(r.dst_port), int(r.seq), int(r.flags), r.payload, int(r.ts_us))))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        if closed:
-            self.state.clear()
-        else:
-            self.state.update((pickle.dumps(machine),))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
+        self.state.update((pickle.dumps(machine),))
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         stored = self.state.get()
         held = pickle.loads(bytes(stored[0])).held() if stored else 0
         self.state.clear()
-        yield _frame([(key[0], None, None, None, None, None, held)] if held else [])
+        yield _frame([(key[0], *[None] * 11, held)] if held else [])
 
     def close(self) -> None:
         pass
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({c: "Int64" for c in ("n", "request_ts", "response_ts", "dropped_bytes")})
+    names = [c.split() for c in OUTPUT.split(", ")]
+    return pd.DataFrame(rows, columns=[n for n, _ in names]).astype({n: "Int64" for n, kind in names if kind == "long"})
+
+
+def pair_stream(segments: DataFrame, enabled: tuple[str, ...] = ("HTTP", "TN3270"), ttl_ms: int = 600_000) -> DataFrame:
+    """Pairs of a stream of raw segments, flat columns. Needs the RocksDB state store.
+
+    The source's limits (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) hold back what a batch takes; ``availableNow``
+    ends when the source is exhausted; the checkpoint makes state and output start again where they stood.
+    """
+    return conversation(segments).select(*COLUMNS).groupBy("conv").transformWithStateInPandas(_Conversations(enabled, ttl_ms), OUTPUT, "Append", "ProcessingTime")
 
 
-def pair_stream(oriented: DataFrame, protocol: str = "HTTP", ttl_ms: int = 600_000) -> DataFrame:
-    """Pairs of a stream of segments that carry ``flow_id`` and ``from_client``. Needs the RocksDB state store."""
-    return oriented.select("flow_id", "arrival", "from_client", "seq", "flags", "payload", "ts_us").groupBy("flow_id").transformWithStateInPandas(_Flows(protocol, ttl_ms), OUTPUT, "Append", "ProcessingTime")
+def as_pairs(flat: DataFrame) -> DataFrame:
+    """The stream's rows with a pair, in the columns of the batch."""
+    side = lambda s: F.struct(F.col(s).alias("data"), F.col(f"{s}_ts").alias("ts_us")).alias(s)
+    end = lambda s: F.struct(F.col(f"{s}_ip").alias("ip"), F.col(f"{s}_port").cast("int").alias("port")).alias(s)
+    return flat.where("n IS NOT NULL").select("conv", "flow_id", "protocol", "n", side("request"), side("response"), end("client"), end("server"))

@@ -7,7 +7,7 @@ from sluice.functions.binary import decode_chunked, murmur128_hex, strict_json
 from sluice.operators.http import HttpFramer
 from sluice.operators.reassembly import Reassembler
 from sluice.operators.reports import decode_message
-from sluice.operators.terminal import EOR, ERASE_WRITE, IAC, SBA, SF, RecordFramer, Screen, filter_telnet
+from sluice.operators.terminal import EOR, ERASE_WRITE, EUA, IAC, SBA, SF, RecordFramer, Screen, filter_telnet
 
 
 def run(*segments):
@@ -39,12 +39,29 @@ def test_http_framing():
     f = HttpFramer(True)
     assert f.feed(b"POST / HTTP/1.1\r\nContent-Length: 4\r\n\r\nab") == []
     assert f.feed(b"cdGET /x HTTP/1.1\r\n\r\n") == [b"POST / HTTP/1.1\r\nContent-Length: 4\r\n\r\nabcd", b"GET /x HTTP/1.1\r\n\r\n"]
-    assert HttpFramer(False).feed(b"HTTP/1.1 304 x\r\nContent-Length: 9\r\n\r\n") == [b"HTTP/1.1 304 x\r\nContent-Length: 9\r\n\r\n"]
+    # What the modelled framing gives; Content-Length goes before the status, the last field counts.
+    assert HttpFramer(False).feed(b"HTTP/1.1 304 x\r\nContent-Length: 9\r\n\r\n") == []
+    assert HttpFramer(False).feed(b"HTTP/1.1 304 x\r\n\r\nHTTP/1.1 204  \r\n\r\n") == [b"HTTP/1.1 304 x\r\n\r\n", b"HTTP/1.1 204  \r\n\r\n"]
+    assert HttpFramer(True).feed(b"POST / HTTP/1.1\r\nContent-Length: 9\r\n content-LENGTH : 2\r\n\r\nabc") == [b"POST / HTTP/1.1\r\nContent-Length: 9\r\n content-LENGTH : 2\r\n\r\nab"]
+    for odd in (b"\xb2", b"-1", b"1x", b""):
+        assert HttpFramer(True).feed(b"POST / HTTP/1.1\r\nContent-Length: " + odd + b"\r\n\r\n") == [b"POST / HTTP/1.1\r\nContent-Length: " + odd + b"\r\n\r\n"]
+    assert len(HttpFramer(True).feed(b"POST / HTTP/1.1\r\nTransfer-Encoding: xchunked\r\n\r\nabc")[0]) == 48
+    two = b"POST / HTTP/1.1\r\nTransfer-Encoding: gzip, Chunked\r\nTransfer-Encoding: x\r\n\r\nabc"
+    assert HttpFramer(True).feed(two) == [two]
     chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n"
     assert HttpFramer(False).feed(chunked) == [chunked]
     strict = HttpFramer(False, strict=True)
     assert strict.feed(chunked) == []
     assert strict.feed(b"0\r\n\r\n") == [chunked + b"0\r\n\r\n"]
+    rng = random.Random(3)
+    text = b"".join(b"POST /%d HTTP/1.1\r\nContent-Length: %d\r\n\r\n" % (k, n) + b"x" * n for k, n in enumerate(rng.choices(range(40), k=60)))
+    for _ in range(20):
+        cuts = sorted(rng.sample(range(len(text)), 100))
+        f = HttpFramer(True)
+        got = [m for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True) for m in f.feed(text[a:b])]
+        assert b"".join(got) == text and len(got) == 60 and f.held() == 0
+    big = HttpFramer(True)
+    assert big.feed(b"POST / HTTP/1.1\r\nContent-Length: 40000000\r\n\r\n") == [] and [len(x) for k in range(40000) for x in big.feed(b"y" * 1000)] == [40000000 + len(b"POST / HTTP/1.1\r\nContent-Length: 40000000\r\n\r\n")]
     huge = HttpFramer(True)
     assert huge.feed(b"POST / HTTP/1.1\r\nContent-Length: 99999999999\r\n\r\nab") == []
 
@@ -53,6 +70,11 @@ def test_telnet_records():
     f = RecordFramer()
     assert f.feed(b"ab" + bytes([IAC, IAC, IAC, 0xFB, 25]) + b"c") == []
     assert f.feed(bytes([IAC, 0xFA, 1, 2, IAC, 0xF0, IAC, EOR, IAC, EOR]) + b"d") == [b"ab\xffc"]
+    rng = random.Random(4)
+    for _ in range(300):
+        data = bytes(rng.choice([1, 2, IAC, IAC, 0xFA, 0xF0, EOR, 0xFB]) for _ in range(40))
+        whole, parts = RecordFramer(), RecordFramer()
+        assert whole.feed(data) == [m for i in range(0, 40, 7) for m in parts.feed(data[i : i + 7])] and (whole.record, whole.mode) == (parts.record, parts.mode)
     assert filter_telnet(b"x" + bytes([IAC, 0xFD, 1]) + b"y") == b"xy"
 
 
@@ -69,11 +91,20 @@ def test_screen_and_submit():
     assert [f["protected"] for f in shot["fields"]] == [True, False, True, False]
     assert shot["screen_name"] == "SIN" and len(shot["screen_hash"]) == 32
     aid, inputs = s.submit(bytes([0x7D, 0x40, 0x40]) + at(6) + ebcdic.encode("123456789") + at(27) + ebcdic.encode("2024"))
-    assert (aid, inputs) == ("ENTER", {"SIN": "123456789", "YEAR": "2024"})
+    assert (aid, inputs) == ("ENTER", {"SIN:": "123456789", "YEAR:": "2024"})
+    assert s.submit(bytes([0x7D, 0x40, 0x40]) + at(6) + ebcdic.encode("BOB") + b"\0\0" + bytes([EUA, 0x40, 0x50]))[1] == {"SIN:": "BOB"}
+    assert s.submit(bytes([0x7D, 0x40, 0x40]) + at(6) + b"\0\0")[1] == {}
     assert s.submit(bytes([0x7D, 0x40, 0x40]) + at(1) + ebcdic.encode("no"))[1] == {}
     assert s.submit(b"") == ("UNKNOWN", {})
 
 
+def test_label_of_a_field_in_column_0():
+    s = Screen()
+    at = lambda n: bytes([SBA, 0x40 | n >> 6, 0x40 | n & 63])
+    s.host_write(bytes([ERASE_WRITE, 0x40]) + at(70) + ebcdic.encode("CITY") + at(80) + bytes([SF, 0x40]) + ebcdic.encode("    "))
+    assert s.submit(bytes([0x7D, 0x40, 0x40]) + at(81) + ebcdic.encode("X"))[1] == {"CITY": "X"}
+
+
 def test_structured_field_shape():
     s = Screen()
     s.host_write(bytes([0xF3, 0x00, 0x00, 0x08, 0x02, 0, 0, 12, 40]) + ebcdic.encode("A"))
