@@ -11,16 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import drop, materialize
+from ._runtime import Scratch
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` (the smallest node reachable) for each node that has an edge.
 
     Edges with a null end and loops count for nothing; repeated edges count once; no edges give no rows.
     """
-    spark = edges.sparkSession
-    now = materialize(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
+    now = scratch.table(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
@@ -28,11 +27,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select("u", "u").distinct())
         before = mark
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select("u", "v"))
-        least = materialize(both.groupBy("x").agg(F.least("x", F.min("y")).alias("m")))
-        large = materialize(both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct())
-        low = materialize(large.groupBy("v").agg(F.min("u").alias("m")))
+        least = scratch.table(both.groupBy("x").agg(F.least("x", F.min("y")).alias("m")))
+        large = scratch.table(both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct())
+        low = scratch.table(large.groupBy("v").agg(F.min("u").alias("m")))
         small = large.join(low, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u"))).distinct()
-        after = materialize(small)
+        after = scratch.table(small)
         for old in (now, least, large, low):
-            drop(spark, old)
+            scratch.drop(old)
         now = after

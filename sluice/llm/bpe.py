@@ -5,7 +5,8 @@ merge rank, then place; an entry whose symbols have changed since is stale and s
 concatenates vocabulary strings (with the spaces that a file without a decoder puts between tokens).
 
 The file's own pipeline is followed: special tokens are found in the raw text, the rest is brought to
-NFC, lower-cased character by character, split by the file's pattern and mapped to byte symbols.
+NFC, lower-cased character by character, split by the file's pattern and mapped to byte symbols.  Words with characters
+newer than Unicode 3.2 are normalised and split by the library, whose Unicode version is its own; their merges are made here.
 White space never belongs to a token, so white-space words are encoded one by one and kept in a bounded table.
 
 Defined cases: null text is empty; an empty text has no ids and decodes to an empty string; characters
@@ -31,6 +32,7 @@ from ._words import binary
 
 #: Words that either half of the table may hold.
 HALF = 300_000
+_OLD = unicodedata.ucd_3_2_0
 
 
 class WordBPE:
@@ -55,8 +57,12 @@ class WordBPE:
         self.split_special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         symbols = byte_symbols()
         self.symbols = {b: symbols[b] for b in range(256)}
-        self.pieces: dict[str, tuple[str, str]] = {}
+        self.pieces: dict[str, str] = {}
+        self.decimal = {str(i): t for i, t in self.strings.items()}
         self.table = _Words(self)
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Apply merges in order of rank, leftmost first among equals.
@@ -99,82 +105,83 @@ class WordBPE:
                 push(queue, r << 32 | h)
         return [s for s in symbols if s]
 
-    def piece(self, piece: str) -> tuple[str, str]:
-        """Ids of one match of the split pattern, in decimal and decoded, both joined."""
+    def piece(self, piece: str) -> str:
+        """Ids of one match of the split pattern, in decimal, joined."""
         known = self.pieces.get(piece)
         if known is None:
-            vocab = self.vocab
             symbols = list(piece) if piece.isascii() and piece.isprintable() else [self.symbols[b] for b in piece.encode()]
-            symbols[-1] += self.suffix
-            symbols = [s for s in symbols if s in vocab]
-            symbols = self.merge(symbols) if symbols else symbols
             if len(self.pieces) >= HALF:
                 self.pieces.clear()
-            known = self.pieces[piece] = (" ".join([str(vocab[s]) for s in symbols]), self.joint.join(symbols))
+            known = self.pieces[piece] = self._merged(symbols)
         return known
 
-    def _ordinary(self, text: str) -> list[tuple[str, str]]:
+    def _merged(self, symbols: list[str]) -> str:
+        symbols[-1] += self.suffix
+        symbols = [s for s in symbols if s in self.vocab]
+        return " ".join([str(self.vocab[s]) for s in (self.merge(symbols) if symbols else symbols)])
+
+    def _ordinary(self, text: str) -> list[str]:
         if text.isascii():
             text = text.lower()
+        elif any(_OLD.category(c) == "Cn" for c in text):
+            split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return [p for piece, _ in split if piece and (p := self._merged(list(piece)))]
         else:
             text = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
-        return [p for m in self.pattern.findall(text) if (p := self.piece(m))[0]]
+        return [p for m in self.pattern.findall(text) if (p := self.piece(m))]
 
-    def word(self, text: str) -> tuple[str, str]:
-        """Ids of a text in decimal and what they decode to, both joined."""
+    def word(self, text: str) -> str:
+        """Ids of a text in decimal, joined."""
         parts, at = [], 0
         if self.split_special is not None:
             for m in self.split_special.finditer(text):
-                parts += [*self._ordinary(text[at : m.start()]), (str(self.special[m[0]]), m[0])]
+                parts += [*self._ordinary(text[at : m.start()]), str(self.special[m[0]])]
                 at = m.end()
         parts += self._ordinary(text[at:] if at else text)
-        if len(parts) == 1:
-            return parts[0]
-        return " ".join([p[0] for p in parts]), self.joint.join([p[1] for p in parts])
+        return parts[0] if len(parts) == 1 else " ".join(parts)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.word(text)[0].split()]
+        return [int(i) for i in self.word(text).split()]
 
     def decode(self, ids: list[int]) -> str:
-        return self.joint.join(self.strings[i] for i in ids if i in self.strings)
+        """The vocabulary strings of ids, joined; ids that the vocabulary lacks are left out."""
+        return self.joint.join([self.strings[i] for i in ids if i in self.strings])
 
-    def words(self, texts: list[bytes]) -> Iterator[tuple[str, str]]:
-        """For each text its ids in decimal, joined by spaces, and what they decode to; from the table of words."""
+    def decode_decimal(self, ids: str) -> str:
+        """The same of ids of the vocabulary in decimal, joined by spaces."""
+        return self.joint.join(map(self.decimal.__getitem__, ids.split(" "))) if ids else ""
+
+    def words(self, texts: list[bytes]) -> Iterator[str]:
+        """For each text its ids in decimal, joined by spaces; from the table of words."""
         table = self.table
         for text in texts:
-            words = text.split()
-            ids = list(map(table.__getitem__, words))
-            if table.empty:
-                words, ids = [w for w, i in zip(words, ids, strict=True) if i], [i for i in ids if i]
-            yield " ".join(ids), self.joint.join(map(table.strings.__getitem__, words))
+            ids = list(map(table.__getitem__, text.split()))
+            yield " ".join([i for i in ids if i] if table.empty else ids)
             table.turn()
 
 
 class _Words(dict):
-    """Words' ids in decimal; ``strings`` has what they decode to. A word that is new is encoded as it is looked up."""
+    """Words' ids in decimal. A word that is new is encoded as it is looked up."""
 
     def __init__(self, model: WordBPE):
         super().__init__()
-        self.model, self.strings = model, {}
-        self.old: tuple[dict, dict] = ({}, {})
+        self.model = model
+        self.old: dict[bytes, str] = {}
         self.empty = False
 
     def __missing__(self, word: bytes) -> str:
-        ids = self.old[0].get(word)
+        ids = self.old.get(word)
         if ids is None:
-            ids, self.strings[word] = self.model.word(word.decode())
+            ids = self.model.word(word.decode())
             self.empty = self.empty or not ids
-        else:
-            self.strings[word] = self.old[1][word]
         self[word] = ids
         return ids
 
     def turn(self) -> None:
         """Let the older half go when the newer is full."""
         if len(self) > HALF:
-            self.old = dict(self), self.strings
+            self.old = dict(self)
             self.clear()
-            self.strings = {}
 
 
 _MODELS: dict[str, WordBPE] = {}
@@ -192,7 +199,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = word_bpe(tokenizer)
         for batch in batches:
-            ids = [[int(i) for i in joined.split()] for joined, _ in model.words(binary(batch.column(1)).to_pylist())]
+            ids = [[int(i) for i in joined.split()] for joined in model.words(binary(batch.column(1)).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     prepare(docs.sparkSession)
@@ -212,16 +219,16 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of ``encode`` and ``decode`` in one pass, from the tables of words."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of the ids and of the text that the ids decode to, in one pass."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = word_bpe(tokenizer)
         for batch in batches:
             n, ids, texts = [], [], []
-            for joined, decoded in model.words(binary(batch.column(1)).to_pylist()):
+            for joined in model.words(binary(batch.column(1)).to_pylist()):
                 n.append(joined.count(" ") + 1 if joined else 0)
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                texts.append(hashlib.sha256(decoded.encode()).hexdigest())
+                texts.append(hashlib.sha256(model.decode_decimal(joined).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     prepare(docs.sparkSession)

@@ -1,6 +1,6 @@
 """Chat formatting: conversations as training windows under a token budget.
 
-A conversation's turns are laid out in windows: prefix sums of turn tokens choose the longest run of
+A conversation's turns are laid out in windows: prefix sums of turn tokens, ids of a tokenizer, choose the longest run of
 new turns that fits beside the system turn (the first turn, if its role is system), which every window
 retains, and a limited history of the turns before.  Only what assistants say for the first time is
 under the loss mask; repeated turns are masked.
@@ -9,21 +9,25 @@ The template writes ``<|turn|>role<|text|>text<|end|>`` for each turn.  Control
 texts, the template's own and those of other well-known templates, get a backslash after their first
 character, and every backslash is doubled, so no control string is left and reading undoes it exactly.
 
+Turns are sorted and streamed: a task holds the system turn, the history and one window, however long a conversation is.
+
 Defined cases: null text or role is empty; turns are ordered by turn (nulls first), then role, then text, and
 repeated rows are turns of their own; rows with a null id form one conversation; a turn larger than
-the budget has a window of its own and is never cut; no rows give no conversations.
+the budget has a window of its own and is never cut; no rows give no conversations; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runtime import prepare
+from ._tokens import word_encoder
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 # Control strings that a text may not hold unescaped.
@@ -31,10 +35,9 @@ CONTROL = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</S
 _ESCAPE = re.compile(r"\\|" + "|".join(f"(?:{re.escape(c)})" for c in sorted(CONTROL, key=len, reverse=True)))
 _UNESCAPE = re.compile(r"\\(\\?)")
 _READ = re.compile(re.escape(TURN) + "(.*?)" + re.escape(TEXT) + "(.*?)" + re.escape(END), re.DOTALL)
-#: Tokens that a turn's marks count for.
-TURN_OVERHEAD = 4
-
-WINDOWS = "windows array<struct<text: string, n_context: int, n_tokens: int, loss: array<struct<start: int, end: int>>>>"
+WINDOW = "conv_id long, window long, text string, n_context int, n_tokens long, loss array<struct<start: int, end: int>>"
+_LOSS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), _LOSS]
 
 
 def escape(text: str) -> str:
@@ -45,40 +48,70 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
-def word_tokens(text: str) -> int:
-    """The default count of a text's tokens: 4 to 3 words."""
-    return -(-4 * len(text.split()) // 3)
-
-
-def windows(turns: list[tuple[str, str]], budget: int, history: int, count=word_tokens) -> list[dict]:
-    """Windows of turns given as role and text; ``history`` bounds the tokens of repeated turns in a window."""
-    cost = [count(t) + TURN_OVERHEAD for _, t in turns]
-    before = [0]
-    for c in cost:
-        before.append(before[-1] + c)
-    system = 1 if turns and turns[0][0] == "system" else 0
-    out, at = [], 0
-    while at < len(turns):
-        fixed = before[system] if at >= system and at > 0 else 0
-        first = at
-        if at > system:
-            while first > system and before[at] - before[first - 1] <= history and fixed + before[at + 1] - before[first - 1] <= budget:
-                first -= 1
-        end = at + 1
-        while end < len(turns) and fixed + before[end + 1] - before[first] <= budget:
-            end += 1
-        keep = ([0] if system and at > 0 else []) + list(range(first, end))
-        text, loss, length = [], [], 0
-        for k in keep:
-            role, said = escape(turns[k][0]), escape(turns[k][1])
-            head = f"{TURN}{role}{TEXT}"
-            if k >= at and turns[k][0] == "assistant":
+def formatted(role: str, text: str) -> str:
+    return f"{TURN}{escape(role)}{TEXT}{escape(text)}{END}"
+
+
+class Windows:
+    """One conversation's turns to windows: ``feed`` a turn, then ``finish``; both give windows that are complete.
+
+    ``count`` gives the tokens of a formatted turn, ``budget`` those of a window, ``history`` those of its repeated turns but the system's.
+    """
+
+    def __init__(self, budget: int, history: int, count: Callable[[str], int]):
+        self.budget, self.history, self.count = budget, history, count
+        self.system: tuple[str, str, int] | None = None
+        self.past: list[tuple[str, str, int]] = []
+        self.context: list[tuple[str, str, int]] = []
+        self.new: list[tuple[str, str, int]] = []
+        self.size = self.turns = 0
+
+    def feed(self, role: str, text: str) -> list[dict]:
+        turn = (role, text, self.count(formatted(role, text)))
+        out = []
+        if self.new and self.size + turn[2] > self.budget:
+            out = self.finish()
+        if not self.new:
+            self._begin(turn)
+        self.new.append(turn)
+        self.size += turn[2]
+        if not self.turns and role == "system":
+            self.system = turn
+        self.turns += 1
+        return out
+
+    def _begin(self, turn: tuple[str, str, int]) -> None:
+        """Choose the context of the window that begins with a turn: a suffix of the past by its sums from the end."""
+        kept = [self.system] if self.system and self.turns else []
+        sums = list(accumulate((c for _, _, c in reversed(self.past)), initial=sum(c for _, _, c in kept)))
+        take = sum(1 for x in sums[1:] if x - sums[0] <= self.history and x + turn[2] <= self.budget)
+        self.context = kept + (self.past[len(self.past) - take :] if take else [])
+        self.size = sums[take]
+
+    def finish(self) -> list[dict]:
+        if not self.new:
+            return []
+        parts, loss, length = [], [], 0
+        for k, (role, text, _) in enumerate((*self.context, *self.new)):
+            head, said = f"{TURN}{escape(role)}{TEXT}", escape(text)
+            if k >= len(self.context) and role == "assistant":
                 loss.append({"start": length + len(head), "end": length + len(head) + len(said)})
-            text += [head, said, END]
+            parts += [head, said, END]
             length += len(head) + len(said) + len(END)
-        out.append({"text": "".join(text), "n_context": len(keep) - (end - at), "n_tokens": sum(cost[k] for k in keep), "loss": loss})
-        at = end
-    return out
+        out = {"text": "".join(parts), "n_context": len(self.context), "n_tokens": self.size, "loss": loss}
+        recent = self.past + [t for t in self.new if t is not self.system]
+        first, held = len(recent), 0
+        while first and held + recent[first - 1][2] <= self.history:
+            first -= 1
+            held += recent[first][2]
+        self.past, self.new, self.context = recent[first:], [], []
+        return [out]
+
+
+def windows(turns: list[tuple[str, str]], budget: int, history: int, count: Callable[[str], int]) -> list[dict]:
+    """All windows of a conversation given as role and text."""
+    made = Windows(budget, history, count)
+    return [w for role, text in turns for w in made.feed(role, text)] + made.finish()
 
 
 def read_window(text: str) -> list[tuple[str, str]]:
@@ -86,20 +119,40 @@ def read_window(text: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _READ.finditer(text)]
 
 
-def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 256, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``conv_id, windows``: a row for each conversation, with its windows in order."""
+def format_conversations(turns: DataFrame, tokenizer: str, budget: int = 1024, history: int = 256, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """``WINDOW``: a row for each window, those of a conversation one after the other in a partition; a window's tokens are counted by ``tokenizer``."""
     prepare(turns.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for said in batch.column(1).to_pylist():
-                said = sorted(said, key=lambda t: (t["turn"] is not None, t["turn"] or 0, t["role"] or "", t["text"] or ""))
-                out.append(windows([(t["role"] or "", t["text"] or "") for t in said], budget, history))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _WINDOWS)], names=["conv_id", "windows"])
-
-    grouped = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.struct(F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")).alias("said")).groupBy("conv_id").agg(F.collect_list("said").alias("said"))
-    return grouped.mapInArrow(work, f"conv_id long, {WINDOWS}")
-
-
-_WINDOWS = pa.list_(pa.struct([("text", pa.string()), ("n_context", pa.int32()), ("n_tokens", pa.int32()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
+        encoder = word_encoder(tokenizer)
+        count = lambda text: len(encoder.encode([text.encode("utf-8", "surrogatepass")])[0]) // 4
+        made, current, number, out, size = None, None, 0, [], 0
+
+        def put(found: list[dict]) -> None:
+            nonlocal number, size
+            for w in found:
+                out.append((current, number, w["text"], w["n_context"], w["n_tokens"], w["loss"]))
+                number += 1
+                size += len(w["text"])
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=[f.split()[0] for f in WINDOW.split(", ", 5)])
+
+        for rows in batches:
+            for conv, role, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if made is None or conv != current:
+                    if made is not None:
+                        put(made.finish())
+                    made, current, number = Windows(budget, history, count), conv, 0
+                put(made.feed(role, text))
+                if size > 1_000_000:
+                    yield batch()
+                    out, size = [], 0
+        if made is not None:
+            put(made.finish())
+        if out:
+            yield batch()
+
+    empty = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    rows = turns.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(work, WINDOW)

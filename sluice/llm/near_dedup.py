@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._graph import connected_components
 from ._grouped import groups
-from ._runtime import materialize, partitions, prepare
+from ._runtime import Scratch, finished, partitions, prepare
 from ._words import Words, binary, mix, powers
 
 #: Documents and shingles that one block of a bucket may hold.
@@ -138,10 +138,10 @@ def linked(ids: list[int], sets: list[np.ndarray], weights: list[np.ndarray | No
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
     """``doc_id, class_id, kept`` with a row for each document; the class's smallest id is its class_id and is kept.
 
-    With 20 bands of 4 rows a pair of similarity 0.8 misses all buckets once in 40,000 times.
+    Reads tables of ``scratch``. With 20 bands of 4 rows a pair of similarity 0.8 misses all buckets once in 40,000 times.
     """
     spark = prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
@@ -164,11 +164,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             offsets = np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), *sums, pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "h1", "h2", "n", "keys"])
 
-    signed = materialize(base.mapInArrow(signatures, "doc_id long, h1 long, h2 long, n long, keys array<long>"))
-    texts = materialize(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    signed = scratch.table(base.mapInArrow(signatures, "doc_id long, h1 long, h2 long, n long, keys array<long>"))
+    texts = scratch.table(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     member = texts.select("rep", "n", F.explode("keys").alias("key"))
     buckets = member.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("words"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("x2")).where("size > 1")
-    kept = materialize(buckets.groupBy("size", "words", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("words") / BLOCK_SHINGLES)).cast("int").alias("parts")))
+    kept = scratch.table(buckets.groupBy("size", "words", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("words") / BLOCK_SHINGLES)).cast("int").alias("parts")))
     wanted = member.join(kept, "key").groupBy("rep").agg(F.collect_list(F.struct("key", "parts")).alias("buckets"))
 
     def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,15 +210,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     blocks = base.join(wanted, base.doc_id == wanted.rep).select("doc_id", "text", "buckets").mapInArrow(payload, "key long, x long, y long, id long, shingles binary, weights binary")
     edges = blocks.repartition(partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(search, "a long, b long")
-    component = connected_components(edges)
-    classes = materialize(texts.select("h1", "h2", "rep").join(component, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_id")))
+    component = connected_components(edges, scratch)
+    classes = scratch.table(texts.select("h1", "h2", "rep").join(component, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_id")))
     found = signed.where("n > 0").select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id").union(signed.where("n = 0").select("doc_id", F.col("doc_id")))
     one = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     nulls = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
     return one.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept")).union(nulls)
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with their columns as they are."""
-    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
+def without_near_duplicates(docs: DataFrame, keep: Scratch | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose document is kept, with their columns as they are. Reads a table of ``keep``."""
+    scratch = Scratch(docs.sparkSession)
+    gone = finished(near_duplicates(docs, scratch, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("gone_id")), scratch, keep)
     return docs.join(gone, docs[id_col] == gone.gone_id, "left_anti")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import materialize, prepare
+from ._runtime import Scratch, finished, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = "id"
@@ -186,24 +186,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, _BASE_TYPE), pa.array(founds, _FOUND_TYPE)], names=["doc_id", "text_hash", "base", "found"])
 
 
-def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def confident_patterns(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     """``pattern, confidence`` of the accepted patterns, from ``pattern, instance, seed, able``.
 
     Ends before ``rounds`` once a round accepts what the one before has accepted.  Patterns with too few instances
     that could ever score are left out of the graph at once; they can't be accepted.
     """
     pairs = found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("able").alias("able"))
-    pairs = materialize(pairs)
+    pairs = scratch.table(pairs)
     enough = pairs.groupBy("pattern").agg(F.count_if(F.col("seed") | F.col("able")).alias("n")).where(F.col("n") >= MIN_SUPPORT).select("pattern")
-    graph = materialize(pairs.join(enough, "pattern"))
+    graph = scratch.table(pairs.join(enough, "pattern"))
     scored = graph.select("pattern", F.col("seed").cast("double").alias("score"))
     before = accepted = None
     for turn in range(rounds):
         if turn:
-            reached = materialize(graph.where("able AND NOT seed").join(accepted, "pattern").groupBy("instance").agg(F.max("confidence").alias("known")))
+            reached = scratch.table(graph.where("able AND NOT seed").join(accepted, "pattern").groupBy("instance").agg(F.max("confidence").alias("known")))
             scored = graph.join(reached, "instance", "left").select("pattern", F.when(F.col("seed"), 1.0).when(F.col("able"), F.coalesce("known", F.lit(0.0))).otherwise(0.0).alias("score"))
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("score") > 0).alias("support"))
-        accepted = materialize(patterns.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT)).select("pattern", "confidence"))
+        accepted = scratch.table(patterns.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT)).select("pattern", "confidence"))
         mark = accepted.agg(F.count("*"), F.bit_xor("pattern")).first()
         if mark == before or not mark[0]:
             break
@@ -211,23 +211,25 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return accepted
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, base, learned``: a row for each row; spans in code points, end exclusive."""
+def find_pii(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_hash, base, learned``: a row for each row; spans in code points, end exclusive. Reads tables of ``scratch``."""
     prepare(docs.sparkSession)
     text = F.col(text_col).cast("string")
-    scanned = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text).mapInArrow(_scan, SCAN))
+    scanned = scratch.table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text).mapInArrow(_scan, SCAN))
     found = scanned.select("doc_id", "text_hash", F.explode("found").alias("f")).select("doc_id", "text_hash", "f.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
-    good = confident_patterns(found.select("pattern", "instance", "seed", "able"))
+    good = confident_patterns(found.select("pattern", "instance", "seed", "able"), scratch)
     learned = found.where("able").join(good, "pattern").groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("learned"))
     hopeful = F.exists("found", lambda f: f["able"])
     some = scanned.where(hopeful).select("doc_id", "text_hash", "base").join(learned, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash")), "left").drop("l_id", "l_hash")
     return some.union(scanned.where(~hopeful).select("doc_id", "text_hash", "base", F.lit(None).cast("array<struct<start: int, end: int>>")))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with each span of the text replaced by its kind in brackets, overlapping spans by the first's."""
+def redact(docs: DataFrame, keep: Scratch | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` with each span of the text replaced by its kind in brackets, overlapping spans by the first's. Reads a table of ``keep``."""
     prepare(docs.sparkSession)
-    spans = find_pii(docs, id_col, text_col).where("size(base) > 0 OR size(learned) > 0").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash"), F.struct("base", "learned").alias("spans"))
+    scratch = Scratch(docs.sparkSession)
+    spans = find_pii(docs, scratch, id_col, text_col).where("size(base) > 0 OR size(learned) > 0").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash"), F.struct("base", "learned").alias("spans"))
+    spans = finished(spans, scratch, keep)
     names = [f"c{i}" for i in range(len(docs.columns))]
     rest = [n for c, n in zip(docs.columns, names, strict=True) if c != text_col]
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True) if c != text_col))

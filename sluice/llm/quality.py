@@ -1,6 +1,6 @@
 """Quality rules in SQL functions only: base counts, then line-first cleaning.
 
-Every line is judged alone: boilerplate phrases and separators that are many for its words, menu words, lack
+Every line is judged alone: boilerplate phrases, separators and links that are many for its words, menu words, lack
 of closing punctuation in a short line, and a large share of symbols make it fail.  A long line is not failed by
 a phrase or a few separators in it.  Failing lines are removed; a document that loses more than ``MAX_LOST``
 of its word characters, or fails a base rule, is rejected.  Lines without a word neither fail nor count.
@@ -31,29 +31,22 @@ SPACES = " \t\n\x0b\x0c\r"
 CLOSING = ".!?…:;,\"'”’»)]。！？"
 SEPARATORS = "|»›•·→"
 LINE_SYMBOLS = "#*$%&|<>{}=_~^@\\"
-#: Longer lines are no menu word.
-MENU_BYTES = 64
-# Phrases of boilerplate lines.
+# Phrases of boilerplate lines, by language.
 BOILERPLATE = (
-    "all rights reserved",
-    "privacy policy",
-    "terms of service",
-    "terms of use",
-    "cookie policy",
-    "accept cookies",
-    "uses cookies",
-    "enable javascript",
-    "javascript is disabled",
-    "subscribe to our newsletter",
-    "sign up for our newsletter",
-    "click here to",
-    "powered by",
-    "skip to content",
-    "skip to main content",
-    "lorem ipsum",
-)
-# Lines that are nothing but one of these are navigation.
-MENU = ("home", "about", "about us", "contact", "contact us", "login", "log in", "sign in", "sign up", "register", "search", "menu", "next", "previous", "share", "print", "back to top", "read more", "more", "sitemap")
+    "all rights reserved", "privacy policy", "terms of service", "terms of use", "cookie policy", "accept cookies", "uses cookies", "enable javascript", "javascript is disabled",
+    "subscribe to our newsletter", "sign up for our newsletter", "click here to", "powered by", "skip to content", "skip to main content", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "verwendet cookies", "javascript aktivieren", "newsletter abonnieren", "klicken sie hier", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "accepter les cookies", "utilise des cookies", "activer javascript", "abonnez-vous à notre newsletter", "cliquez ici", "aller au contenu",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "aceptar cookies", "utiliza cookies", "activar javascript", "suscríbete a nuestro boletín", "haga clic aquí", "saltar al contenido",
+)
+# Lines that are nothing but one of these are navigation, by language.
+MENU = (
+    "home", "about", "about us", "contact", "contact us", "login", "log in", "sign in", "sign up", "register", "search", "menu", "next", "previous", "share", "print", "back to top", "read more", "more", "sitemap",
+    "startseite", "über uns", "kontakt", "impressum", "datenschutz", "anmelden", "registrieren", "suche", "menü", "weiter", "zurück", "teilen", "drucken", "nach oben", "weiterlesen", "mehr",
+    "accueil", "à propos", "connexion", "inscription", "rechercher", "recherche", "suivant", "précédent", "partager", "imprimer", "haut de page", "lire la suite", "plan du site",
+    "inicio", "acerca de", "contacto", "iniciar sesión", "registrarse", "buscar", "menú", "siguiente", "anterior", "compartir", "volver arriba", "leer más", "mapa del sitio",
+)
+NOT_WORD = r"[^\p{L}\p{N}]*"
 
 
 def _quoted(text: str) -> str:
@@ -70,15 +63,16 @@ def line_fails(line: str = "l") -> str:
     lower = f"lower({line})"
     words = f"regexp_count({line}, '{WHITE.replace('[', '[^', 1)}+')"
     # The words are counted only where a phrase or two separators are there.
-    phrases = " + ".join(f"(octet_length({lower}) - octet_length(replace({lower}, {_quoted(p)}, ''))) / {len(p)}" for p in BOILERPLATE)
+    phrases = " + ".join(f"(octet_length({lower}) - octet_length(replace({lower}, {_quoted(p)}, ''))) / {len(p.encode())}" for p in BOILERPLATE)
     boiler = f"(({' OR '.join(f'contains({lower}, {_quoted(p)})' for p in BOILERPLATE)}) AND {words} < {PHRASE_WORDS} * ({phrases}))"
     separators = _count(line, SEPARATORS)
     navigation = f"({separators} >= 2 AND {words} < {SEPARATOR_WORDS} * {separators})"
-    menu = f"octet_length({line}) < {MENU_BYTES} AND lower({line}) rlike {_quoted(r'^\W*(?:' + '|'.join(MENU) + r')\W*$')}"
+    menu = f"{lower} rlike {_quoted('^' + NOT_WORD + '+(?:' + '|'.join(MENU) + ')' + NOT_WORD + '+$')}"
+    links = f"(contains({line}, '://') AND {words} <= 2 * (octet_length({line}) - octet_length(replace({line}, '://', ''))) / 3)"
     white = "".join(f"\\u{ord(c):04x}" for c in SPACES)
     short = f"(NOT contains({_quoted(CLOSING)}, right(trim(TRAILING '{white}' FROM {line}), 1)) AND {words} < {SHORT_LINE_WORDS})"
     signs = f"{_count(line, LINE_SYMBOLS)} > {MAX_LINE_SYMBOLS} * length({line})"
-    return f"({boiler} OR {navigation} OR ({menu}) OR {short} OR {signs})"
+    return f"({boiler} OR {navigation} OR {links} OR ({menu}) OR {short} OR {signs})"
 
 
 def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_format, embedding_dedup, licenses, near_dedup, packing, pii, quality, substring_dedup, token_files
-from ._runtime import scratch_path, table
+from ._runtime import Scratch, finished, table
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -23,11 +23,14 @@ def tokenizer_path() -> str:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    scratch = Scratch(spark)
+    return finished(near_dedup.near_duplicates(table(spark, sf_dir, "documents"), scratch), scratch)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    scratch = Scratch(spark)
+    found = pii.find_pii(table(spark, sf_dir, "documents"), scratch)
+
     def spelled(kind, span):
         return F.concat_ws(":", kind, span["start"].cast("string"), span["end"].cast("string"))
 
@@ -38,48 +41,57 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     spans = F.array_join(F.transform(F.sort_array(every), lambda b: spelled(F.element_at(F.array(*map(F.lit, (*pii.KINDS, pii.LEARNED))), b["kind"] + 1), b)), ",")
     counts = [F.expr(f"size(filter(base, b -> b.kind = {k}))").cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("learned"), F.lit(0)).cast("long").alias("n_id"), F.size(every).cast("long").alias("n_spans"))
+    result = found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("learned"), F.lit(0)).cast("long").alias("n_id"), F.size(every).cast("long").alias("n_spans"))
+    return finished(result, scratch)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    formatted = chat_format.format_conversations(turns.unionByName(extra))
+    formatted = chat_format.format_conversations(turns.unionByName(extra), tokenizer_path())
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a conversation, whose windows come one after the other."""
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
+        whole = loss = current = None
+        n = said = size = number = 0
         for batch in batches:
             rows = []
-            for conv, windows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole, loss = hashlib.sha256(), hashlib.sha256()
-                n = said = size = 0
-                for w in windows:
-                    size += len(w["text"])
-                    for role, text in chat_format.read_window(w["text"])[w["n_context"] :]:
-                        whole.update(f"{role}\n{text}\n".encode())
-                        n += 1
-                    for span in w["loss"]:
-                        text = chat_format.unescape(w["text"][span["start"] : span["end"]])
-                        loss.update(text.encode())
-                        said += len(text)
-                rows.append((conv, n, whole.hexdigest(), said, loss.hexdigest(), size, len(windows)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
-
-    return formatted.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+            for conv, text, n_context, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if whole is None or conv != current:
+                    if whole is not None:
+                        rows.append((current, n, whole.hexdigest(), said, loss.hexdigest(), size, number))
+                    current, whole, loss, n, said, size, number = conv, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
+                size, number = size + len(text), number + 1
+                for role, turn in chat_format.read_window(text)[n_context:]:
+                    whole.update(f"{role}\n{turn}\n".encode())
+                    n += 1
+                for span in spans:
+                    own = chat_format.unescape(text[span["start"] : span["end"]])
+                    loss.update(own.encode())
+                    said += len(own)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        if whole is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((current, n, whole.hexdigest(), said, loss.hexdigest(), size, number), kinds, strict=True)], names=names)
+
+    return formatted.select("conv_id", "text", "n_context", "loss").mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scratch = Scratch(spark)
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch)
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), WORD_SPLIT, " "))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+    return finished(kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256")), scratch)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    files = token_files.write_token_files(docs, scratch_path(spark), tokenizer_path())
-    return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    scratch = Scratch(spark)
+    files = token_files.write_token_files(docs, scratch.path(), tokenizer_path())
+    return finished(token_files.read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32"), scratch)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +112,8 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
+    scratch = Scratch(spark)
+    return finished(embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"), scratch), scratch)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -111,14 +124,18 @@ _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D
 
 
 def _fails(line: str) -> str:
-    """``quality.line_fails`` in DuckDB's words, but with one phrase or two separators failing a line of any length; both keep the same documents at sf0.001, sf0.01 and sf0.1."""
+    """``quality.line_fails`` in DuckDB's words."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     count = lambda pattern: f"len(regexp_extract_all({line}, {q(pattern)}))"
-    menu = r"^\W*(?:" + "|".join(quality.MENU) + r")\W*$"
+    words = count(r"[^\x20\x09-\x0D]+")
+    phrases = f"len(regexp_extract_all(lower({line}), {q('|'.join(sorted(quality.BOILERPLATE, key=len, reverse=True)))}))"
+    menu = f"^{quality.NOT_WORD}(?:{'|'.join(quality.MENU)}){quality.NOT_WORD}$"
     anyof = lambda s: "[" + "".join("\\" + c if c in "\\]^" else c for c in s) + "]"
     end = anyof(quality.CLOSING) + r"[\x20\t-\r]*$"
-    return f"""(regexp_matches(lower({line}), {q('|'.join(quality.BOILERPLATE))}) OR {count(anyof(quality.SEPARATORS))} >= 2 OR (strlen({line}) < {quality.MENU_BYTES} AND regexp_matches(lower({line}), {q(menu)}))
-      OR (NOT regexp_matches({line}, {q(end)}) AND {count(r'[^\x20\x09-\x0D]+')} < {quality.SHORT_LINE_WORDS})
+    separators = count(anyof(quality.SEPARATORS))
+    return f"""(({phrases} > 0 AND {words} < {quality.PHRASE_WORDS} * {phrases}) OR ({separators} >= 2 AND {words} < {quality.SEPARATOR_WORDS} * {separators})
+      OR (contains({line}, '://') AND {words} <= 2 * {count('://')}) OR regexp_matches(lower({line}), {q(menu)})
+      OR (NOT regexp_matches({line}, {q(end)}) AND {words} < {quality.SHORT_LINE_WORDS})
       OR {count(anyof(quality.LINE_SYMBOLS))} > {quality.MAX_LINE_SYMBOLS} * length({line}))"""
 
 

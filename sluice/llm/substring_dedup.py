@@ -1,54 +1,64 @@
 """Removal of word passages that occur in an earlier document: count-min prefilter, exact second pass.
 
 A window is ``size`` consecutive words of one document.  The first pass counts windows in a count-min
-sketch of two rows: each partition sends its cells, deltas of sorted places, and the merged sketch
-keeps one bit a cell, set where the count is two or more.  It overestimates, so a window whose two
-cells aren't both set occurs once and is done with.  The second pass groups only the others, exactly,
-by 96-bit hashes: each partition keeps a window's smallest document and settles the rest of its
-documents itself, so that a passage in a third of all documents sends a row a partition.  The words
+sketch of two rows: each unit, some windows of one partition, sends its cells, deltas of sorted places, cut into slices of
+the sketch.  The sketches are merged slice by slice, and each unit is answered with those of its own cells that count two
+or more.  It overestimates, so a window whose two cells aren't both among them occurs once and is done with.  The second pass
+groups only the others, exactly, by 96-bit hashes: each partition keeps a window's smallest document and settles the rest
+of its documents itself, so that a passage in a third of all documents sends a row a partition.  The words
 of a document's windows that start in a smaller document go.
 
-The sketch's width follows the input's length up to ``MAX_CELLS`` a row, which bounds what is
-broadcast (64 MB).  Beyond about 10**9 windows the sketch fills up and the second pass groups most
-windows: slower, and still exact.
+The sketch grows with the input, ``BYTES_PER_CELL`` at any size, and nobody ever holds more of it than a slice:
+no driver, no broadcast.  A task of the second pass reads the answers to its own units, about a bit for each of their
+windows, from the scratch folder.  A unit knows its answer by a digest of its windows; should a partition hold other
+rows the second time, as after a shuffle that is dealt anew, its windows all count as repeated: slower, never wrong.
 
 Defined cases: null text has no words; documents shorter than a window lose nothing; windows are judged
 on the input; rows that share an id are one document and don't remove each other's windows;
-a row with a null id stays as it is and removes nothing.
+a row with a null id stays as it is and removes nothing; no documents give no rows.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import partitions, prepare
-from ._words import Words, binary
+from ..sources._files import locate
+from ._grouped import groups
+from ._runtime import Scratch, partitions, prepare
+from ._words import Words, binary, mix
 
 ROWS = 2
-MAX_CELLS = 2**28
+#: Bytes of text to a cell, and to a slice of the sketch; a window has about 6.5.
+BYTES_PER_CELL = 1.25
+BYTES_PER_SLICE = 26_000_000
+#: Slices at least.
 SLICES = 64
-#: Bytes of text to a cell; a window has about 6.5.
-BYTES_PER_CELL = 2.5
-#: Windows that a task gathers before it sends them: of all for the sketch, of those estimated repeated.
-FLUSH = 2_000_000
+#: Windows of a unit of the sketch, and estimated repeated ones that a task gathers before it sends them.
+FLUSH = 1_000_000
 FLUSH_REPEATED = 1_000_000
 
 
-def cells_for(n_bytes: int) -> int:
-    return int(min(MAX_CELLS, max(2**16, 2 ** int(np.ceil(np.log2(max(1, n_bytes) / BYTES_PER_CELL))))))
+def shape_for(n_bytes: int) -> tuple[int, int]:
+    """Cells of a row and slices that they are cut into, powers of two."""
+    power = lambda n: 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
+    slices = max(SLICES, power(n_bytes / BYTES_PER_SLICE))
+    return max(1024 * slices, power(n_bytes / BYTES_PER_CELL)), slices
 
 
 def _pack_places(places: np.ndarray) -> bytes:
     """Sorted places as the byte planes of their deltas, compressed."""
     delta = np.diff(places, prepend=0)
-    width = 4 if delta.max(initial=0) > 65535 else 2
+    most = int(delta.max(initial=0))
+    width = 2 if most < 1 << 16 else 4
     planes = np.ascontiguousarray(delta.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
     return zstandard.ZstdCompressor(level=1).compress(bytes([width]) + planes.tobytes())
 
@@ -60,62 +70,116 @@ def _unpack_places(packed: bytes) -> np.ndarray:
 
 
 def _cells(h: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return ((h >> np.uint64(34 * row)) & np.uint64(cells - 1)).astype(np.int64)
+    return ((mix(h ^ np.uint64(0xD1B54A32D192ED03)) if row else h) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def repeated_cells(docs: DataFrame, size: int, cells: int) -> list[np.ndarray]:
-    """For each row of the sketch the bits of the cells that count two windows or more. Takes ``text`` of ``docs``."""
-    spark = docs.sparkSession
-    width = cells // SLICES
+def _units(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[tuple[int, list[tuple[pa.RecordBatch, Words, np.ndarray, np.ndarray]]]]:
+    """Units of ``most`` windows or a batch more: the number, and the batches (``doc_id, text``) with their words, window hashes and which windows are whole."""
+    number, held, gathered = 0, 0, []
+    for batch in batches:
+        words = Words(binary(batch.column(1)).to_pylist())
+        h, whole = words.windows(size, words.hashes())
+        gathered.append((batch, words, h, whole))
+        held += int(whole.sum())
+        if held >= most:
+            yield number, gathered
+            number, held, gathered = number + 1, 0, []
+    if held:
+        yield number, gathered
+
+
+def _digest(h: np.ndarray) -> bytes:
+    return len(h).to_bytes(8, "little") + int(np.bitwise_xor.reduce(h)).to_bytes(8, "little") + int(h.sum()).to_bytes(8, "little")
+
+
+#: Rows of this slice and below carry units' digests.
+DIGEST = -1
+
+
+def answers(docs: DataFrame, size: int, cells: int, slices: int, scratch: Scratch) -> str:
+    """A folder of ``part=n`` with rows ``unit, slice, places``: of each unit's cells, by row and slice, those that count two or more. Takes ``text``, the second column of ``docs``."""
+    width = cells // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: list[np.ndarray] = []
-        held = 0
+        part = TaskContext.get().partitionId()
 
-        def send() -> Iterator[pa.RecordBatch]:
-            h = np.concatenate(gathered)
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["slice", "part", "unit", "once", "more"])
+
+        for unit, gathered in _units(batches, size, FLUSH):
+            h = np.concatenate([h[whole] for _, _, h, whole in gathered])
+            rows = [(DIGEST - unit % slices, part, unit, _digest(h), None)]
             for row in range(ROWS):
                 places, counts = np.unique(_cells(h, row, cells), return_counts=True)
-                cut = np.searchsorted(places, np.arange(SLICES + 1) * width)
-                for s in range(SLICES):
+                cut = np.searchsorted(places, np.arange(slices + 1) * width)
+                for s in np.flatnonzero(np.diff(cut)):
                     at, n = places[cut[s] : cut[s + 1]] - s * width, counts[cut[s] : cut[s + 1]]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([row * SLICES + s], pa.int32()), pa.array([_pack_places(at)]), pa.array([_pack_places(at[n > 1])])], names=["slice", "once", "more"])
-
-        for batch in batches:
-            words = Words(binary(batch.column(0)).to_pylist())
-            h, whole = words.windows(size, words.hashes())
-            gathered.append(h[whole])
-            held += len(gathered[-1])
-            if held >= FLUSH:
-                yield from send()
-                gathered, held = [], 0
-        if held:
-            yield from send()
+                    rows.append((row * slices + int(s), part, unit, _pack_places(at), _pack_places(np.flatnonzero(n > 1))))
+                    if len(rows) >= 64:
+                        yield batch(rows)
+                        rows = []
+            if rows:
+                yield batch(rows)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for s, once, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one, two = seen.setdefault(s, (np.zeros(width, dtype=bool), np.zeros(width, dtype=bool)))
-                at = _unpack_places(once)
-                two[at[one[at]]] = True
-                one[at] = True
-                two[_unpack_places(more)] = True
-        for s, (_, two) in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(two, bitorder="little").tobytes()])], names=["slice", "bits"])
-
-    counted = docs.select("text").mapInArrow(count, "slice int, once binary, more binary")
-    merged = counted.repartition(min(ROWS * SLICES, max(partitions(spark), 32)), "slice").mapInArrow(merge, "slice int, bits binary")
-    bits = [np.zeros(cells // 8, dtype=np.uint8) for _ in range(ROWS)]
-    for r in merged.collect():  # MAX_CELLS bounds it: a bit a cell
-        row, s = divmod(r["slice"], SLICES)
-        bits[row][s * width // 8 : (s + 1) * width // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return bits
+        for g in groups(batches, ["slice"]):
+            s, part, unit, once, more = (g.column(c).to_pylist() for c in ("slice", "part", "unit", "once", "more"))
+            if s[0] <= DIGEST:
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(unit, pa.int64()), pa.array([DIGEST] * len(part), pa.int64()), pa.array(once, pa.binary())], names=["part", "unit", "slice", "places"])
+                continue
+            lists = [_unpack_places(x) for x in once]
+            several = [x[_unpack_places(y)] for x, y in zip(lists, more, strict=True)]
+            every = np.sort(np.concatenate(lists))
+            repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *several]))
+            mine = [x[_among(x, repeated)] for x in lists]
+            keep = [k for k, x in enumerate(mine) if len(x)]
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array([part[k] for k in keep], pa.int64()), pa.array([unit[k] for k in keep], pa.int64()), pa.array([s[0]] * len(keep), pa.int64()), pa.array([_pack_places(mine[k]) for k in keep], pa.binary())], names=["part", "unit", "slice", "places"])
+
+    n = partitions(docs.sparkSession)
+    counted = docs.mapInArrow(count, "slice long, part long, unit long, once binary, more binary")
+    merged = counted.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(merge, "part long, unit long, slice long, places binary")
+    path = scratch.path()
+    merged.repartition(n, "part").write.partitionBy("part").parquet(path)
+    return path
+
+
+class Answers:
+    """The answers to one partition's units."""
+
+    def __init__(self, path: str, part: int, cells: int, slices: int):
+        store, base = locate(path)
+        self.digests: dict[int, bytes] = {}
+        self.places: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+        self.cells, self.slices = cells, slices
+        for f in store.get_file_info(fs.FileSelector(f"{base}/part={part}", allow_not_found=True)):
+            if f.path.endswith(".parquet"):
+                for unit, s, places in zip(*(c.to_pylist() for c in pq.read_table(f.path, filesystem=store, columns=["unit", "slice", "places"], partitioning=None).columns), strict=True):
+                    if s == DIGEST:
+                        self.digests[unit] = places
+                    else:
+                        self.places.setdefault((unit, s // slices), []).append((s % slices, places))
+
+    def repeated(self, unit: int, h: np.ndarray) -> np.ndarray:
+        """Which of the unit's windows are estimated repeated."""
+        if self.digests.get(unit) != _digest(h):
+            return np.ones(len(h), dtype=bool)
+        out = np.arange(len(h))
+        for row in range(ROWS):
+            width = self.cells // self.slices
+            known = [_unpack_places(p) + s * width for s, p in sorted(self.places.get((unit, row), ()))]
+            out = out[_among(_cells(h[out], row, self.cells), np.concatenate(known) if known else np.zeros(0, dtype=np.int64))]
+        mask = np.zeros(len(h), dtype=bool)
+        mask[out] = True
+        return mask
 
 
 def _first_documents(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,11 +204,10 @@ def _id_buckets(ids: np.ndarray, n: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64) % n
 
 
-def repeated_windows(docs: DataFrame, size: int, bits: list[np.ndarray], cells: int, id_buckets: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, size: int, answered: str, cells: int, slices: int, id_buckets: int) -> DataFrame:
     """``bucket, h, d``: windows that a smaller document also has, packed many to a row: their hashes and documents as
     little-endian 64-bit integers, the documents those of one bucket of ids."""
     spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(bits)
     buckets = max(64, 4 * partitions(spark))
 
     def by_id(doc: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -167,18 +230,23 @@ def repeated_windows(docs: DataFrame, size: int, bits: list[np.ndarray], cells:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([v[x].astype(t).tobytes()]) for v, t in ((h, "<u8"), (g, "<u4"), (doc, "<i8")))], names=["bucket", "h", "g", "d"])
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sketch.value
+        known = Answers(answered, TaskContext.get().partitionId(), cells, slices)
         gathered: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
-        for batch in batches:
-            words = Words(binary(batch.column(1)).to_pylist())
-            h, whole = words.windows(size, words.hashes())
-            for row in range(ROWS):
-                at = np.flatnonzero(whole)
-                whole[at] = _bit(rows[row], _cells(h[at], row, cells)) == 1
-            g, _ = words.windows(size, words.hashes(1), 1)
-            gathered.append((h[whole], g[whole].astype(np.uint32), batch.column(0).to_numpy(zero_copy_only=False)[words.document()[whole]]))
-            held += len(gathered[-1][0])
+        for unit, parts in _units(batches, size, FLUSH):
+            repeated = known.repeated(unit, np.concatenate([h[whole] for _, _, h, whole in parts]))
+            at = 0
+            for batch, words, h, whole in parts:
+                n = int(whole.sum())
+                ids = batch.column(0)
+                take = np.flatnonzero(whole)[repeated[at : at + n]]
+                at += n
+                if ids.null_count:
+                    take = take[~ids.is_null().to_numpy(zero_copy_only=False)[words.document()[take]]]
+                if len(take):
+                    g, _ = words.windows(size, words.hashes(1), 1)
+                    gathered.append((h[take], g[take].astype(np.uint32), ids.fill_null(0).to_numpy()[words.document()[take]]))
+                    held += len(take)
             if held >= FLUSH_REPEATED:
                 yield from send(gathered)
                 gathered, held = [], 0
@@ -215,24 +283,22 @@ def repeated_windows(docs: DataFrame, size: int, bits: list[np.ndarray], cells:
         if held:
             yield from flush()
 
-    sent = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(estimate, "bucket int, h binary, g binary, d binary")
+    sent = docs.mapInArrow(estimate, "bucket int, h binary, g binary, d binary")
     return sent.repartition(partitions(spark), "bucket").mapInArrow(group, "bucket int, h binary, d binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
     """The columns of ``docs``, the text without its repeats, and ``n_words``, ``n_removed``.
 
-    Columns of ``docs`` that are named like the two are replaced.  A text that loses words has the others joined by single spaces; a text that loses none stays as it is.
+    Reads tables of ``scratch``. Columns of ``docs`` that are named like the two are replaced.  A text that loses words has the others joined by single spaces; a text that loses none stays as it is.
     """
     spark = prepare(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cells = cells_for(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    bits = repeated_cells(plain, size, cells)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # so that Spark deletes the shuffle files of the partitions' sketches
+    cells, slices = shape_for(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    answered = answers(plain, size, cells, slices, scratch)
     n = partitions(spark)
     id_buckets = 3 * n
-    windows = repeated_windows(plain, size, bits, cells, id_buckets)
+    windows = repeated_windows(plain, size, answered, cells, slices, id_buckets)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In each bucket of ids the windows come first, then the documents that they cover."""

@@ -11,7 +11,7 @@ A block's ids, padded with zeros, are transposed into byte planes (all lowest by
 ``planes="bit"`` transposes single bits); a chunk is a number of blocks and holds each plane as a
 frame of its own, so high planes, which are nearly constant, almost vanish.  A chunk can be read alone by the index.
 
-Files are rows of a table (``part, file_no, n_tokens, data``) written by Spark's own committer, so they
+Files are rows of a table (``part, file_no, ahead, n_tokens, data``, ahead the ids of the part's files before) written by Spark's own committer, so they
 reach any store that Spark writes and survive lost executors; ``export`` puts them into plain files.
 
 Defined cases: null text is empty and gives its end id alone; null ids come first; rows that share an id
@@ -20,6 +20,7 @@ are ordered by their text; no documents give no files.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources._files import locate, put
 from ._runtime import partitions, prepare
 from ._tokens import word_encoder
 from ._words import binary
@@ -115,10 +117,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, number, ahead, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), pa.array([encode_file(held, planes)], pa.binary())], names=["part", "file_no", "n_tokens", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([ahead], pa.int64()), pa.array([size], pa.int64()), pa.array([encode_file(held, planes)], pa.binary())], names=["part", "file_no", "ahead", "n_tokens", "data"])
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(binary(batch.column(1)).to_pylist()), strict=True):
@@ -126,29 +128,28 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 size += len(ids) // 4 + 1
                 if size >= FILE_IDS:
                     yield close()
-                    number, held, size = number + 1, [], 0
+                    number, ahead, held, size = number + 1, ahead + size, [], 0
         if held:
             yield close()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(work, "part int, file_no int, n_tokens long, data binary").write.parquet(path)
+    ordered.mapInArrow(work, "part int, file_no int, ahead long, n_tokens long, data binary").write.parquet(path)
     return spark.read.parquet(path)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32, ids``: each document's ids as bytes, and how many ids all documents before it have."""
     spark = prepare(files.sparkSession)
-    before, starts = 0, {}
-    for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.collect_list(F.struct("file_no", "n_tokens")).alias("files")).orderBy("part").collect():  # a row a partition of the writer
-        for f in sorted(r["files"]):
-            starts[r["part"], f["file_no"]] = before
-            before += f["n_tokens"]
-    known = spark.sparkContext.broadcast(starts)
+    starts, before = [], 0
+    for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # a row a partition of the writer
+        starts += [before] * (r["part"] + 1 - len(starts))
+        before += r["n"]
+    first = F.get(F.from_json(F.lit(json.dumps(starts)), "array<bigint>"), F.col("part")) + F.col("ahead")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                start, rows = known.value[part, number], []
+            for start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = []
                 for doc, ids in decode_file(data):
                     raw = ids.astype("<u4").tobytes()
                     rows.append((None if doc == NULL_ID else doc, start, len(ids), zlib.crc32(raw), raw))
@@ -156,15 +157,16 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 for i in range(0, len(rows), 1024):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 1024], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return files.select("part", "file_no", "data").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.select(first.alias("start"), "data").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def export(files: DataFrame, folder: str) -> None:
-    """Each file as a plain one in a folder that all executors share."""
+    """Each file as a plain one in a shared folder; a file appears once it is whole."""
 
-    def put(rows) -> None:
+    def write(rows) -> None:
+        store, base = locate(folder)
+        store.create_dir(base)
         for r in rows:
-            with open(f"{folder}/tokens-{r['part']:06d}-{r['file_no']:04d}.bps", "wb") as f:
-                f.write(r["data"])
+            put(store, f"{base}/tokens-{r['part']:06d}-{r['file_no']:04d}.bps", bytes(r["data"]))
 
-    files.select("part", "file_no", "data").foreachPartition(put)
+    files.select("part", "file_no", "data").foreachPartition(write)

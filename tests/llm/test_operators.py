@@ -5,14 +5,17 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe, chat_format, embedding_dedup, licenses, near_dedup, packing, pii, quality, substring_dedup, token_files
+from sluice.llm._runtime import Scratch, finished
 from sluice.llm._tokens import WordEncoder
 from sluice.llm.queries import op2_pii, op3_chat_format, tokenizer_path
+from sluice.session import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h string, `a.b` int, gone_id string, N_Words int"
@@ -44,6 +47,12 @@ def docs(spark, texts):
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
 
+@pytest.fixture
+def scratch(spark):
+    with Scratch(spark) as s:
+        yield s
+
+
 @pytest.fixture(scope="module")
 def empty(spark):
     return spark.createDataFrame([], DOCS)
@@ -53,7 +62,7 @@ def probability_jaccard(a, b):
     return sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in a.keys() | b.keys()) for d in a.keys() & b.keys())
 
 
-def test_near_duplicates(docs, empty, texts):
+def test_near_duplicates(docs, empty, texts, scratch):
     sets = {}
     for i, t in texts.items():
         w = WORD.findall(t or "")
@@ -71,11 +80,11 @@ def test_near_duplicates(docs, empty, texts):
             if i < j and probability_jaccard(sets[i], sets[j]) >= 0.8:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    rows = near_dedup.near_duplicates(docs).collect()
+    rows = near_dedup.near_duplicates(docs, scratch).collect()
     assert {r["doc_id"]: r["class_id"] for r in rows if r["doc_id"] is not None} == {i: find(i) for i in texts}
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in rows if r["doc_id"] is not None)
     assert sum(r["doc_id"] is None and r["kept"] for r in rows) == 2
-    assert near_dedup.near_duplicates(empty).count() == 0
+    assert near_dedup.near_duplicates(empty, scratch).count() == 0
     assert near_dedup.without_near_duplicates(docs).columns == docs.columns
 
 
@@ -91,7 +100,7 @@ def test_prob_minhash_estimates_probability_jaccard():
     assert abs(near_dedup.probability_jaccard(x, y, 4, 5) - probability_jaccard({1: 1, 2: 2, 3: 3, 4: 4}, {1: 2, 2: 2, 3: 1, 5: 5})) < 1e-12
 
 
-def test_blocks_of_a_large_bucket(spark, monkeypatch, texts):
+def test_blocks_of_a_large_bucket(spark, monkeypatch, texts, scratch):
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
     rng = random.Random(2)
     w = prose(rng, 200).split()
@@ -100,7 +109,7 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch, texts):
         v = list(w)
         v[rng.randrange(200)] = f"x{i}"
         rows.append((i, " ".join(v)))
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()
     assert {r["class_id"] for r in got} == {0}
 
 
@@ -120,21 +129,52 @@ def brute_substring(texts, size=13):
     return out
 
 
-def test_substring_dedup(docs, empty, texts, monkeypatch):
+def test_substring_dedup(docs, empty, texts, monkeypatch, scratch):
     want = brute_substring(texts)
     for cells, flush in ((None, None), (64, 50)):  # the second fills the sketch and sends often
         if cells:
-            monkeypatch.setattr(substring_dedup, "cells_for", lambda n: 512)
+            monkeypatch.setattr(substring_dedup, "shape_for", lambda n: (512, 64))
             monkeypatch.setattr(substring_dedup, "FLUSH", flush)
             monkeypatch.setattr(substring_dedup, "FLUSH_REPEATED", flush)
-        rows = substring_dedup.remove_repeats(docs).collect()
+        rows = substring_dedup.remove_repeats(docs, scratch).collect()
         assert len(rows) == docs.count()
         for r in rows:
             if r["doc_id"] is not None:
                 assert (r["n_words"], r["n_removed"], WORD.findall(r["text"] or "")) == want[r["doc_id"]]
                 if not r["n_removed"]:
                     assert r["text"] == texts[r["doc_id"]]
-    assert substring_dedup.remove_repeats(empty).count() == 0
+    assert substring_dedup.remove_repeats(empty, scratch).count() == 0
+
+
+def test_substring_dedup_prefilter(spark, scratch, monkeypatch):
+    """Unique windows are done with in the first pass, at either size; a partition that holds other rows the second time loses nothing."""
+    sent = {}
+    for n in (300, 3000):
+        rng = random.Random(n)
+        passage = prose(rng, 30)
+        df = spark.createDataFrame([(i, prose(rng, 80) + (" " + passage if i % 50 == 0 else "")) for i in range(n)], "doc_id long, text string").repartition(4)
+        path = scratch.path()
+        df.write.parquet(path)
+        plain = spark.read.parquet(path)
+        cells, slices = substring_dedup.shape_for(plain.agg(F.sum(F.octet_length("text"))).first()[0])
+        answered = substring_dedup.answers(plain, 13, cells, slices, scratch)
+        windows = plain.count() * 68
+
+        def estimated(batches, a=answered, c=cells, s=slices):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            known = substring_dedup.Answers(a, TaskContext.get().partitionId(), c, s)
+            for unit, parts in substring_dedup._units(batches, 13, substring_dedup.FLUSH):
+                yield pa.RecordBatch.from_arrays([pa.array([int(known.repeated(unit, np.concatenate([h[w] for _, _, h, w in parts])).sum())], pa.int64())], names=["n"])
+
+        rows = plain.mapInArrow(estimated, "n long").agg(F.sum("n")).first()[0]
+        sent[n] = rows / windows
+        other = plain.repartition(3)
+        want = brute_substring({r["doc_id"]: r["text"] for r in plain.collect()})
+        seen = substring_dedup.repeated_windows(other, 13, answered, cells, slices, 12)
+        assert sum(len(r["d"]) // 8 for r in seen.collect()) >= sum(1 for k, w in want.items() if w[1])
+    assert max(sent.values()) < 0.1 and abs(sent[300] - sent[3000]) < 0.05, sent
 
 
 def plain_spans(text):
@@ -235,19 +275,19 @@ def plain_bootstrap(found):
     return accepted
 
 
-def test_pii_scores_equal_brute_force(spark):
+def test_pii_scores_equal_brute_force(spark, scratch):
     rng = random.Random(12)
     grew = 0
     for _ in range(6):
         of = {i: (rng.random() < 0.3, rng.random() < 0.7) for i in range(60)}
         rows = [(rng.randrange(30), rng.randrange(60)) for _ in range(160)]
         rows = [(p, i, of[i][0], of[i][1] and not of[i][0]) for p, i in rows]
-        got = {r["pattern"]: r["confidence"] for r in pii.confident_patterns(spark.createDataFrame(rows, "pattern long, instance long, seed boolean, able boolean")).collect()}
+        got = {r["pattern"]: r["confidence"] for r in pii.confident_patterns(spark.createDataFrame(rows, "pattern long, instance long, seed boolean, able boolean"), scratch).collect()}
         want = plain_bootstrap(rows)
         assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
         grew += any(not of[i][0] for p, i, _, _ in rows if p in want)
     assert grew
-    assert pii.confident_patterns(spark.createDataFrame([], "pattern long, instance long, seed boolean, able boolean")).count() == 0
+    assert pii.confident_patterns(spark.createDataFrame([], "pattern long, instance long, seed boolean, able boolean"), scratch).count() == 0
 
 
 def test_pii_finds_planted_identifiers(spark, tmp_path):
@@ -283,8 +323,8 @@ def test_pii_finds_planted_identifiers(spark, tmp_path):
     assert right >= 0.97 * len(planted) and wrong == 0 and got[2000] == planted[2000]
 
 
-def test_pii_odd_tables(spark, docs, empty):
-    assert pii.find_pii(empty).count() == 0 and pii.redact(empty).columns == empty.columns and pii.redact(empty).count() == 0
+def test_pii_odd_tables(spark, docs, empty, scratch):
+    assert pii.find_pii(empty, scratch).count() == 0 and pii.redact(empty).columns == empty.columns and pii.redact(empty).count() == 0
     red = pii.redact(docs)
     assert red.columns == docs.columns and red.count() == docs.count()
     assert Counter((r["doc_id"], r["text"]) for r in red.collect()) == Counter((r["doc_id"], r["text"]) for r in docs.collect())
@@ -305,19 +345,31 @@ def test_chat_escape_and_windows():
     for t in NASTY + ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(5000)]:
         e = chat_format.escape(t)
         assert chat_format.unescape(e) == t and not any(c in e for c in chat_format.CONTROL)
+    count = lambda t: 4 + len(t.split())
     for _ in range(300):
         turns = [("system", "be brief")] if rng.random() < 0.5 else []
         turns += [(rng.choice(["user", "assistant", "assistant", "tool\n", "system"]), rng.choice(NASTY) + " w" * rng.randrange(60)) for _ in range(rng.randrange(12))]
-        budget = rng.randrange(20, 200)
-        out = chat_format.windows(turns, budget, 40)
-        fresh, said = [], []
+        budget, history = rng.randrange(20, 200), 40
+        out = chat_format.windows(turns, budget, history, count)
+        fresh, said, at = [], [], 0
         for w in out:
             read = chat_format.read_window(w["text"])
-            fresh += read[w["n_context"] :]
+            new = read[w["n_context"] :]
+            fresh += new
             said += [chat_format.unescape(w["text"][s["start"] : s["end"]]) for s in w["loss"]]
-            assert w["n_tokens"] <= budget or len(read) - w["n_context"] == 1
-            if turns and turns[0][0] == "system":
-                assert read[0] == turns[0]
+            sizes = [count(chat_format.formatted(*t)) for t in read]
+            assert w["n_tokens"] == sum(sizes) and (w["n_tokens"] <= budget or len(new) == 1)
+            fixed = 1 if turns[0][0] == "system" and at else 0
+            assert not fixed or read[0] == turns[0]
+            repeated = w["n_context"] - fixed
+            assert read[fixed : w["n_context"]] == turns[at - repeated : at] and sum(sizes[fixed : w["n_context"]]) <= history
+            if at + len(new) < len(turns):  # the next turn wouldn't have fitted
+                assert w["n_tokens"] + count(chat_format.formatted(*turns[at + len(new)])) > budget
+            earlier = at - repeated - 1
+            if earlier >= (1 if turns[0][0] == "system" else 0) and at:  # nor one more of the past
+                more = count(chat_format.formatted(*turns[earlier]))
+                assert sum(sizes[fixed : w["n_context"]]) + more > history or sum(sizes[: w["n_context"] + 1]) + more > budget
+            at += len(new)
         assert fresh == turns and said == [t for r, t in turns if r == "assistant"]
 
 
@@ -331,6 +383,18 @@ def test_chat_query(spark, tmp_path):
     assert got[1]["turns_sha256"] == sha("user\n\nuser\n\nassistant\nb\n") and got[1]["n_turns"] == 3 and got[2]["turns_sha256"] == sha("\nx\n") and None in got
 
 
+def test_chat_budget_counts_ids(spark, library):
+    encode, _ = library
+    rows = [(1, k, "assistant" if k % 2 else "user", "日本語の長い文章です。" * 60, "x") for k in range(6)] + [(2, 0, "user", "w " * 300_000, "y"), (2, 1, "assistant", None, "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string")
+    got = defaultdict(list)
+    for r in chat_format.format_conversations(df, tokenizer_path(), budget=4096).collect():
+        got[r["conv_id"]].append(r)
+        assert r["n_tokens"] == len(encode(r["text"])) and (r["n_tokens"] <= 4096 or len(chat_format.read_window(r["text"])) - r["n_context"] == 1)
+    assert len(got[1]) > 1 and len(got[2]) == 2 and [r["window"] for r in sorted(got[1], key=lambda r: r["window"])] == list(range(len(got[1])))
+    assert chat_format.format_conversations(df.limit(0), tokenizer_path()).count() == 0
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
@@ -356,8 +420,19 @@ def test_encoders_equal_the_library(texts, library, monkeypatch):
 
     monkeypatch.setattr(tokens, "HALF", 5)  # tables that turn over all the time
     raw = [t.encode() for t in cases]
-    for t, got, (ids, text) in zip(cases, words.encode(raw), model.words(raw), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == encode(t) == [int(i) for i in ids.split()] and text == decode(encode(t))
+    for t, got, ids in zip(cases, words.encode(raw), model.words(raw), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == encode(t) == [int(i) for i in ids.split()] and model.decode_decimal(ids) == decode(encode(t))
+
+
+def test_characters_of_every_version(library):
+    """Every third code point but surrogates, many to a text, between letters, digits and marks."""
+    encode, _ = library
+    model = bpe.WordBPE(tokenizer_path())
+    points = [c for c in range(0x80, 0x110000, 3) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 40):
+        t = " ".join(f"a{chr(c)}b1{chr(c)}.{chr(c)}" for c in points[i : i + 40])
+        if model.encode(t) != encode(t):
+            assert not [hex(ord(w[1])) for w in t.split(" ") if len(w) > 1 and model.encode(w) != encode(w)]
 
 
 def test_bpe_operators(docs, empty, texts, library):
@@ -426,8 +501,41 @@ def test_packing(docs, empty, texts, library):
         used, padded = used + at, padded + (at if at & (at - 1) == 0 else 2048)
     assert padded <= 1.02 * used
     assert packing.pack(empty, tokenizer_path()).count() == 0
-    p = packing.HarmonicPacker(2048, 0)
-    assert all(sum(p.cut(n)) == n and len(p.cut(n)) <= 5 for n in range(1, 2048))
+
+
+def test_packer_cuts_few_documents(monkeypatch):
+    rng = np.random.default_rng(4)
+    packer = packing.HarmonicPacker(2048, 7 * packing.PER_WORKER, 32)
+    sizes = [int(x) for x in np.clip(rng.lognormal(5.5, 1.2, 20_000), 1, 30_000)]
+    rows = [r for i, n in enumerate(sizes) for r in packer.add(i, np.full(n, i, "<u4").tobytes())] + list(packer.finish())
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for doc, start, length, _, total, sequence, offset, k in rows:
+        assert total == sizes[doc] and length > 0
+        pieces[doc].append((start, length))
+        bins[sequence].append((offset, length, k, total, start))
+    assert all(sum(n for _, n in p) == sizes[d] and [a for a, _ in p] == list(np.cumsum([0, *[n for _, n in p]])[:-1]) for d, p in ((d, sorted(p)) for d, p in pieces.items())) and len(pieces) == len(sizes)
+    padding = 0
+    for b in bins.values():
+        used = sum(n for _, n, *_ in b)
+        assert used <= 2048 and [o for o, *_ in b] == list(np.cumsum([0, *[n for _, n, *_ in b]])[:-1])
+        padding += 0 if used & (used - 1) == 0 else 2048 - used
+        if (k := b[0][2]) > 1:  # the class's documents come first, whole unless they are tails
+            assert sum(2048 // (k + 1) < n <= 2048 // k for _, n, *_ in b[:k]) == k
+    fit = [d for d, n in enumerate(sizes) if n <= 2048]
+    assert sum(len(pieces[d]) > 1 for d in fit) < 0.2 * len(fit) and padding < 0.01 * sum(sizes)
+    small = packing.HarmonicPacker(8, 0, 0)
+    small.limit = 1
+    with pytest.raises(OverflowError):
+        list(small.add(1, b"\1\0\0\0" * 40))
+
+
+def test_packing_of_long_batches(spark, library):
+    encode, _ = library
+    text = prose(random.Random(3), 400_000)  # more than a batch of Arrow holds
+    rows = packing.pack(spark.createDataFrame([(1, text, "x"), (2, "ab", "y")], "doc_id long, text string, start string").coalesce(1), tokenizer_path()).collect()
+    ids = np.asarray([*encode(text), 1], "<u4")
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == len(ids)
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in rows if r["doc_id"] == 1)
 
 
 def test_quality(docs, empty, texts):
@@ -445,6 +553,7 @@ def test_quality(docs, empty, texts):
 def test_quality_lines(spark):
     good = "This is a plain sentence of quite ordinary words, it ends well."
     bad = ["Home | About | Contact | Help", "home", "All rights reserved by somebody here.", "buy now", "#### $$$$ **** ####"]
+    bad += ["." * 100 + " Menü " + " " * 100, "Alle Rechte vorbehalten bei uns allen.", "Tous droits réservés, à nous tous.", "Política de privacidad y mucho más.", "» À propos «", "see https://a.b/c and http://d.e."]
     rows = [(1, "\n".join([good] * 8 + bad)), (2, "\n".join([good + str(i) for i in range(8)] + bad)), (3, "\n".join([f"word{i} and more words {i} | a{i} | b{i}" for i in range(20)]))]
     got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not got[1]["quality"]["kept"] and got[1]["quality"]["n_dup_lines"] == 7
@@ -581,7 +690,7 @@ def test_license_expressions(spark):
     assert {list(cases)[r["doc_id"]]: r["labels"] for r in rows} == cases and all(r["score"] > 0 for r in rows)
 
 
-def test_embeddings(spark, monkeypatch):
+def test_embeddings(spark, monkeypatch, scratch):
     rng = np.random.default_rng(5)
     rows = []
     for c in range(12):
@@ -598,14 +707,59 @@ def test_embeddings(spark, monkeypatch):
                 linked[i].add(j)
     for block in (512, 3):
         monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", block)
-        got = {r["vec_id"]: r for r in embedding_dedup.near_embeddings(df).collect()}
+        got = {r["vec_id"]: r for r in embedding_dedup.near_embeddings(df, scratch).collect()}
         for i in range(n + 9):
             seen, todo = {i}, [i]
             while todo:
                 todo += [j for j in linked[todo.pop()] if j not in seen and not seen.add(j)]
             assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(linked[i]), min(seen), i == min(seen))
         assert got[None]["n_links"] == 0 and got[None]["kept"]
-    assert embedding_dedup.near_embeddings(df.limit(0)).count() == 0
+    assert embedding_dedup.near_embeddings(df.limit(0), scratch).count() == 0
+
+
+def test_embeddings_suspects():
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((2000, 64))
+    w = v + rng.standard_normal((2000, 64)) * 0.2
+    cos = (v * w).sum(1) / np.sqrt((v * v).sum(1) * (w * w).sum(1))
+    bits, tables = embedding_dedup.plan(100_000, 0.98)
+    apart = (embedding_dedup.signs_of(v, bits, tables) != embedding_dedup.signs_of(w, bits, tables)).sum(1)
+    most = embedding_dedup.most_differing(bits * tables, 0.98)
+    assert (cos >= 0.98).sum() > 500 and (apart[cos >= 0.98] <= most).all() and most < 0.3 * bits * tables
+
+
+def test_scratch_scopes(spark, tmp_path):
+    a, b = Scratch(spark), Scratch(spark)
+    x, y = a.table(spark.range(5)), b.table(spark.range(7))
+    a.close()
+    assert y.count() == 7  # another scope's tables stay
+    z = finished(y.where("id > 1"), b)
+    assert z.count() == 5
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        x.count()
+    folder = Path(b.folder.removeprefix("file://"))
+    assert folder.parent.is_dir() and not folder.exists() and not Path(a.folder.removeprefix("file://")).exists()
+    with pytest.raises(ZeroDivisionError), Scratch(spark) as c:
+        c.table(spark.range(1))
+        raise ZeroDivisionError
+    assert not Path(c.folder.removeprefix("file://")).exists()
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from sluice import session
+
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
 
 
 def test_pipeline(spark, tmp_path):
@@ -629,11 +783,27 @@ def test_pipeline(spark, tmp_path):
     cut = brute_substring({i: r["text"] for i, r in kept[1].items()})
     assert {i: WORD.findall(r["text"]) for i, r in kept[2].items()} == {i: c[2] for i, c in cut.items()} and cut[14][1] >= 69
     assert "[EMAIL]" in kept[3][15]["text"] and kept[3][15]["n_chars"] == len(kept[3][15]["text"])
-    whole = corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0]
-    assert whole == df.agg(F.sum("length")).first()[0]
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.agg(F.sum("length")).first()[0] == df.agg(F.sum("length")).first()[0]
+    assert len(set(folder.iterdir()) - before) == 1  # the last stage's input
+
+
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(10)
+    text = prose(rng, 90) + "."
+    rows = {"none": [], "odd": [(None, text, None, None, None), (None, prose(rng, 80) + ".", "en", "s", 1), (None, None, None, None, None), (3, prose(rng, 70) + ".", "en", "s", 1), (3, prose(rng, 75) + ".", "en", "s", 1)]}
+    for name, r in rows.items():
+        spark.createDataFrame(r, kind).coalesce(1).write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert Counter(p["doc_id"] for p in got if p["start"] == 0) == Counter({None: 2, 3: 2} if r else {})
 
 
-def test_connected_components(spark):
+def test_connected_components(spark, scratch):
     from sluice.llm._graph import connected_components
 
     rng = random.Random(8)
@@ -650,6 +820,6 @@ def test_connected_components(spark):
         if b is not None and a != b:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == {x: find(x) for x in root}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
