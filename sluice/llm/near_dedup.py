@@ -8,9 +8,13 @@ in a register with the probability Jaccard similarity of their weighted sets, wh
 Jaccard similarity if no shingle repeats.
 
 Documents that agree in all rows of a band meet in a bucket.  Buckets with the same members count
-once, buckets beyond a block's size are dealt into pairs of blocks, and in each block a breadth-first
-search over exactly computed similarities gives links that connect what is similar, never all pairs.
-Exact copies are one node from the start.  Distributed connected components make the classes.
+once, and in each block of one a breadth-first search over exactly computed similarities gives links that connect what
+is similar, never all pairs.  Exact copies are one node from the start.  Distributed connected components make the classes.
+
+A bucket beyond a block's size is searched twice.  First each member goes to one block, and a few hubs go to all, which
+mostly connects the bucket.  Then the members outside of its largest component are dealt into blocks that meet
+each block of all members, so that no link but those inside one component goes unsearched.  A bucket of n near copies of
+one text costs n rows and not the square of its blocks; only one of n texts unlike each other does.
 
 Defined cases: null text counts as empty; a document without words is a class of its own; one of
 fewer than five words has one shingle of all its words; a null id is never linked and is kept; rows
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
@@ -34,6 +38,8 @@ from ._words import Words, binary, mix, powers
 #: Documents and shingles that one block of a bucket may hold.
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 4_000_000
+#: Members of a large bucket that go to all of its blocks, about.
+HUBS = 8
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -85,17 +91,29 @@ def band_keys(winners: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(keys + np.arange(bands, dtype=np.uint64))
 
 
-def probability_jaccard(a: np.ndarray, b: np.ndarray, only_a: float, only_b: float) -> float:
-    """Of two weighted sets: their weights for the shared members, and what their other members weigh in all."""
-    if not len(a):
-        return 0.0
+def probability_jaccards(y: np.ndarray, a: np.ndarray, b: np.ndarray, total_a: float, total_b: np.ndarray) -> np.ndarray:
+    """Probability Jaccard similarity of one weighted set with each of several.
+
+    Each shared member has a row: the other set's number, its weight in the one and in the other; the totals are of all weights.
+    """
     ratio = b / a
-    order = np.argsort(ratio, kind="stable")
-    a, b, ratio = a[order], b[order], ratio[order]
-    below = np.cumsum(a)
-    above = b.sum() - np.cumsum(b)
-    last = np.searchsorted(ratio, ratio, side="right") - 1
-    return float(np.sum(a / (only_a + only_b / ratio + below[last] + above[last] / ratio)))
+    order = np.lexsort((ratio, y))
+    y, a, b, ratio = y[order], a[order], b[order], ratio[order]
+    out = np.zeros(len(total_b))
+    if not len(y):
+        return out
+    first = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1])))
+    counts = np.diff(np.concatenate((first, [len(y)])))
+    level = np.flatnonzero(np.concatenate(((y[1:] != y[:-1]) | (ratio[1:] != ratio[:-1]), [True])))
+    last = level[np.searchsorted(level, np.arange(len(y)))]  # of those of the same set and ratio
+    sums = lambda v: np.concatenate(([0.0], np.cumsum(v)))
+    run_a, run_b = sums(a), sums(b)
+    shared_a, shared_b = np.add.reduceat(a, first), np.add.reduceat(b, first)
+    below = run_a[last + 1] - np.repeat(run_a[first], counts)
+    above = np.repeat(shared_b + run_b[first], counts) - run_b[last + 1]
+    only_a, only_b = np.repeat(total_a - shared_a, counts), np.repeat(total_b[y[first]] - shared_b, counts)
+    out[y[first]] = np.add.reduceat(a / (only_a + only_b / ratio + below + above / ratio), first)
+    return out
 
 
 def linked(ids: list[int], sets: list[np.ndarray], weights: list[np.ndarray | None], threshold: float) -> list[tuple[int, int]]:
@@ -104,11 +122,13 @@ def linked(ids: list[int], sets: list[np.ndarray], weights: list[np.ndarray | No
     sizes = np.asarray([len(s) for s in sets])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    holder = np.repeat(np.arange(n), sizes)[np.argsort(token, kind="stable")]
+    own = np.concatenate([np.ones(s) if w is None else w.astype(float) for w, s in zip(weights, sizes, strict=True)])
+    posted = np.argsort(token, kind="stable")
+    holder, held = np.repeat(np.arange(n), sizes)[posted], own[posted]
     ends = np.cumsum(np.bincount(token))
     starts = np.concatenate(([0], ends[:-1]))
     heavy = np.asarray([w is not None for w in weights])
-    total = np.asarray([float(w.sum()) if w is not None else float(s) for w, s in zip(weights, sizes, strict=True)])
+    total = np.add.reduceat(own, begin[:-1])
     left = np.ones(n, dtype=bool)
     out = []
     for root in range(n):
@@ -122,22 +142,50 @@ def linked(ids: list[int], sets: list[np.ndarray], weights: list[np.ndarray | No
             lengths = ends[t] - starts[t]
             runs = np.cumsum(lengths)
             at = np.arange(runs[-1]) - np.repeat(runs - lengths, lengths) + np.repeat(starts[t], lengths)
-            shared = np.bincount(holder[at], minlength=n)
-            near = shared >= threshold * (sizes[x] + sizes - shared) - 1e-9
+            y = holder[at]
+            shared = np.bincount(y, minlength=n)
+            near = left & (shared >= threshold * (sizes[x] + sizes - shared) - 1e-9)
             check = left & (shared > 0) & (heavy | heavy[x])
-            near = near & left & ~check
-            for y in np.flatnonzero(check):
-                _, i, j = np.intersect1d(sets[x], sets[y], assume_unique=True, return_indices=True)
-                a = weights[x][i].astype(float) if heavy[x] else np.ones(len(i))
-                b = weights[y][j].astype(float) if heavy[y] else np.ones(len(j))
-                near[y] = probability_jaccard(a, b, total[x] - a.sum(), total[y] - b.sum()) >= threshold - 1e-9
+            if check.any():
+                near &= ~check
+                a, b = np.repeat(own[begin[x] : begin[x + 1]], lengths), held[at]
+                # With s the sum of the smaller shares of the totals, the similarity lies between s / (2 - s) and s.
+                s = np.bincount(y, np.minimum(a / total[x], b / total[y]), n)
+                near |= check & (s / (2 - s) >= threshold)
+                check &= ~near & (s >= threshold - 1e-9)
+                some = check[y]
+                near |= check & (probability_jaccards(y[some], a[some], b[some], total[x], total) >= threshold - 1e-9)
             found = np.flatnonzero(near)
             left[found] = False
             frontier.extend(found)
-            out.extend((ids[x], ids[y]) for y in found)
+            out.extend((ids[x], ids[k]) for k in found)
     return out
 
 
+def _blocks(rows: str, words: str) -> Column:
+    """Blocks for so many members with so many words."""
+    return F.ceil(F.greatest(F.col(rows) / BLOCK_ROWS, F.col(words) / BLOCK_SHINGLES)).cast("int")
+
+
+def _own_block() -> Column:
+    return F.pmod(F.xxhash64("rep"), "parts").cast("int")
+
+
+def _upto(n: Column) -> Column:
+    return F.sequence(F.lit(0), n - 1)
+
+
+def _second_round(member: DataFrame, large: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rep, key, blocks``: members of large buckets, those outside of the bucket's largest component dealt to meet every block."""
+    placed = scratch.table(member.join(large, "key").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "parts", F.coalesce("component", "rep").alias("component")))
+    main = placed.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"))
+    loose = F.col("component") != F.col("main")
+    rest = placed.join(main, "key").where(loose).groupBy("key").agg(F.first("main").alias("main"), F.count("*").alias("rows"), F.sum("n").alias("words")).select("key", "main", _blocks("rows", "words").alias("loose_parts"))
+    meets = F.transform(_upto(F.col("loose_parts")), lambda a: (a * F.col("parts") + _own_block()).cast("long"))
+    mine = (F.pmod(F.xxhash64("rep", F.lit(1)), "loose_parts") * F.col("parts")).cast("long")
+    return placed.join(rest, "key").select("rep", "key", F.when(loose, F.array_union(meets, F.transform(_upto(F.col("parts")), lambda b: mine + b))).otherwise(meets).alias("blocks"))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
     """``doc_id, class_id, kept`` with a row for each document; the class's smallest id is its class_id and is kept.
 
@@ -168,8 +216,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     texts = scratch.table(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     member = texts.select("rep", "n", F.explode("keys").alias("key"))
     buckets = member.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("words"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("x2")).where("size > 1")
-    kept = scratch.table(buckets.groupBy("size", "words", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("words") / BLOCK_SHINGLES)).cast("int").alias("parts")))
-    wanted = member.join(kept, "key").groupBy("rep").agg(F.collect_list(F.struct("key", "parts")).alias("buckets"))
+    kept = scratch.table(buckets.groupBy("size", "words", "x1", "x2").agg(F.min("key").alias("key")).select("key", "size", _blocks("size", "words").alias("parts")))
+    hub = F.pmod(F.xxhash64("key", "rep"), "size") < HUBS
+    first = member.join(kept, "key").select("rep", "key", F.when(hub, _upto(F.col("parts"))).otherwise(F.array(_own_block())).alias("blocks"))
 
     def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,9 +231,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
                 counts = w[a:b].astype("<u4").tobytes() if w[a:b].max(initial=1) > 1 else None
                 mine = h[a:b].astype("<u8").tobytes()
                 for p in places:
-                    k, parts = p["key"], p["parts"]
-                    c = int(mix(np.asarray([ids[i] % 2**64], dtype=np.uint64))[0]) % parts
-                    rows.extend((k, min(c, o), max(c, o), ids[i], mine, counts) for o in range(parts) if parts == 1 or o != c)
+                    rows.extend((p["key"], block, ids[i], mine, counts) for block in p["blocks"])
                     if len(rows) >= 256:
                         yield _rows(rows)
                         rows = []
@@ -192,10 +239,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
                 yield _rows(rows)
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "x", "y", "id", "shingles", "weights"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "block", "id", "shingles", "weights"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["key", "x", "y"]):
+        for group in groups(batches, ["key", "block"]):
             ids = group.column("id").to_pylist()
             one = {i: k for k, i in enumerate(ids)}  # rows that repeat an id count once
             sets = group.column("shingles").to_pylist()
@@ -208,9 +255,18 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
                 a, b = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    blocks = base.join(wanted, base.doc_id == wanted.rep).select("doc_id", "text", "buckets").mapInArrow(payload, "key long, x long, y long, id long, shingles binary, weights binary")
-    edges = blocks.repartition(partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(search, "a long, b long")
-    component = connected_components(edges, scratch)
+    def links(dealt: DataFrame) -> DataFrame:
+        """Links within the blocks ``rep, key, blocks`` deals the documents to."""
+        wanted = dealt.groupBy("rep").agg(F.collect_list(F.struct("key", "blocks")).alias("buckets"))
+        rows = base.join(wanted, base.doc_id == wanted.rep).select("doc_id", "text", "buckets").mapInArrow(payload, "key long, block long, id long, shingles binary, weights binary")
+        return rows.repartition(partitions(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(search, "a long, b long")
+
+    component = connected_components(links(first), scratch)
+    large = kept.where("parts > 1")
+    if not large.isEmpty():
+        further = scratch.table(links(scratch.table(_second_round(member, large, component, scratch))))
+        if not further.isEmpty():
+            component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(further), scratch)
     classes = scratch.table(texts.select("h1", "h2", "rep").join(component, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_id")))
     found = signed.where("n > 0").select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id").union(signed.where("n = 0").select("doc_id", F.col("doc_id")))
     one = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
