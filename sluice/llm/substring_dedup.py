@@ -2,15 +2,15 @@
 
 A window is ``size`` consecutive words of one document.  The first pass counts windows in a count-min
 sketch of two rows: each unit, some windows of one partition, sends its cells, deltas of sorted places, cut into slices of
-the sketch.  The sketches are merged slice by slice, and each unit is answered with those of its own cells that count two
-or more.  It overestimates, so a window whose two cells aren't both among them occurs once and is done with.  The second pass
+the sketch.  The sketches are merged slice by slice, and each unit is answered with a bit for each of its own cells, set if it counts
+two or more.  It overestimates, so a window whose two cells aren't both among them occurs once and is done with.  The second pass
 groups only the others, exactly, by 96-bit hashes: each partition keeps a window's smallest document and settles the rest
 of its documents itself, so that a passage in a third of all documents sends a row a partition.  The words
 of a document's windows that start in a smaller document go.
 
 The sketch grows with the input, ``BYTES_PER_CELL`` at any size, and nobody ever holds more of it than a slice:
-no driver, no broadcast.  A task of the second pass reads the answers to its own units, about a bit for each of their
-windows, from the scratch folder.  A unit knows its answer by a digest of its windows; should a partition hold other
+no driver, no broadcast.  A task of the second pass reads the answers to its own units, two bits a window at
+most, from the scratch folder.  A unit knows its answer by a digest of its windows; should a partition hold other
 rows the second time, as after a shuffle that is dealt anew, its windows all count as repeated: slower, never wrong.
 
 Defined cases: null text has no words; documents shorter than a window lose nothing; windows are judged
@@ -104,7 +104,7 @@ DIGEST = -1
 
 
 def answers(docs: DataFrame, size: int, cells: int, slices: int, scratch: Scratch) -> str:
-    """A folder of ``part=n`` with rows ``unit, slice, places``: of each unit's cells, by row and slice, those that count two or more. Takes ``text``, the second column of ``docs``."""
+    """A folder of ``part=n`` with rows ``unit, slice, bits``: for each of a unit's cells in a slice of a row, in order, whether it counts two or more. Takes ``text``, the second column of ``docs``."""
     width = cells // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,20 +133,20 @@ def answers(docs: DataFrame, size: int, cells: int, slices: int, scratch: Scratc
         for g in groups(batches, ["slice"]):
             s, part, unit, once, more = (g.column(c).to_pylist() for c in ("slice", "part", "unit", "once", "more"))
             if s[0] <= DIGEST:
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(unit, pa.int64()), pa.array([DIGEST] * len(part), pa.int64()), pa.array(once, pa.binary())], names=["part", "unit", "slice", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(unit, pa.int64()), pa.array([DIGEST] * len(part), pa.int64()), pa.array(once, pa.binary())], names=["part", "unit", "slice", "bits"])
                 continue
             lists = [_unpack_places(x) for x in once]
             several = [x[_unpack_places(y)] for x, y in zip(lists, more, strict=True)]
             every = np.sort(np.concatenate(lists))
             repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *several]))
-            mine = [x[_among(x, repeated)] for x in lists]
-            keep = [k for k, x in enumerate(mine) if len(x)]
+            mine = [_among(x, repeated) for x in lists]
+            keep = [k for k, x in enumerate(mine) if x.any()]
             if keep:
-                yield pa.RecordBatch.from_arrays([pa.array([part[k] for k in keep], pa.int64()), pa.array([unit[k] for k in keep], pa.int64()), pa.array([s[0]] * len(keep), pa.int64()), pa.array([_pack_places(mine[k]) for k in keep], pa.binary())], names=["part", "unit", "slice", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array([part[k] for k in keep], pa.int64()), pa.array([unit[k] for k in keep], pa.int64()), pa.array([s[0]] * len(keep), pa.int64()), pa.array([np.packbits(mine[k]).tobytes() for k in keep], pa.binary())], names=["part", "unit", "slice", "bits"])
 
     n = partitions(docs.sparkSession)
     counted = docs.mapInArrow(count, "slice long, part long, unit long, once binary, more binary")
-    merged = counted.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(merge, "part long, unit long, slice long, places binary")
+    merged = counted.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(merge, "part long, unit long, slice long, bits binary")
     path = scratch.path()
     merged.repartition(n, "part").write.partitionBy("part").parquet(path)
     return path
@@ -158,27 +158,29 @@ class Answers:
     def __init__(self, path: str, part: int, cells: int, slices: int):
         store, base = locate(path)
         self.digests: dict[int, bytes] = {}
-        self.places: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
-        self.cells, self.slices = cells, slices
+        self.bits: dict[tuple[int, int], bytes] = {}
+        self.width, self.slices, self.cells = cells // slices, slices, cells
         for f in store.get_file_info(fs.FileSelector(f"{base}/part={part}", allow_not_found=True)):
             if f.path.endswith(".parquet"):
-                for unit, s, places in zip(*(c.to_pylist() for c in pq.read_table(f.path, filesystem=store, columns=["unit", "slice", "places"], partitioning=None).columns), strict=True):
+                for unit, s, bits in zip(*(c.to_pylist() for c in pq.read_table(f.path, filesystem=store, columns=["unit", "slice", "bits"], partitioning=None).columns), strict=True):
                     if s == DIGEST:
-                        self.digests[unit] = places
+                        self.digests[unit] = bits
                     else:
-                        self.places.setdefault((unit, s // slices), []).append((s % slices, places))
+                        self.bits[unit, s] = bits
 
     def repeated(self, unit: int, h: np.ndarray) -> np.ndarray:
         """Which of the unit's windows are estimated repeated."""
         if self.digests.get(unit) != _digest(h):
             return np.ones(len(h), dtype=bool)
-        out = np.arange(len(h))
+        mask = np.ones(len(h), dtype=bool)
         for row in range(ROWS):
-            width = self.cells // self.slices
-            known = [_unpack_places(p) + s * width for s, p in sorted(self.places.get((unit, row), ()))]
-            out = out[_among(_cells(h[out], row, self.cells), np.concatenate(known) if known else np.zeros(0, dtype=np.int64))]
-        mask = np.zeros(len(h), dtype=bool)
-        mask[out] = True
+            places, at = np.unique(_cells(h, row, self.cells), return_inverse=True)
+            cut = np.searchsorted(places, np.arange(self.slices + 1) * self.width)
+            more = np.zeros(len(places), dtype=bool)
+            for s in range(self.slices):
+                if (bits := self.bits.get((unit, row * self.slices + s))) is not None:
+                    more[cut[s] : cut[s + 1]] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=cut[s + 1] - cut[s])
+            mask &= more[at]
         return mask
 
 
