@@ -90,8 +90,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark)
-    files = token_files.write_token_files(docs, scratch.path(), tokenizer_path())
-    return finished(token_files.read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32"), scratch)
+    folder = scratch.path()
+    manifest = token_files.write_token_files(docs, folder, tokenizer_path())
+    return finished(token_files.read_token_files(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32"), scratch)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

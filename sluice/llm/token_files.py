@@ -11,8 +11,10 @@ A block's ids, padded with zeros, are transposed into byte planes (all lowest by
 ``planes="bit"`` transposes single bits); a chunk is a number of blocks and holds each plane as a
 frame of its own, so high planes, which are nearly constant, almost vanish.  A chunk can be read alone by the index.
 
-Files are rows of a table (``part, file_no, ahead, n_tokens, data``, ahead the ids of the part's files before) written by Spark's own committer, so they
-reach any store that Spark writes and survive lost executors; ``export`` puts them into plain files.
+Tasks write the files into a shared folder, each whole under its own name, and a manifest, a small table of
+``part, file_no, ahead, n_tokens, name`` (ahead: the ids of the part's files before), names those that count; a task that
+runs again after its executor was lost leaves a file that no manifest names.  The folder has to be a store that Arrow opens
+(a path, or ``file``, ``hdfs``, ``s3``, ``gs``).
 
 Defined cases: null text is empty and gives its end id alone; null ids come first; rows that share an id
 are ordered by their text; no documents give no files.
@@ -38,6 +40,7 @@ from ._tokens import word_encoder
 from ._words import binary
 
 MAGIC = b"BPS1"
+MANIFEST = "part int, file_no int, ahead long, n_tokens long, name string"
 #: Ids after which a file is closed; a longer document makes a longer file.
 FILE_IDS = 2_000_000
 BLOCK_IDS = 4096
@@ -110,17 +113,23 @@ def decode_file(data: bytes) -> list[tuple[int, np.ndarray]]:
     return [(int(i), ids[b - int(n) : b]) for i, n, b in zip(table["id"], table["n"], ends, strict=True)]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte") -> DataFrame:
-    """Encode ``docs`` into files under ``path``; returns the table of files."""
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte") -> DataFrame:
+    """Encode ``docs`` into files in ``folder``, in ascending order of ids; returns the manifest, which is kept there too."""
     spark = prepare(docs.sparkSession)
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        part, number, ahead, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        store, base = locate(folder)
+        store.create_dir(base)
+        context = TaskContext.get()
+        part, number, ahead, held, size = context.partitionId(), 0, 0, [], 0
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([ahead], pa.int64()), pa.array([size], pa.int64()), pa.array([encode_file(held, planes)], pa.binary())], names=["part", "file_no", "ahead", "n_tokens", "data"])
+            name = f"tokens-{part:06d}-{number:04d}-{context.taskAttemptId()}.bps"
+            put(store, f"{base}/{name}", encode_file(held, planes))
+            values = zip((part, number, ahead, size, name), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in values], names=["part", "file_no", "ahead", "n_tokens", "name"])
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(binary(batch.column(1)).to_pylist()), strict=True):
@@ -133,40 +142,32 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield close()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(work, "part int, file_no int, ahead long, n_tokens long, data binary").write.parquet(path)
-    return spark.read.parquet(path)
+    ordered.mapInArrow(work, MANIFEST).write.parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read_token_files(files: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32, ids``: each document's ids as bytes, and how many ids all documents before it have."""
-    spark = prepare(files.sparkSession)
+def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32, ids`` from the files: each document's ids as bytes, and how many ids all documents before it have."""
+    spark = prepare(manifest.sparkSession)
     starts, before = [], 0
-    for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # a row a partition of the writer
+    for r in manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # a row a partition of the writer
         starts += [before] * (r["part"] + 1 - len(starts))
         before += r["n"]
     first = F.get(F.from_json(F.lit(json.dumps(starts)), "array<bigint>"), F.col("part")) + F.col("ahead")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = locate(folder)
         for batch in batches:
-            for start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for start, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_input_stream(f"{base}/{name}") as f:
+                    found = decode_file(f.read())
                 rows = []
-                for doc, ids in decode_file(data):
+                for doc, ids in found:
                     raw = ids.astype("<u4").tobytes()
                     rows.append((None if doc == NULL_ID else doc, start, len(ids), zlib.crc32(raw), raw))
                     start += len(ids)
                 for i in range(0, len(rows), 1024):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 1024], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return files.select(first.alias("start"), "data").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
-
-
-def export(files: DataFrame, folder: str) -> None:
-    """Each file as a plain one in a shared folder; a file appears once it is whole."""
-
-    def write(rows) -> None:
-        store, base = locate(folder)
-        store.create_dir(base)
-        for r in rows:
-            put(store, f"{base}/tokens-{r['part']:06d}-{r['file_no']:04d}.bps", bytes(r["data"]))
-
-    files.select("part", "file_no", "data").foreachPartition(write)
+    named = manifest.select(first.alias("start"), "name").repartition(partitions(spark), "name")
+    return named.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -95,13 +95,37 @@ def test_prob_minhash_estimates_probability_jaccard():
     d, h, w = (np.asarray(x) for x in zip(*[(i, k, v) for i, s in enumerate((a, b)) for k, v in sorted(s.items())], strict=True))
     m = near_dedup.prob_minhash(d, h.astype(np.uint64), w, 2, 4096)
     assert abs((m[0] == m[1]).mean() - probability_jaccard(a, b)) < 0.03
-    x = np.asarray([1.0, 2.0, 3.0])
-    y = np.asarray([2.0, 2.0, 1.0])
-    assert abs(near_dedup.probability_jaccard(x, y, 4, 5) - probability_jaccard({1: 1, 2: 2, 3: 3, 4: 4}, {1: 2, 2: 2, 3: 1, 5: 5})) < 1e-12
 
 
-def test_blocks_of_a_large_bucket(spark, monkeypatch, texts, scratch):
+def test_links_of_weighted_sets():
+    """Similarities and components of random weighted sets against the definition."""
+    rng = random.Random(14)
+    for _ in range(30):
+        base = {k: rng.randrange(1, 4) for k in range(30)}
+        sets = [{k: w for k, w in base.items() if rng.random() < 0.97} | ({100 + i: rng.randrange(1, 3)} if rng.random() < 0.5 else {}) for i in range(25)]
+        sets = [{k: 1 for k in s} if rng.random() < 0.3 else s for s in sets]
+        rows = [(i, w, sets[0][k]) for i, s in enumerate(sets) for k, w in s.items() if k in sets[0]]
+        y, b, a = (np.asarray(c) for c in zip(*rows, strict=True))
+        got = near_dedup.probability_jaccards(y, a.astype(float), b.astype(float), float(sum(sets[0].values())), np.asarray([float(sum(s.values())) for s in sets]))
+        want = [probability_jaccard(sets[0], s) for s in sets]
+        assert np.allclose(got, want)
+        keys = [np.asarray(sorted(s), dtype=np.uint64) for s in sets]
+        weights = [None if all(w == 1 for w in s.values()) else np.asarray([s[int(k)] for k in ks]) for s, ks in zip(sets, keys, strict=True)]
+        links = near_dedup.linked(list(range(25)), keys, weights, 0.8)
+        assert all(probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9 for i, j in links)
+        groups = []
+        for edges in (links, [(i, j) for i in range(25) for j in range(i) if probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9]):
+            of = list(range(25))
+            for i, j in edges:
+                of = [of[i] if x == of[j] else x for x in of]
+            groups.append({frozenset(k for k in range(25) if of[k] == g) for g in of})
+        assert groups[0] == groups[1]
+
+
+def test_blocks_of_a_large_bucket(spark, monkeypatch, scratch):
+    """Buckets of many blocks: near copies of one text, chains beside them, and texts that share a bucket but are unlike."""
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(near_dedup, "HUBS", 2)
     rng = random.Random(2)
     w = prose(rng, 200).split()
     rows = []
@@ -109,8 +133,48 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch, texts, scratch):
         v = list(w)
         v[rng.randrange(200)] = f"x{i}"
         rows.append((i, " ".join(v)))
+    for i in range(60, 100):  # far from the first text, each like the one before
+        v = list(v)
+        v[(i * 7) % 200] = f"y{i}"
+        rows.append((i, " ".join(v)))
+    for i in range(100, 130):  # about 0.7 alike, mostly without a link
+        v = list(w)
+        for k in rng.sample(range(200), 5):
+            v[k] = f"z{i}.{k}"
+        rows.append((i, " ".join(v)))
+    sets = {i: Counter(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i].keys() & sets[j].keys())
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()
-    assert {r["class_id"] for r in got} == {0}
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: find(i) for i in sets} and len({find(i) for i in sets}) > 1
+
+
+def test_near_duplicates_recall_by_similarity(spark, scratch):
+    """Copies of 120 texts with 0 to 24 of 240 words changed: all pairs of 0.8 or more are found, none below."""
+    rng = random.Random(31)
+    rows, similar = [], {}
+    for k in range(120):
+        w = prose(rng, 240).split()
+        v = list(w)
+        for at in rng.sample(range(240), k // 5):
+            v[at] = f"q{k}.{at}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        a, b = (set(zip(*(x[i:] for i in range(5)), strict=False)) for x in (w, v))
+        similar[k] = len(a & b) / len(a | b)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    found = {k for k in similar if got[2 * k] == got[2 * k + 1]}
+    assert found == {k for k, x in similar.items() if x >= 0.8} and 10 < len(found) < 100
 
 
 def brute_substring(texts, size=13):
@@ -460,8 +524,10 @@ def test_token_file_format():
 def test_token_files(docs, empty, texts, library, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_IDS", 300)
     encode, _ = library
-    files = token_files.write_token_files(docs, str(tmp_path / "t"), tokenizer_path())
-    rows = sorted(token_files.read_token_files(files).collect(), key=lambda r: r["start"])
+    folder = f"file://{tmp_path}/t"
+    files = token_files.write_token_files(docs, folder, tokenizer_path())
+    (tmp_path / "t" / "tokens-000000-0000-99999.bps").write_bytes(b"of an attempt that was lost")
+    rows = sorted(token_files.read_token_files(files, folder).collect(), key=lambda r: r["start"])
     at = 0
     for r in rows:
         ids = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
@@ -471,10 +537,9 @@ def test_token_files(docs, empty, texts, library, tmp_path, monkeypatch):
         at += len(ids)
     order = [r["doc_id"] for r in rows]
     assert order[:2] == [None, None] and order[2:] == sorted(order[2:]) and len(order) == docs.count()
-    (tmp_path / "out").mkdir()
-    token_files.export(files, str(tmp_path / "out"))
-    assert sum(len(token_files.decode_file(p.read_bytes())) for p in (tmp_path / "out").iterdir()) == len(rows)
-    assert token_files.read_token_files(token_files.write_token_files(empty, str(tmp_path / "e"), tokenizer_path())).count() == 0
+    named = [r["name"] for r in files.collect()]
+    assert len(named) > 5 and sum(len(token_files.decode_file((tmp_path / "t" / n).read_bytes())) for n in named) == len(rows)
+    assert token_files.read_token_files(token_files.write_token_files(empty, str(tmp_path / "e"), tokenizer_path()), str(tmp_path / "e")).count() == 0
 
 
 def test_packing(docs, empty, texts, library):
