@@ -37,13 +37,14 @@ def classify(port: Column, preface: Column, ports: dict[str, tuple[int, ...]] |
 _HTTP = re.compile(f"(?:(?:{'|'.join(METHODS)}) |HTTP/)".encode())
 
 
-def protocol_of(port: int, preface: bytes, ports: dict[str, tuple[int, ...]] | None = None) -> str:
-    """``classify`` for a machine."""
-    claims = [name for name, own in (PORTS if ports is None else ports).items() if port in own]
-    if len(claims) == 1:
-        return claims[0]
-    http, telnet = _HTTP.match(preface) is not None, b"\xff" in preface
-    return "UNKNOWN" if http == telnet else "HTTP" if http else "TN3270"
+def http_begins(preface: bytes) -> bool:
+    """``has_http_signature`` for a machine."""
+    return _HTTP.match(preface) is not None
+
+
+def telnet_marks(preface: bytes) -> bool:
+    """``has_telnet_signature`` for a machine."""
+    return b"\xff" in preface
 
 
 def preface(oriented: DataFrame, limit: int = PREFACE_BYTES) -> DataFrame:

@@ -14,15 +14,11 @@ from pyspark.sql import DataFrame
 
 from ..schemas import ACK, FIN, RST, SYN
 from ._stream import by_flow
-from .detect import PORTS, PREFACE_BYTES, protocol_of
+from .detect import PREFACE_BYTES
 from .flows import conversation
-from .http import HttpFramer
+from .protocols import KNOWN, Protocol, recognise
 from .reassembly import Reassembler
-from .terminal import RecordFramer
 
-FRAMERS = {"HTTP": HttpFramer, "TN3270": lambda from_client: RecordFramer()}
-#: Protocols whose responses go if no request waits; those of others wait for one.
-DROPS_ORPHANS = ("HTTP",)
 END = "struct<ip: string, port: int>"
 SIDE = "struct<data: binary, ts_us: bigint>"
 PAIR = f"conv string, flow_id string, protocol string, n bigint, request {SIDE}, response {SIDE}, client {END}, server {END}, dropped_bytes bigint"
@@ -39,8 +35,8 @@ class Flow:
     client: tuple[str, int]
     server: tuple[str, int]
     enabled: tuple[str, ...]
-    ports: dict[str, tuple[int, ...]]
-    protocol: str | None = None
+    protocols: tuple[Protocol, ...]
+    protocol: Protocol | None = None
     preface: bytes = b""
     n: int = 0
     streams: dict[bool, Reassembler] = field(default_factory=dict)
@@ -54,22 +50,22 @@ class Flow:
             return []
         if self.protocol is None:
             self.preface += got[: PREFACE_BYTES - len(self.preface)]
-            found = protocol_of(self.server[1], self.preface, self.ports)
-            if found == "UNKNOWN":
+            found = recognise(self.server[1], self.preface, self.protocols)
+            if found is None:
                 return []
             self.protocol, self.preface = found, b""
-        if self.protocol not in self.enabled or self.protocol not in FRAMERS:
+        if self.protocol.name not in self.enabled:
             return []
         if from_client not in self.framers:
-            self.framers[from_client] = FRAMERS[self.protocol](from_client)
+            self.framers[from_client] = self.protocol.framer(from_client)
         out = []
         for message in self.framers[from_client].feed(got):
-            if self.protocol in DROPS_ORPHANS and not from_client and not self.waiting[True]:
+            if self.protocol.drops_orphans and not from_client and not self.waiting[True]:
                 continue
             self.waiting[from_client].append((message, ts_us))
             if self.waiting[True] and self.waiting[False]:
                 self.n += 1
-                out.append((self.protocol, self.n, *self.waiting[True].pop(0), *self.waiting[False].pop(0)))
+                out.append((self.protocol.name, self.n, *self.waiting[True].pop(0), *self.waiting[False].pop(0)))
         return out
 
     def held(self) -> int:
@@ -83,8 +79,9 @@ class Conversation:
     A flow that ends while bytes wait gives a row without a pair, whose ``dropped_bytes`` counts them.
     """
 
-    def __init__(self, enabled: tuple[str, ...] = ("HTTP", "TN3270"), ports: dict[str, tuple[int, ...]] | None = None):
-        self.enabled, self.ports = enabled, PORTS if ports is None else ports
+    def __init__(self, enabled: tuple[str, ...] | None = None, protocols: tuple[Protocol, ...] = KNOWN):
+        self.protocols = protocols
+        self.enabled = tuple(p.name for p in protocols) if enabled is None else enabled
         self.client: tuple[str, int] | None = None
         self.closed: dict[tuple[str, int], int] = {}
         self.flows: dict[tuple[str, int], Flow] = {}
@@ -102,14 +99,14 @@ class Conversation:
             self.client = src
         from_client = src == self.client
         if self.client not in self.flows:
-            self.flows[self.client] = Flow(self.client, dst if from_client else src, self.enabled, self.ports)
+            self.flows[self.client] = Flow(self.client, dst if from_client else src, self.enabled, self.protocols)
         flow = self.flows[self.client]
         out = []
         for protocol, n, request, request_ts, response, response_ts in flow.feed(from_client, seq, bytes(payload or b""), ts_us):
             out.append(self._row(flow, protocol, n, {"data": request, "ts_us": request_ts}, {"data": response, "ts_us": response_ts}, 0))
         if flags & (FIN | RST):
             if flow.held():
-                out.append(self._row(flow, flow.protocol, None, None, None, flow.held()))
+                out.append(self._row(flow, flow.protocol and flow.protocol.name, None, None, None, flow.held()))
             del self.flows[self.client]
             self.closed[self.client] = self.closed.get(self.client, 0) + 1
             self.client = None
@@ -122,6 +119,9 @@ class Conversation:
         return []
 
 
-def segments_to_pairs(segments: DataFrame, enabled: tuple[str, ...] = ("HTTP", "TN3270"), ports: dict[str, tuple[int, ...]] | None = None) -> DataFrame:
-    """Pairs of all flows of ``segments``, with both ends: one shuffle by conversation, and a sort that spills. Rows without a pair count dropped bytes."""
-    return by_flow(conversation(segments).select(*COLUMNS), "conv", ["arrival"], lambda: Conversation(enabled, ports), PAIR, PAIR_KINDS)
+def segments_to_pairs(segments: DataFrame, enabled: tuple[str, ...] | None = None, protocols: tuple[Protocol, ...] = KNOWN) -> DataFrame:
+    """Pairs of all flows of ``segments``, with both ends: one shuffle by conversation, and a sort that spills. Rows without a pair count dropped bytes.
+
+    ``enabled`` names the protocols that are paired, all by default.
+    """
+    return by_flow(conversation(segments).select(*COLUMNS), "conv", ["arrival"], lambda: Conversation(enabled, protocols), PAIR, PAIR_KINDS)

@@ -84,14 +84,15 @@ def log_line(events: DataFrame) -> DataFrame:
     return events.select(joined_line("terminal.event", parts).alias("line"))
 
 
-def terminal_user_events(events: DataFrame, rules: list[dict], app: str = "tn3270", source: str = "tn3270") -> DataFrame:
-    """Submits, joined to their session's latest screen, as terminal events: screen rule, operator and attributes."""
+def terminal_user_events(events: DataFrame, rules: list[dict], app: str = "tn3270", source: str = "tn3270", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Submits, with the columns ``keep``, joined to their session's latest screen, as terminal events: screen rule, operator and attributes."""
     from .terminal import last_screen
 
     seen = last_screen(events, cols=("rows", "cols", "plain_text", "screen_hash", "screen_name")).withColumn("_shown", F.col("screen")).drop("screen")
     m = first_match(seen.withColumn("_text", F.col("_shown.plain_text")), rules, "_text")
     inputs = F.coalesce("inputs", F.create_map().cast("map<string,string>"))
     return m.select(
+        *keep,
         F.timestamp_micros("ts_us").alias("ts"),
         F.col("session_id").alias("terminal_id"),
         "session_id",

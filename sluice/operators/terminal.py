@@ -1,6 +1,6 @@
 """TN3270: telnet records, the terminal's screen as host and user change it, and its events.
 
-``RecordFramer`` cuts a byte stream into records, ``Screen`` holds one session's presentation space, and
+``RecordFramer`` cuts a byte stream into records, ``Screen`` holds one session's presentation spaces, and
 ``terminal_events`` runs both over the message pairs of each session.  Only a record's own bytes are parsed.
 """
 
@@ -116,43 +116,64 @@ class Field:
 
 
 @dataclass
-class Screen:
+class Partition:
+    """One presentation space of a terminal."""
+
     rows: int = 24
     cols: int = 80
     buffer: bytearray = field(default_factory=bytearray)
     fields: dict[int, Field] = field(default_factory=dict)
     cursor: int = 0
-    name: str | None = None
+    hash: str | None = None
 
     def __post_init__(self):
-        self.buffer = self.buffer or bytearray([ebcdic.SPACE]) * (self.rows * self.cols)
+        self.clear()
 
-    def _clear(self) -> None:
-        self.buffer[:] = bytes([ebcdic.SPACE]) * (self.rows * self.cols)
+    def clear(self) -> None:
+        self.buffer = bytearray([ebcdic.SPACE]) * (self.rows * self.cols)
         self.fields.clear()
+        self.cursor, self.hash = 0, None
 
-    def _shape(self, rows: int, cols: int, clear: bool) -> None:
-        if rows and cols and (rows, cols) != (self.rows, self.cols):
-            self.rows, self.cols, clear = rows, cols, True
-            self.buffer = bytearray(rows * cols)
-        if clear:
-            self._clear()
-        self.fields.clear()
+
+class Screen:
+    """A terminal: its partitions, of which structured fields make one the active, and the name of its first screen."""
+
+    def __init__(self):
+        self.partitions = {0: Partition()}
+        self.active = self.partitions[0]
+        self.name: str | None = None
+
+    rows = property(lambda self: self.active.rows)
+    cols = property(lambda self: self.active.cols)
+    buffer = property(lambda self: self.active.buffer)
+    fields = property(lambda self: self.active.fields)
+
+    def _shape(self, number: int, rows: int, cols: int, clear: bool) -> None:
+        """Make a partition the active one, with the rows and columns given where they aren't 0."""
+        self.active = p = self.partitions.setdefault(number, Partition())
+        shape = rows or p.rows, cols or p.cols
+        if clear or shape != (p.rows, p.cols):
+            p.rows, p.cols = shape
+            p.clear()
+        p.fields.clear()
 
     def host_write(self, data: bytes) -> dict:
         """Apply a host's record and take a snapshot; one that is no write only takes it."""
         if len(data) > 1 and data[0] in (WRITE, ERASE_WRITE, STRUCTURED):
             if data[0] == STRUCTURED:
                 if data[1] & CLEAR:
-                    self._clear()
+                    self.active.clear()
                 self._structured(data[2:])
             else:
                 if data[0] == ERASE_WRITE or data[1] & CLEAR:
-                    self._clear()
+                    self.active.clear()
                 else:
                     self.fields.clear()
                 self._orders(data[2:])
             self._span()
+            shot = self.snapshot()
+            self.active.hash = shot["screen_hash"]
+            return shot
         return self.snapshot()
 
     def _structured(self, data: bytes) -> None:
@@ -164,9 +185,9 @@ class Screen:
             kind, body = data[at + 2], data[at + 3 : at + size]
             at += size
             if kind == QUERY_REPLY and len(body) >= 3:
-                self._shape(body[1], body[2], False)
+                self._shape(body[0], body[1], body[2], False)
             elif kind in (READ_BUFFER, READ_PARTITION) and len(body) >= 4:
-                self._shape(body[2], body[3], kind == READ_BUFFER or bool(body[1] & CLEAR))
+                self._shape(body[0], body[2], body[3], kind == READ_BUFFER or bool(body[1] & CLEAR))
                 self._orders(body[4:])
 
     def _orders(self, data: bytes) -> None:
@@ -191,7 +212,7 @@ class Screen:
                 self.buffer[to] = data[at]
                 to, at = (to + 1) % size, at + 1
             elif b == IC:
-                self.cursor = to
+                self.active.cursor = to
             else:
                 self.buffer[to % size] = b
                 to = (to + 1) % size
@@ -240,13 +261,13 @@ class Screen:
             return "UNKNOWN", {}
         inputs: dict[str, str] = {}
         if len(data) >= 3:
-            self.cursor = address(data[1], data[2])
+            self.active.cursor = address(data[1], data[2])
         at = 3 if len(data) >= 3 else 1
         while at < len(data):
             b = data[at]
             at += 1
             if b == IC and at + 2 <= len(data):
-                self.cursor = address(data[at], data[at + 1])
+                self.active.cursor = address(data[at], data[at + 1])
                 at += 2
             elif b == SBA:
                 if at + 2 > len(data):
@@ -278,10 +299,10 @@ class Session:
     """One session's pairs (``flow_id, n, request, response``) to events; a submit carries the hash and name of the screen it answers."""
 
     def __init__(self, close_ts: int | None):
-        self.screen, self.n, self.close_ts, self.key, self.hash = Screen(), 0, close_ts, None, None
+        self.screen, self.n, self.close_ts, self.key = Screen(), 0, close_ts, None
 
     def _event(self, kind: str, ts: int, aid: str | None = None, inputs: dict | None = None, shot: dict | None = None, named: bool = True) -> tuple:
-        shot = shot or {"screen_hash": self.hash if kind == "USER_SUBMIT" else None, "screen_name": self.screen.name if named else None}
+        shot = shot or {"screen_hash": self.screen.active.hash if kind == "USER_SUBMIT" else None, "screen_name": self.screen.name if named else None}
         self.n += 1
         sid = murmur128_hex(self.key.encode())
         return sid, self.n - 1, kind, ts, aid, None if inputs is None else list(inputs.items()), *(shot.get(k) for k in ("rows", "cols", "plain_text", "fields", "screen_hash", "screen_name")), self.key
@@ -293,7 +314,6 @@ class Session:
             self.key = str(flow)
             out.append(self._event("SESSION_START", response["ts_us"], named=False))
         shot = self.screen.host_write(filter_telnet(response["data"] or b""))
-        self.hash = shot["screen_hash"]
         out.append(self._event("SCREEN_RENDER", response["ts_us"], shot=shot))
         aid, inputs = self.screen.submit(filter_telnet(request["data"] or b""))
         out.append(self._event("USER_SUBMIT", request["ts_us"], aid, inputs))
@@ -303,8 +323,13 @@ class Session:
         return [] if self.close_ts is None else [self._event("SESSION_END", self.close_ts)]
 
 
-def terminal_events(pairs: DataFrame, close_ts: int | None = None) -> DataFrame:
-    """Events of each session (flow): start, then for each pair the screen that the host wrote and what the user sent; an end if ``close_ts`` is given."""
+def terminal_events(pairs: DataFrame, close_ts: int | None = None, enabled: bool = True) -> DataFrame:
+    """Events of each session (flow): start, then for each pair the screen that the host wrote and what the user sent; an end if ``close_ts`` is given.
+
+    Switched off (``enabled``), there are none.
+    """
+    if not enabled:
+        return pairs.sparkSession.createDataFrame([], EVENT)
     rows = pairs.select("flow_id", "n", F.struct("request.data", "request.ts_us").alias("request"), F.struct("response.data", "response.ts_us").alias("response"))
     return by_flow(rows, "flow_id", ["n"], lambda: Session(close_ts), EVENT, EVENT_KINDS)
 

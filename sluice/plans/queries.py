@@ -337,14 +337,19 @@ def last_screen_asof(spark, sf_dir):
 )
 def terminal_sessions(spark, sf_dir):
     """Screens that conversations' answers write and requests answer, as terminal events."""
+    e = terminal.terminal_events(_screens(spark, sf_dir), 99)
+    values = F.array_join(F.transform("fields", lambda f: F.concat_ws(" ", f["protected"].cast("string"), f["value"])), ",")
+    return e.select("session_key", "n", "type", "ts_us", "aid", F.to_json("inputs").alias("inputs"), F.rtrim(F.regexp_replace("plain_text", "\\n+$", "")).alias("plain"), values.alias("field_values"), "screen_name")
+
+
+def _screens(spark, sf_dir) -> DataFrame:
+    """Pairs of a screen with one field and what is typed into it, for each answer and request."""
     from ..functions import ebcdic
 
     write = F.concat(F.lit(bytes([terminal.ERASE_WRITE, 0x40, terminal.SBA, 0x40, 0x40, terminal.SF, 0x20]) + ebcdic.encode("USER:") + bytes([terminal.SF, 0x40])), F.lit(ebcdic.encode("          ")))
     submit = F.concat(F.lit(bytes([0x7D, 0x40, 0x40, terminal.SBA, 0x40, 0x47])), F.lit(ebcdic.encode("SMITH") + b"\0\0" + bytes([terminal.EUA, 0x40, 0x50])))
     m = tables.messages(spark, sf_dir).select("flow_id", "ord", "type", F.when(F.col("type") == "REQUEST", submit).otherwise(write).alias("data"), "ts_us")
-    e = terminal.terminal_events(pairing.two_way_pairs(m), 99)
-    values = F.array_join(F.transform("fields", lambda f: F.concat_ws(" ", f["protected"].cast("string"), f["value"])), ",")
-    return e.select("session_key", "n", "type", "ts_us", "aid", F.to_json("inputs").alias("inputs"), F.rtrim(F.regexp_replace("plain_text", "\n+$", "")).alias("plain"), values.alias("field_values"), "screen_name")
+    return pairing.two_way_pairs(m)
 
 
 @query("SELECT event_id, regexp_replace(left(props, length(props) - 3), '\\S', '*', 'g') || right(props, 3) AS password, event_type AS other FROM events")
@@ -368,9 +373,14 @@ def http_report_text(spark, sf_dir):
 
 def _event_pairs(spark, sf_dir) -> DataFrame:
     e = tables.read(spark, sf_dir, "events")
-    side = lambda text, src, dst: F.struct(text.cast("binary").alias("data"), tables.micros().alias("ts_us"), F.lit(src).alias("src"), F.lit(dst).alias("dst"))
+    return _reported(e.select(F.concat(F.lit("txn:"), F.col("event_id").cast("string")).alias("tx_id"), tables.micros().alias("ts_us"), "props"))
+
+
+def _reported(rows: DataFrame) -> DataFrame:
+    """Pairs of ``tx_id, ts_us, props``: a plain request, and ``props`` as the chunked answer."""
+    side = lambda text, src, dst: F.struct(text.cast("binary").alias("data"), F.col("ts_us"), F.lit(src).alias("src"), F.lit(dst).alias("dst"))
     chunked = F.concat(F.lit("HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nX:  y \r\n\r\n"), F.lower(F.hex(F.length("props"))), F.lit("\r\n"), F.col("props"), F.lit("\r\n0\r\n\r\n"))
-    return e.select(F.concat(F.lit("txn:"), F.col("event_id").cast("string")).alias("tx_id"), side(F.lit("GET /a HTTP/1.1\r\nHost: h\r\n\r\n"), "10.0.0.1:9", "10.1.0.1:80").alias("request"), side(chunked, "10.1.0.1:80", "10.0.0.1:9").alias("response"))
+    return rows.select("tx_id", side(F.lit("GET /a HTTP/1.1\r\nHost: h\r\n\r\n"), "10.0.0.1:9", "10.1.0.1:80").alias("request"), side(chunked, "10.1.0.1:80", "10.0.0.1:9").alias("response"))
 
 
 def _section_sql(title: str, src: str, dst: str, *lines: str) -> str:
@@ -381,9 +391,9 @@ def _section_sql(title: str, src: str, dst: str, *lines: str) -> str:
 _ENDS = ("10.0.0.1:9", "10.1.0.1:80")
 _DUMP = """CASE WHEN length({0}) = 0 THEN '' ELSE list_aggregate(list_transform(range(0, (length({0}) - 1) // {1} + 1), lambda k: printf('%04x', k * {1}) || ': ' || rpad(list_aggregate(list_transform(range(k * {1} + 1, least(length({0}), (k + 1) * {1}) + 1), lambda i: lower(hex(encode(substr({0}, i, 1)))) || ' '), 'string_agg', ''), 3 * {1}, ' ')
     || ' |' || substr({0}, k * {1} + 1, {1}) || '|' || chr(10)), 'string_agg', '') END"""
-ORACLE["http_report_text"] = f"""WITH e AS (SELECT *, 'txn:' || event_id AS id, epoch_us(ts) AS us FROM events)
-    SELECT 'HTTP' AS protocol, id AS tx_id, us AS ts_us, {_section_sql("HTTP REQUEST", *_ENDS, "'GET /a HTTP/1.1'", "'Host: h'", "''", "'(empty body)'")} || chr(10)
-    || {_section_sql("HTTP RESPONSE", *_ENDS[::-1], "'HTTP/1.1 200 OK'", "'X: y'", "'Content-Length: ' || length(props)", "''", "props")} AS content, us || '_txn_' || event_id || '.http' AS file_name FROM e"""
+_HTTP_REPORT = f"""{_section_sql("HTTP REQUEST", *_ENDS, "'GET /a HTTP/1.1'", "'Host: h'", "''", "'(empty body)'")} || chr(10)
+    || {_section_sql("HTTP RESPONSE", *_ENDS[::-1], "'HTTP/1.1 200 OK'", "'X: y'", "'Content-Length: ' || length(props)", "''", "props")} AS content, us || '_' || replace(id, ':', '_') || '.http' AS file_name"""
+ORACLE["http_report_text"] = f"WITH e AS (SELECT *, 'txn:' || event_id AS id, epoch_us(ts) AS us FROM events) SELECT 'HTTP' AS protocol, id AS tx_id, us AS ts_us, {_HTTP_REPORT} FROM e"
 
 
 @query(
@@ -392,11 +402,14 @@ ORACLE["http_report_text"] = f"""WITH e AS (SELECT *, 'txn:' || event_id AS id,
     || CASE WHEN event_id % 2 = 0 THEN '(no response captured)' || chr(10) ELSE {_section_sql("TN3270 RESPONSE", *_ENDS[::-1], "'(empty payload)'").split(" || chr(10) || ", 1)[1]} END AS content FROM e"""
 )
 def terminal_report_text(spark, sf_dir):
+    return reports.terminal_reports(_terminal_pairs(spark, sf_dir)).select("tx_id", "file_name", "content")
+
+
+def _terminal_pairs(spark, sf_dir) -> DataFrame:
     e = tables.read(spark, sf_dir, "events")
     side = lambda data, src, dst: F.struct(data.alias("data"), tables.micros().alias("ts_us"), F.lit(src).alias("src"), F.lit(dst).alias("dst"))
     response = F.when(F.col("event_id") % 2 == 1, side(F.lit(b""), _ENDS[1], _ENDS[0]))
-    t = e.select(F.concat(F.lit("txn:"), F.col("event_id").cast("string")).alias("tx_id"), side(F.col("props").cast("binary"), *_ENDS).alias("request"), response.alias("response"))
-    return reports.terminal_reports(t).select("tx_id", "file_name", "content")
+    return e.select(F.concat(F.lit("txn:"), F.col("event_id").cast("string")).alias("tx_id"), side(F.col("props").cast("binary"), *_ENDS).alias("request"), response.alias("response"))
 
 
 @query("SELECT event_type AS metric, count(*) AS n FROM events GROUP BY event_type")
@@ -603,6 +616,155 @@ def utf8_clamp(spark, sf_dir):
     return d.select("doc_id", F.when(whole, F.col("c")).otherwise("cut").alias("clamped"), fits.alias("fits"))
 
 
+@query(f"WITH {SEGMENTS} SELECT arrival, ts_us, src_ip, src_port, dst_ip, dst_port, seq, flags, payload FROM segments")
+def pcap_frames(spark, sf_dir):
+    """Segments as frames of capture files in the shared folder, with frames that are none between them, read and decoded."""
+    capture.register(spark)
+    folder = scratch_folder(spark)
+    capture.write_frames(tables.segments(spark, sf_dir), folder, every_junk=10)
+    s = capture.decode_frames(spark.read.format("pcap").load(folder))
+    # One file a partition, so the order of arrival is that of each file's records; the sequence number is the event's.
+    return s.withColumn("arrival", (F.col("seq") / 16).cast("long")).withColumn("payload", F.col("payload").cast("string"))
+
+
+@query("SELECT n_nationkey AS id, '/n/' || n_nationkey AS path, CASE WHEN n_nationkey % 2 = 0 THEN 200 END AS status, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 1000 ELSE -1 END AS BIGINT) AS latency_us, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS body FROM nation")
+def sample_exchanges(spark, sf_dir):
+    """Text samples of requests, every other one with a response, as exchanges."""
+    from ..sources._files import locate, put
+
+    folder = scratch_folder(spark)
+    store, base = locate(folder)
+    store.create_dir(base)
+    for r in tables.read(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():  # a nation a file
+        put(store, f"{base}/n{r[0]:04d}-request.txt", f"GET /n/{r[0]} HTTP/1.1\nHost: x\n\n".encode())
+        if r[0] % 2 == 0:
+            put(store, f"{base}/n{r[0]:04d}-response.txt", f"HTTP/1.1 200 OK\n\n{r[1]}".encode())
+    x = http.exchanges(feeds.samples(spark, folder))
+    return x.select(F.substring("flow_id", 2, 4).cast("int").cast("long").alias("id"), "http_request.path", "http_response.status", "latency_us", F.col("http_response.body").cast("string").alias("body"))
+
+
+@query(f"WITH e AS (SELECT 'n:' || n_nationkey AS id, n_nationkey AS us, n_name AS props FROM nation) SELECT {_HTTP_REPORT} FROM e")
+def report_files(spark, sf_dir):
+    """Reports as files in the shared folder, read back."""
+    folder = scratch_folder(spark)
+    n = tables.read(spark, sf_dir, "nation").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("tx_id"), F.col("n_nationkey").cast("long").alias("ts_us"), F.col("n_name").alias("props"))
+    reports.write_reports(reports.http_reports(_reported(n)), folder)
+    return spark.read.text(f"{folder}/*.http", wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_name").alias("file_name"))
+
+
+@query("SELECT tx_id AS key, content AS value FROM (" + ORACLE["http_report_text"] + ")")
+def report_bus_lines(spark, sf_dir):
+    return feeds.report_lines(reports.http_reports(_event_pairs(spark, sf_dir)))
+
+
+@query("SELECT protocol, tx_id, content FROM (" + ORACLE["http_report_text"] + ") UNION ALL SELECT 'TN3270', tx_id, content FROM (" + ORACLE["terminal_report_text"] + ")")
+def report_union(spark, sf_dir):
+    """Reports of both protocols in one table."""
+    http_side, terminal_side = reports.http_reports(_event_pairs(spark, sf_dir)), reports.terminal_reports(_terminal_pairs(spark, sf_dir))
+    return http_side.unionByName(terminal_side).select("protocol", "tx_id", "content")
+
+
+@query(
+    """SELECT 'user.event type=user.buy, rule=buy, ruleDesc=Somebody buys, session=' || CASE WHEN event_id % 4 = 0 THEN 's' || user_id ELSE 'DERIVED-' || upper(substr(sha256('10.0.0.' || user_id % 250 || '|agent' || event_id % 3 || '|' || CAST(floor(epoch_us(ts) / 900000000) AS BIGINT)), 1, 24)) END
+    || ', auth=AUTHENTICATED, user=' || user_id || ', source=gateway, app=demo, method=POST, path=/u/' || user_id || '/purchase, status=200, latencyMs=1, attributes=[agent=agent' || event_id % 3 || ';channel=web;key=' || event_id % 9 || ']' AS line FROM events WHERE event_type = 'purchase'"""
+)
+def user_event_log(spark, sf_dir):
+    m = rules.evaluate(_event_exchanges(spark, sf_dir), rules.load_rules(RULES)).where("rule_id = 'buy'")
+    return rules.log_line(rules.user_events(m))
+
+
+@query(f"WITH {MESSAGES}, k AS (SELECT *, row_number() OVER (PARTITION BY flow_id, type ORDER BY ord) AS n FROM messages) SELECT q.flow_id AS session_key, q.n * 2 AS n, 'SMITH' AS operator_id, 'USR' AS screen_id, 'SMITH' AS typed, 'ENTER' AS aid, 'USER' AS screen_name, q.ts_us FROM k q JOIN k p ON q.flow_id = p.flow_id AND q.n = p.n AND q.type = 'REQUEST' AND p.type = 'RESPONSE'")
+def terminal_user_events(spark, sf_dir):
+    """Submits with their screen's rule, operator and attributes."""
+    e = terminal.terminal_events(_screens(spark, sf_dir))
+    loaded = screens.load_screens("version: 1\nscreens: [{id: USR, match: [{position: {row: 1, column: 2, length: 5}, equals: 'USER:'}]}]")
+    u = screens.terminal_user_events(e, loaded, keep=("session_key", "n", "ts_us"))
+    a = lambda k: F.col("attributes")[k]
+    return u.select("session_key", "n", "operator_id", a("screen.id").alias("screen_id"), a("input.user").alias("typed"), a("tn3270.aid").alias("aid"), a("screen.name").alias("screen_name"), "ts_us")
+
+
+@query(f"WITH {MESSAGES}, k AS (SELECT *, row_number() OVER (PARTITION BY flow_id, type ORDER BY ord) AS n FROM messages) SELECT q.flow_id AS session_key, q.n, 12 + CAST(p.ord % 3 AS INT) AS rows, 40 AS cols, 'A' AS text FROM k q JOIN k p ON q.flow_id = p.flow_id AND q.n = p.n AND q.type = 'REQUEST' AND p.type = 'RESPONSE'")
+def terminal_shapes(spark, sf_dir):
+    """Structured fields that shape the screen and write to it."""
+    from ..functions import ebcdic
+
+    field = F.concat(F.lit(bytes([terminal.STRUCTURED, 0, 0, 8, terminal.READ_BUFFER, 0, 0])), F.unhex(F.hex(F.col("ord") % 3 + 12)), F.lit(bytes([40]) + ebcdic.encode("A")))
+    m = tables.messages(spark, sf_dir).select("flow_id", "ord", "type", F.when(F.col("type") == "REQUEST", F.lit(b"\x6d")).otherwise(field).alias("data"), "ts_us")
+    e = terminal.terminal_events(pairing.two_way_pairs(m)).where("type = 'SCREEN_RENDER'")
+    return e.select("session_key", ((F.col("n") + 1) / 2).cast("long").alias("n"), "rows", "cols", F.regexp_replace("plain_text", "\n+$", "").alias("text"))
+
+
+@query("SELECT CAST(user_id % 50 AS VARCHAR) AS flow_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS ord, 'RESPONSE' AS type, props || chr(255) AS data FROM events")
+def telnet_framing(spark, sf_dir):
+    """Records with escaped marks, options and sub-negotiations, in slices that cut them anywhere."""
+    mark = lambda *b: F.lit(bytes([terminal.IAC, *b]))
+    whole = F.concat(mark(0xFB, 25), F.expr("cast(substring(props, 1, 3) as binary)"), mark(terminal.SB, 1, 2, terminal.IAC, terminal.SE), F.expr("cast(substring(props, 4) as binary)"), mark(terminal.IAC), mark(terminal.EOR))
+    s = tables.read(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("flow_id"), "event_id", whole.alias("w"), tables.micros().alias("ts_us"))
+    cut = (F.col("event_id") % 12 + 1).cast("int")
+    parts = F.array(F.struct((F.col("event_id") * 2).alias("arrival"), F.substring("w", F.lit(1), cut).alias("data")), F.struct((F.col("event_id") * 2 + 1).alias("arrival"), F.substring("w", cut + 1, F.octet_length("w")).alias("data")))
+    halves = s.select("flow_id", "ts_us", F.explode(parts).alias("p")).select("flow_id", "p.arrival", F.lit(False).alias("from_client"), "p.data", "ts_us")
+    return terminal.frame_records(halves).select("flow_id", "ord", "type", F.decode("data", "ISO-8859-1").alias("data"))
+
+
+@query(f"WITH {FLOW_MESSAGES}, swapped AS (SELECT flow_id, ord, CASE WHEN type = 'REQUEST' THEN 'RESPONSE' ELSE 'REQUEST' END AS type, ts_us FROM messages){LINDLEY.replace('FROM messages', 'FROM swapped')} SELECT flow_id, ord, substr(sha256(flow_id || '|' || coalesce('t' || n, 'o' || ord)), 1, 26) AS tx_id FROM numbered")
+def tx_id_by_response(spark, sf_dir):
+    """Transaction ids that the host's messages mint."""
+    return pairing.with_tx_id(_flow_messages(spark, sf_dir), "RESPONSE", BY_CONVERSATION).select("flow_id", "ord", "tx_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'HDR:' || user_id WHEN event_id % 3 = 1 THEN 'SID:c' || user_id END AS by_request, CASE WHEN event_id % 2 = 0 THEN 'SID:' || event_type END AS by_response FROM events")
+def session_extraction(spark, sf_dir):
+    """Sessions from header patterns, cookies and what responses set."""
+    text = F.col("user_id").cast("string")
+    headers = F.create_map(F.lit("x-token"), F.array(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("v="), text)).otherwise("none")), F.lit("cookie"), F.array(F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("a=1; SID = c"), text)).otherwise("b=2")))
+    sets = F.array(F.lit("x=1; Path=/"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Sid="), F.col("event_type"), F.lit("; Secure"))).otherwise("y=2"))
+    e = tables.read(spark, sf_dir, "events")
+    return e.select("event_id", rules.extract_session(headers, ["x-token: v=(\\d+)"], ["sid"]).alias("by_request"), rules.extract_set_session(sets, ["sid"]).alias("by_response"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'née ' || event_type ELSE 'zip ' || event_type END AS body FROM events")
+def body_decoding(spark, sf_dir):
+    """Bodies in several charsets, and compressed ones."""
+    import gzip
+    import zlib
+
+    kind = F.expr("event_type")
+    names = ("view", "click", "signup", "purchase", "error")
+    plain = F.concat(F.lit("née "), kind)
+    charset = F.element_at(F.array(*map(F.lit, ("ISO-8859-1", "UTF-8", "utf-16le", "windows-1252"))), (F.col("event_id") / 2 % 4 + 1).cast("int"))
+    coded = F.when(F.lower(charset) == "utf-8", F.encode(plain, "UTF-8")).when(F.lower(charset) == "utf-16le", F.encode(plain, "UTF-16LE")).otherwise(F.encode(plain, "ISO-8859-1"))
+    text = http.body_text(coded, F.concat(F.lit("text/plain; charset="), charset))
+    packed = lambda pack, name: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.lit(b"HTTP/1.1 200 OK\r\nContent-Encoding: " + name + b"\r\n\r\n" + pack(f"zip {n}".encode())) for n in names)))[kind]
+    message = F.when(F.col("event_id") % 4 == 1, packed(gzip.compress, b"gzip")).otherwise(packed(zlib.compress, b"deflate"))
+    unpacked = F.substring_index(reports._decoded(message, "all").cast("string"), "\r\n", -1)
+    return tables.read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, text).otherwise(unpacked).alias("body"))
+
+
+@query("SELECT CASE WHEN n % 2 = 0 THEN 'HTTP' ELSE 'TN3270' END AS protocol, count(*) AS n FROM (SELECT event_id AS n FROM events) GROUP BY 1")
+def routed_stores(spark, sf_dir):
+    """Rows to the store of their protocol, read back; those of no store go nowhere."""
+    e = tables.read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "HTTP").otherwise("TN3270").alias("protocol"))
+    extra = e.limit(3).withColumn("protocol", F.lit("UNKNOWN"))
+    folders = {p: scratch_folder(spark) for p in ("HTTP", "TN3270")}
+    feeds.route(e.union(extra), {p: (lambda rows, f=f: rows.write.parquet(f)) for p, f in folders.items()})
+    read = [spark.read.parquet(f) for f in folders.values()]
+    return detect.only_enabled(read[0].union(read[1]), ["HTTP", "TN3270"]).groupBy("protocol").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, '{\"protocol\":\"' || CASE WHEN event_id % 2 = 0 THEN 'HTTP' ELSE 'TN3270' END || '\"}' AS value FROM events")
+def protocol_pair_lines(spark, sf_dir):
+    """Protocols of pairs as lines, all of which a full sample keeps."""
+    e = tables.read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "HTTP").otherwise("TN3270").alias("protocol"))
+    return feeds.protocol_lines(terminal.sampled(e, 2.0, F.col("event_id")), "event_id")
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS arrival WHERE false")
+def disabled_source(spark, sf_dir):
+    from ..schemas import SEGMENT
+
+    return feeds.disabled(spark, SEGMENT).select("arrival")
+
+
 FIELD_RULES = """
 version: 1
 rules:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ._files import listed, locate
+from ._files import listed, locate, put
 from ..schemas import ACK, FIN, FRAME, PSH, RST, SEGMENT, SYN
 
 FILE_SHIFT = 40
@@ -185,6 +185,32 @@ class SegbinSource(DataSource):
         return SegbinWriter(self.options)
 
 
+def write_frames(segments: DataFrame, folder: str, every_junk: int = 0) -> None:
+    """Segments as Ethernet frames of IPv4 and TCP in capture files, one a partition; after every ``every_junk`` of them a frame that is none."""
+
+    def frame(src, sport, dst, dport, seq, flags, payload) -> bytes:
+        # TCP's bits of FIN, SYN, RST, PSH, ACK.
+        wire = sum(bit for own, bit in ((FIN, 1), (SYN, 2), (RST, 4), (PSH, 8), (ACK, 16)) if flags & own)
+        tcp = struct.pack(">HHIIBBHHH", sport, dport, seq % 2**32, 0, 5 << 4, wire, 0, 0, 0) + payload
+        ip = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(tcp), 0, 0, 64, 6, 0) + ipaddress.IPv4Address(src).packed + ipaddress.IPv4Address(dst).packed
+        return bytes(12) + b"\x08\x00" + ip + tcp
+
+    def write(rows) -> None:
+        from pyspark import TaskContext
+
+        store, base = locate(folder)
+        store.create_dir(base)
+        out = bytearray(struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1))
+        for n, r in enumerate(rows):
+            data = [frame(r["src_ip"], r["src_port"], r["dst_ip"], r["dst_port"], r["seq"], r["flags"], bytes(r["payload"] or b""))]
+            data += [b"no frame"] if every_junk and n % every_junk == 0 else []
+            for f in data:
+                out += struct.pack("<IIII", *divmod(r["ts_us"], 1_000_000), len(f), len(f)) + f
+        put(store, f"{base}/capture-{TaskContext.get().partitionId():05d}.pcap", bytes(out))
+
+    segments.foreachPartition(write)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PcapSource)
     spark.dataSource.register(SegbinSource)

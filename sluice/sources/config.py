@@ -66,3 +66,16 @@ class Watched:
             except OSError:
                 pass
         return self.value
+
+
+# Least and greatest value of numeric settings.
+BOUNDS = {"snaplen": (64, 262_144), "workers": (1, 32), "queueCapacity": (1, 65_536), "rollMiB": (8, 10_240)}
+
+
+def checked(settings: dict[str, str]) -> dict[str, str]:
+    """The settings, if all numeric ones are whole numbers within their bounds."""
+    for key, (least, most) in BOUNDS.items():
+        value = settings.get(key)
+        if value is not None and not (str(value).strip().isascii() and str(value).strip().isdigit() and least <= int(value) <= most):
+            raise ValueError(f"{key} must be a number from {least} to {most}: {value}")
+    return settings

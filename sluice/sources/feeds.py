@@ -204,14 +204,14 @@ def write_store(messages: DataFrame, folder: str, roll_bytes: int = 128 << 20) -
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
-    """``flow_id, n, request, response`` of files ``<name>-request.txt`` and ``<name>-response.txt``; line ends become CRLF, responses may lack."""
+    """``flow_id, n, request, response`` of files ``<name>-request.txt`` and ``<name>-response.txt``; line ends become CRLF, responses may lack; by name."""
 
     def side(kind: str, ts: int) -> DataFrame:
         files = spark.read.text(f"{folder}/*-{kind}.txt", wholetext=True).select("value", "_metadata.file_name")
         name = F.regexp_replace("file_name", f"-{kind}\\.txt$", "")
         return files.select(name.alias("flow_id"), F.struct(F.regexp_replace("value", "\r?\n", "\r\n").cast("binary").alias("data"), F.lit(ts).cast("long").alias("ts_us")).alias(kind))
 
-    return side("request", 1000).join(side("response", 2000), "flow_id", "left").select("flow_id", F.lit(1).cast("long").alias("n"), "request", "response")
+    return side("request", 1000).join(side("response", 2000), "flow_id", "left").select("flow_id", F.lit(1).cast("long").alias("n"), "request", "response").orderBy("flow_id")
 
 
 def write_messages(messages: DataFrame, path: str) -> None:
@@ -233,9 +233,9 @@ def index_lines(messages: DataFrame, blob: str, fields_end: Column) -> DataFrame
     return messages.select(F.col("tx_id").alias("id"), F.col("type").alias("kind"), F.col("ts_us").alias("ts_first"), F.col("ts_us").alias("ts_last"), F.col("flow_id").alias("session"), name.alias("headers_blob"), off.alias("headers_off"), head.alias("headers_len"), name.alias("body_blob"), (off + head).alias("body_off"), (size - head).alias("body_len"))
 
 
-def protocol_lines(pairs: DataFrame) -> DataFrame:
-    """``value``: each pair's protocol alone as JSON, as the oldest store kept it."""
-    return pairs.select(F.to_json(F.struct("protocol")).alias("value"))
+def protocol_lines(pairs: DataFrame, *more: str) -> DataFrame:
+    """``value``, and columns ``more``: each pair's protocol alone as JSON, as the oldest store kept it."""
+    return pairs.select(F.to_json(F.struct("protocol")).alias("value"), *more)
 
 
 def route(pairs: DataFrame, writers: dict) -> None:
@@ -244,8 +244,10 @@ def route(pairs: DataFrame, writers: dict) -> None:
         write(pairs.where(F.col("protocol") == protocol))
 
 
-def disabled(spark: SparkSession, schema: str) -> DataFrame:
-    """A source that is switched off: no rows."""
+def disabled(spark: SparkSession, schema: str, start: bool = False) -> DataFrame:
+    """A source that is switched off: no rows, and an error if it is to ``start``."""
+    if start:
+        raise RuntimeError("this source is switched off")
     return spark.createDataFrame([], schema)
 
 

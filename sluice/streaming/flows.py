@@ -17,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.engine import COLUMNS, Conversation
 from ..operators.flows import conversation
+from ..operators.protocols import KNOWN, Protocol
 
 OUTPUT = "conv string, flow_id string, protocol string, n long, request binary, request_ts long, response binary, response_ts long, client_ip string, client_port long, server_ip string, server_port long, dropped_bytes long"
 
@@ -28,8 +29,8 @@ def _flat(row: tuple) -> tuple:
 
 
 class _Conversations(StatefulProcessor):
-    def __init__(self, enabled: tuple[str, ...], ttl_ms: int):
-        self.enabled, self.ttl_ms = enabled, ttl_ms
+    def __init__(self, enabled: tuple[str, ...] | None, protocols: tuple[Protocol, ...], ttl_ms: int):
+        self.enabled, self.protocols, self.ttl_ms = enabled, protocols, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -37,7 +38,7 @@ class _Conversations(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         stored = self.state.get()
-        machine = pickle.loads(bytes(stored[0])) if stored else Conversation(self.enabled)
+        machine = pickle.loads(bytes(stored[0])) if stored else Conversation(self.enabled, self.protocols)
         out = []
         for r in pd.concat(list(rows)).sort_values("arrival")[list(COLUMNS)].itertuples(index=False):
             out += map(_flat, machine.feed((r.conv, int(r.arrival), r.src_ip, int(r.src_port), r.dst_ip, int(r.dst_port), int(r.seq), int(r.flags), r.payload, int(r.ts_us))))
@@ -62,13 +63,13 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[n for n, _ in names]).astype({n: "Int64" for n, kind in names if kind == "long"})
 
 
-def pair_stream(segments: DataFrame, enabled: tuple[str, ...] = ("HTTP", "TN3270"), ttl_ms: int = 600_000) -> DataFrame:
+def pair_stream(segments: DataFrame, enabled: tuple[str, ...] | None = None, protocols: tuple[Protocol, ...] = KNOWN, ttl_ms: int = 600_000) -> DataFrame:
     """Pairs of a stream of raw segments, flat columns. Needs the RocksDB state store.
 
     The source's limits (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) hold back what a batch takes; ``availableNow``
     ends when the source is exhausted; the checkpoint makes state and output start again where they stood.
     """
-    return conversation(segments).select(*COLUMNS).groupBy("conv").transformWithStateInPandas(_Conversations(enabled, ttl_ms), OUTPUT, "Append", "ProcessingTime")
+    return conversation(segments).select(*COLUMNS).groupBy("conv").transformWithStateInPandas(_Conversations(enabled, protocols, ttl_ms), OUTPUT, "Append", "ProcessingTime")
 
 
 def as_pairs(flat: DataFrame) -> DataFrame:
@@ -76,3 +77,13 @@ def as_pairs(flat: DataFrame) -> DataFrame:
     side = lambda s: F.struct(F.col(s).alias("data"), F.col(f"{s}_ts").alias("ts_us")).alias(s)
     end = lambda s: F.struct(F.col(f"{s}_ip").alias("ip"), F.col(f"{s}_port").cast("int").alias("port")).alias(s)
     return flat.where("n IS NOT NULL").select("conv", "flow_id", "protocol", "n", side("request"), side("response"), end("client"), end("server"))
+
+
+def in_memory(rows: DataFrame, name: str, checkpoint: str):
+    """A stream's rows as the table ``name`` of the session, a snapshot whenever it is read. For tests and small streams: the driver holds them."""
+    return rows.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).start()
+
+
+def discard(rows: DataFrame) -> None:
+    """Compute all rows and keep none."""
+    rows.write.format("noop").mode("overwrite").save()

@@ -474,3 +474,56 @@ def test_murmur_of_each_event(spark, tiny):
     events = spark.read.parquet(f"{tiny}/events.parquet").select("props", binary.murmur128(F.col("props").cast("binary")).alias("h")).collect()
     assert events and all(r["h"] == plain_murmur(r["props"].encode()) for r in events)
     assert all(binary.murmur128_hex(bytes(range(n))) == plain_murmur(bytes(range(n))) for n in range(70))
+
+
+class Lines:
+    """A protocol of lines: a message is what a line feed ends."""
+
+    def __init__(self, from_client):
+        self.rest = b""
+
+    def feed(self, data):
+        *whole, self.rest = (self.rest + data).split(b"\n")
+        return whole
+
+    def held(self):
+        return len(self.rest)
+
+
+def test_protocols_of_ones_own():
+    from sluice.operators.engine import Conversation
+    from sluice.operators.protocols import KNOWN, Protocol, recognise
+
+    lines = Protocol("LINES", (7,), lambda b: b.startswith(b"!"), Lines, drops_orphans=False)
+    assert recognise(80, b"").name == "HTTP" and recognise(9, b"GET /") is KNOWN[0] and recognise(9, b"\xff").name == "TN3270" and recognise(9, b"GET \xff") is None and recognise(9, b"!", (*KNOWN, lines)) is lines
+    c = Conversation(protocols=(*KNOWN, lines))
+    row = lambda n, up, seq, payload: ("c", n, *(("a", 1, "b", 9) if up else ("b", 9, "a", 1)), seq, 0, payload, n)
+    assert c.feed(row(0, True, 0, b"!one\ntw")) == [] and c.feed(row(1, False, 0, b"yes\n"))[0][2:6] == ("LINES", 1, {"data": b"!one", "ts_us": 0}, {"data": b"yes", "ts_us": 1})
+    assert c.held() == 2
+    off = Conversation(enabled=("HTTP",), protocols=(lines,))
+    assert off.feed(row(0, True, 0, b"!one\n")) == [] and off.feed(row(1, False, 0, b"yes\n")) == []
+
+
+def test_runs_side_by_side(spark):
+    from sluice.plans.runs import run_all
+
+    assert run_all(spark, {"a": lambda: spark.range(5).count(), "b": lambda: 2}) == {"a": 5, "b": 2} and run_all(spark, {}) == {}
+    with pytest.raises(ZeroDivisionError):
+        run_all(spark, {"a": lambda: 1 / 0, "b": lambda: spark.range(10).count()})
+
+
+def test_switches_and_bounds(spark):
+    from sluice.sources.config import checked
+    from sluice.streaming.flows import discard
+
+    with pytest.raises(RuntimeError):
+        feeds.disabled(spark, "a int", start=True)
+    assert feeds.disabled(spark, "a int").count() == 0
+    side = "struct<data: binary, ts_us: bigint>"
+    pairs = spark.createDataFrame([("f", 1, (b"\x7d", 1), (b"", 2))], f"flow_id string, n long, request {side}, response {side}")
+    assert terminal.terminal_events(pairs, enabled=False).count() == 0 and terminal.terminal_events(pairs).count() == 3
+    discard(pairs)
+    assert checked({"snaplen": "64", "x": "y"}) == {"snaplen": "64", "x": "y"}
+    for bad in ({"snaplen": "63"}, {"workers": "33"}, {"rollMiB": "7"}, {"queueCapacity": "\xb2"}):
+        with pytest.raises(ValueError):
+            checked(bad)

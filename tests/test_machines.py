@@ -111,6 +111,20 @@ def test_structured_field_shape():
     assert (s.rows, s.cols) == (12, 40)
 
 
+def test_partitions_keep_their_screens():
+    s = Screen()
+    at = lambda n: bytes([SBA, 0x40 | n >> 6, 0x40 | n & 63])
+    part = lambda number, body, rows=2, cols=20: bytes([0xF3, 0x00]) + (7 + len(body)).to_bytes(2, "big") + bytes([0x04, number, 0, rows, cols]) + body
+    one = s.host_write(part(1, bytes([SF, 0x20]) + ebcdic.encode("ONE")))
+    two = s.host_write(part(2, at(0) + bytes([SF, 0x20]) + ebcdic.encode("TWO"), 3, 0))
+    assert (one["rows"], one["cols"], one["plain_text"]) == (2, 20, " ONE\n") and (two["rows"], two["cols"]) == (3, 80) and two["plain_text"] == " TWO\n\n"
+    again = s.host_write(part(1, b""))
+    assert "ONE" in again["plain_text"]  # only the fields go
+    assert again["fields"] == [] and s.partitions[2].hash == two["screen_hash"] != one["screen_hash"] and s.partitions[1].hash is None
+    wide = s.host_write(part(1, b"", 2, 40))
+    assert wide["plain_text"] == "\n" and len(s.partitions) == 3
+
+
 def test_functions():
     assert murmur128_hex(b"") == "0" * 32
     assert murmur128_hex(b"hello") == "029bbd41b3a7d8cb191dae486a901e5b"
