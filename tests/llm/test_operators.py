@@ -782,6 +782,14 @@ def test_embeddings(spark, monkeypatch, scratch):
     assert embedding_dedup.near_embeddings(df.limit(0), scratch).count() == 0
 
 
+def test_embeddings_of_repeated_ids_and_lengths(spark, scratch):
+    v, w = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01]
+    rows = [(1, v, 0, "a"), (1, v, 0, "b"), (2, w, 0, "c"), (3, [1.0, 0.0], 0, "d"), (4, [2.0, 0.0], 0, "e"), (5, [3.0], 0, "f"), (6, v, 1, "g"), (None, v, 1, "h")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, id string")
+    got = sorted((tuple(r) for r in embedding_dedup.near_embeddings(df, scratch).collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True), (None, 0, None, True)], key=repr)
+
+
 def test_embeddings_suspects():
     rng = np.random.default_rng(1)
     v = rng.standard_normal((2000, 64))
