@@ -37,9 +37,9 @@ class Reassembler:
     def held(self) -> int:
         return sum(map(len, self.waiting.values()))
 
-    def accept(self, seq: int, data: bytes) -> bytes:
-        """Bytes that ``data`` at ``seq`` releases, empty if it is old or waits for a gap to close."""
-        if not data:
+    def accept(self, seq: int | None, data: bytes) -> bytes:
+        """Bytes that ``data`` at ``seq`` releases, empty if it is old, waits for a gap to close or has no place."""
+        if not data or seq is None:
             return b""
         if self.frontier is None:
             self.frontier = seq

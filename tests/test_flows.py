@@ -272,6 +272,21 @@ def test_flows_that_end_count_what_they_drop():
     assert c.feed(row(3, b, a, 1, 0, b"x")) == [] and c.client == b  # whoever sends first is the client now
 
 
+def test_odd_segments(spark):
+    """Nulls in any column, empty payloads, repeated rows and no rows."""
+    from sluice.operators.engine import segments_to_pairs
+
+    good = (1, 5, "1.1.1.1", 5, "2.2.2.2", 80, 1, 0, b"GET / HTTP/1.1\r\n\r\n")
+    answer = (2, 6, "2.2.2.2", 80, "1.1.1.1", 5, 1, 0, b"HTTP/1.1 204 x\r\n\r\n")
+    rows = [good, good, answer, (3, None, "1.1.1.1", 5, "2.2.2.2", 80, None, None, b"x"), (4, 1, None, None, None, None, 1, 0, b"GET"), (None, None, None, None, None, None, None, None, None), (5, 1, "1.1.1.1", 5, "2.2.2.2", 80, 99, 0, None)]
+    df = spark.createDataFrame(rows, SEGMENT).withColumn("conv", F.lit("clash")).drop("conv")
+    got = segments_to_pairs(df).collect()
+    assert [(r["n"], bytes(r["request"]["data"]), bytes(r["response"]["data"])) for r in got] == [(1, good[8], answer[8])]
+    assert segments_to_pairs(df.limit(0)).count() == 0
+    sliced = spark.createDataFrame([("f", 1, True, None, b"a", 1), ("f", 2, True, 5, None, 1), (None, 3, None, 5, b"b", None)], "flow_id string, arrival long, from_client boolean, seq long, payload binary, ts_us long")
+    assert [(r["flow_id"], bytes(r["data"])) for r in reassembly.slices(sliced).collect()] == [(None, b"b")]
+
+
 def test_stream_gives_up_silent_conversations(spark, tmp_path):
     from sluice.streaming.flows import pair_stream
 
