@@ -60,19 +60,18 @@ def _count(text: str, characters: str) -> str:
 
 def line_fails(line: str = "l") -> str:
     """SQL for whether the line ``line`` fails."""
-    lower = f"lower({line})"
     words = f"regexp_count({line}, '{WHITE.replace('[', '[^', 1)}+')"
-    # The words are counted only where a phrase or two separators are there.
-    phrases = " + ".join(f"(octet_length({lower}) - octet_length(replace({lower}, {_quoted(p)}, ''))) / {len(p.encode())}" for p in BOILERPLATE)
-    boiler = f"(({' OR '.join(f'contains({lower}, {_quoted(p)})' for p in BOILERPLATE)}) AND {words} < {PHRASE_WORDS} * ({phrases}))"
+    # The line is lower-cased once, as ``m``; its words are counted only where a phrase or two separators are there.
+    phrases = " + ".join(f"(octet_length(m) - octet_length(replace(m, {_quoted(p)}, ''))) / {len(p.encode())}" for p in BOILERPLATE)
+    boiler = f"(({' OR '.join(f'contains(m, {_quoted(p)})' for p in BOILERPLATE)}) AND {words} < {PHRASE_WORDS} * ({phrases}))"
     separators = _count(line, SEPARATORS)
     navigation = f"({separators} >= 2 AND {words} < {SEPARATOR_WORDS} * {separators})"
-    menu = f"{lower} rlike {_quoted('^' + NOT_WORD + '+(?:' + '|'.join(MENU) + ')' + NOT_WORD + '+$')}"
+    menu = f"m rlike {_quoted('^' + NOT_WORD + '+(?:' + '|'.join(MENU) + ')' + NOT_WORD + '+$')}"
     links = f"(contains({line}, '://') AND {words} <= 2 * (octet_length({line}) - octet_length(replace({line}, '://', ''))) / 3)"
     white = "".join(f"\\u{ord(c):04x}" for c in SPACES)
     short = f"(NOT contains({_quoted(CLOSING)}, right(trim(TRAILING '{white}' FROM {line}), 1)) AND {words} < {SHORT_LINE_WORDS})"
     signs = f"{_count(line, LINE_SYMBOLS)} > {MAX_LINE_SYMBOLS} * length({line})"
-    return f"({boiler} OR {navigation} OR {links} OR ({menu}) OR {short} OR {signs})"
+    return f"({navigation} OR {links} OR exists(array(lower({line})), m -> {menu} OR {boiler}) OR {short} OR {signs})"
 
 
 def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
