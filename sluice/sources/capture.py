@@ -11,6 +11,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,10 @@ FILE_SHIFT = 40
 PCAP_MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
 LINK_TYPES = (1, 113, 276)
 SEGBIN_MAGIC = b"SGB1"
+# TCP's experimental option, and the identifier in it of ours, which holds ports and a sequence number beyond the header's 16 and 32 bits.
+EXPERIMENT, WIDE = 253, b"SLUW"
+ROLL_MIB = 64
+READ_AHEAD = 1 << 20
 
 
 class _File(InputPartition):
@@ -44,7 +49,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _File) -> Iterator[tuple]:
         store, _ = locate(self.path)
-        with store.open_input_stream(partition.path) as f:
+        with store.open_input_stream(partition.path, buffer_size=READ_AHEAD) as f:
             for n, row in enumerate(self.rows(f)):
                 yield (partition.number << FILE_SHIFT | n, *row)
 
@@ -110,17 +115,22 @@ class _Done(WriterCommitMessage):
         self.files = files
 
 
-class SegbinWriter(DataSourceWriter):
+class _Writer(DataSourceWriter):
     """Each task writes its own files, a new one before a record would exceed ``rollMiB`` (0: never), first under temporary names.
 
     The commit names the files of the tasks that count; the commit and the abort delete temporary files of all others.
     """
 
+    suffix, head = "", b""
+
     def __init__(self, options: dict):
         self.path = options["path"]
         self.roll = int(options.get("rollmib", options.get("rollMiB", 0))) << 20
         self.job = uuid.uuid4().hex[:12]
 
+    def records(self, rows) -> Iterator[bytes]:
+        raise NotImplementedError
+
     def write(self, rows) -> WriterCommitMessage:
         from pyspark import TaskContext
 
@@ -129,14 +139,13 @@ class SegbinWriter(DataSourceWriter):
         store.create_dir(base)
         stem = f"{base}/part-{self.job}-{context.partitionId():05d}-{context.taskAttemptId()}"
         out, files = None, []
-        for r in rows:
-            data = segment_record(r["ts_us"], r["src_ip"], r["src_port"], r["dst_ip"], r["dst_port"], r["seq"], r["flags"], bytes(r["payload"] or b""))
+        for data in self.records(rows):
             if out is None or (self.roll and out.tell() + len(data) > self.roll):
                 if out:
                     out.close()
-                files.append(f"{stem}-{len(files):04d}.segbin")
-                out = store.open_output_stream(files[-1] + ".tmp")
-                out.write(SEGBIN_MAGIC)
+                files.append(f"{stem}-{len(files):04d}{self.suffix}")
+                out = store.open_output_stream(files[-1] + ".tmp", buffer_size=READ_AHEAD)
+                out.write(self.head)
             out.write(data)
         if out:
             out.close()
@@ -158,7 +167,34 @@ class SegbinWriter(DataSourceWriter):
         self._clean()
 
 
+class SegbinWriter(_Writer):
+    suffix, head = ".segbin", SEGBIN_MAGIC
+
+    def records(self, rows) -> Iterator[bytes]:
+        for r in rows:
+            yield segment_record(r["ts_us"], r["src_ip"], r["src_port"], r["dst_ip"], r["dst_port"], r["seq"], r["flags"], bytes(r["payload"] or b""))
+
+
+class PcapWriter(_Writer):
+    """Segments as frames; after every ``everyJunk`` of a task's segments (0: never) a frame that is none."""
+
+    suffix, head = ".pcap", struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1)
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.every_junk = int(options.get("everyjunk", options.get("everyJunk", 0)))
+
+    def records(self, rows) -> Iterator[bytes]:
+        for n, r in enumerate(rows):
+            data = [encode_frame(r["src_ip"], r["src_port"], r["dst_ip"], r["dst_port"], r["seq"], r["flags"], bytes(r["payload"] or b""))]
+            data += [b"no frame"] if self.every_junk and n % self.every_junk == 0 else []
+            for f in data:
+                yield struct.pack("<IIII", *divmod(r["ts_us"], 1_000_000), len(f), len(f)) + f
+
+
 class PcapSource(DataSource):
+    """Reads frames and writes segments as frames."""
+
     @classmethod
     def name(cls) -> str:
         return "pcap"
@@ -169,6 +205,9 @@ class PcapSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return PcapReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return PcapWriter(self.options)
+
 
 class SegbinSource(DataSource):
     @classmethod
@@ -185,35 +224,51 @@ class SegbinSource(DataSource):
         return SegbinWriter(self.options)
 
 
-def write_frames(segments: DataFrame, folder: str, every_junk: int = 0) -> None:
-    """Segments as Ethernet frames of IPv4 and TCP in capture files, one a partition; after every ``every_junk`` of them a frame that is none."""
+def write_frames(segments: DataFrame, folder: str, every_junk: int = 0, roll_mib: int = ROLL_MIB) -> None:
+    """Segments as Ethernet frames of IPv4 and TCP in capture files, of ``roll_mib`` at most; after every ``every_junk`` of a partition a frame that is none."""
+    register(segments.sparkSession)
+    segments.write.format("pcap").mode("append").option("path", folder).option("everyJunk", every_junk).option("rollMiB", roll_mib).save()
 
-    def frame(src, sport, dst, dport, seq, flags, payload) -> bytes:
-        # TCP's bits of FIN, SYN, RST, PSH, ACK.
-        wire = sum(bit for own, bit in ((FIN, 1), (SYN, 2), (RST, 4), (PSH, 8), (ACK, 16)) if flags & own)
-        tcp = struct.pack(">HHIIBBHHH", sport, dport, seq % 2**32, 0, 5 << 4, wire, 0, 0, 0) + payload
-        ip = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(tcp), 0, 0, 64, 6, 0) + ipaddress.IPv4Address(src).packed + ipaddress.IPv4Address(dst).packed
-        return bytes(12) + b"\x08\x00" + ip + tcp
 
-    def write(rows) -> None:
-        from pyspark import TaskContext
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(PcapSource)
+    spark.dataSource.register(SegbinSource)
 
-        store, base = locate(folder)
-        store.create_dir(base)
-        out = bytearray(struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1))
-        for n, r in enumerate(rows):
-            data = [frame(r["src_ip"], r["src_port"], r["dst_ip"], r["dst_port"], r["seq"], r["flags"], bytes(r["payload"] or b""))]
-            data += [b"no frame"] if every_junk and n % every_junk == 0 else []
-            for f in data:
-                out += struct.pack("<IIII", *divmod(r["ts_us"], 1_000_000), len(f), len(f)) + f
-        put(store, f"{base}/capture-{TaskContext.get().partitionId():05d}.pcap", bytes(out))
 
-    segments.foreachPartition(write)
+@lru_cache(1 << 16)
+def _packed(address: str) -> bytes:
+    return ipaddress.IPv4Address(address).packed
 
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(PcapSource)
-    spark.dataSource.register(SegbinSource)
+@lru_cache(1 << 16)
+def _ipv4(raw: bytes) -> str:
+    return str(ipaddress.IPv4Address(raw))
+
+
+def encode_frame(src: str, sport: int, dst: str, dport: int, seq: int, flags: int, payload: bytes) -> bytes:
+    """Ethernet, IPv4 and TCP; ports or a sequence number too large for the header go whole into an option, and their low bits into the header."""
+    # TCP's bits of FIN, SYN, RST, PSH, ACK; option 1 pads to words of four bytes.
+    wire = (flags & FIN and 1) | (flags & SYN and 2) | (flags & RST and 4) | (flags & PSH and 8) | (flags & ACK and 16)
+    narrow = (sport & 0xFFFF, dport & 0xFFFF, seq & 0xFFFFFFFF)
+    options = b""
+    if narrow != (sport, dport, seq):
+        options = struct.pack(">BB4siiqBB", EXPERIMENT, 22, WIDE, sport, dport, seq, 1, 1)
+    tcp = struct.pack(">HHIIBBHHH", *narrow, 0, 5 + len(options) // 4 << 4, wire, 0, 0, 0) + options + payload
+    ip = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(tcp), 0, 0, 64, 6, 0) + _packed(src) + _packed(dst)
+    return bytes(12) + b"\x08\x00" + ip + tcp
+
+
+def _wide(options: bytes) -> tuple[int, int, int] | None:
+    """Ports and sequence number of our own option, if it is there."""
+    at = 0
+    while at < len(options) and options[at] != 0:
+        size = 1 if options[at] == 1 else options[at + 1] if at + 1 < len(options) else 0
+        if size < 1 or at + size > len(options):
+            return None
+        if size == 22 and options[at] == EXPERIMENT and options[at + 2 : at + 6] == WIDE:
+            return struct.unpack_from(">iiq", options, at + 6)
+        at += size
+    return None
 
 
 def _ipv6(raw: bytes) -> str:
@@ -234,7 +289,7 @@ def decode_frame(data: bytes) -> tuple | None:
         if len(data) < at + 20 or data[at] >> 4 != 4 or data[at + 9] != 6:
             return None
         head, whole = (data[at] & 15) * 4, int.from_bytes(data[at + 2 : at + 4], "big")
-        src, dst = (str(ipaddress.IPv4Address(data[at + k : at + k + 4])) for k in (12, 16))
+        src, dst = (_ipv4(bytes(data[at + k : at + k + 4])) for k in (12, 16))
     elif kind == 0x86DD:
         if len(data) < at + 40 or data[at] >> 4 != 6 or data[at + 6] != 6:
             return None
@@ -249,6 +304,8 @@ def decode_frame(data: bytes) -> tuple | None:
     size = (data[tcp + 12] >> 4) * 4
     if size < 20 or len(data) < tcp + size:
         return None
+    if size > 20 and (wide := _wide(data[tcp + 20 : tcp + size])):
+        sport, dport, seq = wide
     wire = data[tcp + 13]
     flags = (wire & 1 and FIN) | (wire & 2 and SYN) | (wire & 4 and RST) | (wire & 8 and PSH) | (wire & 16 and ACK)
     return src, sport, dst, dport, seq, flags, data[tcp + size : max(tcp + size, min(len(data), at + whole))]

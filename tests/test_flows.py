@@ -186,6 +186,28 @@ def test_pcap_and_filters(spark, tmp_path):
         capture.bpf("udp port 1")
 
 
+def test_frames_beyond_header_fields(spark, tmp_path):
+    """Ports past 16 bits and sequence numbers past 32 come back whole, from files that were rolled, in order."""
+    ports = ((65535, 80), (65536, 80), (23, 129_999), (2**31 - 1, 2**31 - 1))
+    rows = [(k, k * 1000, "10.0.0.1", ports[k % 4][0], "10.1.0.1", ports[k % 4][1], (2**32 - 16, 2**32, 5, 2**62)[k // 4 % 4], k % 32, b"x" * (k % 3) * 30_000) for k in range(64)]
+    df = spark.createDataFrame(rows, SEGMENT).coalesce(1)
+    capture.write_frames(df, str(tmp_path / "out"), every_junk=10, roll_mib=1)
+    names = [p.name for p in (tmp_path / "out").iterdir()]
+    assert len(names) > 1 and all(n.endswith(".pcap") for n in names)
+    back = capture.decode_frames(spark.read.format("pcap").load(str(tmp_path / "out"))).orderBy("arrival").drop("arrival").collect()
+    assert [(*r[:-1], bytes(r[-1])) for r in back] == [r[1:] for r in rows]
+
+
+def test_frames_foreign_options():
+    """Options of others leave the header's ports, and broken ones lose no frame."""
+    plain = capture.encode_frame("1.2.3.4", 1, "5.6.7.8", 2, 3, 16, b"abc")
+    for options in (b"\x01\x01\x01\x00", b"\xfd\x16SLUX" + bytes(16) + b"\x01\x01", b"\xfd\x16SL", b"\x02\x00\x01\x01", b"\x01\x01\x01\xfd"):
+        data = bytearray(plain[:54] + options + plain[54:])
+        data[16:18] = struct.pack(">H", len(data) - 14)
+        data[46] = (5 + len(options) // 4) << 4
+        assert capture.decode_frame(bytes(data)) == ("1.2.3.4", 1, "5.6.7.8", 2, 3, 16, b"abc")
+
+
 def test_segbin_round_trip(spark, tmp_path):
     capture.register(spark)
     df = spark.createDataFrame(random_segments(50), SEGMENT).coalesce(2)
