@@ -206,4 +206,39 @@ ORACLE: dict[str, str] = {
         c(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x)
         SELECT e.vec_id, CAST((SELECT count(*) FROM l WHERE l.x = e.vec_id) AS BIGINT) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
         FROM embeddings e JOIN (SELECT x, min(y) AS component_id FROM c GROUP BY x) m ON m.x = e.vec_id""",
+    "op11_structure_repair": """
+        WITH RECURSIVE t AS (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+        s AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) AS key FROM conversations),
+        k AS (SELECT s.*, xor(list_reduce(list_prepend(4294967295, key), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM s, t),
+        d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                     CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM k, range(2) r(n) WHERE kind <> 0 AND (n = 0 OR kind = 3)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                          WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 3 ELSE 0 END AS fault FROM o),
+        g AS (SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM f),
+        n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                     count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM g GROUP BY conv_id),
+        e(edit) AS (VALUES ('K'), ('R'), ('D')),
+        -- the best cost, audit and turns at each row and grammar state (0 start, 1 system, 2 user, 3 assistant); at most two turns are inserted before a row
+        w(conv_id, i, state, best) AS (
+            SELECT conv_id, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': '', 'turns': CAST([] AS VARCHAR[])} FROM n
+            UNION ALL
+            SELECT conv_id, i, state, min(best) FROM (
+                SELECT b.conv_id, g.i, CASE e.edit WHEN 'D' THEN b.state WHEN 'K' THEN CASE left(g.role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE b.state WHEN 2 THEN 3 ELSE 2 END END AS state,
+                       {'cost': b.cost + CASE e.edit WHEN 'D' THEN 3 ELSE CASE e.edit WHEN 'R' THEN 2 ELSE 0 END + CASE g.fault WHEN 3 THEN 1 ELSE 0 END END, 'audit': b.audit || e.edit,
+                        'turns': CASE e.edit WHEN 'D' THEN b.turns WHEN 'K' THEN list_append(b.turns, g.role || ':' || g.text)
+                                 ELSE list_append(b.turns, CASE b.state WHEN 2 THEN 'assistant:' ELSE 'user:' END || g.text) END} AS best
+                FROM (SELECT conv_id, i, CASE WHEN m = 0 THEN state WHEN (m = 1) = (state <> 2) THEN 2 ELSE 3 END AS state, best.cost + 2 * m AS cost, best.audit || repeat('I', m) AS audit,
+                             list_concat(best.turns, (CASE WHEN state = 2 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END)[:m]) AS turns FROM w, (VALUES (0), (1), (2)) v(m)) b
+                JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id AND g.i = b.i + 1
+                JOIN e ON e.edit = 'D' OR g.fault NOT IN (1, 2) AND (e.edit = 'R' OR (b.state IN (0, 1, 3) AND left(g.role, 1) = 'u') OR (b.state = 0 AND left(g.role, 1) = 's') OR (b.state = 2 AND left(g.role, 1) = 'a')))
+            GROUP BY conv_id, i, state),
+        z AS (SELECT w.conv_id, min({'cost': best.cost + CASE state WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END, 'audit': best.audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+                     'turns': list_concat(best.turns, CASE state WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE CAST([] AS VARCHAR[]) END)}) AS best
+              FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.rows = w.i GROUP BY w.conv_id)
+        SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.turns, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }

@@ -217,7 +217,8 @@ def repair_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
 
     spaced = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(" "))
     rows = with_faults(turns.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), spaced(role_col).alias("role"), spaced(text_col).alias("text")))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text", "fault").mapInArrow(work, SCHEMA)
+    order = ["conv_id", "turn", "role", "text", F.col("fault") == DUPLICATE]
+    return rows.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(work, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
