@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, licenses, near_dedup, packing, pii, quality, structure_repair, substring_dedup, token_files
+from . import bpe, chat_format, divergence, embedding_dedup, licenses, near_dedup, packing, pii, quality, structure_repair, substring_dedup, token_files
 from ._runtime import Scratch, finished, table
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -153,8 +153,13 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("c.conv_id", *(F.coalesce(f"f.{c}", F.lit(0)).alias(c) for c in names[1:7]), F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    return finished(divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"), scratch), scratch)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_pii, op3_chat_format, op4_substring_dedup, op5_token_files, op6_bpe, op7_quality, op8_packing, op9_licenses, op10_embedding_dedup, op11_structure_repair)
+    f.__name__: f for f in (op1_near_dedup, op2_pii, op3_chat_format, op4_substring_dedup, op5_token_files, op6_bpe, op7_quality, op8_packing, op9_licenses, op10_embedding_dedup, op11_structure_repair, op13_divergence)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -241,4 +246,22 @@ ORACLE: dict[str, str] = {
         SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
                coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.turns, chr(10)), '')) AS repaired_sha256
         FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id""",
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        u AS (SELECT doc, lang, source, unnest(w) AS term FROM d),
+        k AS (SELECT lang, term FROM u GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+        c AS (SELECT lang, source, term, count(*) AS n FROM u JOIN k USING (lang, term) GROUP BY lang, source, term),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+        ln AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+        p AS (SELECT gn.lang, gn.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 2) // (gn.total + 2 * v) AS p
+              FROM gn JOIN k ON k.lang = gn.lang JOIN v ON v.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+        q AS (SELECT c.lang, term, 1 + 1000000000 * (sum(n) + 2) // (any_value(total) + 2 * any_value(v)) AS q FROM c JOIN ln ON ln.lang = c.lang JOIN v ON v.lang = c.lang GROUP BY c.lang, term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+              FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN f ON f.lang = g.lang AND f.source = g.source AND f.item = h.source
+              UNION ALL SELECT p.lang, source, 'term', p.term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= 10""",
 }
