@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, divergence, embedding_dedup, licenses, near_dedup, packing, pii, quality, structure_repair, substring_dedup, token_files
+from . import bpe, chat_format, divergence, embedding_dedup, licenses, lp_packing, near_dedup, packing, pii, quality, structure_repair, substring_dedup, token_files
 from ._runtime import Scratch, finished, table
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -153,13 +153,18 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("c.conv_id", *(F.coalesce(f"f.{c}", F.lit(0)).alias(c) for c in names[1:7]), F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
 
 
+def op12_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    return finished(lp_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), scratch), scratch)
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     return finished(divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"), scratch), scratch)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_pii, op3_chat_format, op4_substring_dedup, op5_token_files, op6_bpe, op7_quality, op8_packing, op9_licenses, op10_embedding_dedup, op11_structure_repair, op13_divergence)
+    f.__name__: f for f in (op1_near_dedup, op2_pii, op3_chat_format, op4_substring_dedup, op5_token_files, op6_bpe, op7_quality, op8_packing, op9_licenses, op10_embedding_dedup, op11_structure_repair, op12_lp_packing, op13_divergence)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

@@ -10,7 +10,7 @@ Two audits of one cost at one node never begin one another (both read the same r
 their order doesn't change as they grow, and the key serves as a distance.
 
 Rows are streamed.  A long conversation is solved a block of rows at a time: the best path to each of the four grammar
-states is carried on, and what all of these have in common is decided and given out, so that a task holds a block and
+states is carried on, unless another one costs less even if it then goes on likewise, and what all of these have in common is decided and given out, so that a task holds a block and
 what is undecided, and of the rest the audit alone.
 
 Defined cases: null role or text is one space; rows are ordered by turn (nulls first), role, text, and repeated rows are rows of
@@ -38,6 +38,8 @@ KEPT = {(START, "s"): SYSTEM, (START, "u"): USER, (SYSTEM, "u"): USER, (ASSISTAN
 #: What an inserted or changed turn leads to, by state.
 TURN = (USER, USER, ASSISTANT, USER)
 ROLE = {USER: "user", ASSISTANT: "assistant"}
+#: What it costs at most to go on from one state (row) as from another (column): by an inserted turn or two, or by deleting a system turn.
+INSTEAD = ((0, 0, 2, 0), (4, 0, 2, 4), (5, 2, 0, 2), (3, 0, 2, 0))
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 #: Rows that are solved at once, and rows up to which a solution is kept for the next conversation of the same shape.
 BLOCK, SHORT = 1024, 32
@@ -122,7 +124,8 @@ class Repair:
         solve = _remembered if len(self.pending) <= SHORT else cheapest
         found = solve("".join(self.pending), tuple((s, c) for s, c, _ in labels), final)
         self.pending = []
-        self.labels = [(state, cost, labels[rank][2] + audit) for state, rank, cost, audit in found]
+        worse = {s for s, _, cost, _ in found for t, _, other, _ in found if other + INSTEAD[t][s] < cost}
+        self.labels = [(state, cost, labels[rank][2] + audit) for state, rank, cost, audit in found if state not in worse]
         common = os.path.commonprefix([x[2] for x in self.labels])
         self.labels = [(state, cost, edits[len(common) :]) for state, cost, edits in self.labels]
         self.audit.append(common)
