@@ -50,8 +50,8 @@ def _slices(text: bytes) -> Iterator[list[bytes]]:
     text = text.translate(_FOLD)
     begin = 0
     while len(text) - begin > SLICE:
-        end = text.rfind(b" ", begin, begin + SLICE)
-        if end < begin:
+        end = text.rfind(b" ", begin + 1, begin + SLICE)
+        if end < 0:
             end = text.find(b" ", begin + SLICE)
             if end < 0:
                 break
