@@ -45,7 +45,7 @@ class Flow:
 
     def feed(self, from_client: bool, seq: int, payload: bytes, ts_us: int) -> list[tuple]:
         """``protocol, n, request, its time, response, its time`` of the pairs that the segment completes."""
-        got = self.streams.setdefault(from_client, Reassembler()).accept(seq, payload)
+        got, ts_us = self.streams.setdefault(from_client, Reassembler()).accept(seq, payload, ts_us)
         if not got:
             return []
         if self.protocol is None:

@@ -142,10 +142,19 @@ def head_and_body(data: Column) -> tuple[Column, Column]:
     return F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text), F.when(at > 0, F.substring(data, at + 4, F.octet_length(data))).otherwise(F.lit(b""))
 
 
+#: What counts as white space around names and values: all characters up to the space.
+_WHITE = "".join(map(chr, range(33)))
+
+
+def trimmed(text: Column) -> Column:
+    """Text without characters up to U+0020 at either end."""
+    return F.btrim(text, F.lit(_WHITE))
+
+
 def _fields(lines: Column) -> Column:
     """Lower-cased names with all their values in order; a line that begins with white space goes on the one before."""
     unfolded = F.filter(F.split(F.regexp_replace(F.array_join(lines, "\r\n"), r"\r\n[ \t]+", ""), "\r\n"), lambda x: F.locate(":", x) > 1)
-    pairs = F.transform(unfolded, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.locate(":", x) + 1, F.length(x))).alias("v")))
+    pairs = F.transform(unfolded, lambda x: F.struct(F.lower(trimmed(F.substring_index(x, ":", 1))).alias("k"), trimmed(F.substring(x, F.locate(":", x) + 1, F.length(x))).alias("v")))
     values = lambda ps, n: F.transform(F.filter(ps, lambda p: p["k"] == n), lambda p: p["v"])
     return let(pairs, lambda ps: let(F.array_distinct(F.transform(ps, lambda p: p["k"])), lambda names: F.map_from_arrays(names, F.transform(names, lambda n: values(ps, n)))))
 
@@ -159,9 +168,9 @@ def query_map(query: Column) -> Column:
 
 
 def cookie_map(header: Column) -> Column:
-    """Cookies by lower-cased name, the last of a name winning."""
-    parts = F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), ";"), lambda p: F.trim(p)), lambda p: F.locate("=", p) > 1)
-    return _last_wins(F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), F.trim(F.substring(p, F.locate("=", p) + 1, F.length(p))).alias("v"))))
+    """Cookies by lower-cased name, the last of a name winning; several headers are joined by semicolons."""
+    parts = F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), ";"), lambda p: trimmed(p)), lambda p: F.locate("=", p) > 1)
+    return _last_wins(F.transform(parts, lambda p: F.struct(F.lower(trimmed(F.substring_index(p, "=", 1))).alias("k"), trimmed(F.substring(p, F.locate("=", p) + 1, F.length(p))).alias("v"))))
 
 
 def _last_wins(pairs: Column) -> Column:
@@ -205,7 +214,7 @@ def body_text(body: Column, content_type: Column) -> Column:
 
 
 def _first_words(data: Column) -> Column:
-    return F.split(F.trim(F.substring_index(F.decode(data, "ISO-8859-1"), "\r\n", 1)), r"\s+", 3)
+    return F.split(trimmed(F.substring_index(F.decode(data, "ISO-8859-1"), "\r\n", 1)), r"\s+", 3)
 
 
 def is_request(data: Column) -> Column:
@@ -225,12 +234,12 @@ def parse_request(data: Column) -> Column:
             target.alias("raw_target"),
             F.coalesce(F.get(words, 2), F.lit("HTTP/1.1")).alias("http_version"),
             fields.alias("headers"),
-            cookie_map(first_value(fields, "cookie")).alias("cookies"),
+            cookie_map(F.array_join(F.try_element_at(fields, F.lit("cookie")), ";")).alias("cookies"),
             query_map(F.when(F.locate("?", target) > 0, F.substring(target, F.locate("?", target) + 1, F.length(target)))).alias("query"),
             body.alias("body"),
         )
 
-    parsed = let(F.split(head, "\r\n"), lambda lines: let(F.split(F.trim(lines[0]), r"\s+", 3), lambda words: let(_fields(_rest(lines)), lambda fields: parts(lines, words, fields))))
+    parsed = let(F.split(head, "\r\n"), lambda lines: let(F.split(trimmed(lines[0]), r"\s+", 3), lambda words: let(_fields(_rest(lines)), lambda fields: parts(lines, words, fields))))
     return F.when(is_request(data), parsed)
 
 
@@ -245,7 +254,7 @@ def parse_response(data: Column) -> Column:
     def parts(lines: Column, words: Column) -> Column:
         return F.struct(F.coalesce(F.get(words, 1).try_cast("int"), F.lit(-1)).alias("status"), F.coalesce(F.get(words, 2), F.lit("")).alias("reason"), words[0].alias("http_version"), _fields(_rest(lines)).alias("headers"), body.alias("body"))
 
-    parsed = let(F.split(head, "\r\n"), lambda lines: let(F.split(F.trim(lines[0]), r"\s+", 3), lambda words: parts(lines, words)))
+    parsed = let(F.split(head, "\r\n"), lambda lines: let(F.split(trimmed(lines[0]), r"\s+", 3), lambda words: parts(lines, words)))
     return F.when(F.startswith(F.decode(F.substring(data, 1, 5), "ISO-8859-1"), F.lit("HTTP/")), parsed)
 
 

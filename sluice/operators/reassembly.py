@@ -29,44 +29,49 @@ def assembled(segments: DataFrame, keys: list[str], listed: str = "payload") ->
 
 
 class Reassembler:
-    """One direction of a flow: released bytes never come again; of buffered bytes the older win on the left, the newer on the right."""
+    """One direction of a flow: released bytes never come again; of buffered bytes the older win on the left, the newer on the right.
 
-    def __init__(self, frontier: int | None = None, waiting: dict[int, bytes] | None = None):
+    Each waiting piece keeps the time at which it came.  What is released at once has the time of its last piece in order of sequence,
+    which may have come before the one that closed the gap.
+    """
+
+    def __init__(self, frontier: int | None = None, waiting: dict[int, tuple[bytes, int]] | None = None):
         self.frontier, self.waiting = frontier, dict(waiting or {})
 
     def held(self) -> int:
-        return sum(map(len, self.waiting.values()))
+        return sum(len(data) for data, _ in self.waiting.values())
 
-    def accept(self, seq: int | None, data: bytes) -> bytes:
-        """Bytes that ``data`` at ``seq`` releases, empty if it is old, waits for a gap to close or has no place."""
+    def accept(self, seq: int | None, data: bytes, ts_us: int = 0) -> tuple[bytes, int]:
+        """Bytes that ``data`` at ``seq`` releases and their time; no bytes if it is old, waits for a gap to close or has no place."""
         if not data or seq is None:
-            return b""
+            return b"", ts_us
         if self.frontier is None:
             self.frontier = seq
         if seq < self.frontier:
             data, seq = data[self.frontier - seq :], self.frontier
         if not data:
-            return b""
+            return b"", ts_us
         for at in sorted(self.waiting):
-            old = self.waiting[at]
+            old = self.waiting[at][0]
             if at <= seq < at + len(old):
                 skip = at + len(old) - seq
                 data, seq = data[skip:], seq + skip
                 if not data:
-                    return self._release()
-        for at in sorted(a for a in self.waiting if seq <= a < seq + len(data)):
-            old = self.waiting.pop(at)
-            if at + len(old) > seq + len(data):
-                data += old[seq + len(data) - at :]
-        self.waiting[seq] = data
-        return self._release()
-
-    def _release(self) -> bytes:
+                    return self._release(ts_us)
+        end = seq + len(data)
+        for at in sorted(a for a in self.waiting if seq <= a < end):
+            old, old_ts = self.waiting.pop(at)
+            if at + len(old) > end:
+                self.waiting[end] = old[end - at :], old_ts
+        self.waiting[seq] = data, ts_us
+        return self._release(ts_us)
+
+    def _release(self, ts_us: int) -> tuple[bytes, int]:
         out = b""
         while (piece := self.waiting.pop(self.frontier, None)) is not None:
-            out += piece
-            self.frontier += len(piece)
-        return out
+            out, ts_us = out + piece[0], piece[1]
+            self.frontier += len(piece[0])
+        return out, ts_us
 
 
 class Sides:
@@ -78,8 +83,8 @@ class Sides:
     def feed(self, row: tuple) -> list[tuple]:
         flow, arrival, from_client, seq, payload, ts_us = row
         side = bool(from_client)
-        got = self.streams.setdefault(side, Reassembler()).accept(seq, payload or b"")
-        return [(flow, arrival, side, got, ts_us)] if got else []
+        got, at = self.streams.setdefault(side, Reassembler()).accept(seq, payload or b"", ts_us)
+        return [(flow, arrival, side, got, at)] if got else []
 
     def finish(self) -> list[tuple]:
         return []

@@ -3,16 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.binary import decode_body, decode_chunked, hex_dump, likely_text, safe_name
 
 
 def regroup(messages: DataFrame, key: str = "tx_id", order: str = "ord") -> DataFrame:
-    """``key, request, response``: both sides of each transaction, the last row of a side winning; either may lack."""
+    """``key, use, request, response``: both sides of each transaction, the last row of a side winning; either may lack.
+
+    An id may be used again: in ``order``, a transaction ends with the row that gives it its other side, and the next row begins another;
+    ``use`` counts them from 1.  Nothing is collected for this.  In runs of rows of one side, a run's first row ends a transaction if
+    one is open.  It is after a run of several rows, and else just if it wasn't before the last run; so what counts is the number of runs since
+    the last long one.  All windows and the grouping share one shuffle by id.
+    """
     cols = [c for c in messages.columns if c not in (key, "type")]
+    w = W.partitionBy(key).orderBy(order)
+    so_far, before = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(W.unboundedPreceding, -1)
+    goes_on = F.coalesce(F.lag("type").over(w) == F.col("type"), F.lit(False))
+    m = messages.select("*", goes_on.alias("_on"))
+    m = m.select("*", F.sum((~F.col("_on")).cast("int")).over(so_far).alias("_run"), (~F.col("_on") & F.coalesce(F.lag("_on").over(w), F.lit(False))).alias("_after_long"))
+    m = m.select("*", F.max(F.when(F.col("_after_long"), F.col("_run"))).over(so_far).alias("_open_at"))
+    is_open = F.coalesce((F.col("_run") - F.col("_open_at")) % 2 == 0, F.col("_run") % 2 == 0)
+    m = m.select("*", (~F.col("_on") & is_open).cast("long").alias("_ends"))
+    m = m.select("*", (1 + F.coalesce(F.sum("_ends").over(before), F.lit(0))).alias("use"))
     last = lambda kind: F.max_by(F.when(F.col("type") == kind, F.struct(*cols)), F.when(F.col("type") == kind, F.col(order)))
-    return messages.groupBy(key).agg(last("REQUEST").alias("request"), last("RESPONSE").alias("response"))
+    return m.groupBy(key, "use").agg(last("REQUEST").alias("request"), last("RESPONSE").alias("response"))
 
 
 def decode_message(data: bytes, mode: str = "all") -> bytes:

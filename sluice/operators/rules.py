@@ -10,15 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import json_or_null
-from .http import body_text, first_value
+from .http import body_text, first_value, trimmed
 
 METHODS_TYPE = "method must be a string or a list of strings"
-_STEP = re.compile(r"\.([A-Za-z0-9_$-]+)|\['([^']+)'\]|\[\"([^\"]+)\"\]|\[(\d+)\]")
+_STEP = re.compile(r"""\s+|\.([A-Za-z0-9_$-]+)|\[\s*(?:'((?:[^'\\]|\\.)+)'|"((?:[^"\\]|\\.)+)"|(\d+))\s*\]""", re.DOTALL)
 SESSION_BUCKET_US = 15 * 60 * 1_000_000
 
 
 def json_path(path: str) -> str:
-    """A path of names and indexes in the form that variant functions take; anything else is an error."""
+    """A path of names and indexes in the form that variant functions take; anything else is an error.
+
+    White space may stand between the steps and inside brackets; a backslash takes the next character as it is.  A name
+    with both kinds of quotes can't be written for variant functions and is an error too.
+    """
+    path = path.strip()
     if not path.startswith("$"):
         raise ValueError(f"path must begin with $: {path}")
     at, out = 1, "$"
@@ -26,9 +31,14 @@ def json_path(path: str) -> str:
         m = _STEP.match(path, at)
         if not m:
             raise ValueError(f"unsupported path: {path}")
-        name = m[1] or m[2] or m[3]
-        out += f"['{name}']" if name is not None else f"[{m[4]}]"
         at = m.end()
+        if m[4]:
+            out += f"[{int(m[4])}]"
+        elif m[1] or m[2] or m[3]:
+            name = m[1] or re.sub(r"\\(.)", r"\1", m[2] or m[3], flags=re.DOTALL)
+            if "'" in name and '"' in name:
+                raise ValueError(f"unsupported path: {path}")
+            out += f'["{name}"]' if "'" in name else f"['{name}']"
     return out
 
 
@@ -198,7 +208,7 @@ def value(spec, rule: dict, x: Exchange = Exchange()) -> Column:
         out = F.try_variant_get(x.json("request" if spec.get("target") == "request" else "response"), json_path(spec["jsonpath"]), "string")
     else:
         raise ValueError(f"unsupported extractor: {sorted(spec)}")
-    return F.nullif(F.trim(out), F.lit(""))
+    return F.nullif(trimmed(out), F.lit(""))
 
 
 def evaluate(exchanges: DataFrame, rules: dict, x: Exchange = Exchange()) -> DataFrame:
@@ -235,13 +245,14 @@ def session(x: Exchange = Exchange(), client_ip: Column | None = None, user_id:
     set_cookies = F.coalesce(F.try_element_at(rsp["headers"], F.lit("set-cookie")), F.array().cast("array<string>"))
 
     def set_by_response(name: str) -> Column:
-        own = F.filter(F.transform(set_cookies, lambda c: F.trim(F.substring_index(c, ";", 1))), lambda c: F.lower(F.trim(F.substring_index(c, "=", 1))) == name)
-        return F.trim(F.substring(F.get(own, 0), F.locate("=", F.get(own, 0)) + 1, F.length(F.get(own, 0))))
+        """The first value that isn't blank, of all headers that set the cookie."""
+        parts = F.transform(set_cookies, lambda c: F.struct(F.lower(trimmed(F.substring_index(c, "=", 1))).alias("name"), trimmed(F.substring_index(F.substring(c, F.locate("=", c) + 1, F.length(c)), ";", 1)).alias("value"), (F.locate("=", c) > 1).alias("is_one")))
+        return F.get(F.filter(parts, lambda p: p["is_one"] & (p["name"] == name) & (p["value"] != "")), 0)["value"]
 
     names = ("jsessionid", "smsessionid")
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    blank = lambda c: F.nullif(trimmed(c), F.lit(""))
     trusted = F.coalesce(*(blank(F.try_element_at(req["cookies"], F.lit(n))) for n in names), *(blank(set_by_response(n)) for n in names), *(blank(first_value(req["headers"], n)) for n in names))
-    derived = derived_session(F.coalesce(F.trim(client_ip if client_ip is not None else F.col("client.ip")), F.lit("")), F.coalesce(first_value(req["headers"], "user-agent"), F.lit("")), F.col("ts_us"))
+    derived = derived_session(F.coalesce(trimmed(client_ip if client_ip is not None else F.col("client.ip")), F.lit("")), F.coalesce(first_value(req["headers"], "user-agent"), F.lit("")), F.col("ts_us"))
     known = trusted.isNotNull() | (user_id.isNotNull() if user_id is not None else F.lit(False))
     return F.coalesce(trusted, derived), F.when(known, "AUTHENTICATED").otherwise("UNAUTHENTICATED")
 
@@ -251,12 +262,16 @@ def derived_session(ip: Column, agent: Column, ts_us: Column) -> Column:
     return F.concat(F.lit("DERIVED-"), F.upper(F.substring(F.sha2(key, 256), 1, 24)))
 
 
-def user_events(matches: DataFrame, x: Exchange = Exchange(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """Events of matches, with the columns ``keep``: time, session, app and source from the attributes, trace and request ids from headers."""
+def user_events(matches: DataFrame, x: Exchange = Exchange(), keep: tuple[str, ...] = (), defaults: dict[str, str] | None = None) -> DataFrame:
+    """Events of matches, with the columns ``keep``: time, session, app and source from the attributes, trace and request ids from headers.
+
+    A blank or missing app or source is that of ``defaults``, the rules' own.
+    """
     req = F.col(x.request)
     parts = F.split(first_value(req["headers"], "traceparent"), "-")
     trace = F.coalesce(F.when(F.length(F.get(parts, 1)) == 32, F.get(parts, 1)), first_value(req["headers"], "x-b3-traceid"), first_value(req["headers"], "x-trace-id"))
     sid, state = session(x, user_id=F.col("user_id"))
+    named = lambda key: F.coalesce(F.when(F.rlike(F.try_element_at("attributes", F.lit(key)), F.lit(r"\S")), F.try_element_at("attributes", F.lit(key))), F.lit((defaults or {}).get(key, "")))
     return matches.select(
         *keep,
         F.timestamp_micros(F.coalesce("rsp_ts_us", "ts_us")).alias("ts"),
@@ -268,8 +283,8 @@ def user_events(matches: DataFrame, x: Exchange = Exchange(), keep: tuple[str, .
         "user_id",
         F.struct(req["method"].alias("method"), req["path"].alias("path"), F.col(f"{x.response}.status").alias("status"), F.floor(F.col("latency_us") / 1000).alias("latency_ms")).alias("http"),
         F.map_filter("attributes", lambda k, _: ~k.isin("app", "source")).alias("attributes"),
-        F.try_element_at("attributes", F.lit("source")).alias("source"),
-        F.try_element_at("attributes", F.lit("app")).alias("app"),
+        named("source").alias("source"),
+        named("app").alias("app"),
         trace.alias("trace_id"),
         F.coalesce(first_value(req["headers"], "x-request-id"), first_value(req["headers"], "request-id")).alias("request_id"),
     )
@@ -288,7 +303,7 @@ def joined_line(title: str, parts: dict[str, Column]) -> Column:
 
 def log_line(events: DataFrame) -> DataFrame:
     """``line``: a user event as text."""
-    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    blank = lambda c: F.nullif(trimmed(F.col(c)), F.lit(""))
     parts = {"type": F.col("event_type"), "rule": F.col("rule_id"), "ruleDesc": blank("rule_description"), "session": F.col("session_id"), "auth": F.col("auth_state"), "user": F.col("user_id"), "source": F.col("source"), "app": F.col("app")}
     parts |= {"method": F.col("http.method"), "path": F.col("http.path"), "status": F.col("http.status"), "latencyMs": F.col("http.latency_ms"), "traceId": F.col("trace_id"), "requestId": F.col("request_id"), "attributes": attributes_text(F.col("attributes"))}
     return events.select(joined_line("user.event", parts).alias("line"))
@@ -313,5 +328,5 @@ def _last_group(pattern: str):
 
 
 def _named_values(parts: Column, names: list[str]) -> Column:
-    own = F.filter(parts, lambda p: (F.locate("=", p) > 1) & F.lower(F.trim(F.substring_index(p, "=", 1))).isin(*names))
-    return F.transform(own, lambda p: F.trim(F.substring(p, F.locate("=", p) + 1, F.length(p))))
+    own = F.filter(parts, lambda p: (F.locate("=", p) > 1) & F.lower(trimmed(F.substring_index(p, "=", 1))).isin(*names))
+    return F.transform(own, lambda p: trimmed(F.substring(p, F.locate("=", p) + 1, F.length(p))))

@@ -239,14 +239,12 @@ class Screen:
         return ebcdic.decode(self.buffer[k + 1 : end]).rstrip(WHITE) or None
 
     def _value(self, f: Field) -> str:
-        return ebcdic.decode(self.buffer[f.start : f.end]).replace("\0", " ").rstrip()
+        return ebcdic.decode(self.buffer[f.start : f.end]).rstrip(WHITE)
 
     def snapshot(self) -> dict:
-        shown = bytearray(self.buffer)
-        for at in self.fields:
-            shown[at] = ebcdic.SPACE
-        text = ebcdic.decode(shown).replace("\0", " ")
-        lines = [text[r * self.cols : (r + 1) * self.cols].rstrip() for r in range(self.rows)]
+        """The screen as it is held: NULs and attribute bytes are characters like others, and count in the hash."""
+        text = ebcdic.decode(self.buffer)
+        lines = [text[r * self.cols : (r + 1) * self.cols].rstrip(WHITE) for r in range(self.rows)]
         fields = [{"start": f.start, "length": f.end - f.start, "protected": f.protected, "numeric": f.numeric, "hidden": f.hidden, "value": self._value(f)} for _, f in sorted(self.fields.items()) if f.end > f.start]
         fixed = [f["value"] for f in fields if f["protected"]]
         digest = murmur128_hex("".join(v + "|" for v in fixed).encode()) if fixed else None

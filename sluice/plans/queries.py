@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import binary
 from ..operators import detect, engine, flows, http, metrics, pairing, reassembly, reports, rules, screens, terminal
 from ..session import scratch_folder
-from ..sources import capture, feeds, tables
+from ..sources import capture, feeds, store, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -162,14 +162,15 @@ def reassemble_bytes(spark, sf_dir):
 @query(
     """WITH c AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS size, unnest(range(0, (strlen(text) - 1) // 400 + 1)) AS k FROM documents WHERE text IS NOT NULL),
     a AS (SELECT *, max(CASE WHEN k = 0 THEN 0 ELSE 1 + k * 7919 % 1009 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS whole FROM c),
-    e AS (SELECT doc_id, whole AS arrival, any_value(h) AS h, least(any_value(size), 400 * max(k) + 425) AS stop FROM a GROUP BY doc_id, whole, size),
+    e AS (SELECT doc_id, whole AS arrival, any_value(h) AS h, least(any_value(size), 400 * max(k) + 425) AS stop, CASE WHEN max(k) > 0 AND any_value(size) - 400 * max(k) <= 25 THEN max(k) - 1 ELSE max(k) END AS last
+          FROM a GROUP BY doc_id, whole, size),
     s AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY arrival), 0) AS start FROM e)
-    SELECT CAST(doc_id AS VARCHAR) AS flow_id, CAST(arrival AS BIGINT) AS arrival, CAST(stop - start AS BIGINT) AS n_bytes, sha256(substr(h, 2 * start + 1, 2 * (stop - start))) AS digest FROM s WHERE stop > start"""
+    SELECT CAST(doc_id AS VARCHAR) AS flow_id, CAST(arrival AS BIGINT) AS arrival, CAST(CASE WHEN last = 0 THEN 0 ELSE 1 + last * 7919 % 1009 END AS BIGINT) AS ts_us, CAST(stop - start AS BIGINT) AS n_bytes, sha256(substr(h, 2 * start + 1, 2 * (stop - start))) AS digest FROM s WHERE stop > start"""
 )
 def reassemble_slices(spark, sf_dir):
-    """What each piece releases as it arrives: the bytes that have become contiguous with it."""
+    """What each piece releases as it arrives: the bytes that have become contiguous with it, and the time of the last piece that holds them."""
     c = tables.chunks(spark, sf_dir).select("flow_id", "arrival", F.lit(True).alias("from_client"), "seq", "payload", F.col("arrival").alias("ts_us"))
-    return reassembly.slices(c).select("flow_id", "arrival", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2(F.hex("data").cast("binary"), 256).alias("digest"))
+    return reassembly.slices(c).select("flow_id", "arrival", "ts_us", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2(F.hex("data").cast("binary"), 256).alias("digest"))
 
 
 @query(f"WITH {SEGMENTS} SELECT arrival, CAST(instr(payload, '\"k\": 7') - 1 AS BIGINT) AS at, substr(payload, greatest(1, instr(payload, '\"k\": 7') - 4), instr(payload, '\"k\": 7') - greatest(1, instr(payload, '\"k\": 7') - 4) + 10) AS around FROM segments WHERE contains(payload, '\"k\": 7')")
@@ -235,7 +236,7 @@ ev2 AS (SELECT *, CAST(coalesce(sum(closes) OVER (PARTITION BY user_id ORDER BY
 http_pairs AS (SELECT *, cip || ':' || (40000 + user_id) || '|10.1.0.1:80#' || cip || ':' || (40000 + user_id) || '#' || inc AS flow_id, row_number() OVER (PARTITION BY user_id, inc ORDER BY event_id) AS n FROM ev2)"""
 
 
-@query(f"WITH {HTTP_EVENTS} SELECT flow_id, n, 'HTTP' AS protocol, q AS request, us + 750 AS request_ts, p AS response, us + 1500 AS response_ts, cip AS client_ip, 80 AS server_port FROM http_pairs")
+@query(f"WITH {HTTP_EVENTS} SELECT flow_id, n, 'HTTP' AS protocol, q AS request, CASE WHEN n = 1 THEN us + 750 ELSE us END AS request_ts, p AS response, us + 1500 AS response_ts, cip AS client_ip, 80 AS server_port FROM http_pairs")
 def segments_to_pairs(spark, sf_dir):
     """Raw segments, out of order and of many incarnations, to pairs in one pass."""
     p = detect.of_protocol(engine.segments_to_pairs(tables.http_segments(spark, sf_dir)).where("n IS NOT NULL"), "HTTP")
@@ -244,7 +245,7 @@ def segments_to_pairs(spark, sf_dir):
 
 @query(
     f"""WITH {HTTP_EVENTS} SELECT flow_id, n, 'buy' AS rule_id, CAST(user_id AS VARCHAR) AS user_id, make_timestamp(us + 1500) AS ts,
-    CASE WHEN event_id % 4 = 0 THEN 's' || user_id ELSE 'DERIVED-' || upper(substr(sha256(cip || '|agent' || event_id % 3 || '|' || CAST(floor((us + 750) / 900000000) AS BIGINT)), 1, 24)) END AS session_id FROM http_pairs WHERE event_type = 'purchase'"""
+    CASE WHEN event_id % 4 = 0 THEN 's' || user_id ELSE 'DERIVED-' || upper(substr(sha256(cip || '|agent' || event_id % 3 || '|' || CAST(floor((CASE WHEN n = 1 THEN us + 750 ELSE us END) / 900000000) AS BIGINT)), 1, 24)) END AS session_id FROM http_pairs WHERE event_type = 'purchase'"""
 )
 def segments_to_events(spark, sf_dir):
     """Raw segments to user events: pairs, exchanges, rules, sessions."""
@@ -331,7 +332,7 @@ def last_screen_asof(spark, sf_dir):
     f"""WITH {MESSAGES}, k AS (SELECT *, row_number() OVER (PARTITION BY flow_id, type ORDER BY ord) AS n FROM messages),
     p AS (SELECT q.flow_id, q.n, q.ts_us AS q_ts, r.ts_us AS r_ts FROM k q JOIN k r ON q.flow_id = r.flow_id AND q.n = r.n AND q.type = 'REQUEST' AND r.type = 'RESPONSE')
     SELECT flow_id AS session_key, CAST(0 AS BIGINT) AS n, 'SESSION_START' AS type, r_ts AS ts_us, NULL AS aid, NULL AS inputs, NULL AS plain, NULL AS field_values, NULL AS screen_name FROM p WHERE n = 1
-    UNION ALL SELECT flow_id, 2 * n - 1, 'SCREEN_RENDER', r_ts, NULL, NULL, ' USER:', 'true USER:,false ', 'USER' FROM p
+    UNION ALL SELECT flow_id, 2 * n - 1, 'SCREEN_RENDER', r_ts, NULL, NULL, chr(128) || 'USER:', 'true USER:,false ', 'USER' FROM p
     UNION ALL SELECT flow_id, 2 * n, 'USER_SUBMIT', q_ts, 'ENTER', '{{"USER:":"SMITH"}}', NULL, NULL, 'USER' FROM p
     UNION ALL SELECT flow_id, 2 * max(n) + 1, 'SESSION_END', 99, NULL, NULL, NULL, NULL, 'USER' FROM p GROUP BY flow_id"""
 )
@@ -365,6 +366,41 @@ def full_outer_regroup(spark, sf_dir):
     return reports.regroup(n.select(key.alias("tx_id"), "ord", "type", "ts_us")).select("tx_id", *(F.coalesce(f"{s}.ord", F.lit(-1).cast("long")).alias(f"{s}_ord") for s in ("request", "response")))
 
 
+@query(
+    """WITH RECURSIVE m AS (SELECT 'c' || conv_id % 5 AS tx_id, conv_id * 100 + turn AS ord, CASE WHEN role = 'user' THEN 'Q' ELSE 'P' END AS kind FROM conversations),
+    i AS (SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY ord) AS i FROM m),
+    -- a transaction's sides so far, before the row that may end it
+    r(tx_id, i, use, q, p) AS (SELECT DISTINCT tx_id, CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) FROM m
+        UNION ALL SELECT i.tx_id, i.i, CASE WHEN q >= 0 AND p >= 0 THEN use + 1 ELSE use END, CASE WHEN kind = 'Q' THEN ord WHEN q >= 0 AND p >= 0 THEN -1 ELSE q END, CASE WHEN kind = 'P' THEN ord WHEN q >= 0 AND p >= 0 THEN -1 ELSE p END
+        FROM r JOIN i ON i.tx_id = r.tx_id AND i.i = r.i + 1)
+    SELECT tx_id, use, max(q) AS request_ord, max(p) AS response_ord FROM r WHERE i > 0 GROUP BY tx_id, use"""
+)
+def regroup_reused_ids(spark, sf_dir):
+    """Five ids that all conversations use in turn: a transaction ends as soon as it has both sides."""
+    c = tables.read(spark, sf_dir, "conversations")
+    m = c.select(F.concat(F.lit("c"), (F.col("conv_id") % 5).cast("string")).alias("tx_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), F.when(F.col("role") == "user", "REQUEST").otherwise("RESPONSE").alias("type"))
+    return reports.regroup(m).select("tx_id", "use", *(F.coalesce(f"{s}.ord", F.lit(-1).cast("long")).alias(f"{s}_ord") for s in ("request", "response")))
+
+
+@query(
+    """SELECT event_id, 'v' || user_id AS tok, event_type AS a, CASE WHEN own = 1 THEN 's' || user_id END AS jsessionid, 'HTTP' AS b, CASE event_id % 3 WHEN 0 THEN 's' || user_id WHEN 1 THEN 'late' || event_id ELSE 'DERIVED' END AS session FROM
+    (SELECT *, CASE WHEN event_id % 3 = 0 THEN 1 END AS own FROM events)"""
+)
+def header_white_space(spark, sf_dir):
+    """Headers with tabs around names and values, two Cookie lines, and two Set-Cookie lines of one name of which the first is blank."""
+    text = lambda c: F.col(c).cast("string")
+    cookie = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("\tJSESSIONID=\ts"), text("user_id"), F.lit("\t;"))).otherwise("none")
+    request = F.concat(F.lit("GET /a HTTP/1.1\r\nX-Tok\t:\tv"), text("user_id"), F.lit("\t\r\nCookie: a=first; B=HTTP\r\nCookie:"), cookie, F.lit("\r\nCookie: A="), F.col("event_type"), F.lit("\r\n\r\n"))
+    later = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("\tlate"), text("event_id"))).otherwise("")
+    response = F.concat(F.lit("HTTP/1.1 200 OK\r\nSet-Cookie: JSESSIONID= ; Path=/\r\nSet-Cookie: jsessionid="), later, F.lit("; Secure\r\n\r\n"))
+    side = lambda t: F.struct(t.cast("binary").alias("data"), tables.micros().alias("ts_us"))
+    client = F.struct(F.lit("10.0.0.1").alias("ip"), F.lit(1).alias("port"))
+    x = http.exchanges(tables.read(spark, sf_dir, "events").select(text("event_id").alias("flow_id"), F.lit(1).cast("long").alias("n"), side(request).alias("request"), side(response).alias("response"), client.alias("client")))
+    cookies = F.col("http_request.cookies")
+    sid = rules.session()[0]
+    return x.select(F.col("flow_id").cast("long").alias("event_id"), http.first_value(F.col("http_request.headers"), "x-tok").alias("tok"), cookies["a"].alias("a"), F.try_element_at(cookies, F.lit("jsessionid")).alias("jsessionid"), cookies["b"].alias("b"), F.when(sid.startswith("DERIVED"), "DERIVED").otherwise(sid).alias("session"))
+
+
 @query()
 def http_report_text(spark, sf_dir):
     x = _event_pairs(spark, sf_dir)
@@ -504,14 +540,15 @@ def bus_pair_reports(spark, sf_dir):
     return feeds.pair_reports(feeds.parse_pairs(lines), True)
 
 
-@query(f"WITH {MESSAGES} SELECT flow_id, ord, type, text AS body, '' AS headers, 'a:1' AS src, 'b:2' AS dst, ts_us FROM messages")
+@query(f"WITH {MESSAGES} SELECT flow_id, ord, type, text AS body, '' AS headers, 'a:1' AS src, 'b:2' AS dst, ts_us, left(lower(hex(encode(text))), 32) || CASE WHEN octet_length(encode(text)) > 16 THEN '...' ELSE '' END AS first_line FROM messages")
 def blob_store_roundtrip(spark, sf_dir):
-    """Messages to blobs and index lines in the shared folder, and back by ranges."""
+    """Messages to blobs and index lines in the shared folder, in two jobs, and back by ranges."""
     m = tables.messages(spark, sf_dir).select("*", F.concat_ws("/", "flow_id", F.col("ord").cast("string")).alias("tx_id"), F.lit("a:1").alias("src"), F.lit("b:2").alias("dst"), F.lit("TN3270").alias("protocol"))
     folder = scratch_folder(spark)
-    feeds.write_store(m, folder)
-    back = feeds.with_blobs(detect.index_entries_of(feeds.read_index(spark, folder), "TN3270"), folder)
-    return back.select(F.col("session").alias("flow_id"), F.substring_index("id", "/", -1).cast("long").alias("ord"), F.col("kind").alias("type"), F.col("body").cast("string").alias("body"), F.col("headers").cast("string").alias("headers"), "src", "dst", F.col("ts_first").alias("ts_us"))
+    for part in (0, 1):
+        store.write_store(m.where(F.col("ord") % 2 == part), folder)
+    back = store.with_blobs(detect.index_entries_of(store.read_index(spark, folder), "TN3270"), folder)
+    return back.select(F.col("session").alias("flow_id"), F.substring_index("id", "/", -1).cast("long").alias("ord"), F.col("kind").alias("type"), F.col("body").cast("string").alias("body"), F.col("headers").cast("string").alias("headers"), "src", "dst", F.col("ts_first").alias("ts_us"), "first_line")
 
 
 @query(
@@ -524,8 +561,8 @@ def http_blob_store(spark, sf_dir):
     e = tables.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("flow_id"), tables.micros().alias("ts_us"), F.explode(F.array(side(q, "q", "REQUEST", 0), side(p, "p", "RESPONSE", 1))).alias("m"))
     m = e.select("flow_id", "ts_us", "m.*", F.lit("a:1").alias("src"), F.lit("b:2").alias("dst"), F.lit("HTTP").alias("protocol"))
     folder = scratch_folder(spark)
-    feeds.write_store(m, folder, 1 << 20)
-    back = feeds.with_blobs(detect.index_entries_of(feeds.read_index(spark, folder), "HTTP"), folder)
+    store.write_store(m, folder, 1 << 20)
+    back = store.with_blobs(detect.index_entries_of(store.read_index(spark, folder), "HTTP"), folder)
     return back.select("id", "first_line", F.col("headers").cast("string").alias("headers"), F.col("body").cast("string").alias("body"))
 
 
@@ -564,7 +601,7 @@ def terminal_event_json(spark, sf_dir):
     CAST(coalesce(sum(size) OVER (PARTITION BY f ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + head AS BIGINT) AS body_off, CAST(size - head AS BIGINT) AS body_len FROM m""")
 def index_offsets(spark, sf_dir):
     m = tables.messages(spark, sf_dir).select("flow_id", "ord", "type", "data", F.col("ord").alias("ts_us"), F.lit("x").alias("tx_id"))
-    return feeds.index_lines(m, "blob", F.least(F.octet_length("data"), F.lit(10))).select("session", F.col("ts_first").alias("ord"), "headers_off", "headers_len", "body_off", "body_len")
+    return store.index_lines(m, "blob", F.least(F.octet_length("data"), F.lit(10))).select("session", F.col("ts_first").alias("ord"), "headers_off", "headers_len", "body_off", "body_len")
 
 
 @query(f"SELECT event_id, {_DUMP.format('props', 8)} AS dump FROM events")
@@ -621,7 +658,7 @@ def pcap_frames(spark, sf_dir):
     """Segments as frames of capture files in the shared folder, with frames that are none between them, read and decoded."""
     folder = scratch_folder(spark)
     capture.write_frames(tables.segments(spark, sf_dir), folder, every_junk=10)
-    s = capture.decode_frames(spark.read.format("pcap").load(folder))
+    s = capture.decode_frames(spark.read.format("pcap").load(folder), wide=True)
     # The order of arrival is that of the files and their records; the sequence number is the event's.
     return s.withColumn("arrival", F.expr("seq div 16")).withColumn("payload", F.col("payload").cast("string"))
 

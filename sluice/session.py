@@ -36,5 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder's name in the shared one."""
-    return f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    """A new folder in the shared one, which is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return path

@@ -276,8 +276,11 @@ def _ipv6(raw: bytes) -> str:
     return ":".join(f"{int.from_bytes(raw[i : i + 2], 'big'):x}" for i in range(0, 16, 2))
 
 
-def decode_frame(data: bytes) -> tuple | None:
-    """Ethernet, one VLAN tag at most, IPv4 or IPv6 without extensions, TCP: the segment's columns; None for all else or short frames."""
+def decode_frame(data: bytes, wide: bool = False) -> tuple | None:
+    """Ethernet, one VLAN tag at most, IPv4 or IPv6 without extensions, TCP: the segment's columns; None for all else or short frames.
+
+    A length in the IP header that leaves no room for TCP, such as 0 where the card cuts segments, gives an empty payload.  ``wide`` reads our own TCP option.
+    """
     if len(data) < 14:
         return None
     kind, at = int.from_bytes(data[12:14], "big"), 14
@@ -298,14 +301,14 @@ def decode_frame(data: bytes) -> tuple | None:
     else:
         return None
     tcp = at + head
-    if head < 20 or len(data) < tcp + 20 or whole < head + 20:
+    if head < 20 or len(data) < tcp + 20:
         return None
     sport, dport, seq = struct.unpack_from(">HHI", data, tcp)
     size = (data[tcp + 12] >> 4) * 4
     if size < 20 or len(data) < tcp + size:
         return None
-    if size > 20 and (wide := _wide(data[tcp + 20 : tcp + size])):
-        sport, dport, seq = wide
+    if wide and size > 20 and (own := _wide(data[tcp + 20 : tcp + size])):
+        sport, dport, seq = own
     wire = data[tcp + 13]
     flags = (wire & 1 and FIN) | (wire & 2 and SYN) | (wire & 4 and RST) | (wire & 8 and PSH) | (wire & 16 and ACK)
     return src, sport, dst, dport, seq, flags, data[tcp + size : max(tcp + size, min(len(data), at + whole))]
@@ -314,12 +317,15 @@ def decode_frame(data: bytes) -> tuple | None:
 _DECODED = "src_ip string, src_port int, dst_ip string, dst_port int, seq long, flags int, payload binary"
 
 
-def decode_frames(frames: DataFrame) -> DataFrame:
-    """Segments of the frames that decode."""
+def decode_frames(frames: DataFrame, wide: bool = False) -> DataFrame:
+    """Segments of the frames that decode.
+
+    ``wide`` takes ports and sequence numbers from the option that ``encode_frame`` writes; off for captures of others, as whoever sends a frame can set it.
+    """
 
     @F.pandas_udf(_DECODED)
     def decode(data: pd.Series) -> pd.DataFrame:
-        rows = [decode_frame(bytes(d)) if d is not None else None for d in data]
+        rows = [decode_frame(bytes(d), wide) if d is not None else None for d in data]
         return pd.DataFrame([r or (None,) * 7 for r in rows], columns=[c.split()[0] for c in _DECODED.split(", ")])
 
     return frames.select("arrival", "ts_us", decode("data").alias("s")).where("s.src_ip IS NOT NULL").select("arrival", "ts_us", "s.*")

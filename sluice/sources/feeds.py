@@ -1,21 +1,16 @@
-"""Line feeds and stored messages: JSON segments and pairs as a message bus carries them, index and blob files, samples.
+"""Line feeds: JSON segments, pairs and events as a message bus carries them, samples.
 
 The bus itself is Spark's ``kafka`` source and sink where its jar is installed; the same columns go over text files.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binary import plain_base64
-from ..schemas import INDEX, SEGMENT_JSON
-from ._files import listed, locate, put
+from ..schemas import SEGMENT_JSON
 
 
 def kafka(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
@@ -112,97 +107,6 @@ def report_lines(reports: DataFrame) -> DataFrame:
     return reports.select(F.col("tx_id").alias("key"), F.col("content").alias("value"))
 
 
-def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Index entries of ``index-*.ndjson`` with ``arrival``; malformed lines are dropped."""
-    lines = spark.read.schema(INDEX).option("mode", "DROPMALFORMED").json(f"{folder}/index-*.ndjson")
-    return lines.select("*", F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("arrival"))
-
-
-def with_blobs(index: DataFrame, folder: str) -> DataFrame:
-    """Adds ``headers`` and ``body``: the bytes that entries point to, empty where the blob is missing. Each task reads just its ranges; nothing is shuffled."""
-    own = index.select("*", F.struct(*(F.col(f"{p}_{c}") for p in ("headers", "body") for c in ("blob", "off", "len"))).alias("_at"))
-    names = index.columns
-    position = len(names)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = locate(folder)
-        open_files: dict[str, object] = {}
-
-        def cut(blob: str | None, off: int | None, size: int | None) -> bytes:
-            if not blob or not size or size < 0 or off is None:
-                return b""
-            if blob not in open_files:
-                if len(open_files) > 16:
-                    for f in open_files.values():
-                        if f is not None:
-                            f.close()
-                    open_files.clear()
-                try:
-                    open_files[blob] = store.open_input_file(f"{base}/{blob}")
-                except FileNotFoundError:
-                    open_files[blob] = None
-            f = open_files[blob]
-            return b"" if f is None else f.read_at(size, off)
-
-        for batch in batches:
-            at = batch.column(position).to_pylist()
-            parts = [pa.array([cut(*(a[f"{p}_{c}"] for c in ("blob", "off", "len"))) for a in at], pa.binary()) for p in ("headers", "body")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:position], *parts], names=[*names, "headers", "body"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema), "headers binary", "body binary"])
-    return own.mapInArrow(work, schema)
-
-
-def write_store(messages: DataFrame, folder: str, roll_bytes: int = 128 << 20) -> DataFrame:
-    """Messages (``flow_id, ord, type, data, ts_us, tx_id, src, dst, protocol``) as blobs and index lines in a folder.
-
-    Each task fills blobs of its own, a new one before a message would exceed ``roll_bytes``; a blob appears once it is whole, and its
-    index after it, so readers never see an entry without its bytes.  A task that runs again writes files of other names, and only
-    the index files that the job names count: the table returned, ``index, blob``, has them, and the others are deleted.
-    """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        store, base = locate(folder)
-        store.create_dir(base)
-        context = TaskContext.get()
-        stem = f"{context.partitionId():05d}-{context.taskAttemptId()}"
-        number, data, lines = 0, bytearray(), []
-
-        def close() -> pa.RecordBatch:
-            put(store, f"{base}/blob-{stem}-{number:04d}.seg", bytes(data))
-            put(store, f"{base}/index-{stem}-{number:04d}.ndjson.part", "".join(f"{x}\n" for x in lines).encode())
-            return pa.RecordBatch.from_arrays([pa.array([f"index-{stem}-{number:04d}.ndjson"]), pa.array([f"blob-{stem}-{number:04d}.seg"])], names=["index", "blob"])
-
-        for batch in batches:
-            for flow, kind, payload, ts, tx, src, dst, protocol in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = payload or b""
-                if data and len(data) + len(payload) > roll_bytes:
-                    yield close()
-                    number, data, lines = number + 1, bytearray(), []
-                end = payload.find(b"\r\n\r\n") + 4 if protocol == "HTTP" else 0
-                head = end if end >= 4 else len(payload) if protocol == "HTTP" else 0
-                first = payload[:head].split(b"\n")[0].decode("latin-1").strip() if protocol == "HTTP" else ""
-                blob, off = f"blob-{stem}-{number:04d}.seg", len(data)
-                entry = {"id": tx, "kind": kind, "ts_first": ts, "ts_last": ts, "session": flow, "src": src, "dst": dst, "first_line": first}
-                entry |= {"headers_blob": blob if head else None, "headers_off": off, "headers_len": head, "body_blob": blob, "body_off": off + head, "body_len": len(payload) - head}
-                lines.append(json.dumps({k: v for k, v in entry.items() if v is not None}, ensure_ascii=False))
-                data += payload
-        if lines:
-            yield close()
-
-    ordered = messages.repartition("flow_id").sortWithinPartitions("flow_id", "ord").select("flow_id", "type", "data", "ts_us", "tx_id", "src", "dst", "protocol")
-    rows = ordered.mapInArrow(work, "index string, blob string").collect()  # a row a file of up to roll_bytes
-    store, base = locate(folder)
-    for r in rows:
-        store.move(f"{base}/{r['index']}.part", f"{base}/{r['index']}")
-    kept = {r["blob"] for r in rows}
-    for path in listed(folder, ".part") + [p for p in listed(folder, ".seg") if p.rsplit("/", 1)[-1] not in kept and p.rsplit("/", 1)[-1].startswith("blob-")]:
-        store.delete_file(path)
-    return messages.sparkSession.createDataFrame([(r["index"], r["blob"]) for r in rows], "index string, blob string")
-
-
 def samples(spark: SparkSession, folder: str) -> DataFrame:
     """``flow_id, n, request, response`` of files ``<name>-request.txt`` and ``<name>-response.txt``; line ends become CRLF, responses may lack; by name."""
 
@@ -219,20 +123,6 @@ def write_messages(messages: DataFrame, path: str) -> None:
     messages.write.partitionBy("protocol").parquet(path)
 
 
-def index_lines(messages: DataFrame, blob: str, fields_end: Column) -> DataFrame:
-    """Index entries and the places of their bytes in one blob: headers, then body, in order of ``ord``.
-
-    Offsets are a running sum by flow, so each flow has a blob of its own, named after it.
-    """
-    from pyspark.sql import Window as W
-
-    size = F.octet_length("data").cast("long")
-    head = F.when(fields_end > 0, fields_end).otherwise(0).cast("long")
-    off = F.coalesce(F.sum(size).over(W.partitionBy("flow_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    name = F.concat(F.lit(blob + "-"), F.substring(F.sha2("flow_id", 256), 1, 16), F.lit(".seg"))
-    return messages.select(F.col("tx_id").alias("id"), F.col("type").alias("kind"), F.col("ts_us").alias("ts_first"), F.col("ts_us").alias("ts_last"), F.col("flow_id").alias("session"), name.alias("headers_blob"), off.alias("headers_off"), head.alias("headers_len"), name.alias("body_blob"), (off + head).alias("body_off"), (size - head).alias("body_len"))
-
-
 def protocol_lines(pairs: DataFrame, *more: str) -> DataFrame:
     """``value``, and columns ``more``: each pair's protocol alone as JSON, as the oldest store kept it."""
     return pairs.select(F.to_json(F.struct("protocol")).alias("value"), *more)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators import flows, http, pairing, reassembly, reports, rules, screens, terminal
 from sluice.schemas import SEGMENT
-from sluice.sources import capture, feeds
+from sluice.sources import capture, feeds, store
 
 RULES = """
 version: 1
@@ -330,20 +330,51 @@ def test_index_and_blobs(spark, tmp_path):
     entry = {"id": "a", "kind": "REQUEST", "headers_blob": "blob-1.seg", "headers_off": 0, "headers_len": 4, "body_blob": "none.seg", "body_off": 4, "body_len": 5}
     (tmp_path / "index-1.ndjson").write_text(json.dumps(entry) + "\nnot json\n" + json.dumps(entry | {"id": "b", "body_blob": "blob-1.seg"}) + "\n")
     for folder in (str(tmp_path), f"file://{tmp_path}"):
-        got = {r["id"]: (bytes(r["headers"]), bytes(r["body"])) for r in feeds.with_blobs(feeds.read_index(spark, folder), folder).collect()}
+        got = {r["id"]: (bytes(r["headers"]), bytes(r["body"])) for r in store.with_blobs(store.read_index(spark, folder), folder).collect()}
         assert got == {"a": (b"HEAD", b""), "b": (b"HEAD", b"body!")}
 
 
-def test_store_rolls_and_keeps_no_loose_files(spark, tmp_path):
-    rows = [(f"f{k % 3}", k, "REQUEST", b"GET /%d HTTP/1.1\r\nA: b\r\n\r\nbody%d" % (k, k), k, f"t{k}", "a", "b", "HTTP") for k in range(30)] + [("f0", 99, "REQUEST", b"no end", 1, None, None, None, "HTTP"), ("f0", 100, "REQUEST", None, 1, "", None, None, "TN3270")]
-    m = spark.createDataFrame(rows, "flow_id string, ord long, type string, data binary, ts_us long, tx_id string, src string, dst string, protocol string")
+MESSAGES = "flow_id string, ord long, type string, data binary, ts_us long, tx_id string, src string, dst string, protocol string"
+
+
+def stored(spark, folder):
+    return {r["id"]: r for r in store.with_blobs(store.read_index(spark, folder), folder).collect()}
+
+
+def test_store_rolls_and_is_written_again(spark, tmp_path):
+    rows = [(f"f{k % 3}", k, "REQUEST", b"GET /%d HTTP/1.1\r\nA: b\r\n\r\nbody%d" % (k, k), k, f"t{k}", "a", "b", "HTTP") for k in range(30)] + [("f0", 99, "REQUEST", b"no end", 1, None, None, None, "HTTP"), ("f0", 100, "RESPONSE", None, 1, "", None, None, "TN3270")]
+    m = spark.createDataFrame(rows, MESSAGES)
     folder = str(tmp_path / "store")
-    files = feeds.write_store(m, folder, 100)
-    assert files.count() > 5 and {p.suffix for p in (tmp_path / "store").iterdir()} == {".ndjson", ".seg"}
-    got = {r["id"]: r for r in feeds.with_blobs(feeds.read_index(spark, folder), folder).collect()}
+    files = store.write_store(m, folder, 100)
+    assert files.count() > 5 and {p.suffix for p in (tmp_path / "store").iterdir()} == {".ndjson", ".seg", ""}
+    got = stored(spark, folder)
     assert len(got) == 32 and bytes(got["t7"]["headers"]) == b"GET /7 HTTP/1.1\r\nA: b\r\n\r\n" and bytes(got["t7"]["body"]) == b"body7" and got["t7"]["first_line"] == "GET /7 HTTP/1.1"
-    assert bytes(got[None]["headers"]) == b"no end" and got[None]["body_len"] == 0
-    assert feeds.write_store(m.limit(0), str(tmp_path / "none")).count() == 0
+    assert bytes(got[None]["headers"]) == b"no end" and got[None]["body_len"] == 0 and got[""]["kind"] == "RESPONSE" and got[""]["first_line"] == ""
+    # A second job adds to the store, and the first one's bytes stay; its name sorts after the first one's.
+    more = [("f0", 1, "RESPONSE", bytes(range(n)), 1, f"u{n}", None, None, "TN3270") for n in (16, 17)]
+    store.write_store(spark.createDataFrame(more, MESSAGES), folder)
+    both = stored(spark, folder)
+    assert len(both) == 34 and bytes(both["t7"]["body"]) == b"body7" and (both["u16"]["first_line"], both["u17"]["first_line"]) == (bytes(range(16)).hex(), bytes(range(16)).hex() + "...")
+    assert min(r["arrival"] for k, r in both.items() if k in ("u16", "u17")) > max(r["arrival"] for k, r in both.items() if k not in ("u16", "u17"))
+    # Files of others are read beside them.
+    (tmp_path / "store" / "index-1.ndjson").write_text('{"id": "own", "kind": "RSP", "body_blob": "none.seg", "body_off": 0, "body_len": 5}\n')
+    assert stored(spark, folder)["own"]["kind"] == "RESPONSE" and len(stored(spark, folder)) == 35
+    assert store.write_store(m.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_store_reads_no_batch_twice(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    m = spark.createDataFrame([("f", k, "REQUEST", b"x%d" % k, 1, f"t{k}", None, None, "TN3270") for k in range(4)], MESSAGES)
+    # A batch whose tasks have written their files, and which fails before its commit.
+    m.select("flow_id", "type", "data", "ts_us", "tx_id", "src", "dst", "protocol").mapInArrow(store._blobs(folder, "live_000000000000", 100), store.FILES).collect()
+    assert list((tmp_path / "store").glob("index-*")) and stored(spark, folder) == {}
+    for k in range(4):
+        m.where(F.col("ord") == k).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    source = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run has other checkpoints, so it gives all batches again
+        store.store_stream(source, folder, "live").option("checkpointLocation", str(tmp_path / f"cp{_}")).trigger(availableNow=True).start().awaitTermination(120)
+        got = store.with_blobs(store.read_index(spark, folder), folder).collect()
+        assert sorted((r["id"], bytes(r["body"])) for r in got) == [(f"t{k}", b"x%d" % k) for k in range(4)]
 
 
 def test_pair_json_sides(spark):
@@ -564,3 +595,79 @@ def test_switches_and_bounds(spark):
     for bad in ({"snaplen": "63"}, {"workers": "33"}, {"rollMiB": "7"}, {"queueCapacity": "\xb2"}):
         with pytest.raises(ValueError):
             checked(bad)
+
+
+def test_java_white_space_and_repeated_headers(spark):
+    from sluice.operators import http as h
+
+    request = b"GET /a HTTP/1.1\r\nHost:\th\t\r\nX\t: \x1f1\r\nCookie: a=1; b=\t2\r\nCookie:\tJSESSIONID=\ts1\t;a=3\r\n\r\n"
+    response = b"HTTP/1.1 200 OK\r\nSet-Cookie: SMSESSIONID=; Path=/\r\nSet-Cookie: =x\r\nSet-Cookie: smsessionid =\tok ;x\r\n\r\n"
+    pair = "struct<data: binary, ts_us: bigint>"
+    df = spark.createDataFrame([("f", 1, (request, 1), (response, 2)), ("g", 1, (b"GET / HTTP/1.1\r\n\r\n", 1), (response, 2))], f"flow_id string, n bigint, request {pair}, response {pair}")
+    x = h.exchanges(df)
+    sid, state = rules.session(client_ip=F.lit("1.1.1.1"))
+    f, g = x.select("*", sid.alias("sid"), state.alias("state")).orderBy("flow_id").collect()
+    assert f.http_request.headers["host"] == ["h"] and f.http_request.headers["x"] == ["1"]
+    assert f.http_request.cookies == {"a": "3", "b": "2", "jsessionid": "s1"} and (f.sid, g.sid, g.state) == ("s1", "ok", "AUTHENTICATED")
+    loaded = rules.load_rules("version: 1\nrules: [{id: r, match: {headers: {Host: {equals: h}}}, extract: {extra: {x: header.X}}, event: {attributes: {app: ' ', source: mine}}}]")
+    (m,) = rules.user_events(rules.evaluate(x, loaded), defaults={"app": "demo", "source": "gateway"}).collect()
+    assert (m.app, m.source, m.attributes) == ("demo", "mine", {"x": "1"})
+
+
+def test_json_paths():
+    assert rules.json_path(" $.a [ 0 ]['b c'][\"it's\"]\n.d['say \\\\ x'] ") == "$['a'][0]['b c'][\"it's\"]['d']['say \\ x']"
+    assert rules.json_path(r"$['a\'b']") == "$[\"a'b\"]"
+    for bad in ("a", "", "$x", "$.", "$[", "$[-1]", "$['a]", "$[1", "$['a' b]", "$..a"):
+        with pytest.raises(ValueError):
+            rules.json_path(bad)
+
+
+def test_terminal_attributes_of_any_letters(spark):
+    from sluice.operators import screens as sc
+
+    inputs = {"USER:": "a", "USER": " b\x85c\n ", "\u00c9TAT CIVIL": "x", "--": "gone", "\u0130\u03a3 \u0663": None, "k" * 63 + "-x": "cut"}
+    kinds = "screen struct<id: string, description: string, label: string>, inputs map<string,string>"
+    (got,) = spark.createDataFrame([(("S", " ", ""), inputs)], kinds).select(sc.terminal_attributes(F.col("screen"), F.lit(None).cast("string"), F.col("inputs"), F.lit(" "), F.lit("h"), F.lit(24), F.lit(80)).alias("a")).collect()
+    assert got.a == {"screen.id": "S", "screen.hash": "h", "screen.rows": "24", "screen.cols": "80", "input.user": "b c", "input.\u00e9tat_civil": "x", "input.i\u03c3_\u0663": "", "input." + "k" * 63: "cut"}
+    (op,) = spark.createDataFrame([({"USER": " ", "user:": "joe", "z": "q"},)], "inputs map<string,string>").select(sc.operator_id(F.lit(" "), F.col("inputs"), F.lit("USER")).alias("o")).collect()
+    assert op.o == "joe"
+
+
+def test_rectangles_end_at_the_right_edge(spark):
+    from sluice.operators import screens as sc
+
+    text = ("x" * 78 + "AB") + "\r\nCD\rEF"
+    at = lambda row, column, length, **more: {"position": {"row": row, "column": column, "length": length}, **more}
+    cut = lambda *a, **k: sc.rectangle(F.col("t"), at(*a, **k), F.lit(4), F.lit(80))
+    (r,) = spark.createDataFrame([(text,)], "t string").select(cut(1, 79, 5), cut(2, 1, 4), cut(3, 1, 2), cut(4, 1, 2), cut(5, 1, 2), cut(2, 80, 2), cut(2, 81, 2), cut(2, 1, 4, trim=True)).collect()
+    assert tuple(r) == ("AB", "CD  ", "EF", "  ", "", " ", "", "CD")
+
+
+def test_frames_of_length_0_and_forged_options():
+    data = bytearray(capture.encode_frame("1.2.3.4", 1, "5.6.7.8", 2, 3, 1, b"abc"))
+    data[16:18] = b"\0\0"
+    assert capture.decode_frame(bytes(data)) == ("1.2.3.4", 1, "5.6.7.8", 2, 3, 1, b"")
+    wide = capture.encode_frame("1.2.3.4", 70_000, "5.6.7.8", 2, 1 << 40, 16, b"abc")
+    assert capture.decode_frame(wide) == ("1.2.3.4", 70_000 & 0xFFFF, "5.6.7.8", 2, 0, 16, b"abc")
+    assert capture.decode_frame(wide, wide=True) == ("1.2.3.4", 70_000, "5.6.7.8", 2, 1 << 40, 16, b"abc")
+
+
+def test_regroup_against_a_machine(spark):
+    from sluice.operators import reports as rp
+
+    rng = random.Random(31)
+    rows = [(f"t{t}", k, rng.choice(["REQUEST", "RESPONSE"])) for t in range(60) for k in range(rng.randrange(1, 25))] + [(None, 1, "REQUEST"), (None, 2, "RESPONSE"), (None, 3, "RESPONSE")]
+    want = set()
+    for tx in {r[0] for r in rows}:
+        use, held = 1, {}
+        for _, k, kind in sorted(r for r in rows if r[0] == tx):
+            held[kind] = k
+            if len(held) == 2:
+                want.add((tx, use, held["REQUEST"], held["RESPONSE"]))
+                use, held = use + 1, {}
+        if held:
+            want.add((tx, use, held.get("REQUEST"), held.get("RESPONSE")))
+    got = rp.regroup(spark.createDataFrame(rows, "tx_id string, ord int, type string").repartition(5))
+    assert {(r.tx_id, r.use, r.request and r.request.ord, r.response and r.response.ord) for r in got.collect()} == want
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("hashpartitioning(tx_id") == 1
+    assert rp.regroup(spark.createDataFrame([], "tx_id string, ord int, type string")).count() == 0

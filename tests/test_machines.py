@@ -12,7 +12,7 @@ from sluice.operators.terminal import EOR, ERASE_WRITE, EUA, IAC, SBA, SF, Recor
 
 def run(*segments):
     r = Reassembler()
-    return [r.accept(s, d) for s, d in segments]
+    return [r.accept(s, d)[0] for s, d in segments]
 
 
 def test_reassembly_vectors():
@@ -22,6 +22,17 @@ def test_reassembly_vectors():
     assert run((7, b"")) == [b""]
 
 
+def test_reassembly_times():
+    """What is released has the time of its last piece by sequence, not of the one that closed the gap."""
+    timed = lambda *segments: [got for got in (r.accept(*x) for x in segments) if got[0]]
+    r = Reassembler()
+    assert timed((0, b"ab", 1), (4, b"ef", 200), (2, b"cd", 900)) == [(b"ab", 1), (b"cdef", 200)]
+    r = Reassembler()  # of an overlapped piece the tail stays, with its own time
+    assert timed((0, b"a", 1), (3, b"defg", 5), (1, b"bcde", 9)) == [(b"a", 1), (b"bcdefg", 5)]
+    r = Reassembler()  # one that is covered wholly goes
+    assert timed((0, b"a", 1), (3, b"d", 5), (1, b"bcde", 9)) == [(b"a", 1), (b"bcde", 9)]
+
+
 def test_reassembly_random_orders():
     rng = random.Random(1)
     for _ in range(200):
@@ -87,7 +98,11 @@ def screen():
 
 def test_screen_and_submit():
     s, at, shot = screen()
-    assert shot["plain_text"].split("\n")[0].split() == ["SIN:", "YEAR:"]
+    # Attribute bytes are characters of the screen.
+    assert shot["plain_text"].split("\n")[0] == "\x80SIN:" + " " * 15 + "\x80YEAR:"
+    # NULs stay in values and count in the hash, and only white space is cut from the end.
+    blank = lambda fill: Screen().host_write(bytes([ERASE_WRITE, 0x40]) + at(0) + bytes([SF, 0x20]) + ebcdic.encode("A") + fill + ebcdic.encode("B") + at(8) + bytes([SF, 0x40]))
+    assert [x["fields"][0]["value"] for x in (blank(b"\0"), blank(b"\x40"))] == ["A\0B", "A B"] and blank(b"\0")["screen_hash"] != blank(b"\x40")["screen_hash"]
     assert [f["protected"] for f in shot["fields"]] == [True, False, True, False]
     assert shot["screen_name"] == "SIN" and len(shot["screen_hash"]) == 32
     aid, inputs = s.submit(bytes([0x7D, 0x40, 0x40]) + at(6) + ebcdic.encode("123456789") + at(27) + ebcdic.encode("2024"))
@@ -117,7 +132,7 @@ def test_partitions_keep_their_screens():
     part = lambda number, body, rows=2, cols=20: bytes([0xF3, 0x00]) + (7 + len(body)).to_bytes(2, "big") + bytes([0x04, number, 0, rows, cols]) + body
     one = s.host_write(part(1, bytes([SF, 0x20]) + ebcdic.encode("ONE")))
     two = s.host_write(part(2, at(0) + bytes([SF, 0x20]) + ebcdic.encode("TWO"), 3, 0))
-    assert (one["rows"], one["cols"], one["plain_text"]) == (2, 20, " ONE\n") and (two["rows"], two["cols"]) == (3, 80) and two["plain_text"] == " TWO\n\n"
+    assert (one["rows"], one["cols"], one["plain_text"]) == (2, 20, "\x80ONE\n") and (two["rows"], two["cols"]) == (3, 80) and two["plain_text"] == "\x80TWO\n\n"
     again = s.host_write(part(1, b""))
     assert "ONE" in again["plain_text"]  # only the fields go
     assert again["fields"] == [] and s.partitions[2].hash == two["screen_hash"] != one["screen_hash"] and s.partitions[1].hash is None
