@@ -575,6 +575,16 @@ def segbin_roundtrip(spark, sf_dir):
     return spark.read.format("segbin").load(folder).drop("arrival").withColumn("payload", F.col("payload").cast("string"))
 
 
+@query(f"WITH {SEGMENTS} SELECT seq, payload FROM segments WHERE ((src_port = 23 OR dst_port = 23) OR src_ip = '10.0.0.8') AND ts_us < 1704500000000000")
+def capture_filter_scan(spark, sf_dir):
+    """Segment files read in splits of 64 KiB, by a capture filter and times that are decided in the scan."""
+    capture.register(spark)
+    folder = scratch_folder(spark)
+    tables.segments(spark, sf_dir).write.format("segbin").mode("append").option("path", folder).save()
+    s = spark.read.format("segbin").option("splitBytes", 1 << 16).option("filter", "tcp and (port 23 or src host 10.0.0.8)").option("untilUs", 1_704_500_000_000_000).load(folder)
+    return s.select("seq", F.col("payload").cast("string").alias("payload"))
+
+
 @query(
     """SELECT event_id, 'T' || user_id AS key, 1 AS schema_version, CASE WHEN event_id % 2 = 0 THEN 'SCREEN_RENDER' ELSE 'USER_SUBMIT' END AS type, CASE WHEN event_id % 2 = 0 THEN 'screen-renders' ELSE 'user-actions' END AS topic,
     CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'ENTER' END AS aid, CASE WHEN event_id % 2 = 0 THEN 24 END AS rows, CASE WHEN event_id % 2 = 1 THEN event_type END AS typed, CASE WHEN event_id % 2 = 0 THEN '[]' END AS fields, 'MAIN' AS screen_name, 's' AS session_id, 26 AS id_length, 'terminal-assembler' AS source FROM events"""

@@ -1,87 +1,170 @@
-"""Capture files as Spark data sources: ``pcap`` frames and ``segbin`` segments, and the decoding of frames.
+"""Capture files as Spark data sources: ``pcap`` frames and ``segbin`` segments, in batch and as streams, and the decoding of frames.
 
-Files are listed on the driver and read one to a partition, since their records can't be split; ``arrival``
-is the file's number in name order, shifted, plus the record's number.  Register with ``register(spark)``.
+Files are listed on the driver and read in splits of ``splitMiB`` (0: whole files).  A split's first record is found by looking for a place from
+which a chain of record headers holds; ``records.py`` says why a payload that holds records doesn't mislead it.  ``arrival`` is the file's number in
+name order, shifted, plus the record's place in the file, so it doesn't depend on the splits.  ``filter`` (a capture filter), ``sinceUs`` and
+``untilUs`` (times) are decided in the scan, before a row is made.  They are options and not pushed by Spark: its Python sources keep what the first query of
+a DataFrame pushed for the next ones (4.1).  Register with ``register(spark)``.
 """
 
 from __future__ import annotations
 
 import ipaddress
+import json
 import re
 import struct
+import time
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ._files import listed, locate, put
 from ..schemas import ACK, FIN, FRAME, PSH, RST, SEGMENT, SYN
+from ._files import listed, locate, put
+from .records import MAX_RECORD, PCAP_MAGIC, SEGBIN_MAGIC, Form, form_of
 
 FILE_SHIFT = 40
-# Pcap magic numbers with byte order and ticks a microsecond, link types, segment file magic.
-PCAP_MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
+# Link types.
 LINK_TYPES = (1, 113, 276)
-SEGBIN_MAGIC = b"SGB1"
 # TCP's experimental option, and the identifier in it of ours, which holds ports and a sequence number beyond the header's 16 and 32 bits.
 EXPERIMENT, WIDE = 253, b"SLUW"
-ROLL_MIB = 64
+ROLL_MIB = SPLIT_MIB = 64
 READ_AHEAD = 1 << 20
+#: Rows and bytes that a batch of a scan holds at most, but for one long record.
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
+#: Where streams say which files each of their batches has written.
+BATCHES = "_batches"
 
 
-class _File(InputPartition):
-    def __init__(self, number: int, path: str):
-        super().__init__(number)
-        self.number, self.path = number, path
+class _Split(InputPartition):
+    def __init__(self, number: int, path: str, start: int, end: int, size: int):
+        super().__init__((number, start))
+        self.number, self.path, self.start, self.end, self.size = number, path, start, end, size
 
 
 class _Reader(DataSourceReader):
     suffix = ""
+    types: dict[str, pa.DataType] = {}
 
     def __init__(self, options: dict):
         self.path, self.snaplen = options["path"], int(options.get("snaplen", 262144))
+        self.split = int(options.get("splitbytes", 0)) or int(options.get("splitmib", SPLIT_MIB)) << 20
+        self.longest = int(options.get("maxrecord", MAX_RECORD))
+        self.tree = parse_filter(options["filter"]) if options.get("filter") else None
+        self.since, self.until = int(options.get("sinceus", -(1 << 63))), int(options.get("untilus", 1 << 63))
+
+    def files(self) -> list[tuple[str, int]]:
+        """Names and sizes, in name order; of files that streams write those of complete batches."""
+        store, base = locate(self.path)
+        counted = written_by_streams(self.path)
+        paths = [p for p in listed(self.path, self.suffix) if not p.rsplit("/", 1)[-1].startswith("part-stream-") or p.rsplit("/", 1)[-1] in counted]
+        return [(i.path, i.size) for i in store.get_file_info(paths)] if paths else []
+
+    def splits(self, files: list[tuple[str, int]], first: int = 0) -> list[InputPartition]:
+        return [_Split(n, path, at, min(size, at + (self.split or size)), size) for n, (path, size) in enumerate(files, first) for at in range(0, max(size, 1), self.split or max(size, 1))]
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(i, p) for i, p in enumerate(listed(self.path, self.suffix))]
+        return self.splits(self.files())
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _Split | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's word for no partitions
+            return
         store, _ = locate(self.path)
-        with store.open_input_stream(partition.path, buffer_size=READ_AHEAD) as f:
-            for n, row in enumerate(self.rows(f)):
-                yield (partition.number << FILE_SHIFT | n, *row)
+        names = [f.split()[0] for f in (SEGMENT if "payload" in self.types else FRAME).split(", ")]
+        rows: list[tuple] = []
+        held = 0
+        with store.open_input_file(partition.path) as f:
+            form = form_of(f, self.suffix)
+            self.check(form)
+            for at, head, body in form.records(f, partition.start, partition.end, partition.size, self.longest):
+                row = self.row(partition.number << FILE_SHIFT | at, form, head, body)
+                if row is not None and self.since <= row[1] < self.until:
+                    rows.append(row)
+                    held += len(row[-1])
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                        yield self._batch(rows, names)
+                        rows, held = [], 0
+        if rows:
+            yield self._batch(rows, names)
+
+    def _batch(self, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, self.types[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
+    def check(self, form: Form) -> None:
+        pass
+
+    def row(self, arrival: int, form: Form, head: tuple, body: bytes) -> tuple | None:
+        raise NotImplementedError
 
 
 class PcapReader(_Reader):
     suffix = ".pcap"
+    types = {"arrival": pa.int64(), "ts_us": pa.int64(), "data": pa.binary()}
 
-    def rows(self, f) -> Iterator[tuple]:
-        head = f.read(24)
-        if len(head) < 24 or head[:4] not in PCAP_MAGIC:
-            raise ValueError("not a pcap file")
-        order, ticks = PCAP_MAGIC[head[:4]]
-        (link,) = struct.unpack_from(order + "I", head, 20)
-        if link not in LINK_TYPES:
-            raise ValueError(f"unsupported link type {link}")
-        while len(record := f.read(16)) == 16:
-            sec, frac, size, _ = struct.unpack(order + "IIII", record)
-            yield sec * 1_000_000 + frac // ticks, f.read(size)[: self.snaplen]
+    def check(self, form: Form) -> None:
+        if form.link not in LINK_TYPES:
+            raise ValueError(f"unsupported link type {form.link}")
+
+    def row(self, arrival: int, form: Form, head: tuple, body: bytes) -> tuple | None:
+        if self.tree is not None:
+            got = decode_frame(body)
+            if got is None or not matches(self.tree, *got[:4]):
+                return None
+        return arrival, head[0] * 1_000_000 + head[1] // form.ticks, body[: self.snaplen]
 
 
 class SegbinReader(_Reader):
     suffix = ".segbin"
+    types = {"arrival": pa.int64(), "ts_us": pa.int64(), "src_ip": pa.string(), "src_port": pa.int32(), "dst_ip": pa.string(), "dst_port": pa.int32(), "seq": pa.int64(), "flags": pa.int32(), "payload": pa.binary()}
+
+    def row(self, arrival: int, form: Form, head: tuple, body: bytes) -> tuple | None:
+        got = _segment(body)
+        return None if self.tree is not None and not matches(self.tree, *got[1:5]) else (arrival, *got)
+
+
+class _Stream(DataSourceStreamReader):
+    """New files in name order: files appear whole, under names after those that are there, as the writers of this module see to.
+
+    An offset is the number of files that have been read and the last one's name.  A batch takes all that is new; ``maxBytes`` holds it to so much (one
+    file at least), but for the first batch after a start from a checkpoint.
+    """
+
+    def __init__(self, reader: _Reader, options: dict):
+        self.reader, self.most = reader, int(options.get("maxbytes", 0))
+        self.taken: int | None = None
+
+    def initialOffset(self) -> dict:
+        self.taken = 0
+        return {"files": 0, "last": ""}
+
+    def latestOffset(self) -> dict:
+        files = self.reader.files()
+        n = len(files)
+        if self.most and self.taken is not None:
+            n, size = self.taken, 0
+            while n < len(files) and (n == self.taken or size + files[n][1] <= self.most):
+                size += files[n][1]
+                n += 1
+        return {"files": n, "last": files[n - 1][0].rsplit("/", 1)[-1] if n else ""}
 
-    def rows(self, f) -> Iterator[tuple]:
-        if f.read(4) != SEGBIN_MAGIC:
-            raise ValueError("not a segment file")
-        while len(size := f.read(4)) == 4:
-            (n,) = struct.unpack(">i", size)
-            body = f.read(n) if n > 0 else b""
-            if n <= 0 or len(body) < n:
-                raise ValueError("bad record length")
-            yield _segment(body)
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        files = self.reader.files()
+        for o in (start, end):
+            if o["files"] and (len(files) < o["files"] or files[o["files"] - 1][0].rsplit("/", 1)[-1] != o["last"]):
+                raise RuntimeError(f"{self.reader.path}: the files up to {o['last']} aren't those that were there; new files need names after the old ones'")
+        self.taken = end["files"]
+        return self.reader.splits(files[start["files"] : end["files"]], start["files"])
+
+    def read(self, partition: _Split) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 def _segment(body: bytes) -> tuple:
@@ -126,7 +209,7 @@ class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.roll = int(options.get("rollmib", options.get("rollMiB", 0))) << 20
-        self.job = uuid.uuid4().hex[:12]
+        self.job = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
     def records(self, rows) -> Iterator[bytes]:
         raise NotImplementedError
@@ -135,21 +218,24 @@ class _Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
+        return _Done(self.put(rows, f"part-{self.job}-{context.partitionId():05d}-{context.taskAttemptId()}", ".tmp"))
+
+    def put(self, rows, stem: str, ending: str) -> list[str]:
+        """Write a task's rows; the names of its files, without the ``ending`` that they have so far."""
         store, base = locate(self.path)
         store.create_dir(base)
-        stem = f"{base}/part-{self.job}-{context.partitionId():05d}-{context.taskAttemptId()}"
         out, files = None, []
         for data in self.records(rows):
             if out is None or (self.roll and out.tell() + len(data) > self.roll):
                 if out:
                     out.close()
-                files.append(f"{stem}-{len(files):04d}{self.suffix}")
-                out = store.open_output_stream(files[-1] + ".tmp", buffer_size=READ_AHEAD)
+                files.append(f"{base}/{stem}-{len(files):04d}{self.suffix}")
+                out = store.open_output_stream(files[-1] + ending, buffer_size=READ_AHEAD)
                 out.write(self.head)
             out.write(data)
         if out:
             out.close()
-        return _Done(files)
+        return files
 
     def _clean(self) -> None:
         store, _ = locate(self.path)
@@ -192,9 +278,72 @@ class PcapWriter(_Writer):
                 yield struct.pack("<IIII", *divmod(r["ts_us"], 1_000_000), len(f), len(f)) + f
 
 
-class PcapSource(DataSource):
+class _StreamWriter(DataSourceStreamWriter):
+    """A stream's batches as files whose names tell stream, batch and task; they count once the batch has its list, which is written last and at once.
+
+    A batch that comes again after its list was written is dropped; one that failed before has left files that no list names, and readers pass over them.
+    ``stream`` (an option) tells streams into one folder apart.
+    """
+
+    def __init__(self, writer: _Writer, options: dict):
+        self.writer, self.stream = writer, options.get("stream", "0")
+        self.run = f"{time.time_ns():020d}"
+
+    def write(self, rows) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        return _Done(self.writer.put(rows, f"part-stream-{self.stream}-{self.run}-{context.partitionId():05d}-{context.taskAttemptId()}", ""))
+
+    def commit(self, messages, batchId: int) -> None:
+        store, base = locate(self.writer.path)
+        name = f"{base}/{BATCHES}/{self.stream}-{batchId:012d}.json"
+        files = [f.rsplit("/", 1)[-1] for m in messages if m for f in m.files]
+        if store.get_file_info(name).is_file:
+            for f in files:
+                store.delete_file(f"{base}/{f}")
+            return
+        store.create_dir(f"{base}/{BATCHES}")
+        put(store, name, json.dumps(files).encode())
+
+    def abort(self, messages, batchId: int) -> None:
+        store, base = locate(self.writer.path)
+        for f in (f for m in messages if m for f in m.files):
+            store.delete_file(f)
+
+
+def written_by_streams(path: str) -> set[str]:
+    """The files of all complete batches of streams into a folder."""
+    store, _ = locate(path)
+    out: set[str] = set()
+    for name in listed(f"{path}/{BATCHES}", ".json"):
+        with store.open_input_stream(name) as f:
+            out.update(json.loads(f.read()))
+    return out
+
+
+class _Source(DataSource):
+    read_by: type[_Reader]
+    written_by: type[_Writer]
+
+    def reader(self, schema) -> DataSourceReader:
+        return self.read_by(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return self.written_by(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Stream(self.read_by(self.options), self.options)
+
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:
+        return _StreamWriter(self.written_by(self.options), self.options)
+
+
+class PcapSource(_Source):
     """Reads frames and writes segments as frames."""
 
+    read_by, written_by = PcapReader, PcapWriter
+
     @classmethod
     def name(cls) -> str:
         return "pcap"
@@ -202,14 +351,10 @@ class PcapSource(DataSource):
     def schema(self) -> str:
         return FRAME
 
-    def reader(self, schema) -> DataSourceReader:
-        return PcapReader(self.options)
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return PcapWriter(self.options)
 
+class SegbinSource(_Source):
+    read_by, written_by = SegbinReader, SegbinWriter
 
-class SegbinSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "segbin"
@@ -217,12 +362,6 @@ class SegbinSource(DataSource):
     def schema(self) -> str:
         return SEGMENT
 
-    def reader(self, schema) -> DataSourceReader:
-        return SegbinReader(self.options)
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return SegbinWriter(self.options)
-
 
 def write_frames(segments: DataFrame, folder: str, every_junk: int = 0, roll_mib: int = ROLL_MIB) -> None:
     """Segments as Ethernet frames of IPv4 and TCP in capture files, of ``roll_mib`` at most; after every ``every_junk`` of a partition a frame that is none."""
@@ -351,8 +490,8 @@ def allowed_filter(expression: str, custom: bool = False) -> str:
     return text
 
 
-def bpf(expression: str) -> Column:
-    """A capture filter over segments: tcp, [src|dst] port N, [src|dst] host A, and, or, not, parentheses."""
+def parse_filter(expression: str) -> tuple:
+    """A capture filter as a tree: tcp, [src|dst] port N, [src|dst] host A, and, or, not, parentheses."""
     if not expression.strip() or len(expression) > 1024 or not expression.isprintable() or not expression.isascii():
         raise ValueError("a filter has 1 to 1024 printable ASCII characters")
     tokens, at = [], 0
@@ -367,26 +506,26 @@ def bpf(expression: str) -> Column:
     def peek() -> str:
         return tokens[-1].lower() if tokens else ""
 
-    def either() -> Column:
+    def either() -> tuple:
         out = both()
         while peek() == "or":
             tokens.pop()
-            out = out | both()
+            out = "or", out, both()
         return out
 
-    def both() -> Column:
+    def both() -> tuple:
         out = one()
         while peek() == "and":
             tokens.pop()
-            out = out & one()
+            out = "and", out, one()
         return out
 
-    def one() -> Column:
+    def one() -> tuple:
         if not tokens:
             raise ValueError("filter ends early")
         word = tokens.pop().lower()
         if word == "not":
-            return ~one()
+            return "not", one()
         if word == "(":
             out = either()
             if not tokens or tokens.pop() != ")":
@@ -395,17 +534,48 @@ def bpf(expression: str) -> Column:
         if word == "tcp":
             if peek() in ("port", "src", "dst", "host"):
                 return one()
-            return F.lit(True)
+            return ("all",)
         sides = ("src", "dst")
         if word in sides:
             sides, word = (word,), tokens.pop().lower() if tokens else ""
         if word not in ("port", "host") or not tokens:
             raise ValueError(f"unsupported filter word: {word}")
         want = tokens.pop()
-        tests = [F.col(f"{s}_port") == int(want) if word == "port" else F.col(f"{s}_ip") == want for s in sides]
-        return tests[0] if len(tests) == 1 else tests[0] | tests[1]
+        return word, sides, int(want) if word == "port" else want
 
     out = either()
     if tokens:
         raise ValueError(f"unexpected filter word: {tokens[-1]}")
     return out
+
+
+def bpf(expression: str) -> Column:
+    """A capture filter over segments."""
+
+    def column(tree: tuple) -> Column:
+        if tree[0] == "all":
+            return F.lit(True)
+        if tree[0] == "not":
+            return ~column(tree[1])
+        if tree[0] in ("and", "or"):
+            a, b = column(tree[1]), column(tree[2])
+            return a & b if tree[0] == "and" else a | b
+        kind, sides, want = tree
+        tests = [F.col(f"{s}_{'port' if kind == 'port' else 'ip'}") == want for s in sides]
+        return tests[0] if len(tests) == 1 else tests[0] | tests[1]
+
+    return column(parse_filter(expression))
+
+
+def matches(tree: tuple, src_ip: str, src_port: int, dst_ip: str, dst_port: int) -> bool:
+    """The same on one segment's ends."""
+    if tree[0] == "all":
+        return True
+    if tree[0] == "not":
+        return not matches(tree[1], src_ip, src_port, dst_ip, dst_port)
+    if tree[0] in ("and", "or"):
+        first = matches(tree[1], src_ip, src_port, dst_ip, dst_port)
+        return first if first == (tree[0] == "or") else matches(tree[2], src_ip, src_port, dst_ip, dst_port)
+    kind, sides, want = tree
+    ends = {"src": (src_ip, src_port), "dst": (dst_ip, dst_port)}
+    return any(ends[s][kind == "port"] == want for s in sides)

@@ -179,8 +179,9 @@ def test_pcap_and_filters(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(data)
     s = capture.decode_frames(spark.read.format("pcap").load(str(tmp_path)))
     got = sorted(tuple(r) for r in s.drop("payload").collect())
-    assert got == [(0, 1_000_002, "1.2.3.4", 1000, "5.6.7.8", 80, 2**32 - 1, 24), (1, 1_000_002, "5.6.7.8", 23, "1.2.3.4", 1001, 5, 18)]
-    assert bytes(s.where("arrival = 0").first()["payload"]) == b"GET"
+    # A frame's arrival is its place in the file.
+    assert got == [(24, 1_000_002, "1.2.3.4", 1000, "5.6.7.8", 80, 2**32 - 1, 24), (24 + 16 + len(frames[0]), 1_000_002, "5.6.7.8", 23, "1.2.3.4", 1001, 5, 18)]
+    assert bytes(s.where("arrival = 24").first()["payload"]) == b"GET"
     assert s.where(capture.bpf("tcp and (port 23 or port 992)")).count() == 1 and s.where(capture.bpf("not src port 23")).count() == 1
     with pytest.raises(ValueError):
         capture.bpf("udp port 1")
@@ -194,7 +195,7 @@ def test_frames_beyond_header_fields(spark, tmp_path):
     capture.write_frames(df, str(tmp_path / "out"), every_junk=10, roll_mib=1)
     names = [p.name for p in (tmp_path / "out").iterdir()]
     assert len(names) > 1 and all(n.endswith(".pcap") for n in names)
-    back = capture.decode_frames(spark.read.format("pcap").load(str(tmp_path / "out"))).orderBy("arrival").drop("arrival").collect()
+    back = capture.decode_frames(spark.read.format("pcap").load(str(tmp_path / "out")), wide=True).orderBy("arrival").drop("arrival").collect()
     assert [(*r[:-1], bytes(r[-1])) for r in back] == [r[1:] for r in rows]
 
 
@@ -671,3 +672,128 @@ def test_regroup_against_a_machine(spark):
     assert {(r.tx_id, r.use, r.request and r.request.ord, r.response and r.response.ord) for r in got.collect()} == want
     assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("hashpartitioning(tx_id") == 1
     assert rp.regroup(spark.createDataFrame([], "tx_id string, ord int, type string")).count() == 0
+
+
+def nested_captures(rng, n=300):
+    """Segments, many of which carry pieces or the whole of other captures, or zeros."""
+    rows = random_segments(n)
+    inner = {
+        ".segbin": capture.SEGBIN_MAGIC + b"".join(capture.segment_record(*r[1:]) for r in rows[:3]),
+        ".pcap": b"".join(struct.pack("<IIII", 5, 6, 90, 90) + capture.encode_frame("9.9.9.9", 1, "8.8.8.8", 2, 3, 0, b"x" * 36) for _ in range(12)),
+    }
+    out = []
+    for k, r in enumerate(rows):
+        some = rng.choice([*inner.values(), bytes(200), b""])
+        payload = rng.choice([r[8], some, some[rng.randrange(len(some) + 1) :], some[4:], some * 2])
+        out.append((*r[:8], payload[:1500]))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["segbin", "pcap"])
+def test_splits_give_the_same_rows(spark, tmp_path, kind):
+    rng = random.Random(41)
+    capture.register(spark)
+    df = spark.createDataFrame(nested_captures(rng), SEGMENT).coalesce(2)
+    out = str(tmp_path / "out")
+    df.write.format(kind).mode("append").option("path", out).save()
+    load = lambda **o: spark.read.format(kind).options(**o).load(out)
+    key = lambda f: [tuple(bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in r) for r in f.orderBy("arrival").collect()]
+    whole = key(load(splitMiB=0))
+    assert len(whole) == 300 and len({r[0] for r in whole}) == 300
+    for size in (700, 5_000, 70_001):
+        split = load(splitBytes=size, maxRecord=2_000)
+        assert key(split) == whole
+        assert split.rdd.getNumPartitions() > 100_000 // size
+    assert spark.read.format(kind).load(str(tmp_path / "none")).count() == 0
+
+
+def test_splits_that_disagree_are_an_error():
+    """Records that lead past their neighbours on purpose: whoever reads before the split sees it."""
+    import io
+
+    from sluice.sources import records
+
+    class At(io.BytesIO):
+        def read_at(self, n, at):
+            self.seek(at)
+            return self.read(n)
+
+    record = lambda payload: capture.segment_record(1, "1.1.1.1", 1, "2.2.2.2", 2, 3, 0, payload)
+    good = [record(b"a" * 60) for _ in range(8)]
+    # From inside the third record a false one reaches to the end of the fourth.
+    tail = 8 + len(good[3])
+    false = capture.segment_record(1, "1.1.1.1", 1, "2.2.2.2", 2, 3, 0, bytes(tail))[: -tail]
+    good[2] = record(b"b" * 40 + false + bytes(8))
+    data = capture.SEGBIN_MAGIC + b"".join(good)
+    form = records.form_of(At(data), ".segbin")
+    whole = [at for at, _, _ in form.records(At(data), 0, len(data), len(data), 200)]
+    assert len(whole) == 8
+    split = whole[3] - 4  # in the third record's payload, behind the false header
+    with pytest.raises(ValueError, match="whole"):
+        list(form.records(At(data), 0, split, len(data), 45))
+    assert [at for at, _, _ in form.records(At(data), 0, split, len(data), 1000)] == whole[:3]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    capture.register(spark)
+    rows = random_segments(80)
+    df = spark.createDataFrame(rows, SEGMENT).coalesce(1)
+    for kind in ("segbin", "pcap"):
+        out = str(tmp_path / kind)
+        df.write.format(kind).mode("append").option("path", out).save()
+        text = "tcp and (port 80 or not src host 10.0.0.1)"
+        scanned = spark.read.format(kind).option("filter", text).load(out)
+        every = spark.read.format(kind).load(out)
+        decoded = lambda f, kind=kind: capture.decode_frames(f) if kind == "pcap" else f
+        key = lambda f: sorted(map(str, f.collect()))
+        assert 0 < scanned.count() < 80 and key(decoded(scanned)) == key(decoded(every).where(capture.bpf(text)))
+        some = spark.read.format(kind).option("sinceUs", 50).option("untilUs", 400).load(out)
+        assert 0 < some.count() < 80 and key(some) == key(every.where("ts_us >= 50 AND ts_us < 400"))
+        assert every.where("ts_us = 50").count() == 1 and every.count() == 80  # one query's filter isn't the next one's
+    with pytest.raises(Exception, match="unsupported filter word"):
+        spark.read.format("segbin").option("filter", "udp port 1").load(str(tmp_path / "segbin")).count()
+
+
+def test_captures_as_streams(spark, tmp_path):
+    """Files to pairs, with a stop between: each pair once, and those of the batch."""
+    from sluice.operators.engine import segments_to_pairs
+    from sluice.streaming.flows import as_pairs, pair_stream
+
+    capture.register(spark)
+    rows = exchange_segments(random.Random(17))
+    files, out = str(tmp_path / "in"), str(tmp_path / "out")
+    key = lambda r: (r["flow_id"], r["n"], bytes(r["request"]["data"]), r["request"]["ts_us"], bytes(r["response"]["data"]), r["response"]["ts_us"])
+    batch = sorted(key(r) for r in segments_to_pairs(spark.createDataFrame(rows, SEGMENT)).collect() if r["n"] is not None)
+    for part in (rows[:30], rows[30:70], rows[70:]):
+        spark.createDataFrame(part, SEGMENT).coalesce(1).write.format("segbin").mode("append").option("path", files).save()
+        s = spark.readStream.format("segbin").load(files)
+        q = pair_stream(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(map(key, as_pairs(spark.read.parquet(out)).collect())) == batch
+    reader = capture._Stream(capture.SegbinReader({"path": files}), {"maxbytes": 1})
+    assert reader.initialOffset()["files"] == 0
+    for n in (1, 2, 3, 3):
+        end = reader.latestOffset()
+        assert end["files"] == n and reader.partitions({"files": 0, "last": ""}, end)
+    (tmp_path / "in" / "a.segbin").write_bytes(capture.SEGBIN_MAGIC)
+    with pytest.raises(RuntimeError):
+        reader.partitions({"files": 0, "last": ""}, end)
+
+
+def test_streams_write_captures_once(spark, tmp_path):
+    capture.register(spark)
+    rows = random_segments(40)
+    for k in range(2):
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], SEGMENT).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    out = str(tmp_path / "out")
+    key = lambda f: sorted(map(str, f.drop("arrival").collect()))
+    want = key(spark.createDataFrame(rows, SEGMENT))
+    source = lambda: spark.readStream.schema(SEGMENT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    for k in range(2):  # the second run comes with the first one's batches again
+        source().writeStream.format("segbin").option("path", out).option("checkpointLocation", str(tmp_path / f"cp{k}")).trigger(availableNow=True).start().awaitTermination(120)
+        assert key(spark.read.format("segbin").load(out)) == want
+    # A batch that failed after its files were written: no list names them.
+    (tmp_path / "out" / "part-stream-0-9-00000-0-0000.segbin").write_bytes(capture.SEGBIN_MAGIC + capture.segment_record(*rows[0][1:]))
+    assert key(spark.read.format("segbin").load(out)) == want
+    spark.createDataFrame(rows[:1], SEGMENT).write.format("segbin").mode("append").option("path", out).save()
+    assert spark.read.format("segbin").load(out).count() == 41
