@@ -110,7 +110,12 @@ def terminal_user_events(events: DataFrame, rules: list[dict], app: str = "tn327
     """Submits, with the columns ``keep``, joined to their session's latest screen, as terminal events: screen rule, operator and attributes."""
     from .terminal import last_screen
 
-    seen = last_screen(events, cols=("rows", "cols", "plain_text", "screen_hash", "screen_name")).withColumn("_shown", F.col("screen")).drop("screen")
+    return published(last_screen(events, cols=("rows", "cols", "plain_text", "screen_hash", "screen_name")), rules, app, source, keep)
+
+
+def published(submits: DataFrame, rules: list[dict], app: str = "tn3270", source: str = "tn3270", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Submits with their ``screen`` as terminal events, of a batch or a stream."""
+    seen = submits.withColumn("_shown", F.col("screen")).drop("screen")
     m = first_match(seen.withColumn("_text", F.col("_shown.plain_text")), rules, "_text", F.col("_shown.rows"), F.col("_shown.cols"))
     inputs = F.coalesce("inputs", F.create_map().cast("map<string,string>"))
     return m.select(

@@ -278,7 +278,7 @@ def test_segments_to_pairs_in_batch_and_stream(spark, tmp_path):
     for n, part in enumerate((rows[:30], rows[30:70], rows[70:])):
         spark.createDataFrame(part, SEGMENT).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n}"))
     source = spark.readStream.schema(SEGMENT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = pair_stream(source).writeStream.format("memory").queryName("pairs_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = pair_stream(source, ttl_ms=None).writeStream.format("memory").queryName("pairs_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(key, as_pairs(spark.table("pairs_out")).collect())) == batch
 
@@ -767,7 +767,7 @@ def test_captures_as_streams(spark, tmp_path):
     for part in (rows[:30], rows[30:70], rows[70:]):
         spark.createDataFrame(part, SEGMENT).coalesce(1).write.format("segbin").mode("append").option("path", files).save()
         s = spark.readStream.format("segbin").load(files)
-        q = pair_stream(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q = pair_stream(s, ttl_ms=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert sorted(map(key, as_pairs(spark.read.parquet(out)).collect())) == batch
     reader = capture._Stream(capture.SegbinReader({"path": files}), {"maxbytes": 1})
@@ -797,3 +797,85 @@ def test_streams_write_captures_once(spark, tmp_path):
     assert key(spark.read.format("segbin").load(out)) == want
     spark.createDataFrame(rows[:1], SEGMENT).write.format("segbin").mode("append").option("path", out).save()
     assert spark.read.format("segbin").load(out).count() == 41
+
+
+def test_state_is_written_by_piece():
+    """What a batch doesn't touch is not written again."""
+    from sluice.operators.engine import Conversation
+    from sluice.streaming._state import put_together, taken_apart
+
+    c, rng = Conversation(), random.Random(3)
+    a, b = ("1.1.1.1", 5), ("2.2.2.2", 80)
+    row = lambda n, seq, payload, s=a, d=b: ("c", n, *s, *d, seq, 0, payload, n)
+    c.feed(row(0, 0, b"POST / HTTP/1.1\r\nContent-Length: 400000\r\n\r\n"))
+    written, parts = [], {}
+    for k in range(200):  # a gap after the head: all of these wait
+        c.feed(row(k + 1, 1000 + 1500 * k, rng.randbytes(1400)))
+        core, now = taken_apart(c)
+        written.append(sum(len(v) for n, v in now.items() if n not in parts))
+        parts = now
+        c = put_together(core, parts)
+    assert written[50:] == [1400] * 150 and c.held() > 200 * 1400
+    assert len(core) < 60 * 200 + 2000
+    from sluice.operators.terminal import RecordFramer
+
+    f, size = RecordFramer(), 0
+    for _ in range(40):
+        f.feed(bytes(1000))
+        core, now = taken_apart(f)
+        f = put_together(core, now)
+        size += 1000
+        assert f.held() == size
+    assert len(core) < 2000
+
+
+def test_disordered_batches_give_the_pairs_of_ordered_ones(spark, tmp_path):
+    from sluice.operators.engine import segments_to_pairs
+    from sluice.streaming.flows import as_pairs, pair_stream
+
+    rng = random.Random(18)
+    rows = [(r[0] * 1000, *r[1:]) for r in exchange_segments(rng)]
+    key = lambda r: (r["flow_id"], r["n"], bytes(r["request"]["data"]), r["request"]["ts_us"], bytes(r["response"]["data"]), r["response"]["ts_us"])
+    batch = sorted(key(r) for r in segments_to_pairs(spark.createDataFrame(rows, SEGMENT)).collect() if r["n"] is not None)
+    # Each row comes up to 40,000 arrivals late; the last one, of another conversation, lets all others go.
+    mixed = sorted(rows, key=lambda r: r[0] + rng.randrange(40_000))
+    parts = [mixed[k : k + 25] for k in range(0, len(mixed), 25)] + [[(10_000_000, 1, "9.9.9.9", 1, "8.8.8.8", 2, 1, 0, b"x")]]
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, SEGMENT).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n:02d}"))
+        time.sleep(0.05)
+    source = spark.readStream.schema(SEGMENT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = pair_stream(source, disorder=50_000).writeStream.format("memory").queryName("late_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(150)
+    assert sorted(map(key, as_pairs(spark.table("late_out")).collect())) == batch
+
+
+def test_terminal_sessions_in_batch_and_stream(spark, tmp_path):
+    from sluice.functions import ebcdic
+    from sluice.operators import screens as sc
+    from sluice.operators import terminal as tm
+    from sluice.streaming.terminals import session_stream, user_event_stream
+
+    write = lambda name: bytes([tm.ERASE_WRITE, 0x40, tm.SBA, 0x40, 0x40, tm.SF, 0x20]) + ebcdic.encode(name + ":") + bytes([tm.SF, 0x40]) + ebcdic.encode(" " * 10)
+    submit = lambda at, text: bytes([0x7D, 0x40, 0x40, tm.SBA, 0x40, 0x40 | at]) + ebcdic.encode(text)
+    rows = [(f"s{k % 3}", k, submit(7, f"U{k}"), 100 * k + 50, write("USER" if k % 2 else "NAME"), 100 * k) for k in range(12)]
+    flat = "flow_id string, n long, request binary, request_ts long, response binary, response_ts long"
+    df = spark.createDataFrame(rows, flat)
+    batch = tm.terminal_events(df.select("flow_id", "n", F.struct(F.col("request").alias("data"), F.col("request_ts").alias("ts_us")).alias("request"), F.struct(F.col("response").alias("data"), F.col("response_ts").alias("ts_us")).alias("response")))
+    loaded = sc.load_screens("version: 1\nscreens: [{id: USR, match: [{position: {row: 1, column: 2, length: 5}, equals: 'USER:'}]}]")
+    for k in range(3):
+        spark.createDataFrame(rows[4 * k : 4 * k + 4], flat).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+        time.sleep(0.05)
+    source = spark.readStream.schema(flat).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    events = session_stream(source, idle_ms=6_000)
+    q = events.writeStream.format("memory").queryName("sessions_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    end, ended = time.monotonic() + 120, []
+    while len(ended) < 3 and time.monotonic() < end:
+        time.sleep(1)
+        ended = spark.table("sessions_out").where("type = 'SESSION_END'").collect()
+    q.stop()
+    assert sorted((r.session_key, r.ts_us) for r in ended) == [(f"s{k}", 100 * (9 + k) + 50) for k in range(3)]
+    got = spark.table("sessions_out").where("type <> 'SESSION_END'")
+    assert sorted(map(str, got.drop("screen").collect())) == sorted(map(str, batch.collect()))
+    keep = ("session_key", "n")
+    events_of = lambda f: sorted(str((r.session_key, r.n, r.ts, r.operator_id, sorted(r.attributes.items()))) for r in f.collect())
+    assert events_of(user_event_stream(got, loaded, keep=keep)) == events_of(sc.terminal_user_events(batch, loaded, keep=keep))
