@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import json
 import struct
 import zlib
 from collections.abc import Callable
@@ -88,19 +87,6 @@ def decode_body(data: bytes, encoding: str) -> bytes:
     return data
 
 
-def strict_json(text: str | None) -> str | None:
-    """The text if it is one JSON document and nothing more (empty counts as an empty object), else null."""
-    if text is None:
-        return None
-    if not text.strip():
-        return "{}"
-    try:
-        json.loads(text)
-    except ValueError:
-        return None
-    return text
-
-
 def _rotl(x: int, r: int) -> int:
     return (x << r | x >> (64 - r)) & _M
 
@@ -147,8 +133,15 @@ def murmur128(data: Column) -> Column:
     return _vector(lambda v: murmur128_hex(bytes(v)), "string")(data)
 
 
-def json_or_null(text: Column) -> Column:
-    return _vector(strict_json, "string")(text)
+def strict_variant(text: Column) -> Column:
+    """The text's value if it is one JSON document and nothing more (blank counts as an empty object), else null.
+
+    Spark's parser leaves what follows a value alone.  Here the text is parsed as the element of an array and as the member of an object: what
+    follows the value would have to be a comma, then another element for the one and a name with a colon for the other, which can't both be.
+    """
+    own = F.when(F.rlike(text, F.lit(r"\A\s*\z")), "{}").otherwise(text)
+    member = F.try_parse_json(F.concat(F.lit('{"a":'), own, F.lit("}")))
+    return F.when(member.isNotNull(), F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), own, F.lit("]"))), "$[0]", "variant"))
 
 
 def dechunked(data: Column) -> Column:

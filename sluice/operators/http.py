@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import decodes_all_charsets
 from ._stream import by_flow
 
 END_OF_HEAD = b"\r\n\r\n"
@@ -183,10 +183,6 @@ def first_value(fields: Column, name: str) -> Column:
     return F.try_element_at(F.try_element_at(fields, F.lit(name)), F.lit(1))
 
 
-# Charsets that the JVM decodes without Python.
-NATIVE = ("ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32")
-
-
 def charset(content_type: Column) -> Column:
     """The declared charset in upper case, UTF-8 where none is declared."""
     named = F.upper(F.regexp_extract(F.coalesce(content_type, F.lit("")), r'(?i)charset="?([A-Za-z0-9_:.-]+)', 1))
@@ -194,23 +190,10 @@ def charset(content_type: Column) -> Column:
 
 
 def body_text(body: Column, content_type: Column) -> Column:
-    """The body in its declared charset, in UTF-8 if that is unknown. Only rare charsets go through Python."""
+    """The body in its declared charset, in UTF-8 if that is unknown; what is malformed becomes U+FFFD, as the JVM does it."""
     kind = charset(content_type)
-
-    @F.pandas_udf("string")
-    def rare(values: pd.Series, names: pd.Series) -> pd.Series:
-        def one(v, name):
-            if v is None or name is None:
-                return None
-            try:
-                return bytes(v).decode(name, "replace")
-            except LookupError:
-                return bytes(v).decode("utf-8", "replace")
-
-        return pd.Series([one(v, n) for v, n in zip(values, names, strict=True)], dtype=object)
-
-    known = kind.isin("UTF-8", *NATIVE)
-    return F.coalesce(*(F.when(kind == c, F.decode(body, c)) for c in NATIVE), F.when(known, F.decode(body, "UTF-8")), rare(F.when(~known, body), F.when(~known, kind)))
+    named = F.when(kind.isin(*decodes_all_charsets(SparkSession.active())), kind).otherwise("UTF-8")
+    return F.when(named == "UTF-8", F.decode(body, "UTF-8")).otherwise(F.call_function("decode", body, named))
 
 
 def _first_words(data: Column) -> Column:

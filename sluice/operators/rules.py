@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binary import json_or_null
+from ..functions.binary import strict_variant
 from .http import body_text, first_value, trimmed
 
 METHODS_TYPE = "method must be a string or a list of strings"
@@ -67,10 +67,12 @@ class Exchange:
 
 
 def prepare_bodies(exchanges: DataFrame, x: Exchange = Exchange()) -> DataFrame:
+    """Adds the text and the JSON of both bodies; of an object's members of one name the last counts."""
+    exchanges.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     out = exchanges
     for name in (x.request, x.response):
         out = out.withColumn(f"_{name}_text", body_text(F.col(f"{name}.body"), first_value(F.col(f"{name}.headers"), "content-type")))
-    return out.withColumns({f"_{n}_json": F.try_parse_json(json_or_null(F.col(f"_{n}_text"))) for n in (x.request, x.response)})
+    return out.withColumns({f"_{n}_json": strict_variant(F.col(f"_{n}_text")) for n in (x.request, x.response)})
 
 
 def load_rules(*texts: str) -> dict:

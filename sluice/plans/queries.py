@@ -193,7 +193,7 @@ def cookie_parse(spark, sf_dir):
 
 @query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, CAST(props->>'$.k' AS BIGINT) = 7 AS is_seven FROM events WHERE props->>'$.k' IS NOT NULL")
 def json_predicates(spark, sf_dir):
-    j = F.try_variant_get(F.try_parse_json(binary.json_or_null(F.col("props"))), rules.json_path("$.k"), "string")
+    j = F.try_variant_get(binary.strict_variant(F.col("props")), rules.json_path("$.k"), "string")
     return tables.read(spark, sf_dir, "events").select("event_id", j.cast("long").alias("k"), (j == "7").alias("is_seven")).where("k IS NOT NULL")
 
 
@@ -630,7 +630,7 @@ def chunked_decode(spark, sf_dir):
 def json_strictness(spark, sf_dir):
     e = tables.read(spark, sf_dir, "events")
     text = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat("props", F.lit(" junk")))
-    return e.select("event_id", binary.json_or_null(text).isNotNull().alias("valid"))
+    return e.select("event_id", binary.strict_variant(text).isNotNull().alias("valid"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'unknown' ELSE regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') END AS name FROM pages")

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -22,6 +23,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def decodes_all_charsets(spark: SparkSession) -> frozenset[str]:
+    """Let ``decode`` take all charsets of the JVM and replace what is malformed, where it else fails the job; their names in upper case."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+    return _charsets(spark.sparkContext._jvm)
+
+
+@lru_cache(1)
+def _charsets(jvm) -> frozenset[str]:
+    known = jvm.java.nio.charset.Charset.availableCharsets()
+    own = [c for c in known.values() if c.canEncode() or not c.name().startswith("x-")]
+    return frozenset(n.strip().upper() for c in own for n in (c.name(), *c.aliases().toString().strip("[]").split(",")) if n.strip())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; where it is unset, a temporary one, but only on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -879,3 +879,59 @@ def test_terminal_sessions_in_batch_and_stream(spark, tmp_path):
     keep = ("session_key", "n")
     events_of = lambda f: sorted(str((r.session_key, r.n, r.ts, r.operator_id, sorted(r.attributes.items()))) for r in f.collect())
     assert events_of(user_event_stream(got, loaded, keep=keep)) == events_of(sc.terminal_user_events(batch, loaded, keep=keep))
+
+
+def test_strict_json_without_python(spark):
+    import json
+
+    from sluice.functions.binary import strict_variant
+
+    texts = ["{}", "1] x", '{"a":1} x', "[1,2]", '"x"', "null", "1,2", '1,"a":2', '1 "b":3', "{a:1}", "{'a':1}", ' {"a":[1]} ', "tru", "01", '"\t"', "[1,]", "1}", '{"a":1}}', "1]", "[1]]", "-", "1e5", '{"a":1}\x00', "/*c*/1", '"], "a": ["', '{"a":{"b":"}"}}', "1]}", "1],[2", '1},{"a":1', "\ufeff{}", "{", '"\\u12"']
+    got = {r.t: r.v for r in spark.createDataFrame([(t,) for t in [*texts, "", " \n", None]], "t string").select("t", F.to_json(strict_variant(F.col("t"))).alias("v")).collect()}
+    assert got.pop("") == got.pop(" \n") == "{}" and got.pop(None) is None
+    for t, v in got.items():
+        try:
+            want = json.loads(t)
+        except ValueError:
+            assert v is None, t
+        else:
+            assert v is not None and json.loads(v) == want, t
+
+
+def test_bodies_of_any_bytes_and_charsets(spark):
+    from sluice.operators import http as h
+
+    odd = bytes([0xFF, 0xFE, 0x80, 65])
+    rows = [(odd, None), (odd, "text/plain; charset=us-ascii"), (odd, "a; charset=nonsense"), ("日本".encode("shift_jis"), "a; charset=Shift_JIS"), (b"\xe9\x80", "a;charset=windows-1252"), (b"\xe9", "a; charset=latin1"), ("é".encode("utf-16"), "a; charset=utf-16"), (b"\x00", "a; charset=utf-16"), (None, "a"), (b"", "a")]
+    got = [r.t for r in spark.createDataFrame(rows, "b binary, c string").select(h.body_text(F.col("b"), F.col("c")).alias("t")).collect()]
+    assert got == ["\ufffd\ufffd\ufffdA", "\ufffd\ufffd\ufffdA", "\ufffd\ufffd\ufffdA", "日本", "é€", "é", "é", "\ufffd", None, ""]
+
+
+def test_rules_need_no_python(spark, tiny):
+    from sluice.plans.queries import QUERIES
+
+    for name in ("rule_all_match", "session_resolve", "user_event_assembly"):
+        plan = QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan, name
+
+
+def test_transactions_in_batch_and_stream(spark, tmp_path):
+    from sluice.operators import reports as rp
+    from sluice.streaming.transactions import as_transactions, transaction_stream
+
+    rng = random.Random(32)
+    kinds = "tx_id string, ord long, type string, data binary, ts_us long"
+    rows = [(f"t{rng.randrange(4)}", k, rng.choice(["REQUEST", "RESPONSE"]), None if k % 9 == 0 else b"%d" % k, k) for k in range(60)]
+    key = lambda r: (r.tx_id, r.use, *((s and (s.data and bytes(s.data), s.ts_us)) for s in (r.request, r.response)))
+    batch = sorted(map(key, rp.regroup(spark.createDataFrame(rows, kinds)).collect()), key=str)
+    for k in range(3):
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], kinds).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+        time.sleep(0.05)
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = transaction_stream(source, wait_ms=8_000).writeStream.format("memory").queryName("tx_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    got, end = [], time.monotonic() + 120
+    while len(got) < len(batch) and time.monotonic() < end:
+        time.sleep(1)
+        got = as_transactions(spark.table("tx_out")).collect()
+    q.stop()
+    assert sorted(map(key, got), key=str) == batch

@@ -3,7 +3,7 @@
 import random
 
 from sluice.functions import ebcdic
-from sluice.functions.binary import decode_chunked, murmur128_hex, strict_json
+from sluice.functions.binary import decode_chunked, murmur128_hex
 from sluice.operators.http import HttpFramer
 from sluice.operators.reassembly import Reassembler
 from sluice.operators.reports import decode_message
@@ -144,7 +144,6 @@ def test_functions():
     assert murmur128_hex(b"") == "0" * 32
     assert murmur128_hex(b"hello") == "029bbd41b3a7d8cb191dae486a901e5b"
     assert decode_chunked(b"3;x=1\r\nhi!\r\n0\r\n\r\n") == b"hi!"
-    assert strict_json('{"a":1} x') is None and strict_json("") == "{}" and strict_json('{"a":1}') == '{"a":1}'
     assert ebcdic.decode(ebcdic.encode("Az09[]^")) == "Az09[]^" and len(set(ebcdic.TABLE)) == 256
 
 
