@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 
@@ -86,3 +87,72 @@ def waits(rows: DataFrame, name: str, wait: Column) -> DataFrame:
 def grep_totals(segments: DataFrame, needle: bytes) -> DataFrame:
     """``scanned, matched``: the summary of a payload search."""
     return segments.agg(F.count("*").alias("scanned"), F.count_if(F.contains("payload", F.lit(needle))).alias("matched"))
+
+
+def observed(rows: DataFrame, to: Observation | str, counts: dict[str, Column], measures: dict[str, Column] | None = None) -> DataFrame:
+    """The rows, unchanged, with counts (of rows for which a column is true) and histograms taken as they pass: no pass or shuffle of its own.
+
+    A batch's come to an ``Observation``, whose ``get`` waits for the first action; a stream's go by a name into its progress, where ``Totals`` adds them up.
+    """
+    parts = [F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()]
+    parts += [F.struct(F.count(c).alias("n"), F.sum(c).alias("total"), F.min(c).alias("least"), F.max(c).alias("most")).alias(k) for k, c in (measures or {}).items()]
+    return rows.observe(to, *parts)
+
+
+def segment_metrics(prefix: str = "live") -> tuple[dict[str, Column], dict[str, Column]]:
+    """Counts and measures of raw segments, for ``observed``: all of them, those that are bare acknowledgements, payload bytes."""
+    bare = (F.octet_length("payload") == 0) & (F.col("flags").bitwiseAND(31) == 16)
+    # Keys of metrics.
+    return {f"{prefix}.segment.accepted": ~bare, "capture.segment.skipped.pureAck": bare}, {f"{prefix}.byteStream.bytes": F.when(F.octet_length("payload") > 0, F.octet_length("payload"))}
+
+
+def assembler_metrics(prefix: str = "live") -> tuple[dict[str, Column], dict[str, Column]]:
+    """The same of ``reassembly.outcomes``: what became of each segment, by side."""
+    counts, measures = {}, {}
+    for side, own in (("client", F.col("from_client")), ("server", ~F.col("from_client"))):
+        # Keys of metrics.
+        for outcome in ("duplicate", "stored", "buffered", "contiguous"):
+            counts[f"{prefix}.flowAssembler.{side}.{outcome}"] = own & F.col(outcome)
+        measures[f"{prefix}.flowAssembler.{side}.bytes"] = F.when(own & F.col("contiguous"), F.col("n_bytes"))
+    return counts, measures
+
+
+def merged(values: list[dict]) -> dict:
+    """Counts and histograms of several batches as those of all: counts add up; so do a histogram's numbers and totals, and its ends are the outmost."""
+    out: dict = {}
+    for one in values:
+        for key, v in one.items():
+            have, v = out.get(key), v.asDict() if isinstance(v, Row) else v
+            if not isinstance(v, dict):
+                out[key] = (have or 0) + v
+            elif v["n"]:
+                out[key] = v if not have or not have["n"] else {"n": have["n"] + v["n"], "total": have["total"] + v["total"], "least": min(have["least"], v["least"]), "most": max(have["most"], v["most"])}
+            else:
+                out.setdefault(key, v)
+    return out
+
+
+class Totals(StreamingQueryListener):
+    """Observed metrics of running streams by the name they were observed under, added up over batches; add it with ``spark.streams.addListener``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.seen: dict[str, dict] = {}
+        self.batches: set[tuple] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if (p.runId, p.batchId) in self.batches:
+            return
+        self.batches.add((p.runId, p.batchId))
+        for name, row in p.observedMetrics.items():
+            self.seen[name] = merged([self.seen.get(name, {}), row.asDict(recursive=True)])
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.batches = {b for b in self.batches if b[0] != event.runId}

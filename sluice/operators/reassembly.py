@@ -102,3 +102,32 @@ def slices(oriented: DataFrame, mode: str = "sequence") -> DataFrame:
 
     rows = oriented.select("flow_id", "arrival", "from_client", "seq", "payload", "ts_us")
     return by_flow(rows, "flow_id", ["arrival"], Sides, SLICE, [pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.int64()])
+
+
+OUTCOME = "flow_id string, arrival long, from_client boolean, duplicate boolean, stored boolean, buffered boolean, contiguous boolean, n_bytes long"
+
+
+class _Outcomes:
+    """What becomes of each segment of a flow."""
+
+    def __init__(self):
+        self.streams: dict[bool, Reassembler] = {}
+
+    def feed(self, row: tuple) -> list[tuple]:
+        flow, arrival, from_client, seq, payload = row
+        stream = self.streams.setdefault(bool(from_client), Reassembler())
+        if not payload or seq is None:
+            return [(flow, arrival, bool(from_client), False, False, False, False, 0)]
+        before = stream.held()
+        got, _ = stream.accept(seq, payload)
+        stored = stream.held() + len(got) > before
+        return [(flow, arrival, bool(from_client), not stored, stored, not got, bool(got), len(got))]
+
+    def finish(self) -> list[tuple]:
+        return []
+
+
+def outcomes(oriented: DataFrame) -> DataFrame:
+    """A row a segment: whether it was a duplicate or brought bytes (``stored``), and whether bytes were released (``contiguous``) or, though it had some, weren't (``buffered``)."""
+    rows = oriented.select("flow_id", "arrival", "from_client", "seq", "payload")
+    return by_flow(rows, "flow_id", ["arrival"], _Outcomes, OUTCOME, [pa.string(), pa.int64(), *[pa.bool_()] * 5, pa.int64()])

@@ -540,6 +540,36 @@ def bus_pair_reports(spark, sf_dir):
     return feeds.pair_reports(feeds.parse_pairs(lines), True)
 
 
+@query(
+    f"""WITH {ORIENTED}, s AS (SELECT *, payload <> '' AS filled, octet_length(encode(payload)) AS size FROM flow),
+    -- sequence numbers rise with arrival and leave gaps, so a flow side's first payload is released and all others wait
+    r AS (SELECT *, filled AND row_number() OVER (PARTITION BY flow_id, from_client, filled ORDER BY arrival) = 1 AS released FROM s)
+    SELECT 'live.segment.accepted' AS metric, count(*) FILTER (NOT (payload = '' AND flags & 31 = 16)) AS n, CAST(NULL AS BIGINT) AS total, CAST(NULL AS BIGINT) AS least, CAST(NULL AS BIGINT) AS most FROM s
+    UNION ALL SELECT 'capture.segment.skipped.pureAck', count(*) FILTER (payload = '' AND flags & 31 = 16), NULL, NULL, NULL FROM s
+    UNION ALL SELECT 'live.byteStream.bytes', count(*), CAST(sum(size) AS BIGINT), min(size), max(size) FROM s WHERE filled
+    """
+    + "".join(
+        f"""UNION ALL SELECT 'live.flowAssembler.{side}.duplicate', 0, NULL, NULL, NULL
+    UNION ALL SELECT 'live.flowAssembler.{side}.stored', count(*) FILTER (filled), NULL, NULL, NULL FROM r WHERE {own}
+    UNION ALL SELECT 'live.flowAssembler.{side}.buffered', count(*) FILTER (filled AND NOT released), NULL, NULL, NULL FROM r WHERE {own}
+    UNION ALL SELECT 'live.flowAssembler.{side}.contiguous', count(*) FILTER (released), NULL, NULL, NULL FROM r WHERE {own}
+    UNION ALL SELECT 'live.flowAssembler.{side}.bytes', count(*), CAST(sum(size) AS BIGINT), min(size), max(size) FROM r WHERE released AND {own}
+    """
+        for side, own in (("client", "from_client"), ("server", "NOT from_client"))
+    )
+)
+def observed_metrics(spark, sf_dir):
+    """Counts and histograms that a job's rows give in passing."""
+    from pyspark.sql import Observation
+
+    seen, done = Observation(), Observation()
+    s = metrics.observed(tables.segments(spark, sf_dir), seen, *metrics.segment_metrics())
+    metrics.observed(reassembly.outcomes(flows.orient(s)), done, *metrics.assembler_metrics()).write.format("noop").mode("overwrite").save()
+    found = metrics.merged([seen.get, done.get])
+    values = [(k, v["n"], v["total"], v["least"], v["most"]) if isinstance(v, dict) else (k, v, None, None, None) for k, v in found.items()]
+    return spark.createDataFrame(values, "metric string, n long, total long, least long, most long")
+
+
 @query(f"WITH {MESSAGES} SELECT flow_id, ord, type, text AS body, '' AS headers, 'a:1' AS src, 'b:2' AS dst, ts_us, left(lower(hex(encode(text))), 32) || CASE WHEN octet_length(encode(text)) > 16 THEN '...' ELSE '' END AS first_line FROM messages")
 def blob_store_roundtrip(spark, sf_dir):
     """Messages to blobs and index lines in the shared folder, in two jobs, and back by ranges."""

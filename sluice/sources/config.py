@@ -44,7 +44,7 @@ def parse_arguments(arguments: list[str]) -> dict[str, str]:
 
 
 class Watched:
-    """What ``load`` makes of files, made anew when one has changed, at most every ``interval`` seconds; kept if they can't be read.
+    """What ``load`` makes of files, made anew when one has changed, at most every ``interval`` seconds; kept, with a warning, if they can't be read.
 
     Call it in ``foreachBatch``: rules are constants of a batch's plan.
     """
@@ -62,9 +62,10 @@ class Watched:
             try:
                 now = self._times()
                 if now != self.seen:
-                    self.value, self.seen = self.load(*self.paths), now
-            except OSError:
-                pass
+                    self.seen = now
+                    self.value = self.load(*self.paths)
+            except Exception as e:  # whatever is wrong with new files, the last good ones stay in force
+                warnings.warn(f"{', '.join(self.paths)}: not read anew: {e}", stacklevel=2)
         return self.value
 
 

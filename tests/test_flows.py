@@ -1,5 +1,6 @@
 """Window forms against small state machines, sources and sinks, rules and reports on Spark."""
 
+import os
 import random
 import struct
 import time
@@ -935,3 +936,60 @@ def test_transactions_in_batch_and_stream(spark, tmp_path):
         got = as_transactions(spark.table("tx_out")).collect()
     q.stop()
     assert sorted(map(key, got), key=str) == batch
+
+
+def test_metrics_of_a_running_stream(spark, tmp_path):
+    from sluice.operators import metrics as mt
+
+    assert mt.merged([{"a": 1, "h": {"n": 0, "total": None, "least": None, "most": None}}, {"a": 2, "h": {"n": 1, "total": 5, "least": 5, "most": 5}}, {"h": {"n": 2, "total": 4, "least": 1, "most": 3}}]) == {"a": 3, "h": {"n": 3, "total": 9, "least": 1, "most": 5}}
+    rows = random_segments(60)
+    for k in range(3):
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], SEGMENT).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    source = spark.readStream.schema(SEGMENT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    totals = mt.Totals()
+    spark.streams.addListener(totals)
+    try:
+        q = mt.observed(source, "segments", *mt.segment_metrics()).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        end = time.monotonic() + 30
+        want = {"live.segment.accepted": sum(not (not r[8] and r[7] & 31 == 16) for r in rows), "capture.segment.skipped.pureAck": sum(not r[8] and r[7] & 31 == 16 for r in rows), "live.byteStream.bytes": {"n": sum(bool(r[8]) for r in rows), "total": sum(len(r[8]) for r in rows), "least": 1, "most": 2}}
+        while totals.seen.get("segments") != want and time.monotonic() < end:
+            time.sleep(0.5)
+        assert totals.seen["segments"] == want
+    finally:
+        spark.streams.removeListener(totals)
+
+
+def test_outcomes_of_segments(spark):
+    rows = [("f", 0, True, 10, b"ab"), ("f", 1, True, 10, b"ab"), ("f", 2, True, 14, b"ef"), ("f", 3, True, 14, b"e"), ("f", 4, True, 12, b"cde"), ("f", 5, False, 1, b""), ("f", 6, False, None, b"x"), ("f", 7, True, 15, b"fgh")]
+    got = reassembly.outcomes(spark.createDataFrame(rows, "flow_id string, arrival long, from_client boolean, seq long, payload binary")).orderBy("arrival").collect()
+    names = ("duplicate", "stored", "buffered", "contiguous")
+    assert [("".join(n[0] for n in names if r[n]), r.n_bytes) for r in got] == [("sc", 2), ("db", 0), ("sb", 0), ("db", 0), ("sc", 4), ("", 0), ("", 0), ("sc", 2)]
+
+
+def test_rules_change_while_a_stream_runs(spark, tmp_path):
+    from sluice.sources.config import Watched
+    from sluice.streaming.events import event_stream
+
+    pair = "struct<data: binary, ts_us: bigint>"
+    kinds = f"flow_id string, n bigint, request {pair}, response {pair}, client struct<ip: string, port: int>"
+    rules_file = tmp_path / "rules.yaml"
+    text = "version: 1\ndefaults: {{app: demo, source: s}}\nrules: [{{id: {}, match: {{method: GET}}}}]"
+    rules_file.write_text(text.format("one"))
+    watched = Watched([str(rules_file)], rules.load_rule_files, 1.0)
+    seen = []
+
+    def write(events, number):
+        seen.extend((number, r.flow_id, r.rule_id, r.app) for r in events.collect())
+        changed = {0: text.format("two"), 1: "version: 9"}.get(number)
+        if changed:
+            rules_file.write_text(changed)
+            os.utime(rules_file, ns=(1, 10**9 * (number + 2)))
+            time.sleep(1.1)
+
+    for k in range(3):
+        spark.createDataFrame([(f"f{k}", 1, (b"GET / HTTP/1.1\r\n\r\n", 1), (b"HTTP/1.1 200 OK\r\n\r\n", 2), ("1.1.1.1", 5))], kinds).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+        time.sleep(0.05)
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    event_stream(source, watched, write, keep=("flow_id",)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [(n, r, a) for n, _, r, a in seen] == [(0, "one", "demo"), (1, "two", "demo"), (2, "two", "demo")]
