@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
@@ -84,6 +84,11 @@ def _place(x: int, y: int, part: int, t: int) -> int:
     return t << 54 | x << 36 | y << 18 | part
 
 
+def _parts(parts: Column) -> Column:
+    """The number of a bucket's blocks, an error where ``_place`` has no room for it."""
+    return F.when(parts < 1 << 18, parts).otherwise(F.raise_error(F.concat(F.lit("a bucket of more than 262143 blocks: "), parts.cast("string"))))
+
+
 def _usable(vector) -> np.ndarray | None:
     if vector is None or any(x is None for x in vector):
         return None
@@ -144,7 +149,7 @@ def near_embeddings(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
 
     coded = scratch.table(node.select("id", "vector", "label").mapInArrow(keyed, "id long, label string, keys array<long>, signs binary"))
     member = coded.select("id", "signs", F.posexplode("keys").alias("t", "key"), "label").select("id", "signs", "t", F.xxhash64("key", "label").alias("key"))
-    large = scratch.table(member.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts")))
+    large = scratch.table(member.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select("key", _parts(F.ceil(F.col("n") / BLOCK_ROWS)).cast("int").alias("parts")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each member to the pairs of blocks that its part is in."""

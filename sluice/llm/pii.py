@@ -7,8 +7,9 @@ other token with a digit is a candidate; one that is too short for an identifier
 
 Spark scores the graph of patterns and instances in rounds.  A pattern's confidence is the mean score of its
 distinct instances, smoothed towards 0; it is accepted with ``MIN_CONFIDENCE`` and ``MIN_SUPPORT`` different
-instances that score.  A seed scores 1, a candidate the confidence of its best accepted pattern, so what one
-round discovers supports the patterns of the next.  Candidates in accepted patterns become spans of kind ``id``.
+instances that score, and keeps the confidence it then has.  A seed scores 1, a candidate the confidence of its best accepted pattern, so what one
+round discovers supports the patterns of the next, until a round accepts none: each round accepts one at least, so there is an end, and
+it depends on no number of rounds.  Candidates in accepted patterns become spans of kind ``id``.
 
 Defined cases: null text is empty; a row's result depends on its text and the corpus, so repeated rows repeat
 it; null ids are kept; no documents give no rows; ``redact`` keeps all columns, whatever their names.
@@ -50,8 +51,9 @@ _SECRET = re.compile(
 _HARMLESS = frozenset("commit commits checksum digest etag hash md rev revision sha".split())
 #: Characters looked at first for the words before a place; the whole text is where they don't suffice.
 NEAR = 64
-ROUNDS = 5
 MIN_CONFIDENCE = 0.5
+#: A score of 1; scores are whole numbers, so that sums don't depend on their order.
+ONE = 10**9
 MIN_SUPPORT = 3
 #: Shorter tokens are no identifiers.
 MIN_ID = 5
@@ -186,29 +188,43 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, _BASE_TYPE), pa.array(founds, _FOUND_TYPE)], names=["doc_id", "text_hash", "base", "found"])
 
 
-def confident_patterns(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def confident_patterns(found: DataFrame, scratch: Scratch) -> DataFrame:
     """``pattern, confidence`` of the accepted patterns, from ``pattern, instance, seed, able``.
 
-    Ends before ``rounds`` once a round accepts what the one before has accepted.  Patterns with too few instances
-    that could ever score are left out of the graph at once; they can't be accepted.
+    Scores are kept as differences: a round looks at the instances of patterns that the last one accepted, and adds to the patterns of those
+    whose score they raise.  Patterns with too few instances that could ever score are left out of the graph at once; they can't be accepted.
     """
     pairs = found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("able").alias("able"))
     pairs = scratch.table(pairs)
     enough = pairs.groupBy("pattern").agg(F.count_if(F.col("seed") | F.col("able")).alias("n")).where(F.col("n") >= MIN_SUPPORT).select("pattern")
     graph = scratch.table(pairs.join(enough, "pattern"))
-    scored = graph.select("pattern", F.col("seed").cast("double").alias("score"))
-    before = accepted = None
-    for turn in range(rounds):
-        if turn:
-            reached = scratch.table(graph.where("able AND NOT seed").join(accepted, "pattern").groupBy("instance").agg(F.max("confidence").alias("known")))
-            scored = graph.join(reached, "instance", "left").select("pattern", F.when(F.col("seed"), 1.0).when(F.col("able"), F.coalesce("known", F.lit(0.0))).otherwise(0.0).alias("score"))
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("score") > 0).alias("support"))
-        accepted = scratch.table(patterns.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT)).select("pattern", "confidence"))
-        mark = accepted.agg(F.count("*"), F.bit_xor("pattern")).first()
-        if mark == before or not mark[0]:
-            break
-        before = mark
-    return accepted
+    candidates = graph.where("able AND NOT seed").select("pattern", "instance")
+
+    def fit(totals: DataFrame) -> DataFrame:
+        """Of ``pattern, score, support, n`` those that are accepted."""
+        confidence = F.expr("score div (n + 1)")
+        return totals.where((confidence >= int(MIN_CONFIDENCE * ONE)) & (F.col("support") >= MIN_SUPPORT)).select("pattern", confidence.alias("confidence"))
+
+    totals = scratch.table(graph.groupBy("pattern").agg((F.count_if("seed") * ONE).alias("score"), F.count_if("seed").alias("support"), F.count("*").alias("n")))
+    accepted = new = scratch.table(fit(totals))
+    scores: DataFrame | None = None
+    while not new.isEmpty():
+        raised = candidates.join(new, "pattern").groupBy("instance").agg(F.max("confidence").alias("score"))
+        if scores is not None:
+            had = scores.groupBy("instance").agg(F.max("score").alias("had"))
+            raised = raised.join(had, "instance", "left").where("had IS NULL OR score > had")
+        else:
+            raised = raised.withColumn("had", F.lit(None).cast("long"))
+        raised = scratch.table(raised)
+        more = candidates.join(raised, "instance").groupBy("pattern").agg(F.sum(F.col("score") - F.coalesce("had", F.lit(0))).alias("score"), F.count_if(F.col("had").isNull()).alias("support"), F.lit(0).cast("long").alias("n"))
+        more = scratch.table(more)
+        scores = raised.select("instance", "score") if scores is None else scores.union(raised.select("instance", "score"))
+        totals = totals.union(more)
+        open_ = more.select("pattern").join(accepted, "pattern", "left_anti")
+        grown = totals.join(open_, "pattern", "left_semi").groupBy("pattern").agg(F.sum("score").alias("score"), F.sum("support").alias("support"), F.sum("n").alias("n"))
+        new = scratch.table(fit(grown))
+        accepted = accepted.union(new)
+    return accepted.withColumn("confidence", F.col("confidence") / ONE)
 
 
 def find_pii(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

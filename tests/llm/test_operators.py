@@ -320,23 +320,21 @@ def plain_bootstrap(found):
         graph[p].add(i)
         edge_seed[p, i] |= s
         edge_able[p, i] |= a
-    known, accepted, seen = {}, {}, None
-    for _ in range(pii.ROUNDS):
-        now = {}
+    known, accepted = {}, {}
+    while True:
+        new = {}
         for p, instances in graph.items():
-            scores = [1.0 if edge_seed[p, i] else known.get(i, 0.0) if edge_able[p, i] else 0.0 for i in instances]
-            confidence = sum(scores) / (len(scores) + 1)
-            if confidence >= pii.MIN_CONFIDENCE and sum(x > 0 for x in scores) >= pii.MIN_SUPPORT:
-                now[p] = confidence
-        if set(now) == seen or not now:
-            return now
-        seen, accepted = set(now), now
-        known = {}
-        for p, c in accepted.items():
+            scores = [pii.ONE if edge_seed[p, i] else known.get(i, 0) if edge_able[p, i] else 0 for i in instances]
+            confidence = sum(scores) // (len(scores) + 1)
+            if p not in accepted and confidence >= pii.MIN_CONFIDENCE * pii.ONE and sum(x > 0 for x in scores) >= pii.MIN_SUPPORT:
+                new[p] = confidence
+        if not new:
+            return {p: c / pii.ONE for p, c in accepted.items()}
+        accepted |= new
+        for p, c in new.items():
             for i in graph[p]:
                 if edge_able[p, i] and not edge_seed[p, i]:
-                    known[i] = max(known.get(i, 0.0), c)
-    return accepted
+                    known[i] = max(known.get(i, 0), c)
 
 
 def test_pii_scores_equal_brute_force(spark, scratch):
@@ -351,6 +349,10 @@ def test_pii_scores_equal_brute_force(spark, scratch):
         assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
         grew += any(not of[i][0] for p, i, _, _ in rows if p in want)
     assert grew
+    # A chain in which each pattern is accepted by what the one before discovered: no number of rounds cuts it short.
+    rows = [(0, i, True, False) for i in range(300)] + [(p, 1000 * p + i, False, True) for p in range(1, 9) for i in range(40)] + [(p - 1, 1000 * p + i, False, True) for p in range(1, 9) for i in range(40)]
+    accepted = {r["pattern"] for r in pii.confident_patterns(spark.createDataFrame(rows, "pattern long, instance long, seed boolean, able boolean"), scratch).collect()}
+    assert accepted == set(plain_bootstrap(rows))
     assert pii.confident_patterns(spark.createDataFrame([], "pattern long, instance long, seed boolean, able boolean"), scratch).count() == 0
 
 
