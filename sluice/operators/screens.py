@@ -99,11 +99,11 @@ def terminal_attributes(screen: Column, aid: Column, inputs: Column, name: Colum
     return F.map_filter(F.map_concat(fixed, typed), lambda _, v: v.isNotNull())
 
 
-def log_line(events: DataFrame) -> DataFrame:
-    """``line``: a terminal event as text."""
+def log_line(events: DataFrame, *more: str) -> DataFrame:
+    """``line``, and columns ``more``: a terminal event as text."""
     blank = lambda c: F.nullif(trimmed(F.col(c)), F.lit(""))
     parts = {"timestamp": F.col("ts"), "type": F.col("event_type"), "terminal": F.col("terminal_id"), "session": F.col("session_id"), "source": F.col("source"), "app": F.col("app"), "operator": blank("operator_id"), "traceId": blank("trace_id"), "attributes": attributes_text(F.col("attributes"))}
-    return events.select(joined_line("terminal.event", parts).alias("line"))
+    return events.select(*more, joined_line("terminal.event", parts).alias("line"))
 
 
 def terminal_user_events(events: DataFrame, rules: list[dict], app: str = "tn3270", source: str = "tn3270", keep: tuple[str, ...] = ()) -> DataFrame:

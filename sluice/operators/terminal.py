@@ -347,6 +347,7 @@ def redact(inputs: Column, labels: str) -> Column:
 
 
 def sampled(renders: DataFrame, rate: float, key: Column) -> DataFrame:
-    """A share of rows chosen by a hash, so that it is the same each time; rates outside 0..1 are brought inside, NaN is 0."""
+    """A share of rows chosen by a hash (of the key as text), so that it is the same each time; rates outside 0..1 are brought inside, NaN is 0."""
     rate = 0.0 if rate != rate else min(1.0, max(0.0, rate))
-    return renders.where((F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(rate * 1_000_000)))
+    number = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    return renders.where(number % 1_000_000 < int(rate * 1_000_000))

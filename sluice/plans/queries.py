@@ -570,6 +570,31 @@ def observed_metrics(spark, sf_dir):
     return spark.createDataFrame(values, "metric string, n long, total long, least long, most long")
 
 
+@query(
+    """SELECT 'txn:' || event_id AS tx_id, epoch_us(ts) AS start_ts, props AS request, epoch_us(ts) AS request_ts, '' AS first_line, CASE WHEN event_id % 2 = 1 THEN epoch_us(ts) ELSE 0 END AS response_ts, '' AS response FROM events"""
+)
+def bus_terminal_pairs(spark, sf_dir):
+    """Terminal pairs as the bus carries them, with and without an answer, read back."""
+    end = lambda port: F.struct(F.lit("10.0.0.1").alias("ip"), F.lit(port).alias("port"))
+    lines = feeds.pair_json(_terminal_pairs(spark, sf_dir).select("*", end(9).alias("client"), end(23).alias("server")), "TN3270")
+    p = feeds.parse_pairs(lines)
+    return p.select("tx_id", "start_ts", F.col("request.data").cast("string").alias("request"), F.col("request.ts_us").alias("request_ts"), "request.first_line", F.col("response.ts_us").alias("response_ts"), F.col("response.data").cast("string").alias("response"))
+
+
+@query(
+    f"""WITH {MESSAGES}, k AS (SELECT *, row_number() OVER (PARTITION BY flow_id, type ORDER BY ord) AS n FROM messages)
+    SELECT q.flow_id AS session_key, q.n * 2 AS n, 'terminal.event timestamp=' || strftime(make_timestamp(q.ts_us), '%Y-%m-%d %H:%M:%S') || CASE WHEN q.ts_us % 1000000 = 0 THEN '' ELSE rtrim('.' || lpad(CAST(q.ts_us % 1000000 AS VARCHAR), 6, '0'), '0') END
+      || ', type=terminal.submit, terminal=T, session=T, source=tn3270, app=tn3270, operator=SMITH, attributes=[input.user=SMITH;screen.cols=80;screen.id=USR;screen.name=USER;screen.rows=24;tn3270.aid=ENTER]' AS line
+    FROM k q JOIN k p ON q.flow_id = p.flow_id AND q.n = p.n AND q.type = 'REQUEST' AND p.type = 'RESPONSE'"""
+)
+def terminal_event_log(spark, sf_dir):
+    """Terminal events as lines; ids and hashes, which SQL can't compute, are replaced."""
+    loaded = screens.load_screens("version: 1\nscreens: [{id: USR, match: [{position: {row: 1, column: 2, length: 5}, equals: 'USER:'}]}]")
+    u = screens.terminal_user_events(terminal.terminal_events(_screens(spark, sf_dir)), loaded, keep=("session_key", "n"))
+    same = u.withColumns({"terminal_id": F.lit("T"), "session_id": F.lit("T"), "attributes": F.map_filter("attributes", lambda k, _: k != "screen.hash")})
+    return screens.log_line(same, "session_key", "n")
+
+
 @query(f"WITH {MESSAGES} SELECT flow_id, ord, type, text AS body, '' AS headers, 'a:1' AS src, 'b:2' AS dst, ts_us, left(lower(hex(encode(text))), 32) || CASE WHEN octet_length(encode(text)) > 16 THEN '...' ELSE '' END AS first_line FROM messages")
 def blob_store_roundtrip(spark, sf_dir):
     """Messages to blobs and index lines in the shared folder, in two jobs, and back by ranges."""
@@ -683,14 +708,14 @@ def grep_totals(spark, sf_dir):
     return metrics.grep_totals(tables.segments(spark, sf_dir), b'"k": 7')
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 40 THEN text ELSE 'cut' END AS clamped, true AS fits FROM documents")
+@query("SELECT doc_id, left(text, (SELECT max(n) FROM range(41) r(n) WHERE octet_length(encode(left(text, n))) <= 40)) AS clamped, true AS fits FROM documents")
 def utf8_clamp(spark, sf_dir):
     """Texts cut to 40 bytes at whole characters; what is cut is checked to be the longest such prefix."""
     d = tables.read(spark, sf_dir, "documents").select("doc_id", "text", binary.clamp_utf8(F.col("text"), 40).alias("c"))
     whole = F.octet_length("text") <= 40
     longer = F.expr("octet_length(substring(text, 1, length(c) + 1)) > 40")
     fits = F.when(whole, F.col("c") == F.col("text")).otherwise(F.startswith("text", F.col("c")) & (F.octet_length("c") <= 40) & longer)
-    return d.select("doc_id", F.when(whole, F.col("c")).otherwise("cut").alias("clamped"), fits.alias("fits"))
+    return d.select("doc_id", F.col("c").alias("clamped"), fits.alias("fits"))
 
 
 @query(f"WITH {SEGMENTS} SELECT arrival, ts_us, src_ip, src_port, dst_ip, dst_port, seq, flags, payload FROM segments")
@@ -816,29 +841,31 @@ def body_decoding(spark, sf_dir):
     return tables.read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, text).otherwise(unpacked).alias("body"))
 
 
-@query("SELECT CASE WHEN n % 2 = 0 THEN 'HTTP' ELSE 'TN3270' END AS protocol, count(*) AS n FROM (SELECT event_id AS n FROM events) GROUP BY 1")
+@query("SELECT CASE WHEN n % 3 = 0 THEN 'HTTP' ELSE 'TN3270' END AS protocol, count(*) AS n FROM (SELECT event_id AS n FROM events) WHERE n % 3 < 2 GROUP BY 1")
 def routed_stores(spark, sf_dir):
-    """Rows to the store of their protocol, read back; those of no store go nowhere."""
-    e = tables.read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "HTTP").otherwise("TN3270").alias("protocol"))
-    extra = e.limit(3).withColumn("protocol", F.lit("UNKNOWN"))
-    folders = {p: scratch_folder(spark) for p in ("HTTP", "TN3270")}
-    feeds.route(e.union(extra), {p: (lambda rows, f=f: rows.write.parquet(f)) for p, f in folders.items()})
-    read = [spark.read.parquet(f) for f in folders.values()]
-    return detect.only_enabled(read[0].union(read[1]), ["HTTP", "TN3270"]).groupBy("protocol").agg(F.count("*").alias("n"))
+    """Rows of enabled protocols to the store of theirs, read back; those of no store go nowhere."""
+    kind = F.element_at(F.array(*map(F.lit, ("HTTP", "TN3270", "UNKNOWN"))), (F.col("event_id") % 3 + 1).cast("int"))
+    e = tables.read(spark, sf_dir, "events").select("event_id", kind.alias("protocol"))
+    # A protocol that is switched off, and one that has no store.
+    e = detect.only_enabled(e.union(e.where("protocol = 'HTTP'").withColumn("protocol", F.lit("OFF"))), ["HTTP", "TN3270", "UNKNOWN"])
+    folders = {p: scratch_folder(spark) for p in ("HTTP", "TN3270", "OFF")}
+    feeds.route(e, {p: (lambda rows, f=f: rows.write.mode("append").parquet(f)) for p, f in folders.items()})
+    return spark.read.schema("event_id long, protocol string").parquet(*folders.values()).groupBy("protocol").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, '{\"protocol\":\"' || CASE WHEN event_id % 2 = 0 THEN 'HTTP' ELSE 'TN3270' END || '\"}' AS value FROM events")
+@query("SELECT event_id, '{\"protocol\":\"' || CASE WHEN event_id % 2 = 0 THEN 'HTTP' ELSE 'TN3270' END || '\"}' AS value FROM events WHERE CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 1000000 < 300000")
 def protocol_pair_lines(spark, sf_dir):
-    """Protocols of pairs as lines, all of which a full sample keeps."""
+    """Protocols of a sample of pairs as lines."""
     e = tables.read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "HTTP").otherwise("TN3270").alias("protocol"))
-    return feeds.protocol_lines(terminal.sampled(e, 2.0, F.col("event_id")), "event_id")
+    return feeds.protocol_lines(terminal.sampled(e, 0.3, F.col("event_id")), "event_id")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS arrival WHERE false")
+@query("SELECT event_id AS arrival FROM events")
 def disabled_source(spark, sf_dir):
+    """A source that is switched off, beside one that isn't."""
     from ..schemas import SEGMENT
 
-    return feeds.disabled(spark, SEGMENT).select("arrival")
+    return feeds.disabled(spark, SEGMENT).unionByName(tables.segments(spark, sf_dir)).select("arrival")
 
 
 FIELD_RULES = """
