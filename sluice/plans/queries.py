@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binary
-from ..operators import detect, engine, flows, http, metrics, pairing, reassembly, reports, rules, screens, terminal
+from ..operators import detect, engine, flows, http, metrics, pairing, ranges, reassembly, reports, rules, screens, terminal
 from ..session import scratch_folder
 from ..sources import capture, feeds, store, tables
 
@@ -77,6 +77,32 @@ def flow_orientation(spark, sf_dir):
     return _oriented(spark, sf_dir).select("arrival", "conv", "client", "from_client", "flow_seq")
 
 
+#: All segments as those of one conversation.
+HOT = ORIENTED.replace("CAST(user_id % 250 AS VARCHAR) AS cip, CAST(40000 + user_id AS INT) AS cport", "'1' AS cip, 40000 AS cport").replace("CAST(1 + user_id % 3 AS VARCHAR) AS sip, CASE user_id % 3 WHEN 0 THEN 80 WHEN 1 THEN 23 ELSE 9000 END AS sport", "'1' AS sip, 80 AS sport")
+RANGE = 1000
+
+
+def _hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up = F.expr("arrival % 2 = 0")
+    end = lambda client, server: F.when(up, F.lit(client)).otherwise(F.lit(server))
+    ends = {"src_ip": end("10.0.0.1", "10.1.0.1"), "src_port": end(40000, 80), "dst_ip": end("10.1.0.1", "10.0.0.1"), "dst_port": end(80, 40000)}
+    return ranges.orient(tables.segments(spark, sf_dir).withColumns(ends), RANGE)
+
+
+@query(f"WITH {HOT} SELECT arrival, conv, incarnation, client, from_client, flow_seq FROM oriented")
+def hot_conversation(spark, sf_dir):
+    """One conversation of all segments, oriented by ranges of arrivals."""
+    return _hot(spark, sf_dir).select("arrival", "conv", "incarnation", "client", "from_client", "flow_seq")
+
+
+@query(f"WITH {HOT}, messages AS (SELECT conv AS flow_id, arrival AS ord, CASE WHEN from_client THEN 'REQUEST' ELSE 'RESPONSE' END AS type FROM oriented WHERE payload <> ''){LINDLEY} SELECT ord, type, n FROM numbered")
+def hot_conversation_pairs(spark, sf_dir):
+    """The transaction of each message of one long flow, by ranges."""
+    kind = F.when(F.col("from_client"), "REQUEST").otherwise("RESPONSE")
+    m = flows.with_payload(_hot(spark, sf_dir)).select(F.col("conv").alias("flow_id"), F.col("arrival").alias("ord"), kind.alias("type"))
+    return ranges.http_ordinals(m, width=RANGE).select("ord", "type", "n")
+
+
 @query(f"WITH {ORIENTED} SELECT conv, incarnation, count(*) AS n_segments, CAST(sum(length(payload)) AS BIGINT) AS n_bytes, min(arrival) AS first_arrival FROM oriented GROUP BY conv, incarnation")
 def flow_incarnations(spark, sf_dir):
     return _oriented(spark, sf_dir).groupBy("conv", "incarnation").agg(F.count("*").alias("n_segments"), F.sum(F.octet_length("payload")).alias("n_bytes"), F.min("arrival").alias("first_arrival"))

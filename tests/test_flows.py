@@ -993,3 +993,22 @@ def test_rules_change_while_a_stream_runs(spark, tmp_path):
     source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     event_stream(source, watched, write, keep=("flow_id",)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     assert [(n, r, a) for n, _, r, a in seen] == [(0, "one", "demo"), (1, "two", "demo"), (2, "two", "demo")]
+
+
+def test_ranges_equal_windows_over_whole_keys(spark):
+    from sluice.operators import metrics as mt
+    from sluice.operators import ranges as rg
+
+    rows = random_segments(160) + [(200 + k, k, None, None, None, None, k, (1, 2, 0, 18)[k % 4], b"") for k in range(9)] + [(-5, 1, "10.0.0.1", 1000, "10.0.0.10", 80, 1, 0, b"x")]
+    df = spark.createDataFrame(rows, SEGMENT).repartition(3)
+    key = lambda f: sorted(map(str, f.collect()))
+    for width in (1, 7, 1000):
+        assert key(rg.orient(df, width)) == key(flows.orient(df).select(*rg.orient(df, width).columns))
+    rng = random.Random(8)
+    m = spark.createDataFrame([(f"f{f}", k, rng.choice(["REQUEST", "RESPONSE"]), k * 3) for f in range(4) for k in rng.sample(range(200), 60)] + [(None, 1, "RESPONSE", 1), (None, 2, "REQUEST", 2)], "flow_id string, ord long, type string, v int")
+    for width in (1, 9, 1000):
+        assert key(rg.http_ordinals(m, width=width)) == key(pairing.http_ordinals(m))
+        assert key(rg.high_water(m, "flow_id", "ord", "v", width)) == key(mt.high_water(m, "flow_id", "ord", "v"))
+        opens, closes = F.col("type") == "REQUEST", F.col("v") % 2 == 0
+        assert key(rg.active(m, "flow_id", "ord", opens, closes, width)) == key(mt.active(m, "flow_id", "ord", opens, closes))
+    assert rg.orient(df.limit(0)).count() == 0
