@@ -43,6 +43,10 @@ class RecordFramer:
     def held(self) -> int:
         return len(self.record)
 
+    def end(self) -> bytes | None:
+        """What a mark at the end of a record gives: the record, unless it is empty."""
+        return bytes(self.record) or None
+
     def feed(self, data: bytes) -> list[bytes]:
         """Runs without 0xFF are taken whole; only commands are looked at byte by byte."""
         out, at, n = [], 0, len(data)
@@ -67,8 +71,8 @@ class RecordFramer:
                 elif b in NEGOTIATE:
                     self.mode = "option"
                 elif b == EOR:
-                    if self.record:
-                        out.append(bytes(self.record))
+                    if (record := self.end()) is not None:
+                        out.append(record)
                     self.record.clear()
             elif self.mode == "option":
                 self.mode = "data"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binary
-from ..operators import detect, engine, flows, http, metrics, pairing, ranges, reassembly, reports, rules, screens, terminal
+from ..operators import detect, engine, flows, http, metrics, pairing, ranges, reassembly, reports, rules, screens, telnet_ranges, terminal
 from ..session import scratch_folder
 from ..sources import capture, feeds, store, tables
 
@@ -824,13 +824,22 @@ def terminal_shapes(spark, sf_dir):
 @query("SELECT CAST(user_id % 50 AS VARCHAR) AS flow_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS ord, 'RESPONSE' AS type, props || chr(255) AS data FROM events")
 def telnet_framing(spark, sf_dir):
     """Records with escaped marks, options and sub-negotiations, in slices that cut them anywhere."""
+    return terminal.frame_records(_telnet_slices(spark, sf_dir, F.col("user_id") % 50)).select("flow_id", "ord", "type", F.decode("data", "ISO-8859-1").alias("data"))
+
+
+def _telnet_slices(spark: SparkSession, sf_dir: str, flow) -> DataFrame:
     mark = lambda *b: F.lit(bytes([terminal.IAC, *b]))
     whole = F.concat(mark(0xFB, 25), F.expr("cast(substring(props, 1, 3) as binary)"), mark(terminal.SB, 1, 2, terminal.IAC, terminal.SE), F.expr("cast(substring(props, 4) as binary)"), mark(terminal.IAC), mark(terminal.EOR))
-    s = tables.read(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("flow_id"), "event_id", whole.alias("w"), tables.micros().alias("ts_us"))
+    s = tables.read(spark, sf_dir, "events").select(flow.cast("string").alias("flow_id"), "event_id", whole.alias("w"), tables.micros().alias("ts_us"))
     cut = (F.col("event_id") % 12 + 1).cast("int")
     parts = F.array(F.struct((F.col("event_id") * 2).alias("arrival"), F.substring("w", F.lit(1), cut).alias("data")), F.struct((F.col("event_id") * 2 + 1).alias("arrival"), F.substring("w", cut + 1, F.octet_length("w")).alias("data")))
-    halves = s.select("flow_id", "ts_us", F.explode(parts).alias("p")).select("flow_id", "p.arrival", F.lit(False).alias("from_client"), "p.data", "ts_us")
-    return terminal.frame_records(halves).select("flow_id", "ord", "type", F.decode("data", "ISO-8859-1").alias("data"))
+    return s.select("flow_id", "ts_us", F.explode(parts).alias("p")).select("flow_id", "p.arrival", F.lit(False).alias("from_client"), "p.data", "ts_us")
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS ord, 'RESPONSE' AS type, props || chr(255) AS data FROM events")
+def hot_telnet_flow(spark, sf_dir):
+    """The same records as those of one flow, framed by ranges of its slices."""
+    return telnet_ranges.frame_records(_telnet_slices(spark, sf_dir, F.lit(1)), 700).select("ord", "type", F.decode("data", "ISO-8859-1").alias("data"))
 
 
 @query(f"WITH {FLOW_MESSAGES}, swapped AS (SELECT flow_id, ord, CASE WHEN type = 'REQUEST' THEN 'RESPONSE' ELSE 'REQUEST' END AS type, ts_us FROM messages){LINDLEY.replace('FROM messages', 'FROM swapped')} SELECT flow_id, ord, substr(sha256(flow_id || '|' || coalesce('t' || n, 'o' || ord)), 1, 26) AS tx_id FROM numbered")

@@ -1012,3 +1012,22 @@ def test_ranges_equal_windows_over_whole_keys(spark):
         opens, closes = F.col("type") == "REQUEST", F.col("v") % 2 == 0
         assert key(rg.active(m, "flow_id", "ord", opens, closes, width)) == key(mt.active(m, "flow_id", "ord", opens, closes))
     assert rg.orient(df.limit(0)).count() == 0
+
+
+def test_telnet_ranges_equal_the_machine(spark):
+    from sluice.operators import telnet_ranges
+
+    rng = random.Random(51)
+    tokens = [b"\xff\xef", b"\xff\xef", b"\xff", b"\xff\xfa", b"\xff\xf0", b"\xff\xf0", b"\xff\xfb", b"\xfd", b"A", b"BC"]  # ends of records, marks, sub-negotiations, options, data
+    rows, arrival = [], 0
+    for flow in ("a", "b", None):
+        for _ in range(120):
+            rows.append((flow, arrival, rng.random() < 0.4, b"".join(rng.choice(tokens) for _ in range(rng.randrange(0, 9))) or None, arrival * 3))
+            arrival += 1
+    df = spark.createDataFrame(rows, "flow_id string, arrival long, from_client boolean, data binary, ts_us long").repartition(3)
+    key = lambda f: sorted(map(str, f.collect()))
+    want = key(terminal.frame_records(df))
+    assert len(want) > 30
+    for width in (1, 13, 100_000):
+        assert key(telnet_ranges.frame_records(df, width)) == want
+    assert telnet_ranges.frame_records(df.limit(0)).count() == 0
