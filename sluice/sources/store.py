@@ -35,10 +35,29 @@ def committed(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getParent().toString() for f in found or [])
 
 
+def _entry(line: Column) -> Column:
+    """An index line's fields: of a line that is no whole JSON object, those that can be found by their names, if the side is among them; else null."""
+    fields = [f.split() for f in INDEX.split(", ")]
+
+    def found(name: str, kind: str) -> Column:
+        if kind == "BIGINT":
+            return F.coalesce(F.regexp_extract(line, rf'"{name}":(-?[0-9]+)', 1).try_cast("long"), F.lit(0).cast("long")).alias(name)
+        text = F.regexp_extract(line, rf'"{name}":[^"]*"((?:[^"\\]|\\.)*)', 1)
+        there = F.contains(line, F.lit(f'"{name}":')) & ~F.contains(line, F.lit(f'"{name}":null'))
+        return F.when(there, F.regexp_replace(text, r"\\(.)", "$1")).alias(name)
+
+    whole = F.from_json(line, f"{INDEX}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
+    parts = F.struct(*(found(*f) for f in fields))
+    strict = F.struct(*(whole[name].alias(name) for name, _ in fields))
+    known = parts["kind"].isin(*KINDS, *KINDS.values())
+    return F.when(whole.isNotNull() & whole["_bad"].isNull(), strict).when(known, parts)
+
+
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Index entries of ``index-*.ndjson`` with ``arrival``, in the order of jobs, files and lines; malformed lines and files without a commit are dropped."""
-    lines = spark.read.schema(INDEX).option("mode", "DROPMALFORMED").json(f"{folder}/index-*.ndjson")
-    lines = lines.select("*", F.col("_metadata.file_name").alias("_file"), F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("arrival"))
+    """Index entries of ``index-*.ndjson`` with ``arrival``, in the order of jobs, files and lines; lines without a side and files without a commit are dropped."""
+    lines = spark.read.text(f"{folder}/index-*.ndjson").where("trim(value) <> ''")
+    lines = lines.select(_entry(F.col("value")).alias("e"), F.col("_metadata.file_name").alias("_file"), F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("arrival"))
+    lines = lines.where("e IS NOT NULL").select("e.*", "_file", "arrival")
     jobs = committed(spark, folder)
     files = spark.read.schema(FILES).parquet(*jobs) if jobs else spark.createDataFrame([], FILES)
     counted = lines.join(files.select(F.col("index").alias("_file")), "_file", "left_semi").unionByName(lines.where(~F.startswith("_file", F.lit("index-job_"))))
