@@ -1038,4 +1038,4 @@ def test_index_lines_that_are_cut(spark, tmp_path):
     lines = ['{"id":"a","kind":"REQ","ts_first":5,"first_line":"x \\"y\\"","headers_blob":null,"body_blob":"b.seg","body_off":7,"body_l', '{"id":"b","kind":', "", "junk", '{"kind": "RSP", "id": "c", "ts_first": 9} trailing', '{"id":"d","kind":"RSP","ts_first":3}']
     (tmp_path / "index-1.ndjson").write_text("\n".join(lines) + "\n")
     got = store.read_index(spark, str(tmp_path)).orderBy("id").collect()
-    assert [(r.id, r.kind, r.ts_first, r.first_line, r.headers_blob, r.body_blob, r.body_off) for r in got] == [("a", "REQUEST", 5, 'x "y"', None, "b.seg", 7), ("c", "RESPONSE", 0, None, None, None, 0), ("d", "RESPONSE", 3, None, None, None, None)]
+    assert [(r.id, r.kind, r.ts_first, r.first_line, r.headers_blob, r.body_blob, r.body_off) for r in got] == [("a", "REQUEST", 5, 'x "y"', None, "b.seg", 7), ("c", "RESPONSE", 9, None, None, None, None), ("d", "RESPONSE", 3, None, None, None, None)]
