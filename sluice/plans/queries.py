@@ -757,15 +757,12 @@ def pcap_frames(spark, sf_dir):
 @query("SELECT n_nationkey AS id, '/n/' || n_nationkey AS path, CASE WHEN n_nationkey % 2 = 0 THEN 200 END AS status, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 1000 ELSE -1 END AS BIGINT) AS latency_us, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS body FROM nation")
 def sample_exchanges(spark, sf_dir):
     """Text samples of requests, every other one with a response, as exchanges."""
-    from ..sources._files import locate, put
-
     folder = scratch_folder(spark)
-    store, base = locate(folder)
-    store.create_dir(base)
-    for r in tables.read(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():  # a nation a file
-        put(store, f"{base}/n{r[0]:04d}-request.txt", f"GET /n/{r[0]} HTTP/1.1\nHost: x\n\n".encode())
-        if r[0] % 2 == 0:
-            put(store, f"{base}/n{r[0]:04d}-response.txt", f"HTTP/1.1 200 OK\n\n{r[1]}".encode())
+    name = F.concat(F.lit("n"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0"))
+    file = lambda kind, content: F.struct(F.concat(name, F.lit(f"-{kind}.txt")).alias("file_name"), content.alias("content"))
+    request = file("request", F.concat(F.lit("GET /n/"), F.col("n_nationkey").cast("string"), F.lit(" HTTP/1.1\nHost: x\n\n")))
+    response = F.when(F.col("n_nationkey") % 2 == 0, file("response", F.concat(F.lit("HTTP/1.1 200 OK\n\n"), F.col("n_name"))))
+    reports.write_reports(tables.read(spark, sf_dir, "nation").select(F.explode(F.array_compact(F.array(request, response))).alias("f")).select("f.*"), folder)
     x = http.exchanges(feeds.samples(spark, folder))
     return x.select(F.substring("flow_id", 2, 4).cast("int").cast("long").alias("id"), "http_request.path", "http_response.status", "latency_us", F.col("http_response.body").cast("string").alias("body"))
 

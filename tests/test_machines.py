@@ -3,7 +3,7 @@
 import random
 
 from sluice.functions import ebcdic
-from sluice.functions.binary import decode_chunked, murmur128_hex
+from sluice.functions.binary import decode_chunked, murmur128_hex, murmur128_of
 from sluice.operators.http import HttpFramer
 from sluice.operators.reassembly import Reassembler
 from sluice.operators.reports import decode_message
@@ -155,3 +155,10 @@ def test_decode_message():
     packed = gzip.compress(b"hello world")
     assert decode_message(b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nContent-Length: 9\r\n\r\n" + packed).endswith(b"Content-Length: 11\r\n\r\nhello world")
     assert decode_message(b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\nnope").endswith(b"gzip\r\n\r\nnope")
+
+
+def test_murmur_of_many_values():
+    rng = random.Random(77)
+    values = [rng.randbytes(n) for n in (0, 1, 15, 16, 17, 31, 32, 33, 48, 1000, *(rng.randrange(200) for _ in range(100)))]
+    assert murmur128_of(values) == [murmur128_hex(v) for v in values]
+    assert murmur128_of([]) == [] and murmur128_of([b""]) == [murmur128_hex(b"")]
