@@ -256,7 +256,8 @@ def repeated_windows(docs: DataFrame, size: int, answered: str, cells: int, slic
             yield from send(gathered)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple]] = {}
+        """Rows come by bucket, of which one is held at a time."""
+        current, parts = None, []
         gone: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
 
@@ -272,21 +273,28 @@ def repeated_windows(docs: DataFrame, size: int, answered: str, cells: int, slic
                 yield from flush()
                 gone, held = [], 0
 
+        def close() -> Iterator[pa.RecordBatch]:
+            h, g, doc = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*parts, strict=True), ("<u8", "<u4", "<i8"), strict=True))
+            order, _, later = _first_documents(h, g, doc)
+            yield from settle(doc[order][later], h[order][later])
+
         for batch in batches:
             for b, h, g, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g is None:
                     yield from settle(np.frombuffer(d, dtype="<i8"), np.frombuffer(h, dtype="<u8"))
-                else:
-                    parts.setdefault(b, []).append((h, g, d))
-        for b in list(parts):
-            h, g, doc = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*parts.pop(b), strict=True), ("<u8", "<u4", "<i8"), strict=True))
-            order, _, later = _first_documents(h, g, doc)
-            yield from settle(doc[order][later], h[order][later])
+                    continue
+                if b != current and parts:
+                    yield from close()
+                    parts = []
+                current = b
+                parts.append((h, g, d))
+        if parts:
+            yield from close()
         if held:
             yield from flush()
 
     sent = docs.mapInArrow(estimate, "bucket int, h binary, g binary, d binary")
-    return sent.repartition(partitions(spark), "bucket").mapInArrow(group, "bucket int, h binary, d binary")
+    return sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(group, "bucket int, h binary, d binary")
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
