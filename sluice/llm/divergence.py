@@ -67,13 +67,13 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-        def out() -> pa.RecordBatch:
-            rows = [(lang, source, b"", 0, 0) for lang, source in tables]
+        def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), (times, held) in tables.items():
-                rows.extend((lang, source, term, n, held[term]) for term, n in times.items())
+                terms = [b"", *times]
+                same = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+                columns = [pa.array(terms, pa.binary()), pa.array([0, *times.values()], pa.int64()), pa.array([0, *map(held.__getitem__, times)], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*same, *columns], names=[f.split()[0] for f in COUNTS.split(", ")])
             tables.clear()
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in COUNTS.split(", ")])
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2)), strict=True):
@@ -87,9 +87,8 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
                     distinct.update(words)
                 held.update(distinct)
             if sum(len(times) for times, _ in tables.values()) > ENTRIES:
-                yield out()
-        if tables:
-            yield out()
+                yield from out()
+        yield from out()
 
     empty = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     partial = docs.select(empty(lang_col).alias("lang"), empty(source_col).alias("source"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(work, COUNTS)
