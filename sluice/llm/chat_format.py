@@ -66,8 +66,9 @@ class Windows:
         self.new: list[tuple[str, str, int]] = []
         self.size = self.turns = 0
 
-    def feed(self, role: str, text: str) -> list[dict]:
-        turn = (role, text, self.count(formatted(role, text)))
+    def feed(self, role: str, text: str, size: int | None = None) -> list[dict]:
+        """``size``: the turn's tokens, where they have been counted."""
+        turn = (role, text, self.count(formatted(role, text)) if size is None else size)
         out = []
         if self.new and self.size + turn[2] > self.budget:
             out = self.finish()
@@ -125,7 +126,11 @@ def format_conversations(turns: DataFrame, tokenizer: str, budget: int = 1024, h
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        count = lambda text: len(encoder.encode([text.encode("utf-8", "surrogatepass")])[0]) // 4
+
+        def counted(texts: list[str]) -> list[int]:
+            return [len(ids) // 4 for ids in encoder.encode([t.encode("utf-8", "surrogatepass") for t in texts])]
+
+        count = lambda text: counted([text])[0]
         made, current, number, out, size = None, None, 0, [], 0
 
         def put(found: list[dict]) -> None:
@@ -139,12 +144,14 @@ def format_conversations(turns: DataFrame, tokenizer: str, budget: int = 1024, h
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=[f.split()[0] for f in WINDOW.split(", ", 5)])
 
         for rows in batches:
-            for conv, role, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            convs, roles, texts = (c.to_pylist() for c in rows.columns)
+            sizes = counted([formatted(role, text) for role, text in zip(roles, texts, strict=True)])
+            for conv, role, text, tokens in zip(convs, roles, texts, sizes, strict=True):
                 if made is None or conv != current:
                     if made is not None:
                         put(made.finish())
                     made, current, number = Windows(budget, history, count), conv, 0
-                put(made.feed(role, text))
+                put(made.feed(role, text, tokens))
                 if size > 1_000_000:
                     yield batch()
                     out, size = [], 0
