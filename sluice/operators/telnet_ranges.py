@@ -2,7 +2,8 @@
 
 A direction's bytes pass through five modes.  Each range of slices is run from each mode, which gives the mode it would end in and the records
 it would end: a row a range.  Those few rows are put one after the other, which fixes every range's first mode and the number of its first record; then
-the ranges are cut side by side, and the pieces of records that cross ranges are joined by their number.  Results are those of ``terminal.frame_records``.
+the ranges are cut side by side, and the pieces of records that cross ranges are joined by their number.  Where a range begins comes to its task as
+the range's first row, for after a join, Spark may leave out the shuffle that keeps a range in one task.  Results are those of ``terminal.frame_records``.
 """
 
 from __future__ import annotations
@@ -73,16 +74,20 @@ class _Cutting(RecordFramer):
 
 
 class _Pieces:
-    """A range's pieces of records: ``flow_id, side, number, range, piece, arrival, k, ts_us``; the time and place are those of the slice that ends a record, null for a piece that goes on."""
+    """A range's pieces of records: ``flow_id, side, number, range, piece, arrival, k, ts_us``; the time and place are those of the slice that ends a record, null for a piece that goes on.
+
+    The first row is no slice, and tells where the range begins.
+    """
 
     def __init__(self):
         self.framer, self.number, self.of = None, 0, None
 
     def feed(self, row: tuple) -> list[tuple]:
-        _, flow, side, at, mode, first, arrival, data, ts_us = row
-        if self.framer is None:
+        _, flow, side, at, is_slice, mode, first, arrival, data, ts_us = row
+        if not is_slice:
             self.framer, self.number, self.of = _Cutting(), first, (flow, side, at)
             self.framer.mode = MODES[mode]
+            return []
         out = []
         for k, piece in enumerate(self.framer.feed(data or b"")):
             out.append((flow, side, self.number, at, piece, arrival, k, ts_us))
@@ -101,9 +106,11 @@ def frame_records(slices: DataFrame, width: int = WIDTH) -> DataFrame:
     effects = by_flow(rows.select(cell, *_CELL, "data", "arrival"), "cell", ["arrival"], _Effects, "flow_id string, side int, range long, ends array<int>, counts array<long>", [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())])
     direction = F.to_json(F.struct("flow_id", "side")).alias("direction")
     begins = by_flow(effects.select(direction, *_CELL, "ends", "counts"), "direction", ["range"], _Chain, "flow_id string, side int, range long, mode int, first long", [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64()])
-    joined = rows.withColumn("cell", cell).join(begins.select(cell, "mode", "first"), "cell").select("cell", *_CELL, "mode", "first", "arrival", "data", "ts_us")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    heads = begins.select(cell, *_CELL, F.lit(False).alias("is_slice"), "mode", "first", none("long", "arrival"), none("binary", "data"), none("long", "ts_us"))
+    headed = heads.union(rows.select(cell, *_CELL, F.lit(True).alias("is_slice"), none("int", "mode"), none("long", "first"), "arrival", "data", "ts_us"))
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
-    pieces = by_flow(joined, "cell", ["arrival"], _Pieces, "flow_id string, side int, number long, range long, piece binary, arrival long, k int, ts_us long", kinds)
+    pieces = by_flow(headed, "cell", ["is_slice", "arrival"], _Pieces, "flow_id string, side int, number long, range long, piece binary, arrival long, k int, ts_us long", kinds)
     data = F.expr("listagg(piece) WITHIN GROUP (ORDER BY range)")
     records = pieces.groupBy("flow_id", "side", "number").agg(data.alias("data"), F.max("arrival").alias("arrival"), F.max("k").alias("k"), F.max("ts_us").alias("ts_us"), F.count("k").alias("ended")).where("ended > 0 AND octet_length(data) > 0")
     # Records of both directions are numbered as they end, by ranges again.

@@ -1033,6 +1033,25 @@ def test_telnet_ranges_equal_the_machine(spark):
     assert telnet_ranges.frame_records(df.limit(0)).count() == 0
 
 
+def test_telnet_ranges_stay_whole_where_plans_change_at_run_time(spark):
+    """Slices of each range lie in many input partitions, and a join's small side would be found small only as the plan is changed."""
+    from sluice.operators import telnet_ranges
+
+    noise = F.concat(*(F.sha2((F.col("id") * 31 + k).cast("string"), 512) for k in range(4)))
+    payload = F.concat(noise.cast("binary"), F.lit(bytes([terminal.IAC, terminal.EOR])))
+    slices = spark.range(0, 6000, 1, 1).repartition(6).select(F.lit("a").alias("flow_id"), F.col("id").alias("arrival"), F.lit(False).alias("from_client"), payload.alias("data"), F.col("id").alias("ts_us"))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        for n, v in zip(names, ("-1", "50k"), strict=True):
+            spark.conf.set(n, v)
+        framed = telnet_ranges.frame_records(slices, 700).select("ord", "ts_us", F.octet_length("data").alias("n")).collect()
+        assert sorted(map(tuple, framed)) == [(k, k, 512) for k in range(6000)]
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def test_index_lines_that_are_cut(spark, tmp_path):
     """A line that isn't whole gives the fields that can be found, as long as it names its side."""
     lines = ['{"id":"a","kind":"REQ","ts_first":5,"first_line":"x \\"y\\"","headers_blob":null,"body_blob":"b.seg","body_off":7,"body_l', '{"id":"b","kind":', "", "junk", '{"kind": "RSP", "id": "c", "ts_first": 9} trailing', '{"id":"d","kind":"RSP","ts_first":3}']
