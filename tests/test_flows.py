@@ -1,5 +1,6 @@
 """Window forms against small state machines, sources and sinks, rules and reports on Spark."""
 
+import hashlib
 import os
 import random
 import struct
@@ -1033,6 +1034,16 @@ def test_telnet_ranges_equal_the_machine(spark):
     assert telnet_ranges.frame_records(df.limit(0)).count() == 0
 
 
+def test_protocol_lines_are_of_all_pairs(spark, tiny):
+    from sluice.plans import queries
+
+    ids = [r.event_id for r in spark.read.parquet(f"{tiny}/events.parquet").select("event_id").collect()]
+    lines = queries.protocol_pair_lines(spark, tiny).collect()
+    assert sorted((r.event_id, r.value) for r in lines) == sorted((i, '{"protocol":"%s"}' % ("TN3270" if i % 2 else "HTTP")) for i in ids)
+    share = terminal.sampled(spark.range(500), 0.3, F.col("id")).collect()
+    assert sorted(r.id for r in share) == [i for i in range(500) if int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 1_000_000 < 300_000]
+
+
 def test_telnet_ranges_stay_whole_where_plans_change_at_run_time(spark):
     """Slices of each range lie in many input partitions, and a join's small side would be found small only as the plan is changed."""
     from sluice.operators import telnet_ranges
