@@ -88,23 +88,20 @@ class WordEncoder:
                 self.new[w] = raw[a:b]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = text.split()
-            new, old = self.new, self.old
-            unknown = set(words).difference(new)
-            if unknown:
-                learn = []
-                for w in unknown:
-                    if (ids := old.get(w)) is None:
-                        learn.append(w)
-                    else:
-                        new[w] = ids
-                if learn:
-                    self._learn(learn)
-            out.append(b"".join(map(new.__getitem__, words)))
-            if len(new) > HALF:
-                self.old, self.new = new, {}
+        """Ids of each text; what the texts' words together lack is looked up and learned once."""
+        split = [text.split() for text in texts]
+        new, old = self.new, self.old
+        learn = []
+        for w in set().union(*split).difference(new):
+            if (ids := old.get(w)) is None:
+                learn.append(w)
+            else:
+                new[w] = ids
+        if learn:
+            self._learn(learn)
+        out = [b"".join(map(new.__getitem__, words)) for words in split]
+        if len(new) > HALF:
+            self.old, self.new = new, {}
         return out
 
 

@@ -490,6 +490,17 @@ def test_encoders_equal_the_library(texts, library, monkeypatch):
         assert np.frombuffer(got, "<u4").tolist() == encode(t) == [int(i) for i in ids.split()] and model.decode_decimal(ids) == decode(encode(t))
 
 
+def test_a_batch_learns_its_words_once(texts, library, monkeypatch):
+    encode, _ = library
+    words, learned = WordEncoder(tokenizer_path()), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda some: (learned.append(list(some)), learn(some)))
+    cases = [t or "" for i, t in texts.items() if i != 11] + ODD_TEXTS
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in words.encode([t.encode() for t in cases])] == [encode(t) for t in cases]
+    assert len(learned) == 1 and len(set(learned[0])) == len(learned[0])
+    assert words.encode([]) == [] and words.encode([b"", b" "]) == [b"", b""] and len(learned) == 1
+
+
 def test_characters_of_every_version(library):
     """Every third code point but surrogates, many to a text, between letters, digits and marks."""
     encode, _ = library
